@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.common import table
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.token_counts import count_tokens
+from brindle.llm.toxicity import toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -20,8 +21,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
