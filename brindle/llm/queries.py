@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import table
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
+from brindle.llm.quality_rules import quality_rules
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.toxicity import toxicity
 
@@ -25,9 +26,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op8_quality_rules": op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
