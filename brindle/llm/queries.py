@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import table
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
+from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.toxicity import toxicity
@@ -30,10 +31,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,7 @@ class MergeTable:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in special):
             raise ValueError("added tokens with options are not supported")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(special, key=lambda t: -len(t["content"])))) if special else None
+        self.special_ids = {t["content"]: t["id"] for t in special}
         tokenizer = Tokenizer.from_file(path)
         self.normalizer = tokenizer.normalizer
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -92,35 +94,35 @@ class MergeTable:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each word when no pair can be merged."""
+        return self.merge(words)[1]
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, number of ids of each word)."""
         size = np.array([len(w) for w in words], np.int64)
-        out = size.copy()
         ends = np.cumsum(size)
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[raw]
         full = size > 0
         sym[ends[full] - 1] = self.last[raw[ends[full] - 1]]
         word = np.repeat(np.arange(len(words)), size)
-        while len(sym) > 1:
+        done_sym, done_word = [], []
+        while len(sym):
             same = word[1:] == word[:-1]
-            rank = np.where(same, self.ranks(sym[:-1], sym[1:]), NO_RANK)
-            heads = np.flatnonzero(np.concatenate(([True], ~same)))
-            least = np.minimum.reduceat(np.append(rank, NO_RANK), heads)
+            rank = np.append(np.where(same, self.ranks(sym[:-1], sym[1:]), NO_RANK), NO_RANK)
+            heads = np.flatnonzero(np.append(True, ~same))
             sizes = np.diff(np.append(heads, len(sym)))
-            out[word[heads]] = sizes
-            live = np.repeat(least < NO_RANK, sizes)
-            if not live.any():
-                break
-            hit = np.append(rank, NO_RANK) == np.repeat(least, sizes)
-            hit &= live
-            hit = every_other(hit)
-            at = np.flatnonzero(hit)
-            sym[at] = self.merged[np.repeat(least, sizes)[at]]
-            keep = live
-            keep[at + 1] = False
-            sym, word = sym[keep], word[keep]
-        if len(sym) == 1:
-            out[word] = 1
-        return out
+            least = np.repeat(np.minimum.reduceat(rank, heads), sizes)
+            live = least < NO_RANK
+            done_sym.append(sym[~live])
+            done_word.append(word[~live])
+            at = np.flatnonzero(every_other((rank == least) & live))
+            sym[at] = self.merged[least[at]]
+            live[at + 1] = False
+            sym, word = sym[live], word[live]
+        if not done_word:
+            return np.zeros(0, np.int64), size
+        word = np.concatenate(done_word)
+        return np.concatenate(done_sym)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 def every_other(hit: np.ndarray) -> np.ndarray:
@@ -184,37 +186,97 @@ def spans(code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], ends[keep]
 
 
-def counted(texts: list[str], table: MergeTable, known: dict[int, int]) -> np.ndarray:
-    """Tokens of each text; ``known`` is the task's store of counts by pre-token hash."""
-    parts, owner = [], []
-    special = np.zeros(len(texts), np.int64)
+@dataclass
+class Met:
+    """Distinct pre-tokens of some texts: where each occurs, and its key in a task's store."""
+
+    special: list[list[tuple[int, int]]]
+    row: np.ndarray
+    which: np.ndarray
+    keys: list[int]
+    first: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    joined: str
+
+    def words(self, picked: list[int]) -> list[bytes]:
+        at = self.first[picked]
+        return [self.joined[a:b].encode() for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
+def met(texts: list[str], table: MergeTable) -> Met:
+    """Split texts; ``special`` has, by text, (pre-tokens of that text before it, id) of special strings."""
+    parts, owner, special = [], [], []
     for i, text in enumerate(texts):
-        pieces = [text]
-        if table.special is not None and "<" in text:
+        if table.special is not None and "<" in text and (hits := table.special.findall(text)):
             pieces = table.special.split(text)
-            special[i] = len(pieces) - 1
-        for piece in pieces:
-            if piece:
-                parts.append(piece.lower() if piece.isascii() else table.normalizer.normalize_str(piece))
-                owner.append(i)
-    if not parts:
-        return special
+            special.append([(len(parts) + k + 1, table.special_ids[h]) for k, h in enumerate(hits)])
+        else:
+            pieces = [text]
+            special.append([])
+        parts += [p.lower() if p.isascii() else table.normalizer.normalize_str(p) for p in pieces]
+        owner += [i] * len(pieces)
     joined = "\n".join(parts)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     starts, ends = spans(code, table.classes(code))
     edges = np.cumsum([len(x) + 1 for x in parts])
-    row = np.array(owner)[np.searchsorted(edges, starts, "right")]
-    uniq, first, inverse = np.unique(code_hashes(code, starts, ends), return_index=True, return_inverse=True)
-    keys = uniq.tolist()
-    if len(known) + len(keys) > KEPT:
+    part = np.searchsorted(edges, starts, "right")
+    uniq, first, which = np.unique(code_hashes(code, starts, ends), return_index=True, return_inverse=True)
+    # the place of a special string: how many pre-tokens of its text come before it
+    row = np.array(owner, np.int64)[part]
+    for i, found in enumerate(special):
+        if found:
+            base = int(np.searchsorted(row, i))
+            special[i] = [(int(np.searchsorted(part, k)) - base, token) for k, token in found]
+    return Met(special, row, which, uniq.tolist(), first, starts, ends, joined)
+
+
+def counted(texts: list[str], table: MergeTable, known: dict[int, int]) -> np.ndarray:
+    """Tokens of each text; ``known`` is the task's store of counts by pre-token hash."""
+    m = met(texts, table)
+    if len(known) + len(m.keys) > KEPT:
         known.clear()
-    fresh = [k for k, key in enumerate(keys) if key not in known]
+    fresh = [k for k, key in enumerate(m.keys) if key not in known]
     if fresh:
-        at = first[fresh]
-        words = [joined[a:b].encode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        known.update(zip([keys[k] for k in fresh], table.count(words).tolist(), strict=True))
-    sizes = np.array([known[k] for k in keys], np.int64)
-    return special + np.bincount(row, sizes[inverse], minlength=len(texts)).astype(np.int64)
+        known.update(zip([m.keys[k] for k in fresh], table.count(m.words(fresh)).tolist(), strict=True))
+    sizes = np.array([known[k] for k in m.keys], np.int64)
+    return np.bincount(m.row, sizes[m.which], minlength=len(texts)).astype(np.int64) + [len(x) for x in m.special]
+
+
+class TokenIds:
+    """Token ids of texts; keeps those of the pre-tokens that a task has met."""
+
+    def __init__(self, table: MergeTable):
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        m = met(texts, self.table)
+        if len(self.known) + len(m.keys) > KEPT:
+            self.clear()
+        fresh = [k for k, key in enumerate(m.keys) if key not in self.known]
+        if fresh:
+            ids, n = self.table.merge(m.words(fresh))
+            self.known.update(zip([m.keys[k] for k in fresh], range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.start = np.append(self.start, self.start[-1] + np.cumsum(n))
+            self.ids = np.append(self.ids, ids)
+        word = np.array([self.known[k] for k in m.keys], np.int64)[m.which]
+        n = self.start[word + 1] - self.start[word]
+        ends = np.cumsum(n)
+        flat = self.ids[np.arange(n.sum()) - np.repeat(ends - n, n) + np.repeat(self.start[word], n)].astype(np.uint32)
+        edge = np.searchsorted(m.row, np.arange(len(texts) + 1))
+        at = np.append(0, ends)
+        out = []
+        for i, special in enumerate(m.special):
+            one = flat[at[edge[i]] : at[edge[i + 1]]]
+            if special:
+                one = np.insert(one, [at[edge[i] + k] - at[edge[i]] for k, _ in special], [t for _, t in special])
+            out.append(one)
+        return out
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
