@@ -9,6 +9,7 @@ from brindle.llm.common import table
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.substring_dedup import repeated_spans
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.toxicity import toxicity
 
@@ -35,10 +36,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
