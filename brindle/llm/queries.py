@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import table
+from brindle.llm.decontamination import decontaminate
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
@@ -40,10 +41,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
