@@ -13,6 +13,7 @@ from brindle.llm.quality_rules import quality_rules
 from brindle.llm.substring_dedup import repeated_spans
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.toxicity import toxicity
+from brindle.llm.warc import archive_and_read
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -45,6 +46,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -53,5 +58,14 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL = {
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as payload from pages),
+        m as (select payload, max(page_id) as last from p where strlen(payload) >= 1000 group by payload)
+        select page_id, strlen(p.payload)::bigint as payload_bytes, sha1(p.payload) as payload_digest,
+               case when page_id < last then 'revisit' else 'response' end as record_type,
+               case when page_id < last then last end as refers_to
+        from p left join m on p.payload = m.payload""",
 }
-ORACLE_SQL: dict[str, str] = {}
