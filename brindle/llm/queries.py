@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.common import table
 from brindle.llm.decontamination import decontaminate
+from brindle.llm.lm_scoring import stupid_backoff
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
@@ -18,6 +19,10 @@ from brindle.llm.warc import archive_and_read
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -51,6 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
