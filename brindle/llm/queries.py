@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm.common import table
 from brindle.llm.decontamination import decontaminate
@@ -13,6 +14,7 @@ from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.substring_dedup import repeated_spans
 from brindle.llm.token_counts import count_tokens
+from brindle.llm.tool_calls import CHAT_TOOLS, calls_of, link_tool_calls
 from brindle.llm.toxicity import toxicity
 from brindle.llm.warc import archive_and_read
 
@@ -47,6 +49,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_of(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, CHAT_TOOLS).withColumn("errors", F.array_join("errors", ";"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
+    "op5_tool_calls": op5_tool_calls,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
@@ -67,6 +75,33 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
+    "op5_tool_calls": """
+        with u as (select conv_id, turn, text, coalesce(length(text), 0) as n, conv_id || '-' || turn as call_id
+                   from conversations where role = 'user'),
+        c as (select *, case when turn % 2 = 0 then 'search' else 'translate' end as name from u),
+        e as (select *, case when turn % 2 = 0
+                then (case when n % 11 = 0 then 'extra:page' else '' end)
+                     || (case when n % 11 = 0 and n % 7 = 0 then ';' else '' end)
+                     || (case when n % 7 = 0 then 'missing:limit' else '' end)
+                else (case when n % 5 = 0 then 'type:formal' else '' end) end as errors,
+              case when turn % 2 = 0
+                then '{' || (case when n % 7 <> 0 then '"limit":' || turn || ',' else '' end)
+                     || (case when n % 11 = 0 then '"page":1,' else '' end) || '"query":' || to_json(text)::varchar || '}'
+                else '{' || (case when n % 5 = 0 then '"formal":"yes",' else '' end) || '"target":"en","text":' || to_json(text)::varchar || '}'
+              end as args from c),
+        r as (select conv_id, turn as result_turn, text as content, conv_id || '-' || (turn - 1) as call_id
+              from conversations where role = 'assistant')
+        select coalesce(e.conv_id, r.conv_id) as conv_id, coalesce(e.call_id, r.call_id) as call_id,
+          case when e.call_id is null then 'no_call' when r.call_id is null then 'no_result' else 'linked' end as kind,
+          case when e.call_id is null then null when e.turn % 4 >= 2 and b.call_id is not null then 1 else 0 end::integer as level,
+          coalesce(e.turn, r.result_turn) as turn, r.result_turn, (case when r.call_id is null then 0 else 1 end)::bigint as n_results,
+          coalesce(e.errors, '') as errors,
+          '{' || (case when e.call_id is null then '' else '"arguments":' || e.args || ',' end) || '"conversation":' || coalesce(e.conv_id, r.conv_id)
+          || (case when coalesce(e.errors, '') = '' then '' else ',"errors":["' || replace(e.errors, ';', '","') || '"]' end)
+          || ',"id":"' || coalesce(e.call_id, r.call_id) || '"' || (case when e.call_id is null then '' else ',"name":"' || e.name || '"' end)
+          || (case when r.call_id is null then '' else ',"result":' || to_json(r.content)::varchar end) || '}' as json
+        from e full join r on e.conv_id = r.conv_id and e.call_id = r.call_id
+        left join e b on b.conv_id = e.conv_id and b.turn = e.turn - 2""",
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as payload from pages),
         m as (select payload, max(page_id) as last from p where strlen(payload) >= 1000 group by payload)
