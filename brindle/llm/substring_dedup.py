@@ -139,8 +139,6 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     that has no word left goes; one that had none before stays as it is.
     """
     spans = repeated_spans(docs, least_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    spans = written(spans, f"{work_dir(docs.sparkSession)}/spans")
-    clean = docs.join(spans, "doc_id", "left_anti")
     names = docs.columns
     schema = docs.schema
 
@@ -148,12 +146,18 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
         for batch in batches:
             for a, b, _, _ in text_slices(batch):
                 part = batch.slice(a, b - a)
-                texts = [(x or "").encode() for x in part.column(names.index("text")).to_pylist()]
-                cut = cut_spans(texts, [[(s["start"], s["stop"]) for s in x] for x in part.column(len(names)).to_pylist()])
-                columns = [pa.array(cut, part.column(i).type) if n == "text" else part.column(i) for i, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(x.split()) for x in cut]))
-
-    touched = docs.join(spans, "doc_id").select(*names, "__spans").mapInArrow(run, schema)
-    if "n_chars" in names:
-        touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return clean.unionByName(touched.select(*names))
+                texts, spans = part.column(names.index("text")).to_pylist(), part.column(len(names)).to_pylist()
+                hit = [i for i, x in enumerate(spans) if x]
+                for i, text in zip(hit, cut_spans([(texts[i] or "").encode() for i in hit], [[(s["start"], s["stop"]) for s in spans[i]] for i in hit]), strict=True):
+                    texts[i] = text
+                columns = {n: part.column(i) for i, n in enumerate(names)}
+                columns["text"] = pa.array(texts, part.column(names.index("text")).type)
+                if "n_chars" in columns and hit:
+                    sizes = columns["n_chars"].to_pylist()
+                    for i in hit:
+                        sizes[i] = len(texts[i])
+                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                stays = pa.array([not x or bool(t.strip()) for x, t in zip(spans, texts, strict=True)])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(stays)
+
+    return docs.join(spans, "doc_id", "left").select(*names, "__spans").mapInArrow(run, schema)

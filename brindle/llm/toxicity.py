@@ -185,3 +185,15 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESH
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train on the labels outside the held-out fold and score every document."""
     return score_toxicity(docs, train(docs, labels), threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those rows of ``docs``, with all their columns, that score below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch):
+                yield batch.slice(a, b - a).filter(pa.array(held.value.scores(data, offsets) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

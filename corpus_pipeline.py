@@ -1,12 +1,70 @@
-"""The corpus pipeline: STAGES applied to documents, each written and read again."""
+"""The corpus pipeline: STAGES applied to documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from brindle.llm.common import small, table, work_dir, written
+from brindle.llm.decontamination import decontaminate
+from brindle.llm.ngram_jaccard import ngram_jaccard_join
+from brindle.llm.packing import pack
+from brindle.llm.queries import WORD_BPE
+from brindle.llm.substring_dedup import remove_repeats
+from brindle.llm.toxicity import drop_toxic
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (doc_id)."""
+    dropped = written(ids.select("doc_id").distinct(), f"{work_dir(docs.sparkSession)}/dropped")
+    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that with the smallest id stays."""
+    return without(docs, ngram_jaccard_join(docs).where("doc_id <> component_id"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages stay in their first document only; a document of nothing else goes."""
+    return remove_repeats(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows of what is left."""
+    return pack(docs, public_tokenizers.path(WORD_BPE))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the learnt score, nor the token ids.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of documents after all stages."""
+    docs = table(spark, sf_dir, "documents")
+    base = work_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
