@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brindle.functions.tables import BRAND_ALIASES, CATEGORY_ALIASES, CATEGORY_TAGS, STOCK_RULES, TITLE_STOP_WORDS
 
 DASHES = "‐‑‒–—−"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else x.casefold())
 

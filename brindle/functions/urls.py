@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # IPv4 ranges that no fetch may reach (first, last).
 BLOCKED_V4 = [
@@ -50,7 +51,7 @@ def _number(address: str) -> int:
     return int(ipaddress.IPv4Address(address))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _safe_v6(values: pd.Series) -> pd.Series:
     def safe(text: str | None) -> bool | None:
         if text is None:
