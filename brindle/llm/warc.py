@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hot_join, work_dir, written
+from brindle.llm.common import hot_join, small, work_dir, written
 
 #: Payloads from this size on are written once.
 LEAST_BYTES = 1000
-#: Bytes of payload in an archive.
+#: Bytes of payload in an archive, on average.
 ARCHIVE_BYTES = 16 << 20
 CRLF = "\r\n"
 #: Profile of revisit records for equal payloads, as the WARC standard names it.
@@ -51,9 +51,7 @@ def captures(pages: DataFrame) -> DataFrame:
     large = written(rows.where(F.col("payload_bytes") >= LEAST_BYTES).select("page_id", "payload_digest"), f"{base}/large")
     equal = written(large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), f"{base}/equal")
     revisits = hot_join(large, equal, "payload_digest", "n").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
-    dealt = rows.repartition(max(1, -(-total // ARCHIVE_BYTES)), "page_id")
-    return dealt.join(revisits, ["page_id", "payload_digest"], "left")
+    return rows.join(small(written(revisits, f"{base}/revisits")), ["page_id", "payload_digest"], "left")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -66,6 +64,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     Rows with a null page_id are not written. Other columns are not read.
     """
     c = captures(pages)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     page, digest, to = F.col("page_id"), F.col("payload_digest"), F.col("refers_to")
     kind = F.when(to.isNull(), "response").otherwise("revisit")
     own = record_id("response", page, digest)
@@ -78,7 +77,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     )
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(f"{CRLF}payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)))
     # the sink ends each row with the line end that also ends the last record
-    c.select(F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
+    c.select(F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))).write.mode("overwrite").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 1000)))).option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes, keep_payload: bool = False) -> Iterator[tuple]:
