@@ -1,0 +1,287 @@
+"""Every operator on small tables: brute force, nulls, empty tables, repeated rows, clashing column names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+from brindle.llm import components, decontamination, lm_scoring, ngram_jaccard, packing, quality_rules, substring_dedup, token_counts, tool_calls, toxicity, warc
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+BPE = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, g string, id long, s double, h1 long, part long"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def prose(r, n, vocabulary=400):
+    return " ".join(f"w{r.randint(0, vocabulary)}{'abc'[r.randint(0, 2)]}" for _ in range(n))
+
+
+def documents(seed=1, n=60):
+    """Texts with nulls, empties, exact and near copies, a very long one, and a passage that some share."""
+    r = random.Random(seed)
+    texts = [None, "", "  \n", "one", "one two", "ONE two", "a\x0bb c d"]
+    texts += [prose(r, r.randint(5, 120)) for _ in range(n)]
+    base = prose(r, 200)
+    texts += [base, base, base.upper()]
+    words = base.split()
+    for i in range(12):
+        w = list(words)
+        for _ in range(i % 4 + 1):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    shared = prose(r, 70)
+    texts += [f"{prose(r, 40)} {shared} {prose(r, 30)}" for _ in range(3)] + [prose(r, 6000), "the " * 300, "x" * 20000]
+    return list(enumerate(texts, 1))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 7, "g", 9, 0.5, 1, 2) for i, t in documents()]
+    return spark.createDataFrame(rows, DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_lm_scores(docs, none):
+    got = rows(lm_scoring.stupid_backoff(docs, passes=2), "doc_id")
+    texts = {i: WORDS.findall((t or "").lower()) for i, t in documents()}
+    c = collections.Counter(g for w in texts.values() for n in (1, 2, 3) for g in zip(*[w[i:] for i in range(n)]))
+    total = sum(map(len, texts.values()))
+    for d, w in texts.items():
+        score = 0.0
+        for i in range(len(w)):
+            deep = min(3, i + 1)
+            for n in range(deep, 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if n == 1 or c[g] >= 2:
+                    score += math.log(0.4) * (deep - n) + math.log(c[g] / (total if n == 1 else c[g[:-1]]))
+                    break
+        assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(score)
+        assert (got[d].mean_log_score is None) == (not w)
+    assert lm_scoring.stupid_backoff(none, passes=2).count() == 0
+
+
+def test_token_counts(docs, none):
+    got = rows(token_counts.count_tokens(docs.union(docs), BPE, limit=50), "doc_id")
+    lib = Tokenizer.from_file(BPE)
+    for i, t in documents():
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 50)
+    assert token_counts.count_tokens(docs.union(docs), BPE).count() == 2 * docs.count()
+    assert token_counts.count_tokens(none, BPE).count() == 0
+
+
+def linked(texts):
+    sets = {}
+    for i, t in texts:
+        w = WORDS.findall((t or "").lower())
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join(spark, docs, none):
+    got = rows(ngram_jaccard.ngram_jaccard_join(docs), "doc_id")
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == linked(documents())
+    assert ngram_jaccard.ngram_jaccard_join(none).count() == 0
+    extra = docs.union(spark.createDataFrame([(None, "one two", "", "", 1, 1, "", 1, 0.0, 1, 1)], DOCS)).union(docs.limit(0))
+    lost = [r for r in ngram_jaccard.ngram_jaccard_join(extra).collect() if r.doc_id is None]
+    assert [(r.n_shingles, r.component_id) for r in lost] == [(1, None)]
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    r = random.Random(9)
+    base = prose(r, 150, 5000).split()
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = f"new{r.randint(0, 10**6)}"
+        texts.append((i, " ".join(w)))
+    got = rows(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id")
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == linked(texts)
+
+
+def test_components_of_chains_stars_and_self_links(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7), (500, 501), (501, 500), (None, 3)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(300)}, 500: 500, 501: 500}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_toxicity(spark, none):
+    r = random.Random(4)
+    made = [(i, prose(r, 50) + (" scoundrel villain" if i % 7 == 0 else "")) for i in range(1200)] + [(5000, None), (5001, "")]
+    labels = [(i, 1 if i % 7 == 0 else 0) for i in range(1200) if i % 2 == 0] + [(14, 1), (None, 1), (99999, 1), (3, None)]
+    d, lab = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = rows(toxicity.toxicity(d, lab), "doc_id")
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= x.score <= 1 and x.predicted == (x.score >= 0.3) for i, x in got.items())
+    wrong = [i for i, _ in made[:1200] if got[i].predicted != (i % 7 == 0)]
+    assert len(wrong) < 24
+    # labels of the held-out fold change nothing
+    flipped = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = rows(toxicity.toxicity(d, flipped), "doc_id")
+    assert all(got[i].score == pytest.approx(again[i].score) for i in got)
+    assert toxicity.toxicity(none, lab).count() == 0
+    assert set(x.predicted for x in toxicity.toxicity(d, lab.limit(0)).collect()) == {0}
+    assert toxicity.drop_toxic(d.withColumn("score", F.lit("x")), lab).columns == ["doc_id", "text", "score"]
+
+
+SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}}
+
+
+def test_tool_calls(spark):
+    calls = [
+        (1, 0, "x", "add", '{"b": 2.5, "a": 1}', []), (1, 1, "y", "add", '{"a": "1", "c": 0}', ["x"]), (1, 2, "z", "add", "{bad", ["y", "nowhere"]),
+        (1, 3, "p", "add", '{"a":1,"b":1}', ["q"]), (1, 4, "q", "add", '{"a":1,"b":1}', ["p"]), (2, 0, "x", "sing", "{}", []), (2, 5, "x", "sing", "[1]", []), (2, 1, None, "add", None, []),
+    ]
+    results = [(1, 9, "x", "3.5"), (1, 8, "x", "first"), (2, 3, "gone", "?"), (2, 4, None, "?")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    a = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    got = tool_calls.link_tool_calls(c, a, SCHEMAS).collect()
+    by = {(r.conv_id, r.call_id, r.kind): r for r in got}
+    assert len(got) == 9
+    x = by[1, "x", "linked"]
+    assert (x.level, x.result_turn, x.n_results, x.errors) == (0, 8, 2, [])
+    assert x.json == '{"arguments":{"a":1,"b":2.5},"conversation":1,"id":"x","name":"add","result":"first"}'
+    assert by[1, "y", "no_result"].errors == ["extra:c", "missing:b", "type:a"] and by[1, "y", "no_result"].level == 1
+    assert by[1, "z", "no_result"].errors == ["bad_json"] and by[1, "z", "no_result"].level == 2
+    assert by[1, "p", "no_result"].level is None and by[1, "q", "no_result"].level is None
+    assert by[2, "x", "no_result"].errors == ["unknown_tool"] and by[2, "gone", "no_call"].result_turn == 3
+    assert (2, None, "no_result") in by and (2, None, "no_call") in by
+    assert [r.level for r in got if r.conv_id == 1] == [None, None, 0, 1, 2]
+    assert tool_calls.link_tool_calls(c.limit(0), a.limit(0), SCHEMAS).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    texts = documents()
+    r = random.Random(2)
+    items = [(1, " ".join((texts[20][1] or "").split()[:25])), (2, "ONE two"), (3, prose(r, 30, 9999)), (4, None), (None, "one"), (10, "w1a! " + " ".join((texts[70][1] or "").split()[50:80])), (3, "x" * 20000)]
+    low = str.maketrans(decontamination.UPPER, decontamination.LOWER)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    want = {}
+    for i, t in texts:
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            v = words(text)
+            n = min(10, len(v))
+            for k in range(len(v) - n + 1) if v and item is not None else ():
+                for at in range(len(w) - n + 1):
+                    if w[at : at + n] == v[k : k + n]:
+                        hit |= set(range(at, at + n))
+                        found.add(item)
+        want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows(decontamination.decontaminate(docs, bench), "doc_id")
+    assert {i: tuple(x)[1:] for i, x in got.items()} == want
+    assert sum(x.contaminated for x in got.values()) > 3
+    assert decontamination.decontaminate(none, bench).count() == 0
+    assert not any(x.contaminated for x in decontamination.decontaminate(docs, bench.limit(0)).collect())
+    assert decontamination.near_matches(docs, bench, 5).where("item_id = 1").count() > 0
+
+
+def test_substring_dedup(docs, none):
+    texts = dict(documents())
+    found = substring_dedup.repeated_spans(docs).collect()
+    by = collections.defaultdict(list)
+    for x in found:
+        assert x.first_doc_id < x.doc_id and x.n_words >= 30
+        by[x.doc_id].append(x)
+    first, later = {}, set()
+    for i, t in texts.items():
+        w = (t or "").split()
+        for k in range(len(w) - 50):
+            if first.setdefault(tuple(w[k : k + 51]), i) != i:
+                later.add(i)
+    assert later <= set(by)
+    clean = substring_dedup.remove_repeats(docs)
+    assert clean.columns == docs.columns
+    kept = rows(clean, "doc_id")
+    for i, t in texts.items():
+        if i not in by:
+            assert kept[i].text == t
+        elif i in kept:
+            assert len(kept[i].text) < len(t) and kept[i].n_chars == len(kept[i].text)
+    assert substring_dedup.repeated_spans(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_quality_rules(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in documents()] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = rows(quality_rules.quality_rules(docs, labels), "doc_id")
+    for i, t in documents():
+        w = WORDS.findall(t or "")
+        n = collections.Counter(zip(w, w[1:], w[2:]))
+        rep = len({k + j for k in range(len(w) - 2) for j in range(3) if n[tuple(w[k : k + 3])] > 1})
+        assert (got[i].n_words, got[i].n_repeat_words, got[i].base_failed) == (len(w), rep, len(w) < 50 or 100 * rep > 50 * len(w))
+        assert not (got[i].base_failed and got[i].kept)
+    assert quality_rules.quality_rules(docs, labels.limit(0)).count() == docs.count()
+    assert quality_rules.quality_rules(none, labels).count() == 0
+
+
+def test_packing(spark, docs, none):
+    got = packing.pack(docs, BPE, part_bytes=40000).collect()
+    lib = Tokenizer.from_file(BPE)
+    ids = {i: lib.encode(t or "", add_special_tokens=False).ids + [1] for i, t in documents()}
+    pieces, windows = collections.defaultdict(list), collections.defaultdict(list)
+    for x in got:
+        pieces[x.doc_id].append(x)
+        windows[x.sequence_id].append(x)
+        part = ids[x.doc_id][x.start : x.start + x.length]
+        assert len(part) == x.length > 0 and x.doc_tokens == len(ids[x.doc_id])
+        assert x.ids_crc32 == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in part))
+    for i, all_ids in ids.items():
+        at = 0
+        for x in sorted(pieces[i], key=lambda x: x.start):
+            assert x.start == at
+            at += x.length
+        assert at == len(all_ids)
+    for parts in windows.values():
+        at = 0
+        for x in sorted(parts, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at == 2048 or at & (at - 1) == 0
+    assert len(windows) > 4 and packing.pack(none, BPE).count() == 0
+    shares = spark.createDataFrame([("s1", 1.0)], "source string, share double")
+    assert sum(x.length for x in packing.pack(docs, BPE, targets=shares).collect()) == sum(map(len, ids.values()))
+
+
+def test_warc(spark):
+    big, other = "é" * 600, "x" * 1000
+    made = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://a/", big), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", other), (None, "u", other), (9, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 60), (4, "u", "tiny")]
+    pages = spark.createDataFrame([(*p, 3, "r") for p in made], "page_id long, url string, html string, payload_bytes int, type string")
+    got = rows(warc.archive_and_read(pages), "page_id")
+    want = {}
+    for i, _, h in made:
+        if i is not None:
+            raw = (h or "").encode()
+            last = max(j for j, _, g in made if j is not None and (g or "") == (h or ""))
+            again = len(raw) >= 1000 and i < last
+            want[i] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last if again else None)
+    assert {i: tuple(x)[1:] for i, x in got.items()} == want
+    assert warc.archive_and_read(pages.limit(0)).count() == 0
