@@ -95,7 +95,7 @@ def normalize_gtin(value: Column, strict: bool = True, ascii_only: bool = False)
     bare = F.regexp_extract(text, r"(?i)^(?:(?:gtin(?:[- ]?(?:8|12|13|14))?|ean(?:[- ]?(?:8|13))?|upc|barcode)\s*[:#=\-]?\s*)?([0-9][0-9\s-]*)$", 1)
     digits = F.regexp_replace(bare, r"[\s-]", "")
     padded = F.lpad(digits, 14, "0")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda acc, i: acc + F.substring(padded, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1))
+    total = sum((F.substring(padded, i, 1).cast("int") * (3 if i % 2 else 1) for i in range(1, 15)), F.lit(0))
     shape = F.length(digits).isin(8, 12, 13, 14) & ~digits.rlike(r"^(.)\1*$")
     return F.when(shape & ((total % 10 == 0) if strict else F.lit(True)), padded).otherwise("")
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 CORRUPT = "_corrupt"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, lines that are no object of the schema). Blank lines are skipped."""
-    wide = StructType(schema.fields).add(CORRUPT, StringType())
+    wide = StructType(list(schema.fields)).add(CORRUPT, StringType())
     rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.trim("value").startswith("{")
     return rows.where(~bad).select("r.*").drop(CORRUPT), rows.where(bad).select("value")
@@ -27,7 +27,7 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, root: str
     if root is None:
         rows = spark.read.schema(schema).json(path, multiLine=True)
     else:
-        rows = spark.read.schema(StructType().add(root, f"array<{schema.simpleString()}>")).json(path, multiLine=True).select(F.explode(root).alias("x")).select("x.*")
+        rows = spark.read.schema(StructType().add(root, ArrayType(schema))).json(path, multiLine=True).select(F.explode(root).alias("x")).select("x.*")
     return rows.where(F.col("id").isNotNull()) if "id" in rows.columns else rows
 
 
