@@ -9,7 +9,7 @@ from brindle.operators import catalog, evaluation, ledger, payload, telemetry
 from brindle.sources import files
 from brindle.streaming import streams
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 
 def column(spark, values, expression, kind="string"):
@@ -114,7 +114,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "doc.json").write_text('{"queries": [{"id": 1, "s": "q"}, {"s": "no id"}]}')
     assert files.read_documents(spark, str(tmp_path / "a" / "doc.json"), schema, "queries").count() == 1
-    assert files.read_tree(spark, str(tmp_path), "doc.json", StructType().add("queries", "array<struct<id:long>>")).count() == 1
+    assert files.read_tree(spark, str(tmp_path), "doc.json", StructType().add("queries", ArrayType(StructType().add("id", LongType())))).count() == 1
     found = {r.path.rsplit("/", 1)[1]: r for r in files.inventory(spark, str(tmp_path)).collect()}
     assert found["doc.json"].extension == ".json" and found["doc.json"].bytes == 54
     (tmp_path / "keep.tsv").write_text("backup/a\t1\n\nbackup/b\t2\n")
