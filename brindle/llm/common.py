@@ -7,9 +7,11 @@ routines that turn an Arrow text column into word and shingle hashes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it has over one 256th of the rows, so there are fewer than 256 hot keys.
 HOT_KEYS = 256
+#: No key of fewer rows is hot, however few rows there are.
+FEW_ROWS = 100
 #: Bytes of text that numpy handles at once inside a task.
 SLICE_BYTES = 2 << 20
 
@@ -52,6 +56,33 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Batches of ``n`` rows for Arrow functions that run meanwhile; for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that only finished, written steps have used.
+
+    Spark's cleaner removes them once the driver has collected its garbage,
+    which by default it may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` of a few numbers a row, marked for broadcast if it has ``limit`` rows at most; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,10 +97,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFram
     with over one 256th of all rows, of which fewer than 256 can exist, go by
     broadcast and move no left row; the rest go by an ordinary shuffle join.
     """
-    total = right.agg(F.sum(size)).first()[0] or 0
+    total, largest = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     big = F.col(size) * HOT_KEYS > F.lit(total)
     hot = right.where(big)
-    if not total or hot.isEmpty():
+    if largest < FEW_ROWS or largest * HOT_KEYS <= total:
         return left.join(right, key)
     hot_keys = F.broadcast(hot.select(key))
     cold = left.join(hot_keys, key, "left_anti").join(right.where(~big), key)

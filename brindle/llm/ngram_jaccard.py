@@ -28,28 +28,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hot_join, list_array, shingle_sets, text_slices, work_dir, written
+from brindle.llm.common import arrow_rows, hot_join, list_array, release, shingle_sets, small, text_slices, work_dir, written
 from brindle.llm.components import components
 
 #: How many of the most frequent shingles the common order knows. They only steer the order; none is left out.
-FREQUENT = 1 << 16
-#: A shingle counts as frequent if it is in so many documents of a slice.
-SLICE_COUNT = 4
-#: Hubs that each document of a list meets, by round.
-HUBS = (4, 16)
+FREQUENT = 1 << 18
+#: A shingle may be frequent if it is in so many documents among so many shingles counted at once.
+LEAST_COUNT, COUNTED = 4, 3_000_000
+#: Hubs that each document of a list meets in the first round, and in later ones.
+HUBS, MORE_HUBS = 3, 8
+#: Later rounds are for lists of more documents than this; shorter ones are left to the comparison of all pairs.
+SHORT = 24
+#: Rounds at most, and the part of the pairs that a round must be likely to settle to be followed by another.
+ROUNDS, WORTH = 6, 0.9
+#: Hub rounds end once so few pairs a list row would be left to compare.
+PAIRS_A_ROW = 2
+#: Shingles of a block of pairs.
+BLOCK_GRAMS = 400_000
+#: Pairs are first compared on one shingle in so many.
+PART = 8
 MASK = 0x5DEECE66D1234567
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes sorted, counts) of at most FREQUENT shingles that many documents share."""
 
+    def often(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        keep = n >= LEAST_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for _, _, data, offsets in text_slices(batch):
-                sets = shingle_sets(data, offsets, k)
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                keep = n >= SLICE_COUNT
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+                parts += shingle_sets(data, offsets, k)
+                size += sum(map(len, parts[1 - len(offsets) :]))
+                if size >= COUNTED:
+                    yield often(parts)
+                    parts, size = [], 0
+        if parts:
+            yield often(parts)
 
     top = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -89,35 +108,51 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def set_table(docs: DataFrame, ids: DataFrame, k: int, every: int) -> DataFrame:
+    """(doc_id, n, s): size of each set in ``ids``, and those shingles of it whose hash ``every`` divides."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(shingle_sets(data, offsets, k), pa.int64())], names=["doc_id", "s"])
+                whole = shingle_sets(data, offsets, k)
+                some = whole if every == 1 else [s[s % np.uint64(every) == 0] for s in whole]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in whole], pa.int64()), list_array(some, pa.int64())], names=["doc_id", "n", "s"])
+
+    return docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, s array<long>")
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int, every: int = 1) -> DataFrame:
+    """Those of the written ``pairs`` (a, b) whose sets can reach the threshold.
+
+    With ``every`` 1 the whole sets are compared, and those that can, do. Else
+    only one ``every``-th of the hash range is: shingles missing there already
+    bound the overlap from above, which rules out all but like pairs.
+    Few documents should be a ``b``: their sets, and a row for each pair with
+    the set of its ``a``, are what moves.
+    """
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                keep = block_product(part.column(0).to_numpy(), part.column(1), part.column(2).to_numpy(), part.column(3), percent)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(2).filter(keep)], names=["a", "b"])
-
-    rows = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<long>")
-    rows = written(rows, f"{work_dir(docs.sparkSession)}/sets")
-    left, right = rows.withColumnsRenamed({"doc_id": "a", "s": "sa"}), rows.withColumnsRenamed({"doc_id": "b", "s": "sb"})
-    both = pairs.join(left, "a").join(right, "b").select("a", "sa", "b", "sb")
+            ends = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()) + np.diff(batch.column(5).offsets.to_numpy()))
+            cuts = np.flatnonzero(np.diff(ends // BLOCK_GRAMS, prepend=-1))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                keep = block_product(*(part.column(i) for i in range(6)), percent)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(3).filter(keep)], names=["a", "b"])
+
+    left, right = (set_table(docs, pairs.select(F.col(x).alias("doc_id")).distinct(), k, every).withColumnsRenamed({"doc_id": x, "n": f"n{x}", "s": f"s{x}"}) for x in "ab")
+    both = left.join(small(pairs), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb")
     return both.mapInArrow(product, "a long, b long")
 
 
-def block_product(a: np.ndarray, rows_a: pa.ListArray, b: np.ndarray, rows_b: pa.ListArray, percent: int) -> pa.Array:
-    """Entries of a block of A x B^T at the rows' own pairs, as a mask of those that reach the threshold.
+def block_product(a: pa.Array, n_a: pa.Array, rows_a: pa.ListArray, b: pa.Array, n_b: pa.Array, rows_b: pa.ListArray, percent: int) -> pa.Array:
+    """Entries of a block of A x B^T at the rows' own pairs, as a mask of those within the bound of their sizes.
 
-    A partner that occurs in many rows of the block is one row of B.
+    A partner that occurs in many rows of the block is one row of B. n_a and
+    n_b are the sizes of the whole sets, of which the rows may hold a part:
+    what is missing from the partner's part is missing from the overlap.
     """
-    _, first, which = np.unique(b, return_index=True, return_inverse=True)
+    _, first, which = np.unique(b.to_numpy(), return_index=True, return_inverse=True)
     b_rows = rows_b.take(pa.array(first))
     size_a, size_b = (np.diff(x.offsets.to_numpy()) for x in (rows_a, b_rows))
     col_b = b_rows.flatten().to_numpy()
@@ -131,8 +166,9 @@ def block_product(a: np.ndarray, rows_a: pa.ListArray, b: np.ndarray, rows_b: pa
     left = np.repeat(row_a, n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     shared = np.bincount(left[row_b[at] == which[left]], minlength=len(a))
-    union = size_a + size_b[which] - shared
-    return pa.array((shared > 0) & (100 * shared >= percent * union))
+    whole_a, whole_b = n_a.to_numpy(), n_b.to_numpy()
+    most = np.minimum(whole_a - (size_a - shared), whole_b - (size_b[which] - shared))
+    return pa.array(100 * most >= percent * (whole_a + whole_b - most))
 
 
 def like_sizes(x: str, y: str, percent: int) -> F.Column:
@@ -160,16 +196,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     classes = sigs.where(full).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     classes = written(classes, f"{base}/classes")
     lists = posting_lists(sigs, classes, base)
-    links = None
-    labels = None
-    for i, hubs in enumerate(HUBS):
-        mine = labelled(lists, labels)
-        found = written(overlaps(hub_pairs(mine, hubs, MASK * (2 * i + 1), percent), docs, k, percent), f"{base}/links{i}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    rest = written(overlaps(remaining_pairs(labelled(lists, labels), percent), docs, k, percent), f"{base}/rest")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(rest))
+    release(spark)
+    links, labels, turn, last, before = None, None, 0, False, None
+    while not last:
+        mine = labelled(lists, labels, f"{base}/mine{turn}")
+        left = pairs_left(mine)
+        # short lists aside, all pairs once they are few, or further hubs hardly make them fewer
+        last = turn > 0 and (left <= mine.count() * PAIRS_A_ROW or turn >= ROUNDS or turn > 2 and left > WORTH * before)
+        pairs = remaining_pairs(mine, percent, f"{base}/open") if last else hub_pairs(mine, MORE_HUBS if turn else HUBS, MASK * (2 * turn + 1), percent, f"{base}/hub{turn}", SHORT if turn else 1)
+        pairs = written(pairs, f"{base}/pairs{turn}")
+        with arrow_rows(spark, 500):
+            like = written(overlaps(pairs, docs, k, percent, PART), f"{base}/like{turn}")
+            found = written(overlaps(like, docs, k, percent), f"{base}/links{turn}")
+        release(spark)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        turn, before = turn + 1, left
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     named = written(named.select("digest", "class_id", "component_id", "members"), f"{base}/named")
     linked = hot_join(sigs.where(full).select("digest", "doc_id", "n"), named, "digest", "members")
@@ -185,10 +228,11 @@ def posting_lists(sigs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
     return written(hot_join(grams, shared, "g", "size").select("g", "id", "n").distinct(), f"{base}/lists")
 
 
-def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labelled(lists: DataFrame, labels: DataFrame | None, path: str) -> DataFrame:
+    """Lists with each document's component so far."""
     if labels is None:
         return lists.withColumn("c", F.col("id"))
-    return lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("c"))
+    return written(lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("c")), path)
 
 
 def open_lists(lists: DataFrame, more: list[F.Column]) -> DataFrame:
@@ -196,7 +240,14 @@ def open_lists(lists: DataFrame, more: list[F.Column]) -> DataFrame:
     return lists.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *more).where("c0 < c1").drop("c0", "c1")
 
 
-def hub_pairs(lists: DataFrame, hubs: int, mask: int, percent: int) -> DataFrame:
+def pairs_left(lists: DataFrame) -> int:
+    """Pairs of documents in a list that are in different components, summed over the lists that aren't short."""
+    by_component = lists.groupBy("g", "c").agg(F.count("*").alias("m"))
+    by_list = by_component.groupBy("g").agg(F.sum("m").alias("size"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"))
+    return by_list.where(F.col("size") > SHORT).agg(F.sum("p") / 2).first()[0] or 0
+
+
+def hub_pairs(lists: DataFrame, hubs: int, mask: int, percent: int, path: str, longer_than: int = 1) -> DataFrame:
     """(a, b): documents of each open list with its hubs, the same ids in every list where they occur.
 
     A hub is the document whose id comes first after flipping a fixed set of
@@ -204,19 +255,15 @@ def hub_pairs(lists: DataFrame, hubs: int, mask: int, percent: int) -> DataFrame
     """
     flips = [(mask * (2 * i + 1)) % (1 << 62) for i in range(hubs)]
     firsts = [F.min(F.struct(F.col("id").bitwiseXOR(F.lit(m)).alias("k"), F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))).alias(f"hub{i}") for i, m in enumerate(flips)]
-    path = work_dir(lists.sparkSession)
-    opened = written(open_lists(lists, firsts).select("g", "size", F.array_distinct(F.array(*[F.struct(f"hub{i}.h", f"hub{i}.hn", f"hub{i}.hc") for i in range(hubs)])).alias("hubs")), f"{path}/hubs")
-    lists = written(lists, f"{path}/lists")
+    opened = written(open_lists(lists, firsts).where(F.col("size") > longer_than).select("g", "size", F.array_distinct(F.array(*[F.struct(f"hub{i}.h", f"hub{i}.hn", f"hub{i}.hc") for i in range(hubs)])).alias("hubs")), path)
     met = hot_join(lists, opened, "g", "size").select("id", "n", "c", F.explode("hubs").alias("h")).select("id", "n", "c", "h.*").where("c <> hc")
-    return met.where(like_sizes("n", "hn", percent)).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+    return met.where(like_sizes("n", "hn", percent)).select(F.col("id").alias("a"), F.col("h").alias("b")).distinct()
 
 
-def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(lists: DataFrame, percent: int, path: str) -> DataFrame:
     """All pairs of like size that share a list and are in different components."""
-    path = work_dir(lists.sparkSession)
-    lists = written(lists, f"{path}/lists")
-    opened = written(open_lists(lists, []), f"{path}/open")
-    left = written(hot_join(lists, opened, "g", "size").drop("size"), f"{path}/left")
+    opened = written(open_lists(lists, []), path)
+    left = written(hot_join(lists, opened, "g", "size").drop("size"), f"{path}-rows")
     right = left.select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     met = left.join(right, "g").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & like_sizes("n", "n2", percent))
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
