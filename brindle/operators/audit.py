@@ -94,6 +94,35 @@ def similar_pairs(left: DataFrame, right: DataFrame, sets: list[str], at_least:
     return scored.where(F.col("score") >= at_least)
 
 
+def token_classes(rows: DataFrame, sets: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, *sets, n): rows of equal token sets as one class, named by its smallest id; and (id, class_id) of every row."""
+    keyed = rows.select("id", *[F.array_sort(F.array_distinct(F.coalesce(F.col(s), F.array().cast("array<string>")))).alias(s) for s in sets])
+    classes = keyed.groupBy(*sets).agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    return classes.withColumnRenamed("class_id", "id"), keyed.join(classes, sets).select("id", "class_id")
+
+
+def similar_classes(rows: DataFrame, sets: list[str], at_least: float) -> DataFrame:
+    """(left_id, right_id, score, n_left, n_right): all similar pairs of ``rows`` as pairs of classes, each once.
+
+    A class of several rows is listed with itself, as its rows resemble each
+    other. Tokens meet once a class, so a token of many equal rows stays small.
+    """
+    classes, _ = token_classes(rows, sets)
+    size = lambda side: classes.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}"))
+    pairs = similar_pairs(classes, classes, sets, at_least).where("left_id <= right_id").join(size("left"), "left_id").join(size("right"), "right_id")
+    return pairs.where("left_id < right_id or n_left > 1").select("left_id", "right_id", "score", "n_left", "n_right")
+
+
+def similar_links(rows: DataFrame, sets: list[str], at_least: float) -> DataFrame:
+    """(id, class_id, n_links) of every row: how many other rows resemble it; 0 where it pairs with none."""
+    _, members = token_classes(rows, sets)
+    pairs = similar_classes(rows, sets, at_least)
+    own = F.when(F.col("left_id") == F.col("right_id"), F.col("n_left") - 1).otherwise(F.col("n_right"))
+    ends = pairs.select(F.col("left_id").alias("class_id"), own.alias("k")).unionByName(pairs.where("left_id < right_id").select(F.col("right_id").alias("class_id"), F.col("n_left").alias("k")))
+    links = ends.groupBy("class_id").agg(F.sum("k").alias("n_links"))
+    return members.join(links, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def longest_prefix(paths: DataFrame, path: str, table: DataFrame) -> DataFrame:
     """path, prefix, surface of the longest prefix (equal, or followed by a separator) of a small rules table; ambiguous ones flagged."""
     p = F.col(path)

@@ -137,6 +137,24 @@ def feature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.similar_pairs(p.where("id % 20 = 0"), p.where("id % 20 = 10"), ["names", "types"], 0.4)
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("names"), F.split("p_type", " ").alias("types"))
+
+
+@query("""with p as (select p_partkey as id, list_sort(list_distinct(string_split(p_name, ' '))) as names, list_sort(list_distinct(string_split(p_type, ' '))) as types from part), c as (select names, types, min(p.id) as id, count(*) as n from p group by all),
+    x as (select l.id as left_id, r.id as right_id, l.n as n_left, r.n as n_right, len(list_intersect(l.names, r.names)) as n, len(list_intersect(l.types, r.types)) as t, len(l.names) + len(r.names) as ns, len(l.types) + len(r.types) as ts from c l join c r on l.id < r.id or (l.id = r.id and l.n > 1)),
+    s as (select *, round((0.0::double + n / (ns - n) + t / (ts - t)) / 2, 6) as score from x) select left_id, right_id, score, n_left, n_right from s where score >= 0.2 and n + t > 0""")
+def feature_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All similar parts by mean Jaccard of name and type words, as pairs of the smallest ids of equal parts, with their numbers."""
+    return A.similar_classes(features(spark, sf_dir), ["names", "types"], 0.2)
+
+
+@query()
+def feature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part with the smallest id of its equals and the number of parts it resembles; 0 for the unpaired."""
+    return A.similar_links(features(spark, sf_dir), ["names", "types"], 0.2)
+
+
 @query("select p_brand as brand, p_type as type, count(*) as n from part group by all having count(*) >= 3")
 def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of three or more parts with one brand and type."""

@@ -5,7 +5,7 @@ import json
 import pytest
 from brindle.functions import text as X
 from brindle.functions import urls as U
-from brindle.operators import catalog, evaluation, ledger, payload, telemetry
+from brindle.operators import audit, catalog, evaluation, ledger, payload, telemetry
 from brindle.sources import files
 from brindle.streaming import streams
 from pyspark.sql import functions as F
@@ -124,3 +124,18 @@ def test_files(spark, tmp_path):
     files.append_receipts(good.withColumns({"run_id": F.lit("r"), "shard": F.lit(0)}), str(tmp_path / "out"))
     files.write_report(good, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2 and spark.read.json(str(tmp_path / "report")).columns == ["id", "s"]
+
+
+def test_similar_classes_and_links_hold_every_pair(spark):
+    words = [(1, "a b", "x"), (2, "b a", "x"), (3, "a c", "x"), (7, "a c", "y"), (8, "q", "z"), (9, "r", "w"), (11, "r", "w"), (13, None, None), (14, "a b", "y"), (15, "b a a", "x")]
+    rows = spark.createDataFrame([(i, n and n.split(), t and t.split()) for i, n, t in words], "id long, names array<string>, types array<string>")
+    sets = {i: (set((n or "").split()), set((t or "").split())) for i, n, t in words}
+    score = lambda a, b: sum(len(x & y) / len(x | y) if x | y else 0.0 for x, y in zip(sets[a], sets[b], strict=True)) / 2
+    want = {(a, b) for a in sets for b in sets if a < b and score(a, b) >= 0.2}
+    links = {r.id: r for r in audit.similar_links(rows, ["names", "types"], 0.2).collect()}
+    assert {i: r.n_links for i, r in links.items()} == {i: sum(i in p for p in want) for i in sets}
+    pairs = audit.similar_classes(rows, ["names", "types"], 0.2).collect()
+    found = {(r.left_id, r.right_id) for r in pairs}
+    whole = {(a, b) for a in sets for b in sets if a < b and tuple(sorted((links[a].class_id, links[b].class_id))) in found}
+    assert whole == want and len(found) == len(pairs)
+    assert all(round(score(r.left_id, r.right_id), 6) == r.score for r in pairs)
