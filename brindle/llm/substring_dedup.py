@@ -1,10 +1,12 @@
-"""Substring deduplication by content-defined chunks.
-
-A gear hash rolls over the bytes of each text. A chunk ends where the hash is
-smallest among its neighbours, so the ends depend on nearby bytes only: an
-insertion moves the chunks around it and leaves all others as they were.
-Chunks meet by digest over the whole corpus; runs of neighbouring chunks that
-an earlier document has too are repeated passages.
+"""Substring deduplication by content-defined anchors and exact windows.
+
+Of the 26-word grams in a window of 51 words the one with the smallest hash is
+the window's anchor. It depends on the window's words only, so a passage of
+over 50 words has the same anchors wherever it stands. Anchors meet by digest
+over the whole corpus; windows whose anchor stands at several places meet by
+digest themselves, and windows that follow each other here and in an earlier
+document are repeated passages. No window of over 50 words is missed or made
+up, save by a collision of 64-bit hashes. ``chunks`` is the gear hash chunker.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import MUL, SPACE, hot_join, mix, span_hashes, text_slices, word_spans, work_dir, written
+from brindle.llm.common import MUL, SPACE, drop_dir, gram_hashes, hot_join, mix, release, span_hashes, text_slices, word_spans, work_dir, written
 
 #: A chunk's end has the smallest hash of so many bytes to either side.
 REACH = 12
@@ -24,10 +26,8 @@ REACH = 12
 TIES = 8
 #: Longest chunk, should no hash stand out for long.
 LONGEST = 1024
-#: Words that a run of repeated chunks must hold. The chunks at both edges of a
-#: passage also hold foreign bytes and drop out, at most about ten words a side,
-#: so every repeat of over 50 words is found.
-LEAST_WORDS = 30
+#: Words of the shortest repeated passage: over 50.
+LEAST_WORDS = 51
 
 GEAR = mix(np.arange(257, 513, dtype=np.uint64) * MUL)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,42 +77,96 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, row[starts]
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, stop, words) of every chunk; places are bytes of the UTF-8 text."""
+def anchors(words: np.ndarray, row: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, anchor, grams): first word of every ``least_words`` words of one row, the gram in it with the smallest hash, and all grams' hashes.
+
+    A gram has half the window's words. The choice depends on the window's words
+    only, so equal windows have equal anchors; of equal grams the last is taken.
+    """
+    k = (least_words + 1) // 2
+    n = least_words - k + 1
+    if len(words) < least_words:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(0, np.uint64)
+    grams = gram_hashes(words, k)
+    least = window_min(grams, n)[: len(grams) - n + 1]
+    at = np.zeros(len(least), np.int64)
+    for d in range(n):
+        at[grams[d : d + len(least)] == least] = d
+    windows = np.flatnonzero(row[: len(least)] == row[least_words - 1 :])
+    return windows, windows + at[windows], grams
+
+
+def anchor_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """(digest, doc_id, place) of every anchor; place is the number of its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
-                starts, ends, row = chunks(data, offsets)
-                first = word_spans(data, offsets, SPACE)[0]
-                words = np.searchsorted(first, ends) - np.searchsorted(first, starts)
-                digest = span_hashes(data, starts, ends)
-                base = offsets[row]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(words.astype(np.int32))], names=["digest", "doc_id", "start", "stop", "words"])
+                first, last, row = word_spans(data, offsets, SPACE)
+                _, anchor, grams = anchors(span_hashes(data, first, last), row, least_words)
+                anchor = np.unique(anchor)
+                base = np.searchsorted(row, row[anchor])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[anchor])), pa.array((anchor - base).astype(np.int32))], names=["digest", "doc_id", "place"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, start int, stop int, words int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, place int")
 
 
-def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, first_doc_id, n_docs) of passages that an earlier document has too.
+def window_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """(digest, doc_id, place, start, stop) of the windows whose anchor is in ``places``; start and stop are bytes."""
 
-    start and stop are byte places in the document's UTF-8 text; first_doc_id
-    is the smallest id that has the run's first chunk, n_docs how many places
-    of the corpus that chunk has at most. The document with the smallest id
-    keeps its passage and isn't listed for it. Passages repeated inside one
-    document only aren't listed. A null or empty text has no chunks; rows with
-    a null id are left out, those with the same id count as one document.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            for a, b, data, offsets in text_slices(batch):
+                first, last, row = word_spans(data, offsets, SPACE)
+                words = span_hashes(data, first, last)
+                windows, anchor, _ = anchors(words, row, least_words)
+                begin = np.searchsorted(row, np.arange(b - a))
+                known = np.zeros(len(first) + 1, bool)
+                size = ends[a + 1 : b + 1] - ends[a:b]
+                known[np.minimum(flat[ends[a] : ends[b]] + np.repeat(begin, size), len(first))] = True
+                windows = windows[known[anchor]]
+                digest = gram_hashes(words, least_words)[windows]
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[windows])), pa.array((windows - begin[row[windows]]).astype(np.int32)), pa.array((first[windows] - offsets[row[windows]]).astype(np.int32)), pa.array((last[windows + least_words - 1] - offsets[row[windows]]).astype(np.int32))], names=["digest", "doc_id", "place", "start", "stop"])
+
+    return docs.select("doc_id", "text", "places").mapInArrow(run, "digest long, doc_id long, place int, start int, stop int")
+
+
+def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool = False) -> DataFrame:
+    """(doc_id, start, stop, n_words, first_doc_id, n_docs) of passages of ``least_words`` words or more that an earlier document has too.
+
+    Every window of ``least_words`` words that stands in an earlier document is
+    in a passage, and each passage stands word for word in document
+    first_doc_id, the smallest that has its windows; passages with different
+    sources may overlap. White space between words doesn't count. start and
+    stop are byte places in the document's UTF-8 text, n_docs is how many
+    places of the corpus a window of the passage has at most. The document with
+    the smallest id keeps its passage and isn't listed for it. With ``within``
+    later places in the same document count too, if they don't overlap the
+    first; first_doc_id is then the document itself. Rows with a null id are
+    left out, those with the same id count as one document.
     """
     base = work_dir(docs.sparkSession)
-    table = written(chunk_table(docs), f"{base}/chunks")
-    shared = table.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n")).where("first_doc_id < last_doc_id").drop("last_doc_id")
-    shared = written(shared, f"{base}/shared")
-    later = hot_join(table, shared, "digest", "n").where("doc_id > first_doc_id").select("doc_id", "start", "stop", "words", "first_doc_id", "n")
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
-    fresh = F.coalesce(F.col("start") > F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = later.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.max("n").alias("n_docs"))
-    return found.where(F.col("n_words") >= least_words).select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs")
+    # windows are hashed one by one only where their anchor stands at several places
+    table = written(anchor_table(docs, least_words), f"{base}/anchors")
+    shared = written(table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), f"{base}/shared")
+    places = written(hot_join(table, shared, "digest", "n").groupBy("doc_id").agg(F.collect_list("place").alias("places")), f"{base}/places")
+    drop_dir(docs.sparkSession, f"{base}/anchors")
+    windows = written(window_table(docs.select("doc_id", "text").join(places, "doc_id"), least_words), f"{base}/windows")
+    release(docs.sparkSession)
+    source = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    source = written(source.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), "n"), f"{base}/source")
+    again = "doc_id > first_doc_id" + (f" or doc_id = first_doc_id and place >= first_place + {least_words}" if within else "")
+    later = hot_join(windows, source, "digest", "n").where(again).select("doc_id", "place", "start", "stop", "first_doc_id", (F.col("first_place") - F.col("place")).alias("shift"), "n")
+    # windows that follow each other here and in their source are one passage
+    row = Window.partitionBy("doc_id").orderBy("first_doc_id", "shift", "place")
+    before = lambda c: F.lag(c).over(row)
+    follows = (before("first_doc_id") == F.col("first_doc_id")) & (before("shift") == F.col("shift")) & (F.col("place") - before("place") <= 1)
+    runs = later.withColumn("fresh", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("place") - F.min("place") + least_words).cast("long").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.max("n").alias("n_docs"))
+    return found.select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs")
 
 
 def cut_spans(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> list[str]:
@@ -132,13 +186,13 @@ def cut_spans(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> list[st
     return out
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without the repeated passages of all but their first document.
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool = False) -> DataFrame:
+    """``docs`` without the repeated passages of all but their first document, or with ``within`` of all but their first place.
 
     All columns stay; n_chars, where there is one, follows the text. A document
     that has no word left goes; one that had none before stays as it is.
     """
-    spans = repeated_spans(docs, least_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    spans = repeated_spans(docs, least_words, within).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
     names = docs.columns
     schema = docs.schema
 

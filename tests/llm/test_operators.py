@@ -230,6 +230,40 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.repeated_spans(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
 
 
+def passages(texts, within):
+    """Words in windows of 51 words that stand at an earlier place too, by document."""
+    first, hit = {}, collections.defaultdict(set)
+    for i, t in sorted(texts.items()):
+        w = t.split()
+        for k in range(len(w) - 50):
+            doc, place = first.setdefault(tuple(w[k : k + 51]), (i, k))
+            if doc < i or within and place + 51 <= k:
+                hit[i] |= set(range(k, k + 51))
+    return hit
+
+
+def check_passages(spark, texts, within):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    hit = collections.defaultdict(set)
+    for x in substring_dedup.repeated_spans(frame, within=within).collect():
+        raw = texts[x.doc_id].encode()
+        mine = raw[x.start : x.stop].decode().split()
+        before = len(raw[: x.start].split())
+        assert x.n_words == len(mine) > 50
+        assert f" {' '.join(mine)} " in f" {' '.join(texts[x.first_doc_id].split())} "
+        hit[x.doc_id] |= set(range(before, before + len(mine)))
+    assert hit == passages(texts, within)
+    return hit
+
+
+def test_each_passage_stands_whole_in_one_earlier_document(spark):
+    r = random.Random(5)
+    parts = [prose(r, 20) for _ in range(6)]
+    texts = {i: f"{prose(r, 30)} {p} {prose(r, 30)}" for i, p in enumerate(parts, 1)} | {7: " ".join(parts), 8: f"{prose(r, 9)} {' '.join(parts)}"}
+    hit = check_passages(spark, texts, False)
+    assert set(hit) == {8} and len(hit[8]) == 120
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in documents()] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = rows(quality_rules.quality_rules(docs, labels), "doc_id")
