@@ -28,6 +28,8 @@ TIES = 8
 LONGEST = 1024
 #: Words of the shortest repeated passage: over 50.
 LEAST_WORDS = 51
+#: Hash ranges of windows that are joined one after another, so that only one's rows are on disk.
+PASSES = 4
 
 GEAR = mix(np.arange(257, 513, dtype=np.uint64) * MUL)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,12 +156,23 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool
     shared = written(table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), f"{base}/shared")
     places = written(hot_join(table, shared, "digest", "n").groupBy("doc_id").agg(F.collect_list("place").alias("places")), f"{base}/places")
     drop_dir(docs.sparkSession, f"{base}/anchors")
+    del table, shared
+    release(docs.sparkSession)
     windows = written(window_table(docs.select("doc_id", "text").join(places, "doc_id"), least_words), f"{base}/windows")
+    del places
     release(docs.sparkSession)
-    source = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    source = written(source.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), "n"), f"{base}/source")
     again = "doc_id > first_doc_id" + (f" or doc_id = first_doc_id and place >= first_place + {least_words}" if within else "")
-    later = hot_join(windows, source, "digest", "n").where(again).select("doc_id", "place", "start", "stop", "first_doc_id", (F.col("first_place") - F.col("place")).alias("shift"), "n")
+    for i in range(PASSES):
+        part = windows.where(F.pmod("digest", F.lit(PASSES)) == i)
+        source = part.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        source = written(source.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), "n"), f"{base}/source{i}")
+        later = hot_join(part, source, "digest", "n").where(again).select("doc_id", "place", "start", "stop", "first_doc_id", (F.col("first_place") - F.col("place")).alias("shift"), "n")
+        later = written(later, f"{base}/later/pass={i}")
+        drop_dir(docs.sparkSession, f"{base}/source{i}")
+        del part, source
+        release(docs.sparkSession)
+    drop_dir(docs.sparkSession, f"{base}/windows")
+    later = docs.sparkSession.read.schema(later.schema).parquet(*[f"{base}/later/pass={i}" for i in range(PASSES)])
     # windows that follow each other here and in their source are one passage
     row = Window.partitionBy("doc_id").orderBy("first_doc_id", "shift", "place")
     before = lambda c: F.lag(c).over(row)

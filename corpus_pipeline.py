@@ -35,8 +35,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages stay in their first document only; a document of nothing else goes."""
-    return remove_repeats(docs)
+    """Repeated passages stay at their first place only; a document of nothing else goes."""
+    return remove_repeats(docs, within=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,6 +264,28 @@ def test_each_passage_stands_whole_in_one_earlier_document(spark):
     assert set(hit) == {8} and len(hit[8]) == 120
 
 
+def test_passages_of_short_words_are_found(spark):
+    r = random.Random(6)
+    short = lambda n: " ".join("".join(r.choice("abcdefgh01") for _ in range(r.randint(1, 2))) for _ in range(n))
+    texts = {}
+    for i in range(1, 81, 2):
+        p = short(51)
+        texts |= {i: f"{short(40)} {p} {short(20)}", i + 1: f"{short(15)}\n{p}  {short(33)}"}
+    hit = check_passages(spark, texts, False)
+    assert set(hit) == set(range(2, 81, 2))
+
+
+def test_later_places_in_the_same_document(spark):
+    r = random.Random(7)
+    p = prose(r, 60)
+    texts = {1: f"{p} {prose(r, 12)} {p} {prose(r, 5)} {p}", 2: prose(r, 90), 3: "the " * 300, 4: f"x {p}"}
+    assert set(check_passages(spark, texts, False)) == {4}
+    assert set(check_passages(spark, texts, True)) == {1, 3, 4}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = rows(substring_dedup.remove_repeats(frame, within=True), "doc_id")
+    assert kept[1].text.count(p) == 1 and kept[4].text.split() == ["x"] and kept[2].text == texts[2]
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in documents()] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = rows(quality_rules.quality_rules(docs, labels), "doc_id")
