@@ -34,6 +34,14 @@ def conflicting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.conflicting_lines(made)
 
 
+@query(f"""with {LINES_SQL}, t as (select doc, line, doc % 2 = 0 as positive, key as subject from lines),
+    c as (select subject from t group by subject having count(distinct positive) = 2) select doc, line::integer as line, subject from t join c using (subject)""")
+def conflicting_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines as instructions: even documents demand what odd ones forbid."""
+    made = lines(spark, sf_dir).withColumn("key", F.concat(F.when(F.col("doc") % 2 == 0, "must ").otherwise("must not "), "key"))
+    return A.conflicting_lines(made)
+
+
 RULES = [
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "high", "mail address"),
     (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "warn", "network address"),

@@ -139,3 +139,13 @@ def test_similar_classes_and_links_hold_every_pair(spark):
     whole = {(a, b) for a in sets for b in sets if a < b and tuple(sorted((links[a].class_id, links[b].class_id))) in found}
     assert whole == want and len(found) == len(pairs)
     assert all(round(score(r.left_id, r.right_id), 6) == r.score for r in pairs)
+
+
+def test_lines_that_differ_late_are_no_conflict(spark, tmp_path):
+    from brindle.plans import corpus
+
+    same = "keep the records of every single visit for a year"
+    texts = [(1, f"{same}\n{same} and more"), (2, f"{same}\n{same} or less")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus.conflicting_whole_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.doc, r.line, r.subject) for r in found) == [(1, 1, same), (2, 1, same)]
