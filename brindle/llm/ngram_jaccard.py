@@ -187,7 +187,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     nothing. Very long texts are taken whole. Rows that repeat a doc_id are
     read as one document each and linked like any others; a null doc_id
     keeps its row with null class and component. Other columns are not read.
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by 64-bit hashes of their shingles. Only components are
+    returned: links inside a component are evaluated as far as it takes to join
+    it, so neither pairs nor a document's number of links can be had.
     """
     spark = docs.sparkSession
     base = work_dir(spark)
