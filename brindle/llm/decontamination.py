@@ -1,8 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
 Of every window of a benchmark item the two rarest terms of the corpus are its
-anchors. The index holds the postings (document, place) of the anchors' first
-terms; shifted by the terms' places in the item, the lists of both terms are
+anchors. The anchors are broadcast and meet the places of their first terms as
+the documents are exploded; no index is stored. The second term is looked up
+at its shifted place in the document's own words, so no two posting lists are
 intersected. What is left is compared word by word with the item at that
 shift, and matched runs of a window's length are the exact phrase matches.
 """
