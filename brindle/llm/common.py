@@ -24,7 +24,7 @@ HOT_KEYS = 256
 #: No key of fewer rows is hot, however few rows there are.
 FEW_ROWS = 100
 #: Bytes of text that numpy handles at once inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
@@ -35,9 +35,14 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors must share.
+
+    Where it is unset a local session takes a temporary folder; a cluster fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
@@ -78,7 +83,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, limit: int = 250_000) -> DataFrame:
     """``df`` of a few numbers a row, marked for broadcast if it has ``limit`` rows at most; else as it is, to be shuffled."""
     return F.broadcast(df) if df.count() <= limit else df
 

@@ -1,21 +1,24 @@
 """N-gram Jaccard join: classes of texts whose shingle sets overlap.
 
 The product of the document-by-shingle matrix with its transpose is taken in
-blocks, and only where the size bound leaves a chance:
+blocks of the shingles' hash range, and only where the bounds leave a chance:
 
 1. One scan makes each document's shingle set. Equal sets fall together by
    digest; the smallest id stands for them from there on.
-2. Of each representative only the few rarest shingles are indexed: two sets
-   that pass the threshold must share one of those (prefix bound). "Rare" is
-   any common order; it is by counts of frequent shingles, then by hash.
-3. In each posting list, documents of a like size meet a few hubs. Documents
-   already in one component need no further comparison, so lists of thousands
-   of near copies cost a few rows a document instead of all pairs.
-4. What is still in different components after the hub rounds is compared
-   pair by pair within its lists, so no link is lost.
+2. Of each representative only the few rarest shingles are indexed, with their
+   places: two sets that pass the threshold must share one of those, so early
+   in both that enough is left behind it. "Rare" is any common order; it is by
+   counts of frequent shingles, then by hash.
+3. In each posting list, documents meet two hubs. Documents already in one
+   component need no further comparison, so lists of thousands of near copies
+   cost a few rows a document instead of all pairs.
+4. What the bounds leave of documents in different components is compared
+   pair by pair, so no link is lost.
 
 Each comparison multiplies blocks of member rows with blocks of partner rows
-as sparse matrices in numpy and drops entries below the bound of the sizes.
+as sparse matrices in numpy. Overlaps of the first hash block are counted
+first; the bound of the sizes then discards most pairs, and the overlaps of
+the other blocks are added for the rest.
 """
 
 from __future__ import annotations
@@ -28,25 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_rows, hot_join, list_array, release, shingle_sets, small, text_slices, work_dir, written
+from brindle.llm.common import arrow_rows, drop_dir, hot_join, list_array, release, shingle_sets, small, text_slices, work_dir, written
 from brindle.llm.components import components
 
 #: How many of the most frequent shingles the common order knows. They only steer the order; none is left out.
 FREQUENT = 1 << 18
 #: A shingle may be frequent if it is in so many documents among so many shingles counted at once.
 LEAST_COUNT, COUNTED = 4, 3_000_000
-#: Hubs that each document of a list meets in the first round, and in later ones.
-HUBS, MORE_HUBS = 3, 8
-#: Later rounds are for lists of more documents than this; shorter ones are left to the comparison of all pairs.
-SHORT = 24
-#: Rounds at most, and the part of the pairs that a round must be likely to settle to be followed by another.
-ROUNDS, WORTH = 6, 0.9
-#: Hub rounds end once so few pairs a list row would be left to compare.
-PAIRS_A_ROW = 2
+#: Rounds with hubs before what is left is compared; those after the first are for lists of more documents than LONG.
+HUB_ROUNDS, LONG = 2, 24
 #: Shingles of a block of pairs.
 BLOCK_GRAMS = 400_000
-#: Pairs are first compared on one shingle in so many.
-PART = 8
+#: The first block of the product has one in so many hashes, the second one all others.
+BLOCKS = 8
 MASK = 0x5DEECE66D1234567
 
 
@@ -82,7 +79,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, and its rarest shingles (prefix)."""
+    """doc_id, n, digest of the set, its rarest shingles in order (prefix), and those of the first hash block (part)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,32 +100,34 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         s = rare
                     prefixes.append(s[:p])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes, pa.int64())], names=["doc_id", "n", "digest", "prefix"])
+                parts = [s[s % np.uint64(BLOCKS) == 0] for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes, pa.int64()), list_array(parts, pa.int64())], names=["doc_id", "n", "digest", "prefix", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, part array<long>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, k: int, every: int) -> DataFrame:
-    """(doc_id, n, s): size of each set in ``ids``, and those shingles of it whose hash ``every`` divides."""
+def other_blocks(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, n, s): size of each set in ``ids``, and its shingles outside the first hash block."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
                 whole = shingle_sets(data, offsets, k)
-                some = whole if every == 1 else [s[s % np.uint64(every) == 0] for s in whole]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in whole], pa.int64()), list_array(some, pa.int64())], names=["doc_id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in whole], pa.int64()), list_array([s[s % np.uint64(BLOCKS) != 0] for s in whole], pa.int64())], names=["id", "n", "s"])
 
-    return docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, s array<long>")
+    return docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "id long, n long, s array<long>")
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int, every: int = 1) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) whose sets can reach the threshold.
+PAIR = "a long, b long, shared long, seen_a long, seen_b long"
 
-    With ``every`` 1 the whole sets are compared, and those that can, do. Else
-    only one ``every``-th of the hash range is: shingles missing there already
-    bound the overlap from above, which rules out all but like pairs.
-    Few documents should be a ``b``: their sets, and a row for each pair with
-    the set of its ``a``, are what moves.
+
+def accumulate(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with the overlap of one more block of ``rows`` (id, n, s) added, without those that can't reach the threshold any more.
+
+    ``pairs`` is a written table (a, b, shared, seen_a, seen_b): shingles that a
+    pair shared, and that either set had, in the blocks before. What moves is a
+    row for each pair with the block's row of its ``a``; few documents should be
+    a ``b``.
     """
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +136,23 @@ def overlaps(pairs: DataFrame, docs: DataFrame, k: int, percent: int, every: int
             cuts = np.flatnonzero(np.diff(ends // BLOCK_GRAMS, prepend=-1))
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
                 part = batch.slice(lo, hi - lo)
-                keep = block_product(*(part.column(i) for i in range(6)), percent)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(3).filter(keep)], names=["a", "b"])
+                shared, seen_a, seen_b = block_product(part.column(2), part.column(3), part.column(5))
+                shared, seen_a, seen_b = (x + part.column(i).to_numpy() for i, x in ((6, shared), (7, seen_a), (8, seen_b)))
+                n_a, n_b = part.column(1).to_numpy(), part.column(4).to_numpy()
+                most = shared + np.minimum(n_a - seen_a, n_b - seen_b)
+                keep = pa.array(100 * most >= percent * (n_a + n_b - most))
+                out = [part.column(0), part.column(3), pa.array(shared), pa.array(seen_a), pa.array(seen_b)]
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in out], names=["a", "b", "shared", "seen_a", "seen_b"])
 
-    left, right = (set_table(docs, pairs.select(F.col(x).alias("doc_id")).distinct(), k, every).withColumnsRenamed({"doc_id": x, "n": f"n{x}", "s": f"s{x}"}) for x in "ab")
-    both = left.join(small(pairs), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb")
-    return both.mapInArrow(product, "a long, b long")
+    left, right = (rows.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = left.join(small(pairs), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb", "shared", "seen_a", "seen_b")
+    return both.mapInArrow(product, PAIR)
 
 
-def block_product(a: pa.Array, n_a: pa.Array, rows_a: pa.ListArray, b: pa.Array, n_b: pa.Array, rows_b: pa.ListArray, percent: int) -> pa.Array:
-    """Entries of a block of A x B^T at the rows' own pairs, as a mask of those within the bound of their sizes.
+def block_product(rows_a: pa.ListArray, b: pa.Array, rows_b: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of the sparse product A x B^T of one block at the rows' own pairs, and the sizes of both rows.
 
-    A partner that occurs in many rows of the block is one row of B. n_a and
-    n_b are the sizes of the whole sets, of which the rows may hold a part:
-    what is missing from the partner's part is missing from the overlap.
+    A partner that occurs in many rows of the block is one row of B.
     """
     _, first, which = np.unique(b.to_numpy(), return_index=True, return_inverse=True)
     b_rows = rows_b.take(pa.array(first))
@@ -160,20 +162,37 @@ def block_product(a: pa.Array, n_a: pa.Array, rows_a: pa.ListArray, b: pa.Array,
     order = np.argsort(col_b, kind="stable")
     col_b, row_b = col_b[order], row_b[order]
     col_a = rows_a.flatten().to_numpy()
-    row_a = np.repeat(np.arange(len(a)), size_a)
+    row_a = np.repeat(np.arange(len(rows_a)), size_a)
     lo, hi = np.searchsorted(col_b, col_a, "left"), np.searchsorted(col_b, col_a, "right")
     n = hi - lo
     left = np.repeat(row_a, n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    shared = np.bincount(left[row_b[at] == which[left]], minlength=len(a))
-    whole_a, whole_b = n_a.to_numpy(), n_b.to_numpy()
-    most = np.minimum(whole_a - (size_a - shared), whole_b - (size_b[which] - shared))
-    return pa.array(100 * most >= percent * (whole_a + whole_b - most))
+    shared = np.bincount(left[row_b[at] == which[left]], minlength=len(rows_a))
+    return shared, size_a.astype(np.int64), size_b[which].astype(np.int64)
 
 
-def like_sizes(x: str, y: str, percent: int) -> F.Column:
-    """The size bound: the smaller set must be at least ``percent`` of the larger."""
-    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+def can_link(n: str, i: str, n2: str, i2: str, percent: int) -> F.Column:
+    """The bound of sizes and places: sets of ``n`` and ``n2`` shingles whose first common one, in the common order, is their ``i``-th and ``i2``-th.
+
+    At most the shingles from there on are shared, and a link needs a
+    ``percent``-th of the union. It bounds the sizes' ratio too.
+    """
+    most = F.least(F.col(n) - F.col(i), F.col(n2) - F.col(i2))
+    return most * (100 + percent) >= (F.col(n) + F.col(n2)) * percent
+
+
+def linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, path: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link: the product's two blocks, one after the other."""
+    spark = docs.sparkSession
+    pairs = written(pairs.select("a", "b", *[F.lit(0).cast("long").alias(x) for x in ("shared", "seen_a", "seen_b")]), f"{path}-pairs")
+    with arrow_rows(spark, 500):
+        like = written(accumulate(pairs, sigs.select(F.col("doc_id").alias("id"), "n", F.col("part").alias("s")), percent), f"{path}-like")
+        ids = like.select(F.col("a").alias("doc_id")).union(like.select(F.col("b").alias("doc_id"))).distinct()
+        rest = written(other_blocks(docs, ids, k), f"{path}-rest")
+        found = written(accumulate(like, rest, percent), f"{path}-links")
+    drop_dir(spark, f"{path}-pairs")
+    drop_dir(spark, f"{path}-rest")
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -184,12 +203,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     fewer words the whole sequence is the one shingle). class_id is the
     smallest id with an equal set, component_id the smallest reachable id.
     Texts that are null or without words have no shingles and link with
-    nothing. Very long texts are taken whole. Rows that repeat a doc_id are
-    read as one document each and linked like any others; a null doc_id
-    keeps its row with null class and component. Other columns are not read.
-    Sets are compared by 64-bit hashes of their shingles. Only components are
-    returned: links inside a component are evaluated as far as it takes to join
-    it, so neither pairs nor a document's number of links can be had.
+    nothing. Very long texts are taken whole. Rows that repeat a doc_id are one
+    node of the links, and each keeps its row; a null doc_id keeps its row with
+    null class and component. Ties and extra columns change nothing; other
+    columns are not read. Sets are compared by 64-bit hashes of their shingles.
+    Only components are returned: links inside a component are evaluated as far
+    as it takes to join it, so neither pairs nor a document's number of links
+    can be had.
     """
     spark = docs.sparkSession
     base = work_dir(spark)
@@ -197,75 +217,70 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     full = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = sigs.where(full).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     classes = written(classes, f"{base}/classes")
-    lists = posting_lists(sigs, classes, base)
+    lists = posting_lists(sigs, classes, base, percent)
     release(spark)
-    links, labels, turn, last, before = None, None, 0, False, None
-    while not last:
-        mine = labelled(lists, labels, f"{base}/mine{turn}")
-        left = pairs_left(mine)
-        # short lists aside, all pairs once they are few, or further hubs hardly make them fewer
-        last = turn > 0 and (left <= mine.count() * PAIRS_A_ROW or turn >= ROUNDS or turn > 2 and left > WORTH * before)
-        pairs = remaining_pairs(mine, percent, f"{base}/open") if last else hub_pairs(mine, MORE_HUBS if turn else HUBS, MASK * (2 * turn + 1), percent, f"{base}/hub{turn}", SHORT if turn else 1)
-        pairs = written(pairs, f"{base}/pairs{turn}")
-        with arrow_rows(spark, 500):
-            like = written(overlaps(pairs, docs, k, percent, PART), f"{base}/like{turn}")
-            found = written(overlaps(like, docs, k, percent), f"{base}/links{turn}")
+    links, labels = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        mine = labelled(lists, labels, f"{base}/lists{turn}")
+        if turn == HUB_ROUNDS:
+            pairs = remaining_pairs(mine, percent)
+        else:
+            pairs = written(hub_pairs(mine, MASK * (2 * turn + 1), percent, f"{base}/hubs{turn}", LONG if turn else 1), f"{base}/met{turn}")
+            if turn and pairs.isEmpty():
+                continue
+        found = linked(pairs, sigs, docs, k, percent, f"{base}/{turn}")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
         release(spark)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        turn, before = turn + 1, left
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     named = written(named.select("digest", "class_id", "component_id", "members"), f"{base}/named")
-    linked = hot_join(sigs.where(full).select("digest", "doc_id", "n"), named, "digest", "members")
+    linked_rows = hot_join(sigs.where(full).select("digest", "doc_id", "n"), named, "digest", "members")
     alone = sigs.where(~F.coalesce(full, F.lit(False))).select("doc_id", "n")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id")))
+    return linked_rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
-def posting_lists(sigs: DataFrame, classes: DataFrame, base: str) -> DataFrame:
-    """(g, id, n) of the indexed shingles that at least two representatives have."""
+def posting_lists(sigs: DataFrame, classes: DataFrame, base: str, percent: int) -> DataFrame:
+    """(g, id, n, i): the indexed shingles that at least two representatives have, and which of the set's rarest they are.
+
+    Of two sets that link, the smaller has the first common shingle among its
+    100 - 200 * percent / (100 + percent) percent rarest; lists where none has it there are left out.
+    """
     reps = sigs.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    grams = reps.select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("g"))
-    shared = written(grams.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), f"{base}/shared")
-    return written(hot_join(grams, shared, "g", "size").select("g", "id", "n").distinct(), f"{base}/lists")
+    grams = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("i", "g"))
+    early = F.max(((F.col("n") - F.col("i")) * (100 + percent) >= F.col("n") * 2 * percent).cast("int"))
+    shared = written(grams.groupBy("g").agg(F.count("*").alias("size"), early.alias("early")).where("size > 1 and early = 1").drop("early"), f"{base}/shared")
+    return written(hot_join(grams, shared, "g", "size").select("g", "id", "n", "i"), f"{base}/lists")
 
 
 def labelled(lists: DataFrame, labels: DataFrame | None, path: str) -> DataFrame:
-    """Lists with each document's component so far."""
+    """Lists with each document's component so far, without those whose documents are all in one."""
     if labels is None:
         return lists.withColumn("c", F.col("id"))
-    return written(lists.join(labels.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "n", F.coalesce("component", "id").alias("c")), path)
-
-
-def open_lists(lists: DataFrame, more: list[F.Column]) -> DataFrame:
-    """One row for each list whose documents aren't all in one component yet."""
-    return lists.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), *more).where("c0 < c1").drop("c0", "c1")
-
-
-def pairs_left(lists: DataFrame) -> int:
-    """Pairs of documents in a list that are in different components, summed over the lists that aren't short."""
-    by_component = lists.groupBy("g", "c").agg(F.count("*").alias("m"))
-    by_list = by_component.groupBy("g").agg(F.sum("m").alias("size"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p"))
-    return by_list.where(F.col("size") > SHORT).agg(F.sum("p") / 2).first()[0] or 0
+    mine = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mine = written(mine, f"{path}-all")
+    opened = mine.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("g", "size")
+    return written(hot_join(mine, written(opened, f"{path}-open"), "g", "size").drop("size"), path)
 
 
-def hub_pairs(lists: DataFrame, hubs: int, mask: int, percent: int, path: str, longer_than: int = 1) -> DataFrame:
-    """(a, b): documents of each open list with its hubs, the same ids in every list where they occur.
+def hub_pairs(lists: DataFrame, mask: int, percent: int, path: str, longer_than: int) -> DataFrame:
+    """(a, b): documents of each list of over ``longer_than`` with its hubs of another component.
 
-    A hub is the document whose id comes first after flipping a fixed set of
-    its bits, so other bits give other hubs.
+    One hub is the document with the fewest rarer shingles: the plainest copy of
+    a group of near copies. The other is the one whose id comes first after
+    flipping a fixed set of its bits, so it is the same in every list that has
+    it, and other bits give another hub.
     """
-    flips = [(mask * (2 * i + 1)) % (1 << 62) for i in range(hubs)]
-    firsts = [F.min(F.struct(F.col("id").bitwiseXOR(F.lit(m)).alias("k"), F.col("id").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))).alias(f"hub{i}") for i, m in enumerate(flips)]
-    opened = written(open_lists(lists, firsts).where(F.col("size") > longer_than).select("g", "size", F.array_distinct(F.array(*[F.struct(f"hub{i}.h", f"hub{i}.hn", f"hub{i}.hc") for i in range(hubs)])).alias("hubs")), path)
-    met = hot_join(lists, opened, "g", "size").select("id", "n", "c", F.explode("hubs").alias("h")).select("id", "n", "c", "h.*").where("c <> hc")
-    return met.where(like_sizes("n", "hn", percent)).select(F.col("id").alias("a"), F.col("h").alias("b")).distinct()
-
-
-def remaining_pairs(lists: DataFrame, percent: int, path: str) -> DataFrame:
-    """All pairs of like size that share a list and are in different components."""
-    opened = written(open_lists(lists, []), path)
-    left = written(hot_join(lists, opened, "g", "size").drop("size"), f"{path}-rows")
-    right = left.select("g", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = left.join(right, "g").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & like_sizes("n", "n2", percent))
+    flipped = F.col("id").bitwiseXOR(F.lit(mask % (1 << 62)))
+    hub = lambda *by: F.min(F.struct(*[x.alias(f"k{j}") for j, x in enumerate(by)], F.col("id").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("c").alias("c2")))
+    pick = lambda x: F.struct(f"{x}.b", f"{x}.n2", f"{x}.i2", f"{x}.c2")
+    hubs = lists.groupBy("g").agg(F.count("*").alias("size"), hub(F.col("i"), flipped).alias("first"), hub(flipped).alias("second")).where(F.col("size") > longer_than)
+    hubs = written(hubs.select("g", "size", F.array_distinct(F.array(pick("first"), pick("second"))).alias("hubs")), path)
+    met = hot_join(lists, hubs, "g", "size").select("id", "n", "i", "c", F.explode("hubs").alias("h")).select("id", "n", "i", "c", "h.*").where("c <> c2")
+    return met.where(can_link("n", "i", "n2", "i2", percent)).select(F.col("id").alias("a"), "b").distinct()
+
+
+def remaining_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of different components that share a list and can link by sizes and places."""
+    met = lists.join(lists.withColumnsRenamed({"id": "id2", "n": "n2", "i": "i2", "c": "c2"}), "g")
+    met = met.where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & can_link("n", "i", "n2", "i2", percent))
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
