@@ -55,23 +55,44 @@ def rows(df, key):
     return {r[key]: r for r in df.collect()}
 
 
-def test_lm_scores(docs, none):
-    got = rows(lm_scoring.stupid_backoff(docs, passes=2), "doc_id")
-    texts = {i: WORDS.findall((t or "").lower()) for i, t in documents()}
-    c = collections.Counter(g for w in texts.values() for n in (1, 2, 3) for g in zip(*[w[i:] for i in range(n)]))
-    total = sum(map(len, texts.values()))
-    for d, w in texts.items():
-        score = 0.0
+def backoff_by_hand(texts, least):
+    """(n_words, log score) by id of (id, text) rows."""
+    texts = [(i, WORDS.findall((t or "").lower())) for i, t in texts]
+    c = collections.Counter(g for _, w in texts for n in (1, 2, 3) for g in zip(*[w[i:] for i in range(n)]))
+    total = sum(len(w) for _, w in texts)
+    out = collections.defaultdict(lambda: [0, 0.0])
+    for d, w in texts:
+        out[d][0] += len(w)
         for i in range(len(w)):
             deep = min(3, i + 1)
             for n in range(deep, 0, -1):
                 g = tuple(w[i - n + 1 : i + 1])
-                if n == 1 or c[g] >= 2:
-                    score += math.log(0.4) * (deep - n) + math.log(c[g] / (total if n == 1 else c[g[:-1]]))
+                if n == 1 or c[g] >= least:
+                    out[d][1] += math.log(0.4) * (deep - n) + math.log(c[g] / (total if n == 1 else c[g[:-1]]))
                     break
-        assert got[d].n_words == len(w) and got[d].log_score == pytest.approx(score)
-        assert (got[d].mean_log_score is None) == (not w)
-    assert lm_scoring.stupid_backoff(none, passes=2).count() == 0
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_scores(docs, none, least):
+    got = rows(lm_scoring.stupid_backoff(docs, passes=2, least_count=least), "doc_id")
+    want = backoff_by_hand(documents(), least)
+    assert set(got) == set(want)
+    for d, (n, score) in want.items():
+        assert got[d].n_words == n and got[d].log_score == pytest.approx(score)
+        assert (got[d].mean_log_score is None) == (not n)
+    assert lm_scoring.stupid_backoff(none, passes=2, least_count=least).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_lm_scores_with_hot_n_grams_null_and_repeated_ids(spark, least):
+    r = random.Random(3)
+    made = [(i % 40, "of the " * r.randint(0, 40) + prose(r, r.randint(0, 25), 30) + " of the end" * (i % 3)) for i in range(120)] + [(None, "of the one"), (None, "a lone"), (-(1 << 63), "of the"), (77, "of the")]
+    got = rows(lm_scoring.stupid_backoff(spark.createDataFrame(made, "doc_id long, text string").repartition(6), least_count=least), "doc_id")
+    want = backoff_by_hand(made, least)
+    assert set(got) == set(want) and None in got
+    for d, (n, score) in want.items():
+        assert got[d].n_words == n and got[d].log_score == pytest.approx(score)
 
 
 def test_token_counts(docs, none):
