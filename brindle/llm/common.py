@@ -103,13 +103,12 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFram
     broadcast and move no left row; the rest go by an ordinary shuffle join.
     """
     total, largest = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    big = F.col(size) * HOT_KEYS > F.lit(total)
-    hot = right.where(big)
     if largest < FEW_ROWS or largest * HOT_KEYS <= total:
         return left.join(right, key)
-    hot_keys = F.broadcast(hot.select(key))
-    cold = left.join(hot_keys, key, "left_anti").join(right.where(~big), key)
-    return left.join(F.broadcast(hot), key).unionByName(cold)
+    big = [r[0] for r in right.where(F.col(size) * HOT_KEYS > F.lit(total)).select(key).collect()]
+    hot = F.col(key).isin(*[F.lit(k) for k in big])
+    cold = left.where(~hot).join(right.where(~hot), key)
+    return left.where(hot).join(F.broadcast(right.where(hot)), key).unionByName(cold)
 
 
 # ------------------------------------------------------------- text in batches
