@@ -219,11 +219,46 @@ def test_decontamination(spark, docs, none):
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = rows(decontamination.decontaminate(docs, bench), "doc_id")
-    assert {i: tuple(x)[1:] for i, x in got.items()} == want
+    assert {i: tuple(x)[1:6] for i, x in got.items()} == want
     assert sum(x.contaminated for x in got.values()) > 3
     assert decontamination.decontaminate(none, bench).count() == 0
     assert not any(x.contaminated for x in decontamination.decontaminate(docs, bench.limit(0)).collect())
-    assert decontamination.near_matches(docs, bench, 5).where("item_id = 1").count() > 0
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[4]}
+
+
+def test_each_row_is_searched_by_its_own_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda my"
+    made = [(1, item), (1, "x y"), (None, f"so {item.upper()}"), (None, None), (2, "kappa and alpha ÀÉ"), (2, "kappa and alpha ÀÉ"), (3, item), (3, item)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    bench = spark.createDataFrame([("b", item), ("b", item), ("c", "À É"), ("d", "ÀÉ")], "item_id string, text string")
+    got = sorted(decontamination.decontaminate(d, bench).collect(), key=repr)
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == sorted([(1, 12, 12, 1), (1, 2, 0, 0), (0, 13, 12, 1), (0, 0, 0, 0), (2, 4, 1, 1), (2, 4, 1, 1), (3, 12, 12, 1), (3, 12, 12, 1)])
+    kept = decontamination.drop_contaminated(d.withColumn("h", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "h"] and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "x y")]
+
+
+def test_proximity_matches_by_brute_force(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(f"t{r.randint(0, 40)}" for _ in range(n))
+    made, items = [(i, text(r.randint(0, 60))) for i in range(40)], [(j, text(r.randint(1, 14))) for j in range(8)]
+    n = collections.Counter(w for _, t in made for w in t.split())
+    want = set()
+    for j, item in items:
+        v = item.split()
+        size = min(10, len(v))
+        for k in range(len(v) - size + 1):
+            two = sorted((n[v[x]], x) for x in range(k, k + size))[:2]
+            first, second = v[two[0][1]], v[two[-1][1]]
+            if n[first] and first != second:
+                for i, t in made:
+                    w = t.split()
+                    want |= {(i, j, a) for a, x in enumerate(w) for b, y in enumerate(w) if x == first and y == second and abs(a - b) <= 3}
+    d, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    texts, _, near = decontamination.search(d, bench, within=3)
+    # terms of equal counts may be taken in either order, so places are compared where counts differ
+    got = {(x.doc_id, x.item_id) for x in near.join(texts, "row").collect()}
+    assert want and got == {(i, j) for i, j, _ in want}
 
 
 def test_substring_dedup(docs, none):
@@ -307,6 +342,21 @@ def test_later_places_in_the_same_document(spark):
     assert kept[1].text.count(p) == 1 and kept[4].text.split() == ["x"] and kept[2].text == texts[2]
 
 
+def test_passages_with_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    p, q = prose(r, 60), prose(r, 55)
+    made = [(None, f"n {p}"), (None, "n"), (5, f"{q} tail"), (5, f"head {q}"), (5, f"head {q}"), (6, f"{p} six"), (7, prose(r, 80)), (8, None)]
+    d = spark.createDataFrame([(i, t, 3, "s") for i, t in made], "doc_id long, text string, place int, __spans string")
+    found = collections.Counter((x.doc_id, x.first_doc_id, x.n_words) for x in substring_dedup.repeated_spans(d).collect())
+    assert found in ({(6, None, 60): 1, (5, 5, 55): 1}, {(6, None, 60): 1, (5, 5, 55): 2})
+    kept = substring_dedup.remove_repeats(d)
+    assert kept.columns == d.columns
+    left = sorted((x.doc_id or 0, (x.text or "").split()) for x in kept.collect())
+    whole = [sorted((i or 0, (t or "").split()) for i, t in rest) for rest in (
+        [*made[:3], (5, "head"), (5, "head"), (6, "six"), *made[6:]], [*made[:2], (5, "tail"), *made[3:5], (6, "six"), *made[6:]])]
+    assert left in whole
+
+
 def test_quality_rules(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in documents()] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = rows(quality_rules.quality_rules(docs, labels), "doc_id")

@@ -62,22 +62,32 @@ def test_neighbouring_hits_are_taken_from_the_left():
     assert token_counts.every_other(np.array([1, 1, 1, 0, 1, 1, 0, 1], bool)).tolist() == [True, False, True, False, True, False, False, True]
 
 
-def test_chunks_cover_rows_and_survive_an_insertion():
-    r = random.Random(3)
-    body = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(400))
-    texts = [body, "inserted in front " + body, "", "z" * 5000, None]
-    (_, _, data, offsets) = next(common.text_slices(batch(texts)))
-    s, e, row = substring_dedup.chunks(data, offsets)
-    for k in range(len(texts)):
-        mine = sorted(zip(s[row == k], e[row == k]))
-        assert b"".join(bytes(data[a:b]) for a, b in mine) == (texts[k] or "").encode()
-    first, second = ({bytes(data[a:b]) for a, b in zip(s[row == k], e[row == k])} for k in (0, 1))
-    assert len(first & second) > 0.9 * len(first)
-    assert (e - s).max() <= substring_dedup.LONGEST
-
-
-def test_cut_spans_drops_whole_words_only():
-    assert substring_dedup.cut_spans(["aé bb cc dd".encode()], [[(2, 8)]]) == ["aé  cc dd"]
+def test_every_window_holds_a_chunk_of_its_own_words():
+    """Chunks of equal windows are equal wherever they stand, and each window holds one whole."""
+    r = random.Random(8)
+    some = [hash_of(r) for _ in range(40)]
+    rows = [[r.choice(some) for _ in range(n)] for n in (0, 1, 50, 51, 300)] + [[some[0]] * 200]
+    shared = [hash_of(r) for _ in range(51)]
+    rows += [[hash_of(r) for _ in range(k)] + shared + [hash_of(r) for _ in range(60)] for k in (0, 7, 33)]
+    words = np.array([w for x in rows for w in x], np.uint64)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    cut = substring_dedup.Chunks(words, row, 51)
+    assert len(cut.first) == sum(max(0, len(x) - 50) for x in rows)
+    end = cut.cuts[np.searchsorted(cut.cuts, cut.chunk, "right")]
+    assert (cut.chunk >= cut.first).all() and (end + substring_dedup.GEAR_WORDS <= cut.first + 51).all()
+    digests, seen = cut.digests(cut.chunk), {}
+    for s, c, d in zip(cut.first, cut.chunk, digests, strict=True):
+        assert seen.setdefault(tuple(words[s : s + 51]), (c - s, d)) == (c - s, d)
+    assert tuple(shared) in seen
+
+
+def hash_of(r):
+    return r.getrandbits(64)
+
+
+def test_cuts_take_whole_words():
+    assert substring_dedup.cut_words("aé bb cc dd", [(1, 2)]) == "aé  dd"
+    assert substring_dedup.cut_words("aé bb cc dd", [(0, 2), (1, 3)]) == ""
 
 
 def test_statistics_match_plain_counts():
