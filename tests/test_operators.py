@@ -116,7 +116,7 @@ def test_files(spark, tmp_path):
     assert files.read_documents(spark, str(tmp_path / "a" / "doc.json"), schema, "queries").count() == 1
     assert files.read_tree(spark, str(tmp_path), "doc.json", StructType().add("queries", ArrayType(StructType().add("id", LongType())))).count() == 1
     found = {r.path.rsplit("/", 1)[1]: r for r in files.inventory(spark, str(tmp_path)).collect()}
-    assert found["doc.json"].extension == ".json" and found["doc.json"].bytes == 54
+    assert found["doc.json"].extension == ".json" and found["doc.json"].bytes == 50
     (tmp_path / "keep.tsv").write_text("backup/a\t1\n\nbackup/b\t2\n")
     assert files.read_keep_keys(spark, str(tmp_path / "keep.tsv"), "backup/").count() == 2
     with pytest.raises(Exception):
@@ -159,3 +159,31 @@ def test_the_references_rules_are_found(spark, tmp_path):
     found = {r.doc: r.severity for r in corpus.public_disclosure(spark, str(tmp_path)).collect()}
     assert found == {i: "warn" if i == 6 else "high" for i in range(7)}
     assert {r.verdict: r.n_docs for r in corpus.public_summary(spark, str(tmp_path)).collect()} == {"blocked": 6, "review": 1, "clean": 1}
+
+def test_domains_and_their_fields(spark):
+    from brindle.functions import domains as D
+
+    def detect(text, category=""):
+        return spark.range(1).select(D.detect_domains(F.lit(text), F.lit(category))).first()[0]
+
+    def fields(text, names, device=None):
+        return spark.range(1).select(D.domain_fields(F.lit(text), F.array(*[F.lit(n) for n in names]), device and F.lit(device))).first()[0]
+
+    related = lambda *names: spark.range(1).select(D.related_domains(F.array(*[F.lit(n) for n in names]))).first()[0]
+    assert detect("gaming keyboard and monitor", "keyboard") == ["keyboard", "display"] and detect("nothing relevant") == []
+    assert related("computer") == ["display", "storage"] and related("computer", "display") == ["storage"] and related("unknown") == []
+    keyboard = fields("tkl pbt hot-swap prebuilt 1.25 kg 3000 mah 3-pin knob gasket abs 1000 hz bluetooth hall effect", ["keyboard"])
+    assert keyboard == {
+        "layout": "75%", "keycap_profile": "PBT", "hotswap": "Yes", "assembly": "Prebuilt", "weight": "1250g", "battery": "3000 mAh", "pins": "3-pin", "knob_support": "Yes",
+        "mount_style": "Gasket", "case_material": "Abs", "polling_rate": "1000 Hz", "connection_type": "Bluetooth", "keyboardproduct_type": "Hall Effect Keyboard",
+    }
+    mouse = fields("bamf 3.0 68 g 2000 mah 26k dpi bluetooth omron palm", ["mouse"])
+    assert (mouse["tracking_method"], mouse["weight"], mouse["battery"], mouse["maximum_dpi"]) == ("PAW3950", "68g", "2000 mAh", "26000")
+    assert (mouse["connection_type"], mouse["switch_type"], mouse["grip_type"]) == ("Wireless BT", "Omron Mechanical", "Palm")
+    assert fields("27 inch monitor", ["display"]) == {} and fields("27 inch monitor 165 hz", ["display"]) == {"refresh_rate": "165 Hz"}
+    assert fields("mousepad very fast textured very soft 4 mm", ["mousepad"]) == {"mousepad_speed": "Very fast", "mousepad_texture": "Textured", "mousepad_firmness": "Very soft", "thickness_mm": "4mm"}
+    assert fields("ipi haze 6369g haze x1", ["mouse"])["weight"] == "69g" and fields("ipi haze 6369g standard", ["mouse"])["weight"] == "63g"
+    both = fields("1 kg 1000 hz", ["keyboard", "mouse"], "TKL 1 kg 1000 Hz")
+    assert (both["layout"], both["weight"], both["polling_rate"]) == ("75%", "1000g", "1000 Hz")
+    assert fields("16000 DPI wired", ["mouse"])["maximum_dpi"] == "16000" and fields("paw3395 wired", ["mouse"])["tracking_method"] == "paw3395"
+    assert fields("6369g generic mouse", ["mouse"])["weight"] == "6369g" and fields("mouse", ["mouse"]) == {} and fields(None, ["mouse"]) == {}
