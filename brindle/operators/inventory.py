@@ -75,7 +75,7 @@ def signal_candidates(jobs: DataFrame, most: int = 8) -> DataFrame:
     ``seeds``, ``repositories`` and ``issues`` are arrays of (title, url); the
     first ``most`` of them, in that order, support the candidate.
     """
-    of = lambda name, kind: F.transform(F.coalesce(name, F.array().cast("array<struct<title:string,url:string>>")), lambda x: F.struct(F.lit(kind).alias("source_type"), x["title"].alias("title"), x["url"].alias("url")))
+    of = lambda name, kind: F.transform(F.coalesce(name, F.array().cast("array<struct<title:string,url:string>>")), lambda x: F.named_struct(F.lit("source_type"), F.lit(kind), F.lit("title"), x["title"], F.lit("url"), x["url"]))
     support = F.slice(F.concat(of("seeds", "seed"), of("repositories", "repository"), of("issues", "issue")), 1, most)
     kind = candidate_type(F.col("topic"), F.col("focus"))
     social = F.coalesce(F.col("reddit_status") == 200, F.lit(False)) | F.coalesce(F.col("x_status") == 200, F.lit(False))
@@ -209,9 +209,9 @@ def near_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, width:
     Null and shorter texts have no shingles.
     """
     def shingles(df: DataFrame, key: str) -> DataFrame:
-        w = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))
-        return df.select(F.col(key), F.explode(F.array_distinct(F.when(F.size(w) >= width, grams))).alias("h"))
+        words = df.select(F.col(key), F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+").alias("w"))  # split once, not in each step below
+        grams = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(width)]))
+        return words.where(F.size("w") >= width).select(F.col(key), F.explode(F.array_distinct(grams)).alias("h"))
 
     own = shingles(items, item)
     sizes = own.groupBy(item).agg(F.count("*").alias("size"))
