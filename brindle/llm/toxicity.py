@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, lut, mix, span_hashes, text_slices, word_spans
+from brindle.llm.common import LOWER, list_array, lut, mix, span_hashes, text_slices, word_spans, work_dir, written
 
 #: Bounds of the sample that the model is fitted on, in texts.
 MAX_POSITIVE = 3000
@@ -29,6 +29,8 @@ MAX_UNLABELLED = 6000
 #: Hash slots of features, and how many of them the model keeps.
 SLOT_BITS = 20
 KEPT_FEATURES = 400
+#: A feature is looked at from this number of texts on.
+LEAST_TEXTS = 3
 #: Lengths in bytes of the runs inside words.
 RUNS = (5, 7)
 #: A text is toxic from this score on.
@@ -80,8 +82,12 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Table, float]:
-    """(text and kind: 1 toxic, 0 unlabelled) of the bounded sample, and the share of toxic labels."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(kind: 1 toxic, 0 unlabelled; slots: the hashed features of a text) of the bounded sample, and the share of toxic labels.
+
+    Features are extracted where the texts are; of rows that repeat a doc_id
+    one is taken.
+    """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learn = known.where(~held_out() & F.col("toxic").isNotNull())
     prior = learn.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -90,58 +96,98 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Table, float]:
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct()
     rest = some(ids.join(known.select("doc_id"), "doc_id", "left_anti"), MAX_UNLABELLED).withColumn("kind", F.lit(0))
     picked = F.broadcast(toxic.unionByName(rest))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", "kind").toArrow(), prior
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch):
+                slots = list_array(slots_of(data, offsets), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), slots], names=["doc_id", "kind", "slots"])
+
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "kind").mapInArrow(run, f"doc_id {kind}, kind int, slots array<int>")
+    return rows.dropDuplicates(["doc_id"]).select("kind", "slots"), prior
+
 
+def slots_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Distinct slots of each row."""
+    both = np.unique(np.concatenate([row.astype(np.int64) << SLOT_BITS | slot for row, slot in hashed(data, offsets)]))
+    cuts = np.searchsorted(both >> SLOT_BITS, np.arange(1, len(offsets) - 1))
+    return np.split((both & ((1 << SLOT_BITS) - 1)).astype(np.int32), cuts)
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, seed: int = 7) -> ToxicModel:
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicModel:
     """Fit on confirmed toxic texts and unlabelled ones outside the held-out fold.
 
     ``prior`` is the share of toxic texts; by default that of the labelled rows
     outside the fold. Without a toxic example the model scores every text 0.
+    What comes to the driver is bounded: a count for each hash slot, and for
+    each text of the sample which of the kept features it has.
     """
     rows, share = sample(docs, labels)
-    return fit(rows, share if prior is None else prior, seed)
-
-
-def fit(rows: pa.Table, prior: float, seed: int = 7) -> ToxicModel:
-    batches = [b for b in rows.to_batches() if b.num_rows]
-    kind = np.concatenate([b.column(1).to_numpy() for b in batches]) if batches else np.zeros(0, int)
-    slots = 1 << SLOT_BITS
-    empty = ToxicModel(np.zeros(slots, np.int16), np.zeros(1), -40.0)
-    p, u = int((kind == 1).sum()), int((kind == 0).sum())
-    if not p:
-        return empty
-    counts = np.zeros((2, slots), np.int64)
-    for batch in batches:
-        for a, b, data, offsets in text_slices(batch):
-            seen = np.unique(np.concatenate([row.astype(np.int64) << SLOT_BITS | slot for row, slot in hashed(data, offsets)]))
-            k = batch.column(1).to_numpy()[a:b][seen >> SLOT_BITS]
-            for c in (0, 1):
-                counts[c] += np.bincount(seen[k == c] & (slots - 1), minlength=slots)
-    rate_p, rate_u = (counts[1] + 0.5) / (p + 1), (counts[0] + 0.5) / (u + 1)
-    gain = np.abs(np.log(rate_p / rate_u)) * np.sqrt(counts[1] + prior * counts[0])
-    gain[counts.sum(axis=0) < 3] = 0
-    best = np.argsort(-gain, kind="stable")[:KEPT_FEATURES]
-    best = best[gain[best] > 0]
-    slot = np.zeros(slots, np.int16)
-    slot[best] = np.arange(1, len(best) + 1)
-    model = ToxicModel(slot, np.zeros(KEPT_FEATURES), 0.0)
-    pairs, base = [], 0
-    for batch in batches:
+    rows = written(rows, f"{work_dir(docs.sparkSession)}/sample")
+    n = dict(rows.groupBy("kind").agg(F.count("*")).collect())
+    of = lambda k: F.count_if(F.col("kind") == k).alias(f"in_{k}")
+    counts = rows.select("kind", F.explode("slots").alias("slot")).groupBy("slot").agg(of(1), of(0)).where(F.col("in_0") + F.col("in_1") >= LEAST_TEXTS).toPandas()
+    in_p, in_u = (counts[c].to_numpy(np.int64) for c in ("in_1", "in_0"))
+    best = counts["slot"].to_numpy(np.int64)[chosen(in_p, in_u, n.get(1, 0), n.get(0, 0))]
+    kept = F.array_intersect("slots", F.lit([int(x) for x in best]).cast("array<int>"))
+    table = rows.select("kind", kept.alias("slots")).toArrow()
+    return fit_slots(table.column("kind").to_numpy(), [np.array(x, np.int64) for x in table.column("slots").to_pylist()], best, share if prior is None else prior)
+
+
+def fit(rows: pa.Table, prior: float) -> ToxicModel:
+    """Fit on a local table (text, kind)."""
+    slots: list[np.ndarray] = []
+    for batch in rows.to_batches():
         for _, _, data, offsets in text_slices(batch):
-            r, f = model.present(data, offsets)
-            pairs.append(np.stack((r + base, f)))
-            base += len(offsets) - 1
-    row, feature = np.concatenate(pairs, axis=1)
-    model.weight, model.bias = descend(row, feature, kind == 1, prior, seed)
-    return model
+            slots += slots_of(data, offsets)
+    kind = rows.column(1).to_numpy()
+    counts = [np.bincount(np.concatenate([s for s, k in zip(slots, kind, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=1 << SLOT_BITS) for c in (1, 0)]
+    seen = np.flatnonzero(counts[0] + counts[1] >= LEAST_TEXTS)
+    best = seen[chosen(counts[0][seen], counts[1][seen], int((kind == 1).sum()), int((kind == 0).sum()))]
+    return fit_slots(kind, slots, best, prior)
+
+
+def chosen(in_p: np.ndarray, in_u: np.ndarray, p: int, u: int) -> np.ndarray:
+    """Places of the features that the model keeps, the most telling first."""
+    if not p or not len(in_p):
+        return np.zeros(0, np.int64)
+    gain = evidence(in_p, in_u, p, u)
+    # as many features as are looked at may stand out by chance; what doesn't stand out more is noise
+    order = np.argsort(-gain, kind="stable")[:KEPT_FEATURES]
+    return order[gain[order] >= max(1.0, np.log(len(gain)))]
+
+
+def fit_slots(kind: np.ndarray, slots: list[np.ndarray], best: np.ndarray, prior: float) -> ToxicModel:
+    """The model over the features ``best``, of texts given by their slots."""
+    slot = np.zeros(1 << SLOT_BITS, np.int16)
+    slot[best] = np.arange(1, len(best) + 1)
+    if not (kind == 1).any():
+        return ToxicModel(slot * 0, np.zeros(1), -40.0)
+    row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    feature = slot[np.concatenate(slots)].astype(np.int64) if len(row) else np.zeros(0, np.int64)
+    hit = feature > 0
+    weight, bias = descend(row[hit], feature[hit] - 1, kind == 1, prior)
+    return ToxicModel(slot, weight, bias)
+
 
+def evidence(in_p: np.ndarray, in_u: np.ndarray, p: int, u: int) -> np.ndarray:
+    """Log-likelihood ratio of different rates of a feature in ``p`` toxic and ``u`` unlabelled texts against one common rate."""
+    n, share = in_p + in_u, p / (p + u)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(in_p > 0, in_p * np.log(in_p / (n * share)), 0) + np.where(in_u > 0, in_u * np.log(in_u / (n * (1 - share))), 0)
+    return np.nan_to_num(ratio)
 
-def descend(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, seed: int, rounds: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk with logistic loss, by full-batch Adam steps."""
+
+def descend(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and bias under the non-negative risk with logistic loss, by full-batch Adam steps.
+
+    The fewer toxic texts there are, the more the weights are held back. The
+    bias is set last, so that the unlabelled texts' mean score is the prior.
+    """
     n, p = len(positive), max(1, int(positive.sum()))
     u = max(1, n - p)
-    prior = min(max(prior, 1e-3), 0.999)
+    prior, l2 = min(max(prior, 1e-3), 0.999), 0.1 / p
     theta = np.zeros(KEPT_FEATURES + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -151,17 +197,21 @@ def descend(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: f
         loss_neg = np.logaddexp(0, z)
         negative = loss_neg[~positive].sum() / u - prior * loss_neg[positive].sum() / p
         g = np.zeros(n)
+        g[positive] = prior * (s[positive] - 1) / p
         if negative >= 0:
-            g[positive] = prior * (s[positive] - 1) / p - prior * s[positive] / p
+            g[positive] -= prior * s[positive] / p
             g[~positive] = s[~positive] / u
-        else:  # the part below zero is overfitting: step back along it
-            g[positive] = prior * s[positive] / p
-            g[~positive] = -s[~positive] / u
+        # the part below zero is overfitting: it counts as zero
         grad = np.append(np.bincount(feature, g[row], minlength=KEPT_FEATURES), g.sum())
         grad[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1].copy(), float(theta[-1])
+    z = np.bincount(row, theta[feature], minlength=n)[~positive]
+    low, high = -40.0, 40.0
+    for _ in range(60 if len(z) else 0):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(z + middle, -40, 40)))).mean() < prior else (low, middle)
+    return theta[:-1].copy(), low if len(z) else float(theta[-1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
