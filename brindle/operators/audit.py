@@ -14,7 +14,7 @@ LEAST_LINE = 24
 
 def line_key(line: Column) -> Column:
     """Trimmed, lower-cased line without list marks, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"\s+", " "))), r"^([-*]\s*)+", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"\s+", " "))), r"^([-*]\s*)+", ""))
 
 
 def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -24,12 +24,17 @@ def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def duplicate_lines(lines: DataFrame) -> DataFrame:
-    """(doc, line, owner_doc, owner_line) of lines that an earlier document has: its last occurrence there owns them."""
-    long = lines.where(F.length("key") >= LEAST_LINE)
-    # the owner per key by a pre-aggregated minimum, and its last line in that document
-    last = long.groupBy("key", "doc").agg(F.max("line").alias("owner_line"))
-    owner = last.groupBy("key").agg(F.min(F.struct("doc", "owner_line")).alias("o"), F.count("*").alias("docs")).where("docs > 1")
-    return long.join(owner, "key").where(F.col("doc") != F.col("o.doc")).select("doc", "line", F.col("o.doc").alias("owner_doc"), F.col("o.owner_line").alias("owner_line"))
+    """(doc, line, owner_doc, owner_line) of lines that an earlier document has: its last occurrence there owns them.
+
+    Lines meet by two hashes of their keys, 128 bits together, and are
+    aggregated by key and document before anything of a key comes together.
+    """
+    long = lines.where(F.length("key") >= LEAST_LINE).select("doc", "line", F.xxhash64("key").alias("h"), F.xxhash64(F.reverse("key"), F.lit(1)).alias("h2"))
+    # of each key and document the last line, the number of lines and their places
+    last = long.groupBy("h", "h2", "doc").agg(F.max("line").alias("owner_line"), F.array_sort(F.collect_list("line")).alias("places"))
+    owner = last.groupBy("h", "h2").agg(F.min(F.struct("doc", "owner_line")).alias("o"), F.count("*").alias("docs")).where("docs > 1")
+    again = last.select("h", "h2", "doc", "places").join(owner, ["h", "h2"]).where(F.col("doc") != F.col("o.doc"))
+    return again.select("doc", F.explode("places").alias("line"), F.col("o.doc").alias("owner_doc"), F.col("o.owner_line").alias("owner_line"))
 
 
 def conflicting_lines(lines: DataFrame) -> DataFrame:

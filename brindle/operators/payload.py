@@ -57,8 +57,9 @@ def shared_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, n: i
 
     def passages(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.split(F.coalesce("text", F.lit("")), " ").alias("w")).where(F.size("w") >= n)
-        at = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("i"))
-        return at.select(key, F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ").alias("g"))
+        at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+        gram = [F.get("w", F.col("i") + j) for j in range(n)]
+        return at.select(key, F.xxhash64(*gram).alias("g"), F.hash(*gram).alias("g2")).distinct()
 
-    wanted = passages(items, item).distinct()
-    return passages(docs, doc).join(wanted, "g").distinct().groupBy(doc, item).agg(F.count("*").alias("n_shared"))
+    # two hashes stand for a passage, 96 bits together; the passages of the items decide how they meet
+    return passages(docs, doc).join(passages(items, item), ["g", "g2"]).groupBy(doc, item).agg(F.count("*").alias("n_shared"))

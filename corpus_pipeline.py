@@ -1,16 +1,19 @@
 """The corpus pipeline: STAGES applied to documents, each written and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, and further ones that
+docs has. Null ids and texts, repeated rows and empty tables are allowed in
+all stages; how each treats them is said where the stage or its operator is.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm.common import small, table, work_dir, written
-from brindle.llm.decontamination import decontaminate
+from brindle.llm.decontamination import drop_contaminated
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.queries import WORD_BPE
@@ -18,20 +21,31 @@ from brindle.llm.substring_dedup import remove_repeats
 from brindle.llm.toxicity import drop_toxic
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``ids`` (doc_id)."""
-    dropped = written(ids.select("doc_id").distinct(), f"{work_dir(docs.sparkSession)}/dropped")
-    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``docs`` that stand for their component in ``classes`` (doc_id, component_id): the rows with its smallest id.
+
+    Of rows that repeat an id and a text one stays; rows that repeat an id with
+    another text are one document of the join and stay or go together. Rows
+    with a null id stay, as they are in no component.
+    """
+    spark = docs.sparkSession
+    gone = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), f"{work_dir(spark)}/dropped")
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), f"{work_dir(spark)}/twice")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored as toxic go, each row by its own text; null and empty texts score as empty ones."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the smallest id stays."""
-    return without(docs, ngram_jaccard_join(docs).where("doc_id <> component_id"))
+    return one_of_each(docs, ngram_jaccard_join(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +54,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
-    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents with a passage of a benchmark item go, each row by its own text."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
