@@ -8,6 +8,8 @@ keys sorted, no spaces, the same text for the same content.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,33 +49,44 @@ def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the deepest they wait for.
 
     ``calls`` has ``after``, an array of call ids of the same conversation; ids
-    that no call has don't count. Each round settles the calls whose
-    predecessors are settled; calls on a cycle, or behind one, stay out.
+    that no call has don't count. Calls that wait for one other first skip to
+    the call that begins their chain, in steps that double each round. What is
+    left, chains' beginnings that wait for several calls, is settled round by
+    round once all of those are. Calls on a cycle, or behind one, stay out.
     """
-    spark = calls.sparkSession
-    base = work_dir(spark)
-    key = ["conv_id", "call_id"]
-    nodes = written(calls.select(*key).distinct(), f"{base}/nodes")
+    base, key = work_dir(calls.sparkSession), ["conv_id", "call_id"]
+    nodes = calls.select(*key).distinct()
     edges = calls.select(*key, F.explode("after").alias("before_id")).distinct()
-    edges = edges.join(nodes.select("conv_id", F.col("call_id").alias("before_id")), ["conv_id", "before_id"], "left_semi")
-    edges = written(edges, f"{base}/edges-0")
-    settled = nodes.join(edges.select(*key), key, "left_anti").withColumn("level", F.lit(0))
-    parts, turn = [written(settled, f"{base}/level-0")], 0
-    while True:
+    edges = written(edges.join(nodes.select("conv_id", F.col("call_id").alias("before_id")), ["conv_id", "before_id"], "left_semi"), f"{base}/edges")
+    waits = nodes.join(edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("before_id").alias("p")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = F.col("n") == 1
+    steps = waits.select(*key, "n", F.when(one, F.col("p")).otherwise(F.col("call_id")).alias("top"), one.cast("long").alias("dist"), (~one).alias("done"))
+    steps, turn = written(steps, f"{base}/steps-0"), 0
+    open_ = steps.where(~F.col("done")).count()
+    while open_:
         turn += 1
-        done = parts[-1].select("conv_id", F.col("call_id").alias("before_id"))
-        rest = written(edges.join(done, ["conv_id", "before_id"], "left_anti"), f"{base}/edges-{turn}")
-        fresh = edges.select(*key).distinct().join(rest.select(*key), key, "left_anti").withColumn("level", F.lit(turn))
-        fresh = written(fresh, f"{base}/level-{turn}")
-        drop_dir(spark, f"{base}/edges-{turn - 1}")
-        edges = rest
-        if fresh.isEmpty():
+        up = steps.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("top2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        longer = steps.where(~F.col("done")).join(up, ["conv_id", "top"]).select(*key, "n", F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+        steps = written(steps.where("done").unionByName(longer), f"{base}/steps-{turn}")
+        drop_dir(calls.sparkSession, f"{base}/steps-{turn - 1}")
+        left = steps.where(~F.col("done")).count()
+        if left == open_:  # each round settles the calls of twice the depth; what none settles hangs on a cycle
             break
-        parts.append(fresh)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        open_ = left
+    tops = steps.where("done")
+    settled = written(tops.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")), f"{base}/level-0")
+    joins = edges.join(tops.where("n > 1").select(*key), key, "left_semi").join(tops.select("conv_id", F.col("call_id").alias("before_id"), "top", "dist"), ["conv_id", "before_id"], "left")
+    joins, turn = written(joins.select(*key, "top", (F.col("dist") + 1).alias("dist")), f"{base}/joins"), 0
+    parts, waiting = [settled], not joins.isEmpty()
+    while waiting:
+        turn += 1
+        known = reduce(DataFrame.unionByName, parts)
+        deep = joins.join(known.select("conv_id", F.col("call_id").alias("top"), "level"), ["conv_id", "top"], "left").join(known.select(*key), key, "left_anti")
+        ready = deep.groupBy(*key).agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all")).where("all").drop("all")
+        parts.append(written(ready, f"{base}/level-{turn}"))
+        waiting = not parts[-1].isEmpty()
+    known = reduce(DataFrame.unionByName, parts).select("conv_id", F.col("call_id").alias("top"), "level")
+    return tops.join(known, ["conv_id", "top"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -86,20 +99,28 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 
     A call takes the result with the smallest turn; n_results counts them all.
     Calls that repeat a (conv_id, call_id) count by the row with the smallest
-    turn, the others are dropped as repeats. Null ids link with nothing: such
-    calls have no result, such results no call. Unparsable or null arguments
+    turn, the others are dropped as repeats. Null ids link with nothing: each
+    such call is a row without result and level, each such result one without
+    call. Unparsable or null arguments
     are written as null with the error bad_json. level is null on a cycle.
     Rows come sorted by conversation, level, turn and id; a conversation of
     any size is spread over the sort's ranges, never gathered. Empty tables
     give no rows; other columns are not read.
     """
     key = ["conv_id", "call_id"]
+    lone = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    lone_calls, lone_results = calls.where(lone), results.where(lone)
+    calls, results = calls.where(~lone), results.where(~lone)
     first = calls.groupBy(*key).agg(F.min_by(F.struct("turn", "name", "arguments", "after"), F.struct("turn", "name", "arguments")).alias("call")).select(*key, "call.*")
     answer = results.groupBy(*key).agg(F.min_by(F.struct("turn", "content"), F.struct("turn", "content")).alias("answer"), F.count("*").alias("n_results"))
     both = first.join(answer, key, "full_outer")
     is_call = F.col("name").isNotNull() | F.col("turn").isNotNull() | F.col("arguments").isNotNull()
     both = both.withColumn("kind", F.when(~is_call, "no_call").when(F.col("answer").isNull(), "no_result").otherwise("linked"))
-    both = both.join(levels(calls.where("conv_id is not null and call_id is not null")), key, "left")
+    both = both.join(levels(calls), key, "left").drop("after")
+    more = lone_calls.select(*key, "turn", "name", "arguments", F.lit("no_result").alias("kind"))
+    gone = lone_results.select(*key, F.struct("turn", "content").alias("answer"), F.lit(1).cast("long").alias("n_results"), F.lit("no_call").alias("kind"))
+    both = both.unionByName(more, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    is_call = F.col("kind") != "no_call"
     errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     both = both.withColumn("errors", errors)
     # fields in the order of their names; null ones are left out

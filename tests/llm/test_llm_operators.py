@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brindle.llm import components, decontamination, lm_scoring, ngram_jaccard, packing, quality_rules, substring_dedup, token_counts, tool_calls, toxicity, warc
@@ -199,6 +200,20 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(c.limit(0), a.limit(0), SCHEMAS).count() == 0
 
 
+def test_calls_without_ids_and_long_chains(spark):
+    calls = [(1, i, None, "add", f'{{"a":{i},"b":1}}', []) for i in range(5)] + [(None, 9, "k", "add", "{}", [])]
+    chain = [(2, i, f"c{i}", "add", "{}", [f"c{i - 1}"] if i else []) for i in range(300)]
+    joins = [(2, 500, "m", "add", "{}", ["c10", "c299"]), (2, 501, "n", "add", "{}", ["m"]), (2, 502, "o", "add", "{}", ["n", "c0", "lost"]), (2, 503, "p", "add", "{}", ["o", "q"]), (2, 504, "q", "add", "{}", ["p"]), (2, 505, "r", "add", "{}", ["q"])]
+    c = spark.createDataFrame(calls + chain + joins, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>").withColumn("level", F.lit("x"))
+    a = spark.createDataFrame([(1, 7, None, "lost"), (1, 7, None, "lost"), (2, 8, "c3", "found")], "conv_id long, turn long, call_id string, content string").withColumn("kind", F.lit(1))
+    got = tool_calls.link_tool_calls(c, a, SCHEMAS).collect()
+    kinds = collections.Counter((r.conv_id, r.kind) for r in got)
+    assert kinds == {(1, "no_result"): 5, (None, "no_result"): 1, (1, "no_call"): 2, (2, "no_result"): 305, (2, "linked"): 1}
+    level = {r.call_id: r.level for r in got if r.conv_id == 2}
+    assert all(level[f"c{i}"] == i for i in range(300)) and [level[x] for x in "mnopqr"] == [300, 301, 302, None, None, None]
+    assert sorted(r.turn for r in got if r.conv_id == 1 and r.kind == "no_result") == [0, 1, 2, 3, 4]
+
+
 def test_decontamination(spark, docs, none):
     texts = documents()
     r = random.Random(2)
@@ -398,6 +413,46 @@ def test_packing(spark, docs, none):
     assert sum(x.length for x in packing.pack(docs, BPE, targets=shares).collect()) == sum(map(len, ids.values()))
 
 
+def test_packing_of_null_and_repeated_ids_and_many_sources(spark):
+    r = random.Random(13)
+    made = [(None, "a", "one two"), (None, "b", None), (4, "a", "x"), (4, "a", "x"), (4, None, "")]
+    made += [(i + 10, f"s{i % 20}", prose(r, r.randint(50, 200))) for i in range(1500)]
+    d = spark.createDataFrame(made, "doc_id long, source string, text string")
+    got = packing.pack(d.repartition(4), BPE, part_bytes=250_000).collect()
+    lib = Tokenizer.from_file(BPE)
+    n = collections.Counter()
+    for x in got:
+        n[x.doc_id] += x.length
+    assert n[None] == 2 + len(lib.encode("one two", add_special_tokens=False).ids) and n[4] == 3 + 2 * len(lib.encode("x", add_special_tokens=False).ids)
+    # every full window, while no source is dry, has each source at half to one and a half of its share
+    source = {i: s for i, s, _ in made}
+    windows, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for x in got:
+        if x.doc_id is not None and x.doc_id >= 10:
+            windows[x.sequence_id][source[x.doc_id]] += x.length
+            total[source[x.doc_id]] += x.length
+    whole = [w for w in windows.values() if sum(w.values()) == 2048]
+    even = [w for w in whole if len(w) == 20]
+    assert len(even) > 0.5 * len(whole)
+    part = {s: 2048 * n / sum(total.values()) for s, n in total.items()}
+    assert sum(0.45 * part[s] - 2 <= w[s] for w in even for s in part) > 0.97 * len(even) * len(part)  # the last of a dry source may be less
+    assert sum(w[s] <= 1.6 * part[s] + 32 for w in even for s in part) > 0.99 * len(even) * len(part)
+
+
+def test_carried_debts_are_paid_over_many_windows():
+    p = packing.Packer(0, 2048)
+    p.source("a", 100.0, 30_000.0)
+    p.source("b", 100.0, -30_000.0)
+    for i in range(200):
+        p.add("ab"[i % 2], i, np.zeros(1000, np.uint32), 4000)
+    p.drain(100_000)
+    per = collections.defaultdict(collections.Counter)
+    for doc, _, n, _, _, seq, _ in p.out:
+        per[seq]["ab"[doc % 2]] += n
+    assert per[0] == {"a": 1536, "b": 512} and sum(p.owed.values()) == pytest.approx(0, abs=1)
+    assert sum(w["a"] - w["b"] for w in per.values()) == pytest.approx(2 * 7500, abs=300)
+
+
 def test_warc(spark):
     big, other = "é" * 600, "x" * 1000
     made = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://a/", big), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", other), (None, "u", other), (9, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 60), (4, "u", "tiny")]
