@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.plans.corpus import FRAMES_SQL, spoilt_frames
 from brindle.plans.registry import ORACLE_SQL, load, query
 from brindle.plans.telemetry import STATES, receipts
 from brindle.streaming import streams as S
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-")
+    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="brindle-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -55,3 +61,26 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir, path).select(F.col("ts").cast("timestamp").alias("recorded_at"), F.col("event_type").alias("status"))
     out = S.windowed_counts(e, "4000 days", "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "status", "n")
     return S.to_table(out, path, "update", ["day", "status"])
+
+
+@query(FRAMES_SQL)
+def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames replayed in several triggers, out of order, and put together again."""
+    path = _folder(spark)
+    frames = spoilt_frames(spark, sf_dir)
+    frames.repartition(4, F.xxhash64("response_id", "seq") % 4).write.parquet(f"{path}/frames")
+    stream = S.source(spark, f"{path}/frames", frames.schema, files_per_trigger=2)
+    return S.to_table(S.reassembled(stream), path, "append")
+
+
+@query("""with q as (select event_id, user_id, event_type, ts from events where event_id % 2 = 0),
+    r as (select user_id, event_type, max(ts + interval 12 hour) as last, bool_or(event_id % 77 = 1) as open from events where event_id % 2 = 1 and value > 5 group by all)
+    select event_id, coalesce(open or ts < last, false) as eligible from q left join r using (user_id, event_type)""")
+def stream_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events as streamed requests against receipts made of the other half."""
+    path = _folder(spark)
+    e = load(spark, sf_dir, "events")
+    i, expiry = F.col("event_id"), F.col("ts") + F.expr("interval 12 hours")
+    done = e.where(i % 2 == 1).select(F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.when(i % 77 != 1, expiry).alias("expires_at"), (F.col("value") > 5).alias("resume_eligible"), F.lit("completed").alias("status"))
+    asked = _events(spark, sf_dir, path).where(i % 2 == 0).select("event_id", F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.col("ts").alias("asked_at"))
+    return S.to_table(S.resumable(asked, done).select("event_id", "eligible"), path, "append")

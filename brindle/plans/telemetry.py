@@ -137,13 +137,18 @@ def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.exact_percentiles(s, ["workload", "stage"], "us", {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99})
 
 
-@query("""with s as (select user_id, list_sort(list(distinct event_type)) as seen from events group by 1)
-    select user_id, list_aggregate(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: not list_contains(seen, x)), 'string_agg', ',') as missing from s where len(seen) < 5""")
+STAGES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("""with s as (select user_id * 100 + event_id % 100 as run, list(distinct event_type) as seen from events group by 1)
+    select run, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: not list_contains(seen, x)), ',') as missing
+    from s where len(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: not list_contains(seen, x))) > 0""")
 def stage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that lack one of the required stages."""
-    need = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
-    seen = load(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    return seen.select("user_id", F.array_join(F.array_except(need, "seen"), ",").alias("missing")).where("missing <> ''")
+    """Runs, a user's events by the last digits of their ids, that lack one of the required stages."""
+    need = F.array(*[F.lit(x) for x in STAGES])
+    run = F.col("user_id") * 100 + F.col("event_id") % 100
+    seen = load(spark, sf_dir, "events").groupBy(run.alias("run")).agg(F.collect_set("event_type").alias("seen"))
+    return seen.select("run", F.array_join(F.array_except(need, "seen"), ",").alias("missing")).where("missing <> ''")
 
 
 DIMS_SQL = """dims as (select year(o_orderdate) as y, o_orderpriority as dimension, avg(o_totalprice) as value from orders group by all)"""
@@ -153,14 +158,17 @@ def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.col("o_orderpriority").alias("dimension")).agg(F.avg("o_totalprice").alias("value"))
 
 
-@query(f"""with {DIMS_SQL}, w as (select c.y, c.dimension from dims c join dims b on b.y + 1 = c.y and b.dimension = c.dimension where b.value - c.value > 1500)
-    select y, count(*) filter (false) as n_missing, (select count(*) from w where w.y = d.y) as n_regressed, case when (select count(*) from w where w.y = d.y) = 0 then 'PASS' else 'BLOCKED' end as state from dims d where y > (select min(y) from dims) group by y""")
+@query(f"""with {DIMS_SQL}, n as (select * from dims where not (y % 3 = 0 and dimension = '2-HIGH') and not (y % 4 = 1 and dimension < '3')),
+    w as (select c.y, c.dimension from n c join dims b on b.y + 1 = c.y and b.dimension = c.dimension where b.value - c.value > 1500),
+    g as (select y, 5 - count(*) as n_missing, (select count(*) from w where w.y = n.y) as n_regressed from n where y > (select min(y) from dims) group by y)
+    select y, n_missing, n_regressed, case when n_missing = 0 and n_regressed = 0 then 'PASS' else 'BLOCKED' end as state from g""")
 def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each year against the year before, a dimension for each priority class."""
+    """Each year against the year before, a dimension for each priority class; some years lack some dimensions."""
     d = dimensions(spark, sf_dir)
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     before = d.withColumn("y", F.col("y") + 1)
-    now = d.join(before.select("y").distinct(), "y", "left_semi").withColumns({"critical": F.lit(True), "max_regression": F.lit(1500.0)})
+    lacks = ((F.col("y") % 3 == 0) & (F.col("dimension") == "2-HIGH")) | ((F.col("y") % 4 == 1) & (F.col("dimension") < "3"))
+    now = d.where(~lacks).join(before.select("y").distinct(), "y", "left_semi").withColumns({"critical": F.lit(True), "max_regression": F.lit(1500.0)})
     return E.release_gate(before, now, names, ["y"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,25 +51,74 @@ def next_state(current: str | None, raw: str | None) -> str:
     return state if current is None or (current, state) in ALLOWED else "UNKNOWN"
 
 
-def lifecycle(events: DataFrame, key: str, order: list[str], raw: str) -> DataFrame:
-    """(key, state, n_events) after each trigger; a key's events of one trigger are taken in order."""
+def lifecycle(events: DataFrame, key: str, order: list[str], raw: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, state, n_events) after each trigger; a key's events of one trigger are taken in order.
+
+    A key that gets no event for ``idle_ms`` of processing time is forgotten;
+    by default none is.
+    """
 
     def advance(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state, n = held.get if held.exists else (None, 0)
         for value in pd.concat(list(parts)).sort_values(order)[raw]:
             state, n = next_state(state, value), n + 1
         held.update((state, n))
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [k[0]], "state": [state], "n_events": [n]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, state string, n_events long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, state string, n_events long", "state string, n long", "update", timeout)
+
+
+def reassembled(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(response_id, text, status, intact) of streamed frames once all of a response are there.
+
+    Deltas wait in the state, in whatever order they come, until done has come
+    and every place before it is filled. A response that gets no frame for
+    ``idle_ms`` is given out as it is, not intact; by default all are waited for.
+    A stream with such a limit never ends by itself.
+    """
+
+    def join(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, texts, last, status, digest = held.get if held.exists else ([], [], None, None, None)
+        seqs, texts, late = list(seqs), list(texts), held.hasTimedOut
+        for row in () if late else pd.concat(list(parts)).itertuples():
+            seqs.append(int(row.seq))
+            texts.append(row.text if row.event == "delta" and row.text is not None else "")
+            if row.event == "done":
+                last, status, digest = int(row.seq), row.status, row.digest
+        whole = last is not None and len(set(seqs)) == last + 1
+        if not whole and not late:
+            held.update((seqs, texts, last, status, digest))
+            if idle_ms:
+                held.setTimeoutDuration(idle_ms)
+            return
+        text = "".join(dict(sorted(zip(seqs, texts, strict=True))).values())
+        if held.exists:
+            held.remove()
+        yield pd.DataFrame({"response_id": [k[0]], "text": [text], "status": [status], "intact": [whole and hashlib.sha256(text.encode()).hexdigest() == digest]})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    state = "seqs array<int>, texts array<string>, last int, status string, digest string"
+    return frames.groupBy("response_id").applyInPandasWithState(join, "response_id string, text string, status string, intact boolean", state, "append", timeout)
 
 
 def resumable(requests: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Streamed requests (request, input, asked_at) against a table of completed receipts (stream-static join)."""
-    good = receipts.where("resume_eligible and status = 'completed'").select("request", "input", "expires_at")
+    """Streamed requests (request, input, asked_at) with eligible, against a table of receipts (stream-static join).
+
+    The rule is that of the batch form: a completed, resumable receipt of the
+    same fingerprints that has no expiry or a later one. Receipts are
+    aggregated first, so each request gives one row.
+    """
+    good = receipts.where("resume_eligible and status = 'completed'").groupBy("request", "input").agg(F.max("expires_at").alias("__last"), F.bool_or(F.col("expires_at").isNull()).alias("__open"))
     both = requests.join(good, ["request", "input"], "left_outer")
-    return both.withColumn("eligible", F.col("expires_at").isNotNull() & (F.col("asked_at") < F.col("expires_at")))
+    eligible = F.coalesce(F.col("__open") | (F.col("asked_at") < F.col("__last")), F.col("__open"), F.lit(False))
+    return both.withColumn("eligible", eligible).drop("__last", "__open")
 
 
 def to_table(stream: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
