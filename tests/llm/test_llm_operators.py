@@ -174,6 +174,35 @@ def test_toxicity(spark, none):
     assert toxicity.drop_toxic(d.withColumn("score", F.lit("x")), lab).columns == ["doc_id", "text", "score"]
 
 
+def test_toxicity_of_null_and_repeated_rows_and_clashing_columns(spark):
+    r = random.Random(14)
+    made = [(i, prose(r, 40) + (" scoundrel villain rogue" if i % 5 == 0 else "")) for i in range(600)]
+    odd = [(None, "scoundrel villain rogue"), (None, None), (3, made[3][1]), (10, made[10][1]), (10, "calm"), (900, ""), (901, "villain rogue scoundrel " * 20000)]
+    d = spark.createDataFrame([(i, t, 0, 0.5, "k") for i, t in made + odd], "doc_id long, text string, toxic int, score double, kind string")
+    lab = spark.createDataFrame([(i, int(i % 5 == 0), "x") for i in range(0, 600, 2)] + [(10, 0, "y"), (None, None, None)], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(d, lab).collect()
+    assert len(got) == len(made + odd) and all(0 <= x.score <= 1 for x in got)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.doc_id].append(x.predicted)
+    assert sorted(by[None]) == [0, 1] and sorted(by[10]) == [0, 1, 1] and by[3] == [0, 0] and by[900] == [0] and by[901] == [1]
+    kept = toxicity.drop_toxic(d, lab)
+    assert kept.columns == d.columns and kept.count() == sum(not x.predicted for x in got)
+
+
+def test_counts_joins_and_rules_of_null_and_repeated_ids(spark):
+    copy = prose(random.Random(15), 60)
+    made = [(None, copy), (None, None), (5, copy), (5, copy), (5, "other words here now"), (9, copy + " x"), (2, "a b")]
+    d = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in made], "doc_id long, text string, n long, n_words int, digest int")
+    counts = collections.Counter((x.doc_id, x.n_tokens > 0) for x in token_counts.count_tokens(d, BPE).collect())
+    assert counts == {(None, True): 1, (None, False): 1, (5, True): 3, (9, True): 1, (2, True): 1}
+    links = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_jaccard.ngram_jaccard_join(d).collect()), key=repr)
+    n = len({tuple(copy.split()[k : k + 4]) for k in range(57)})
+    assert links == sorted([(None, n, None), (None, 0, None), (5, n, 5), (5, n, 5), (5, 1, 5), (9, n + 1, 5), (2, 1, 2)], key=repr)
+    rules = quality_rules.quality_rules(d, spark.createDataFrame([(5, 1), (5, 0), (None, 1)], "doc_id long, quality int")).collect()
+    assert collections.Counter((x.doc_id, x.n_words) for x in rules) == {(None, 60): 1, (None, 0): 1, (5, 60): 2, (5, 4): 1, (9, 61): 1, (2, 2): 1}
+
+
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}}
 
 
