@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 CORRUPT = "_corrupt"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, lines that are no object of the schema). Blank lines are skipped."""
-    wide = StructType(list(schema.fields)).add(CORRUPT, StringType())
-    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.trim("value").startswith("{")
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", parsed(F.col("value"), schema).alias("r"))
+    bad = broken(F.col("value"))
     return rows.where(~bad).select("r.*").drop(CORRUPT), rows.where(bad).select("value")
 
 
+def parsed(line: Column, schema: StructType) -> Column:
+    wide = StructType(list(schema.fields)).add(CORRUPT, StringType())
+    return F.from_json(line, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
+def broken(line: Column) -> Column:
+    return F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.trim(line).startswith("{")
+
+
+def read_numbered_jsonl(spark: SparkSession, path: str, schema: StructType, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows with file and line, errors (file, line, error)) of files of bounded size, each read whole.
+
+    An error is bad_json for a line that is no object of the schema, or
+    repeated_key for one whose ``key`` an earlier line of the same file has.
+    Lines count from 1, blank ones too, but they are no error.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "value"))
+    rows = whole.where(F.trim("value") != "").select("file", (F.col("i") + 1).alias("line"), "value", parsed(F.col("value"), schema).alias("r"))
+    bad = broken(F.col("value"))
+    errors = rows.where(bad).select("file", "line", F.lit("bad_json").alias("error"))
+    good = rows.where(~bad).select("file", "line", "r.*").drop(CORRUPT)
+    if key:
+        first = good.where(F.col(key).isNotNull()).groupBy("file", key).agg(F.min("line").alias("__first"))
+        marked = good.join(first, ["file", key], "left")
+        again = F.coalesce(F.col("line") > F.col("__first"), F.lit(False))
+        errors = errors.unionByName(marked.where(again).select("file", "line", F.lit("repeated_key").alias("error")))
+        good = marked.where(~again).select(*good.columns)
+    return good, errors
+
+
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     """key and count of keys that more than one row has."""
     return rows.groupBy(key).count().where("count > 1")
@@ -55,9 +84,22 @@ def append_receipts(receipts: DataFrame, path: str) -> None:
     receipts.write.mode("append").partitionBy("run_id", "shard").json(path)
 
 
+def in_order(value: Column, kind: DataType) -> Column:
+    """A value with the fields of all its structs, and the keys of its maps, sorted by name."""
+    if isinstance(kind, StructType):
+        fields = [in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: in_order(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(value, lambda k, v: in_order(v, kind.valueType)))))
+    return value
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """Rows as JSON objects with their fields sorted by name."""
-    report.select(*sorted(report.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Rows as JSON objects with their fields sorted by name at every level; null fields are kept."""
+    ordered = [in_order(F.col(f.name), f.dataType).alias(f.name) for f in sorted(report.schema.fields, key=lambda f: f.name)]
+    report.select(*ordered).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def project_items(rows: DataFrame, items: str, fields: list[str]) -> DataFrame:

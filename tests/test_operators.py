@@ -151,7 +151,7 @@ def test_lines_that_differ_late_are_no_conflict(spark, tmp_path):
     assert sorted((r.doc, r.line, r.subject) for r in found) == [(1, 1, same), (2, 1, same)]
 
 
-def test_the_references_rules_are_found(spark, tmp_path):
+def test_rules_of_a_public_surface_are_found(spark, tmp_path):
     from brindle.plans import corpus
 
     hits = ["ghp_" + "a1" * 12, "https://x.y.workers.dev/a", "Cloudflare account ID: " + "0a" * 16, "deployment ID: 0123abcd-" + "0a-" * 9 + "b" * 9, "'d1_counts': { count: 4", "GROQ_API_KEY", "uses CF_API_TOKEN here"]
@@ -187,3 +187,23 @@ def test_domains_and_their_fields(spark):
     assert (both["layout"], both["weight"], both["polling_rate"]) == ("75%", "1000g", "1000 Hz")
     assert fields("16000 DPI wired", ["mouse"])["maximum_dpi"] == "16000" and fields("paw3395 wired", ["mouse"])["tracking_method"] == "paw3395"
     assert fields("6369g generic mouse", ["mouse"])["weight"] == "6369g" and fields("mouse", ["mouse"]) == {} and fields(None, ["mouse"]) == {}
+
+
+def test_numbered_lines_and_reports_in_order(spark, tmp_path):
+    (tmp_path / "n.jsonl").write_text('{"id": 1}\n\n[2]\n{"id": 1}\n{"id": null}\n{"id": 3')
+    schema = StructType().add("id", LongType())
+    good, bad = files.read_numbered_jsonl(spark, str(tmp_path / "n.jsonl"), schema, "id")
+    assert sorted((r.line, r.id) for r in good.collect()) == [(1, 1), (5, None)]
+    assert sorted((r.line, r.error) for r in bad.collect()) == [(3, "bad_json"), (4, "repeated_key"), (6, "bad_json")]
+    nested = spark.sql("select named_struct('z', 1, 'a', array(named_struct('y', 2, 'b', map('q', 1, 'c', 2)))) as w, 1 as b, cast(null as struct<k:int>) as n")
+    files.write_report(nested, str(tmp_path / "r"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert text == ['{"b":1,"n":null,"w":{"a":[{"b":{"c":2,"q":1},"y":2}],"z":1}}']
+
+
+def test_sorted_digest_of_bounded_groups(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("r", "b", "2"), ("r", "a", "1"), ("s", "c", "3")], "repo string, path string, sha string")
+    got = {r.repo: (r.n_lines, r.digest) for r in audit.sorted_digest(rows, F.concat_ws("|", "repo", "path", "sha"), ["repo"], [F.col("path")]).collect()}
+    assert got == {"r": (2, hashlib.sha256(b"r|a|1\nr|b|2").hexdigest()), "s": (1, hashlib.sha256(b"s|c|3").hexdigest())}
