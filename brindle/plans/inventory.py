@@ -113,7 +113,7 @@ def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {FILES_SQL}, c as (select path as file from f where doc_id % 3 > 0),
-    p as (select s_suppkey as id, unnest(case s_suppkey % 5 when 0 then ['source' || s_nationkey || '/', 'nothing'] when 1 then ['source' || s_nationkey || '/en'] when 2 then ['s*x', 'zz*'] when 3 then [(select min(path) from f where doc_id % 7 = s_suppkey % 7)] else ['src' || s_nationkey, 'source1*'] end) as path from supplier where s_suppkey % 11 > 0 and s_suppkey % 13 > 0)
+    p as (select s_suppkey as id, unnest(case s_suppkey % 5 when 0 then ['src' || s_nationkey || '/', 'nothing'] when 1 then ['src' || s_nationkey || '/en'] when 2 then ['s*x', 'zz*'] when 3 then [(select min(path) from f where doc_id % 7 = s_suppkey % 7)] else ['src' || s_nationkey, 'src1*'] end) as path from supplier where s_suppkey % 11 > 0 and s_suppkey % 13 > 0)
     select id as finding_id, count(distinct file) as n_files from p join c on c.file = p.path or starts_with(c.file, rtrim(p.path, '/') || '/') or (contains(p.path, '*') and starts_with(c.file, split_part(p.path, '*', 1))) group by 1""")
 def path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings made of suppliers that touch changed files, but those that are informational or reported."""
@@ -122,7 +122,7 @@ def path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = f.where(F.col("path").isNotNull()).groupBy((F.col("doc_id") % 7).alias("m")).agg(F.min("path").alias("first"))
     s = load(spark, sf_dir, "supplier").join(F.broadcast(firsts), k % 7 == F.col("m"))
     one = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
-    paths = F.when(k % 5 == 0, F.array(one("source", n, "/"), F.lit("nothing"))).when(k % 5 == 1, F.array(one("source", n, "/en"))).when(k % 5 == 2, F.array(F.lit("s*x"), F.lit("zz*"))).when(k % 5 == 3, F.array("first")).otherwise(F.array(one("src", n), F.lit("source1*")))
+    paths = F.when(k % 5 == 0, F.array(one("src", n, "/"), F.lit("nothing"))).when(k % 5 == 1, F.array(one("src", n, "/en"))).when(k % 5 == 2, F.array(F.lit("s*x"), F.lit("zz*"))).when(k % 5 == 3, F.array("first")).otherwise(F.array(one("src", n), F.lit("src1*")))
     findings = s.select(k.alias("finding_id"), F.when(k % 11 == 0, "info").otherwise("high").alias("severity"), paths.alias("paths"))
     return I.path_overlaps(findings, f.where(F.col("doc_id") % 3 > 0).select(F.col("path").alias("file")), findings.where(F.col("finding_id") % 13 == 0))
 
