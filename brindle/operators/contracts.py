@@ -271,4 +271,5 @@ def source_counts(jobs: DataFrame, sources: list[str], expected: DataFrame, job:
         F.count_if(F.col(digest).isNull()).alias("jobs_without_lineage"),
     )
     missing = expected.select(job).distinct().join(jobs.select(job).distinct(), job, "left_anti").agg(F.count("*").alias("missing_jobs"))
-    return found.crossJoin(missing)
+    both = found.unionByName(missing, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
