@@ -14,13 +14,16 @@ LEAST_LINE = 24
 
 def line_key(line: Column) -> Column:
     """Trimmed, lower-cased line without list marks, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"\s+", " "))), r"^([-*]\s*)+", ""))
+    plain = F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    return F.when(plain.startswith("-") | plain.startswith("*"), F.trim(F.regexp_replace(plain, r"^([-*]\s*)+", ""))).otherwise(plain)
 
 
 def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """doc, line (from 1), raw, key of each line that isn't blank or a fence."""
-    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")).alias("i", "raw"))
-    return rows.select("doc", (F.col("i") + 1).alias("line"), "raw", line_key(F.col("raw")).alias("key")).where((F.col("key") != "") & ~F.col("key").startswith("```"))
+    # keys are made before the lines are exploded, so that later filters don't make them again
+    keyed = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.struct(x.alias("raw"), line_key(x).alias("key")))
+    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(keyed).alias("i", "x"))
+    return rows.select("doc", (F.col("i") + 1).alias("line"), "x.raw", "x.key").where((F.col("key") != "") & ~F.col("key").startswith("```"))
 
 
 def duplicate_lines(lines: DataFrame) -> DataFrame:
@@ -49,7 +52,9 @@ def conflicting_lines(lines: DataFrame) -> DataFrame:
 
 def scan_rules(docs: DataFrame, doc: str, text: str, rules: list[tuple[str, str, str]], exempt: DataFrame | None = None) -> DataFrame:
     """(doc, severity, label, fingerprint) for each rule (pattern, severity, label) that a text matches."""
-    hits = F.filter(F.array(*[F.when(F.col(text).rlike(p), F.struct(F.lit(s).alias("severity"), F.lit(name).alias("label"), F.regexp_extract(text, f"({p})", 1).alias("hit"))) for p, s, name in rules]), lambda x: x.isNotNull())
+    # no rule matches an empty text, so what is extracted tells whether it matches
+    every = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(name).alias("label"), F.regexp_extract(text, f"({p})", 1).alias("hit")) for p, s, name in rules])
+    hits = F.filter(every, lambda x: x["hit"] != "")
     found = docs.select(F.col(doc).alias("doc"), F.explode(hits).alias("h")).select("doc", "h.severity", "h.label", F.left(F.sha2("h.hit", 256), F.lit(16)).alias("fingerprint"))
     return found if exempt is None else found.join(exempt, ["doc", "label"], "left_anti")
 

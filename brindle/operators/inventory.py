@@ -56,6 +56,8 @@ LITERALS = [
     (r"""Authorization\s*[:=]\s*[`"']Bearer\s+[A-Za-z0-9._-]{20,}""", "high", "bearer credential"),
     (r"""(?i)(?:api[_-]?key|access[_-]?key|secret|password|token)\s*[:=]\s*["'][A-Za-z0-9_./+=:-]{24,}["']""", "high", "credential-like literal"),
 ]
+#: Shingles of items, of 16 bytes each, that are broadcast at most.
+FEW_SHINGLES = 250_000
 #: Most findings and characters of a detail in a report.
 MAX_FINDINGS, MAX_DETAIL = 40, 600
 
@@ -214,6 +216,8 @@ def near_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, width:
         return words.where(F.size("w") >= width).select(F.col(key), F.explode(F.array_distinct(grams)).alias("h"))
 
     own = shingles(items, item)
+    if own.count() <= FEW_SHINGLES:
+        own = F.broadcast(own)
     sizes = own.groupBy(item).agg(F.count("*").alias("size"))
     shared = shingles(docs, doc).join(own, "h").groupBy(doc, item).agg(F.count("*").alias("n_shared"))
     return shared.join(sizes, item).where(F.col("n_shared") * 100 >= F.col("size") * percent).select(doc, item, "n_shared")

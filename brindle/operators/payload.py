@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Passages of items, of 20 bytes each, that are broadcast at most.
+FEW_PASSAGES = 250_000
 MAX_BYTES, MAX_DEPTH, MAX_ITEMS, MAX_STRING = 1 << 20, 32, 1024, 131072
 
 
@@ -59,7 +61,10 @@ def shared_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, n: i
         words = df.select(key, F.split(F.coalesce("text", F.lit("")), " ").alias("w")).where(F.size("w") >= n)
         at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
         gram = [F.get("w", F.col("i") + j) for j in range(n)]
-        return at.select(key, F.xxhash64(*gram).alias("g"), F.hash(*gram).alias("g2")).distinct()
+        return at.select(key, F.xxhash64(*gram).alias("g"), F.hash(*gram).alias("g2"))
 
-    # two hashes stand for a passage, 96 bits together; the passages of the items decide how they meet
-    return passages(docs, doc).join(passages(items, item), ["g", "g2"]).groupBy(doc, item).agg(F.count("*").alias("n_shared"))
+    # two hashes stand for a passage, 96 bits together; few passages of items go to the documents, many meet them by a shuffle
+    wanted = passages(items, item).distinct()
+    if wanted.count() <= FEW_PASSAGES:
+        wanted = F.broadcast(wanted)
+    return passages(docs, doc).join(wanted, ["g", "g2"]).distinct().groupBy(doc, item).agg(F.count("*").alias("n_shared"))
