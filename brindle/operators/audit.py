@@ -199,7 +199,8 @@ def contradictions(claims: DataFrame, bucket: list[str], tolerance: float) -> Da
     The extremes decide, so no pairs are made within a bucket.
     """
     known = claims.where(F.col("value").isNotNull())
-    g = known.groupBy(*bucket).agg(F.count("*").alias("n_claims"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(F.struct("value", "id")).alias("a"), F.max(F.struct("value", (-F.col("id")).alias("i"))).alias("b"))
+    g = known.groupBy(*bucket).agg(F.count("*").alias("n_claims"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(F.struct("value",
+        "id")).alias("a"), F.max(F.struct("value", (-F.col("id")).alias("i"))).alias("b"))
     far = F.col("high") - F.col("low") > tolerance * F.greatest(F.abs("high"), F.abs("low"))
     return g.where(far).select(*bucket, "n_claims", "low", "high", F.col("a.id").alias("low_id"), (-F.col("b.i")).alias("high_id"))
 

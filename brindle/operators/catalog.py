@@ -24,7 +24,8 @@ def _text(df: DataFrame, name: str) -> Column:
 def route_field(df: DataFrame, canonical: str) -> Column:
     """struct(family, canonical, value, source) of the first filled source column, null if none is."""
     family, names = FIELDS[canonical]
-    found = [F.when(_text(df, n).isNotNull(), F.struct(F.lit(family).alias("family"), F.lit(canonical).alias("canonical"), _text(df, n).alias("value"), F.lit(n).alias("source"))) for n in names if n in df.columns]
+    found = [F.when(_text(df, n).isNotNull(), F.struct(F.lit(family).alias("family"), F.lit(canonical).alias("canonical"), _text(df,
+        n).alias("value"), F.lit(n).alias("source"))) for n in names if n in df.columns]
     return F.coalesce(*found) if found else F.lit(None).cast("struct<family:string,canonical:string,value:string,source:string>")
 
 
@@ -56,7 +57,9 @@ def map_product(df: DataFrame, keys: list[str]) -> DataFrame:
     value = {c: route_field(df, c)["value"] for c in FIELDS}
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     has_offers, has_specs = "offers" in df.columns, "specs" in df.columns
-    offers = F.transform("offers", lambda o: F.struct(text(o["seller_id"].cast("string")).alias("seller_id"), text(o["price"].cast("string")).alias("price"), text(o["currency"].cast("string")).alias("currency"), normalize_stock(o["availability"]).alias("availability"))) if has_offers else F.array()
+    offers = F.transform("offers", lambda o: F.struct(text(o["seller_id"].cast("string")).alias("seller_id"),
+        text(o["price"].cast("string")).alias("price"), text(o["currency"].cast("string")).alias("currency"),
+        normalize_stock(o["availability"]).alias("availability"))) if has_offers else F.array()
     first = lambda f: F.try_element_at(offers, F.lit(1))[f] if has_offers else F.lit(None).cast("string")
     spec = lambda *names: F.coalesce(*[F.try_element_at("specs", F.lit(n)) for n in names]) if has_specs else F.lit(None).cast("string")
     own_price = first_number(value["price"])
@@ -77,7 +80,9 @@ def map_product(df: DataFrame, keys: list[str]) -> DataFrame:
         text(value["url"]).alias("url"),
         (F.filter("images", lambda x: F.trim(x) != "") if "images" in df.columns else F.array().cast("array<string>")).alias("images"),
         offers.alias("offers"),
-        F.when(own_price.isNull(), F.array().cast("array<struct<code:string,severity:string,field:string>>")).otherwise(signals(own_price, category, F.lower(F.coalesce(spec("panel", "panel_type"), F.lit(""))), first_number(spec("refresh_rate", "hz")), first_number(spec("screen_size", "display_size")))).alias("plausibility"),
+        F.when(own_price.isNull(), F.array().cast("array<struct<code:string,severity:string,field:string>>")).otherwise(signals(own_price, category,
+            F.lower(F.coalesce(spec("panel", "panel_type"), F.lit(""))), first_number(spec("refresh_rate", "hz")), first_number(spec("screen_size",
+            "display_size")))).alias("plausibility"),
     )
 
 

@@ -96,7 +96,8 @@ def spec_map(value: Column) -> Column:
     entry = lambda k, x: F.struct(k.alias("k"), x.alias("v"))
     fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: entry(e["key"], of(e["value"])))
     item = lambda x, i: _text(F.try_variant_get(x, f"$[{i}]", "variant"))
-    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x).rlike("^ARRAY"), entry(item(x, 0), item(x, 1))).otherwise(entry(_first(x, "key", "name", "label"), _first(x, "value", "text", "displayValue"))))
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x).rlike("^ARRAY"), entry(item(x, 0),
+        item(x, 1))).otherwise(entry(_first(x, "key", "name", "label"), _first(x, "value", "text", "displayValue"))))
     entries = F.filter(F.when(kind.rlike("^OBJECT"), fields).when(kind.rlike("^ARRAY"), listed), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
     nothing = F.create_map().cast("map<string,string>")
     put = lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"]))

@@ -242,7 +242,8 @@ def run_completeness(shards: DataFrame, lanes: int = LANES, programs: int = PROG
         F.bool_and(state.eqNullSafe("dry_run")).alias("dry"),
         F.bool_and(state.eqNullSafe("live_research_executed")).alias("live"),
     )
-    aggregate = F.when(F.col("failed"), "lane_specific_failure").when(F.col("blocked"), "blocked_before_execution").when(F.col("dry"), "dry_run").when(F.col("live"), "live_research_executed").otherwise("partial_or_mixed")
+    aggregate = F.when(F.col("failed"), "lane_specific_failure").when(F.col("blocked"), "blocked_before_execution").when(F.col("dry"),
+        "dry_run").when(F.col("live"), "live_research_executed").otherwise("partial_or_mixed")
     broken = {
         "missing_lane": F.col("n_lanes") < lanes, "mixed_mode": (F.col("n_modes") > 1) | ~F.col("modes"), "mixed_revision": (F.col("n_revisions") > 1) | ~F.col("revisions"),
         "unknown_state": ~F.col("states"), "wrong_programs": ~F.col("programs"), "dry_run_in_live": F.col("dry_live"),

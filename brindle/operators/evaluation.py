@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brindle.functions.text import clamp3
 
 # Weights of the component scores.
-WEIGHTS = {"correctness": 0.24, "evidence_quality": 0.18, "completeness": 0.16, "precision": 0.14, "token_efficiency": 0.10, "tool_efficiency": 0.06, "context_efficiency": 0.07, "self_correction": 0.05}
+WEIGHTS = {"correctness": 0.24, "evidence_quality": 0.18, "completeness": 0.16, "precision": 0.14, "token_efficiency": 0.10, "tool_efficiency": 0.06,
+    "context_efficiency": 0.07, "self_correction": 0.05}
 METRICS = [*WEIGHTS, "overall"]
 
 
@@ -57,7 +58,9 @@ def fork_scores(forks: DataFrame) -> DataFrame:
 
 def fork_report(forks: DataFrame, keys: list[str]) -> DataFrame:
     s = fork_scores(forks)
-    return s.groupBy(*keys).agg(F.count("*").alias("observations"), F.count_if("decision_correct").alias("correct_observations"), F.round(F.count_if("decision_correct") / F.count("*"), 3).alias("decision_accuracy"), F.round(F.avg("normalized_rank_distance"), 3).alias("mean_rank_distance"), F.round(F.avg("decision_latency_ms"), 3).alias("mean_latency_ms"))
+    return s.groupBy(*keys).agg(F.count("*").alias("observations"), F.count_if("decision_correct").alias("correct_observations"),
+        F.round(F.count_if("decision_correct") / F.count("*"), 3).alias("decision_accuracy"), F.round(F.avg("normalized_rank_distance"),
+        3).alias("mean_rank_distance"), F.round(F.avg("decision_latency_ms"), 3).alias("mean_latency_ms"))
 
 
 def row_errors(rules: dict[str, Column]) -> Column:
@@ -110,7 +113,8 @@ def baseline_diff(runs: DataFrame, identity: list[str], order: str) -> DataFrame
     return r.select(*identity, order, decision.alias("decision"), *delta, *change)
 
 
-def compare_efficiency(pairs: DataFrame, growth: float = 0.10, min_cache_hit: float = 0.0, min_output_tokens: int = 0, min_output_ratio: float = 0.0, max_amplification: float | None = None) -> DataFrame:
+def compare_efficiency(pairs: DataFrame, growth: float = 0.10, min_cache_hit: float = 0.0, min_output_tokens: int = 0, min_output_ratio: float = 0.0,
+    max_amplification: float | None = None) -> DataFrame:
     """accepted and reason of each baseline (b_) and candidate (c_) pair; the order of the tests is their meaning."""
     c = lambda n: F.col(n).cast("double")
     total = lambda s: c(f"{s}_input") + c(f"{s}_output")

@@ -82,7 +82,8 @@ def signal_candidates(jobs: DataFrame, most: int = 8) -> DataFrame:
     kind = candidate_type(F.col("topic"), F.col("focus"))
     social = F.coalesce(F.col("reddit_status") == 200, F.lit(False)) | F.coalesce(F.col("x_status") == 200, F.lit(False))
     rows = jobs.select("job_id", "topic", kind.alias("k"), social.alias("social_signal_present"), support.alias("supporting_sources"), F.explode("target_issues").alias("issue"))
-    return rows.select(F.concat_ws("-", F.col("job_id").cast("string"), "issue").alias("candidate_id"), "issue", "job_id", F.col("k.type").alias("candidate_type"), F.col("k.probe").alias("benchmark_probe"), "supporting_sources", "social_signal_present")
+    return rows.select(F.concat_ws("-", F.col("job_id").cast("string"), "issue").alias("candidate_id"), "issue", "job_id",
+        F.col("k.type").alias("candidate_type"), F.col("k.probe").alias("benchmark_probe"), "supporting_sources", "social_signal_present")
 
 
 def code_signals(files: DataFrame, path: str, text: str) -> DataFrame:
@@ -187,9 +188,12 @@ def report_findings(findings: DataFrame, gates: DataFrame, most: int = MAX_FINDI
     """
     cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(MAX_DETAIL))
     text = lambda name, other: F.coalesce(F.col(name).cast("string"), F.lit(other))
-    own = findings.select(F.lit(0).alias("o"), F.lit("instruction-audit").alias("source"), text("kind", "finding").alias("kind"), text("document", "unknown").alias("document"), F.col("line").cast("long").alias("l"), text("line", "?").alias("line"), cut(F.col("detail")).alias("detail"))
+    own = findings.select(F.lit(0).alias("o"), F.lit("instruction-audit").alias("source"), text("kind", "finding").alias("kind"), text("document",
+        "unknown").alias("document"), F.col("line").cast("long").alias("l"), text("line", "?").alias("line"), cut(F.col("detail")).alias("detail"))
     failed = gates.where(F.upper("status").isin("FAIL", "FAILED", "BLOCKED"))
-    gate = failed.select(F.lit(1).alias("o"), F.lit("aggregate-benchmark").alias("source"), F.lit("hard-gate-failure").alias("kind"), F.lit("gates").alias("document"), F.lit(None).cast("long").alias("l"), F.lit("?").alias("line"), cut(F.concat_ws("=", "gate", F.upper("status"))).alias("detail"))
+    gate = failed.select(F.lit(1).alias("o"), F.lit("aggregate-benchmark").alias("source"), F.lit("hard-gate-failure").alias("kind"),
+        F.lit("gates").alias("document"), F.lit(None).cast("long").alias("l"), F.lit("?").alias("line"), cut(F.concat_ws("=", "gate",
+        F.upper("status"))).alias("detail"))
     return own.unionByName(gate).orderBy("o", "document", "l", "kind", "detail").limit(most).select("source", "kind", "document", "line", "detail")
 
 

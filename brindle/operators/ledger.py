@@ -90,7 +90,8 @@ def fold_lifecycle(events: DataFrame, key: str, order: list[str], raw: str) -> D
     most = events.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     numbered = events.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).select(key, "__i", step.alias("f"), F.lit(1).cast("long").alias("n"))
     while True:  # 64 events or pieces become one piece
-        grouped = numbered.groupBy(key, F.floor(F.col("__i") / piece).alias("__i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "f"))), lambda x: x["f"]).alias("fs"), F.sum("n").alias("n"))
+        grouped = numbered.groupBy(key, F.floor(F.col("__i") / piece).alias("__i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i",
+            "f"))), lambda x: x["f"]).alias("fs"), F.sum("n").alias("n"))
         whole = F.aggregate(F.slice("fs", 2, piece), F.element_at("fs", 1), lambda acc, f: F.transform(acc, lambda s: F.element_at(f, s.cast("int"))))
         numbered = grouped.select(key, "__i", whole.alias("f"), "n")
         most = -(-most // piece)
@@ -118,7 +119,8 @@ def revisit_gate(proposed: DataFrame, ledger: DataFrame) -> DataFrame:
     known = ledger.select(visit_key(F.col("task_id"), F.col("url")).alias("visit_key")).distinct().withColumn("seen", F.lit(True))
     p = proposed.withColumn("visit_key", visit_key(F.col("task_id"), F.col("url"))).join(known, "visit_key", "left")
     forced = F.coalesce(F.col("force_reason").isin(*FORCE_REASONS), F.lit(False))
-    return p.withColumn("allowed", F.col("seen").isNull() | forced).withColumn("reason", F.when(F.col("seen").isNull(), "new_source").when(forced, F.col("force_reason")).otherwise("already_visited_for_task")).drop("seen")
+    return p.withColumn("allowed", F.col("seen").isNull() | forced).withColumn("reason", F.when(F.col("seen").isNull(), "new_source").when(forced,
+        F.col("force_reason")).otherwise("already_visited_for_task")).drop("seen")
 
 
 def resume_eligible(receipts: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
@@ -139,7 +141,9 @@ def retirement_plan(refs: DataFrame, now: Column, min_age_days: int) -> DataFram
     order = [F.when(F.col("is_default"), 0).when(F.col("has_open_pr"), 1).when(F.col("is_protected"), 2).otherwise(3), F.length("name"), F.col("name")]
     r = refs.withColumn("n", F.row_number().over(Window.partitionBy("sha").orderBy(*order))).withColumn("keeper", F.first("name").over(Window.partitionBy("sha").orderBy(*order)))
     young = F.timestamp_diff("DAY", F.col("committed_at"), now) < min_age_days
-    reason = F.when(F.col("is_protected"), "protected").when(F.col("has_open_pr"), "open_pr").when(F.col("n") == 1, F.when(F.col("is_ancestor") & ~F.col("is_default") & ~young, "merged").otherwise("keeper")).when(young, "too_young").otherwise("duplicate_tip")
+    reason = F.when(F.col("is_protected"), "protected").when(F.col("has_open_pr"), "open_pr").when(F.col("n") == 1,
+        F.when(F.col("is_ancestor") & ~F.col("is_default") & ~young, "merged").otherwise("keeper")).when(young,
+        "too_young").otherwise("duplicate_tip")
     return r.select("name", "sha", "keeper", reason.alias("reason"), F.when(reason.isin("merged", "duplicate_tip"), "retire").otherwise("keep").alias("action"))
 
 
@@ -156,8 +160,10 @@ def frame_events(results: DataFrame, chunk: int = 256, max_bytes: int = 1 << 20)
     r = r.where((F.col("response_id") != "") & F.col("end").isNotNull() & (F.octet_length("text") <= max_bytes))
     row = lambda event, text=None, state=None, digest=None: F.struct(F.lit(event).alias("event"), (text if text is not None else F.lit(None).cast("string")).alias("text"), (state if state is not None else F.lit(None).cast("string")).alias("status"), (digest if digest is not None else F.lit(None).cast("string")).alias("digest"))
     n = F.ceil(F.length("text") / chunk).cast("int")
-    deltas = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: row("delta", F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))).otherwise(F.slice(F.array(row("delta", F.col("text"))), 1, 0))
-    usage = F.filter(F.array(row("usage", F.concat_ws("/", F.col("input_tokens").cast("string"), F.col("output_tokens").cast("string")))), lambda x: F.col("input_tokens").isNotNull()) if "input_tokens" in results.columns else None
+    deltas = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: row("delta", F.substring(F.col("text"), i * chunk + 1,
+        F.lit(chunk))))).otherwise(F.slice(F.array(row("delta", F.col("text"))), 1, 0))
+    usage = F.filter(F.array(row("usage", F.concat_ws("/", F.col("input_tokens").cast("string"), F.col("output_tokens").cast("string")))),
+        lambda x: F.col("input_tokens").isNotNull()) if "input_tokens" in results.columns else None
     parts = [F.array(row("start", None, F.lit("streaming"))), deltas, *([usage] if usage is not None else []), F.array(row("done", None, F.col("end"), F.sha2("text", 256)))]
     return r.select("response_id", F.posexplode(F.concat(*parts)).alias("seq", "e")).select("response_id", "seq", "e.*")
 
@@ -165,7 +171,8 @@ def frame_events(results: DataFrame, chunk: int = 256, max_bytes: int = 1 << 20)
 def reassemble(frames: DataFrame) -> DataFrame:
     """response_id, text, status and whether the digest of the reassembled text is the one that done names."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "delta", F.struct("seq", "text")))), lambda x: x["text"]), "")
-    out = frames.groupBy("response_id").agg(text.alias("text"), F.max(F.when(F.col("event") == "done", F.col("status"))).alias("status"), F.max(F.when(F.col("event") == "done", F.col("digest"))).alias("digest"))
+    out = frames.groupBy("response_id").agg(text.alias("text"), F.max(F.when(F.col("event") == "done", F.col("status"))).alias("status"),
+        F.max(F.when(F.col("event") == "done", F.col("digest"))).alias("digest"))
     return out.select("response_id", "text", "status", F.coalesce(F.sha2("text", 256) == F.col("digest"), F.lit(False)).alias("intact"))
 
 

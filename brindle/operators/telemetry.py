@@ -42,7 +42,8 @@ def health(observations: Column, failures: Column, blocked: Column, limited: Col
 def summarize(receipts: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by status and HTTP answer of receipts (status, http_status, elapsed_ms), by ``keys``."""
     status = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
-    return receipts.groupBy(*keys).agg(F.count("*").alias("observations"), F.count_if(F.col("status") != "ok").alias("failures"), *status, F.count("http_status").alias("http_seen"), F.sum("elapsed_ms").alias("elapsed_ms"))
+    return receipts.groupBy(*keys).agg(F.count("*").alias("observations"), F.count_if(F.col("status") != "ok").alias("failures"), *status,
+        F.count("http_status").alias("http_seen"), F.sum("elapsed_ms").alias("elapsed_ms"))
 
 
 def target_health(receipts: DataFrame, keys: list[str]) -> DataFrame:

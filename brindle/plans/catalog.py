@@ -27,13 +27,15 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("p_brand").alias("name")).alias("manufacturer"),
         F.when(F.col("p_size") >= 27, "monitor").otherwise(F.col("p_type")).alias("categoryName"),
         (F.col("p_retailprice") * 10).cast("decimal(12,2)").cast("string").alias("price"),
-        F.create_map(F.lit("panel"), F.when(F.col("p_partkey") % 5 == 0, "oled").otherwise("lcd"), F.lit("hz"), (60 * (1 + F.col("p_partkey") % 10)).cast("string"), F.lit("screen_size"), F.col("p_size").cast("string")).alias("specs"),
+        F.create_map(F.lit("panel"), F.when(F.col("p_partkey") % 5 == 0, "oled").otherwise("lcd"), F.lit("hz"),
+            (60 * (1 + F.col("p_partkey") % 10)).cast("string"), F.lit("screen_size"), F.col("p_size").cast("string")).alias("specs"),
     )
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    return load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("seller_id"), F.when(flag == "N", "in stock").when(flag == "R", "sold out").otherwise("unavailable").alias("availability"))
+    return load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("seller_id"),
+        F.when(flag == "N", "in stock").when(flag == "R", "sold out").otherwise("unavailable").alias("availability"))
 
 
 SIGNALS_SQL = """signals as (
@@ -84,12 +86,15 @@ def offer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers by product; the first one fills in for the product's own price and stock."""
     o = offers(spark, sf_dir).withColumn("stock", X.normalize_stock(F.col("availability")))
     order = F.struct("l_orderkey", "l_linenumber")
-    return o.groupBy("l_partkey").agg(F.count("*").alias("n_offers"), F.count_distinct("seller_id").alias("n_sellers"), F.min_by("seller_id", order).alias("first_seller"), F.min_by("stock", order).alias("first_stock"), F.count_if(F.col("stock") == "In Stock").alias("n_in_stock"))
+    return o.groupBy("l_partkey").agg(F.count("*").alias("n_offers"), F.count_distinct("seller_id").alias("n_sellers"), F.min_by("seller_id",
+        order).alias("first_seller"), F.min_by("stock", order).alias("first_stock"), F.count_if(F.col("stock") == "In Stock").alias("n_in_stock"))
 
 
 @query("""with t as (select l_orderkey * 10 + l_linenumber as k, case l_returnflag when 'N' then 'Stock: ' when 'R' then 'availability - ' else '' end ||
-      case l_linenumber % 7 when 0 then 'Sold  Out' when 1 then 'In-Stock' when 2 then 'Unavailable' when 3 then '0' when 4 then '12' when 5 then 'Pre-Order now' else 'discontinued' end as text from lineitem)
-    select text, case when text ilike '%unavailable%' or text ilike '%in-stock%' then 'In Stock' when text ilike '%sold  out%' then 'Out of Stock' when text like '%12' then 'In Stock' when text like '%0' then 'Out of Stock'
+      case l_linenumber % 7 when 0 then 'Sold  Out' when 1 then 'In-Stock' when 2 then 'Unavailable' when 3 then '0' when 4 then '12'
+        when 5 then 'Pre-Order now' else 'discontinued' end as text from lineitem)
+    select text, case when text ilike '%unavailable%' or text ilike '%in-stock%' then 'In Stock' when text ilike '%sold  out%' then 'Out of Stock'
+        when text like '%12' then 'In Stock' when text like '%0' then 'Out of Stock'
       when text ilike '%pre-order%' then 'Pre-Book' else 'Discontinued' end as label, count(*) as n from t group by all""")
 def stock_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, i = load(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 7
@@ -106,7 +111,8 @@ def plausibility_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANONICAL_SQL = """c as (select page_id, url, case when regexp_matches(url, '^(?i)https?://[^/?#]+') then
-      lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end
+      lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/'
+        else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end
       || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) end as canonical from pages)"""
 
 
@@ -122,7 +128,9 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Safe form or refusal of each page URL and of unsafe variants of it."""
     i, url = F.col("page_id") % 5, F.col("url")
-    made = F.when(i == 0, url).when(i == 1, F.replace(url, F.lit("://"), F.lit("://u:p@"))).when(i == 2, F.replace(url, F.lit("http"), F.lit("ftp"))).when(i == 3, F.concat(F.lit("http://10.0."), (F.col("page_id") % 250).cast("string"), F.lit(".1/x"))).otherwise(F.replace(url, F.lit("://"), F.lit("://www.")))
+    made = F.when(i == 0, url).when(i == 1, F.replace(url, F.lit("://"), F.lit("://u:p@"))).when(i == 2, F.replace(url, F.lit("http"),
+        F.lit("ftp"))).when(i == 3, F.concat(F.lit("http://10.0."), (F.col("page_id") % 250).cast("string"), F.lit(".1/x"))).otherwise(F.replace(url,
+        F.lit("://"), F.lit("://www.")))
     checked = load(spark, sf_dir, "pages").select("page_id", U.safe_url(made).alias("s"))
     return checked.select("page_id", F.col("s.url").alias("safe_url"), F.col("s.reason").alias("reason"))
 
@@ -141,7 +149,8 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with w as (select p_partkey, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' ')) as t, generate_subscripts(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' '), 1) as i from part),
-    k as (select p_partkey, t, min(i) as i from w where length(t) > 1 and t not in ('buy','online','india','best','price','new','sale','official','store','shop','free','shipping','warranty','the','and','with','for','offer','offers','deal','deals') group by all)
+    k as (select p_partkey, t, min(i) as i from w where length(t) > 1 and t not in
+        ('buy','online','india','best','price','new','sale','official','store','shop','free','shipping','warranty','the','and','with','for','offer','offers','deal','deals') group by all)
     select p.p_partkey, coalesce(string_agg(t, ' ' order by i), '') as tokens, count(t) as n_tokens from part p left join k on k.p_partkey = p.p_partkey group by p.p_partkey""")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = X.title_words(F.col("p_name"), ascii_only=True)
@@ -155,7 +164,9 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brand_category_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and category labels; the few distinct labels are normalized once and joined back."""
     i, j = F.col("p_partkey") % 4, F.col("p_partkey") % 5
-    rows = load(spark, sf_dir, "part").select("p_partkey", F.when(i == 0, " ASUSTeK ").when(i == 1, "Western  Digital.").when(i == 2, "hewlett-packard").otherwise(F.col("p_brand")).alias("b"), F.when(j == 0, "Gaming_Laptop").when(j == 1, "replacement tips").when(j == 2, "27 inch display panel").when(j == 3, "RGB mousepad").otherwise(F.col("p_type")).alias("c"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.when(i == 0, " ASUSTeK ").when(i == 1, "Western  Digital.").when(i == 2,
+        "hewlett-packard").otherwise(F.col("p_brand")).alias("b"), F.when(j == 0, "Gaming_Laptop").when(j == 1, "replacement tips").when(j == 2,
+        "27 inch display panel").when(j == 3, "RGB mousepad").otherwise(F.col("p_type")).alias("c"))
     brands = rows.select("b").distinct().select("b", X.normalize_brand(F.col("b"), True).alias("brand"))
     categories = rows.select("c").distinct().select("c", X.normalize_category(F.col("c"), True).alias("category"))
     return rows.join(brands, "b").join(categories, "c").select("p_partkey", "brand", "category")
@@ -166,7 +177,9 @@ def brand_category_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
       else substr(case when kind = 'mpn' then replace(regexp_replace(upper(trim(v)), '\\s+', '', 'g'), '_', '-') else regexp_replace(upper(trim(v)), '\\s+', '', 'g') end, 1, case when kind = 'variant_id' then 96 else 80 end) end as identifier from i""")
 def identifier_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, j = F.col("p_partkey") % 6, F.col("p_partkey") % 3
-    rows = load(spark, sf_dir, "part").select("p_partkey", F.when(i == 0, "N/A").when(i == 1, F.concat(F.lit(" ab_"), F.col("p_partkey").cast("string"), F.lit(" x"))).when(i == 2, "model").otherwise(F.col("p_name")).alias("v"), F.when(j == 0, "mpn").when(j == 1, "sku").otherwise("variant_id").alias("kind"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.when(i == 0, "N/A").when(i == 1, F.concat(F.lit(" ab_"),
+        F.col("p_partkey").cast("string"), F.lit(" x"))).when(i == 2, "model").otherwise(F.col("p_name")).alias("v"), F.when(j == 0,
+        "mpn").when(j == 1, "sku").otherwise("variant_id").alias("kind"))
     return rows.select("p_partkey", "kind", X.normalize_identifier(F.col("v"), F.col("kind"), True).alias("identifier"))
 
 
@@ -183,19 +196,24 @@ def gtin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with t as (select p_partkey as id, 'S' || p_partkey as sku, lower(trim(p_brand)) as brand, lower(trim(p_name)) as title, case when p_partkey % 2 = 0 then 'in' else 'us' end as region from part),
-    c as (select id + 1000000 as cid, case when id % 3 = 0 or id % 7 = 0 then null else sku end as sku, brand, title, case when id % 7 = 0 then null when id % 5 = 0 then 'eu' else region end as region from t),
+    c as (select id + 1000000 as cid, case when id % 3 = 0 or id % 7 = 0 then null else sku end as sku, brand, title, case when id % 7 = 0 then null
+        when id % 5 = 0 then 'eu' else region end as region from t),
     p as (select t.id, c.cid from t join c on lower(t.sku) = lower(c.sku) union select t.id, c.cid from t join c on t.brand = c.brand and t.title = c.title),
     d as (select p.id as t_id, p.cid as c_id,
-      coalesce(case when lower(t.sku) = lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand = c.brand then 'brand,' end, '') || coalesce(case when t.region = c.region then 'region,' end, '') as m,
-      coalesce(case when lower(t.sku) <> lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand <> c.brand then 'brand,' end, '') || coalesce(case when t.region <> c.region then 'region,' end, '') as x
+      coalesce(case when lower(t.sku) = lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand = c.brand then 'brand,' end,
+        '') || coalesce(case when t.region = c.region then 'region,' end, '') as m,
+      coalesce(case when lower(t.sku) <> lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand <> c.brand then 'brand,' end,
+        '') || coalesce(case when t.region <> c.region then 'region,' end, '') as x
       from p join t on t.id = p.id join c on c.cid = p.cid)
     select t_id, c_id, rtrim(m, ',') as matched, rtrim(x, ',') as conflicts, x = '' as accepted,
       case when x <> '' then 'identity conflict' when contains(m, 'sku') then 'exact identity match' else 'exact brand and title match' end as reason from d""")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts matched with a copy that lost or changed some fields."""
     k = F.col("p_partkey")
-    t = load(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("S"), k.cast("string")).alias("sku"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.when(k % 2 == 0, "in").otherwise("us").alias("region"))
+    t = load(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("S"), k.cast("string")).alias("sku"), F.col("p_brand").alias("brand"),
+        F.col("p_name").alias("title"), F.when(k % 2 == 0, "in").otherwise("us").alias("region"))
     i = F.col("id")
-    c = t.select((i + 1000000).alias("id"), F.when((i % 3 != 0) & (i % 7 != 0), F.col("sku")).alias("sku"), "brand", "title", F.when(i % 7 == 0, None).when(i % 5 == 0, "eu").otherwise(F.col("region")).alias("region"))
+    c = t.select((i + 1000000).alias("id"), F.when((i % 3 != 0) & (i % 7 != 0), F.col("sku")).alias("sku"), "brand", "title", F.when(i % 7 == 0,
+        None).when(i % 5 == 0, "eu").otherwise(F.col("region")).alias("region"))
     out = C.match_entities(t, c)
     return out.select("t_id", "c_id", F.array_join("matched", ",").alias("matched"), F.array_join("conflicts", ",").alias("conflicts"), "accepted", "reason")

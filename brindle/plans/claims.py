@@ -69,7 +69,8 @@ def loose_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 3, one('{"type":"', kind, '","size":', size, "}"))
         .when(k % 6 == 4, one('"', brand, '"'))
     )
-    images = F.when(k % 5 == 0, one('"http://a/', key, '"')).when(k % 5 == 1, one('{"src":"b', size, '","contentUrl":"z"}')).when(k % 5 == 2, one('["u1",{"contentUrl":"c', key, '"},{"x":1},""," s ",null]')).when(k % 5 == 3, F.lit("7"))
+    images = F.when(k % 5 == 0, one('"http://a/', key, '"')).when(k % 5 == 1, one('{"src":"b', size, '","contentUrl":"z"}')).when(k % 5 == 2,
+        one('["u1",{"contentUrl":"c', key, '"},{"x":1},""," s ",null]')).when(k % 5 == 3, F.lit("7"))
     text = F.array_join(F.transform(F.array_sort(F.map_entries(C.spec_map(specs))), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return load(spark, sf_dir, "part").select("p_partkey", text.alias("specs"), F.array_join(C.image_urls(images), ",").alias("images"))
 
@@ -80,15 +81,20 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forbidden paths, artifacts, dated documents, and contents that are no UTF-8."""
     i = F.col("doc_id")
     day = F.lpad((i % 28 + 1).cast("string"), 2, "0")
-    q = F.when(i % 10 == 3, F.concat(F.lit("docs/2024-05-"), day, F.lit(".md"))).when(i % 10 == 4, "docs/history/2024_05_01.md").when(i % 10 == 5, F.concat(F.lit("a/__pycache__/"), i.cast("string"), F.lit(".txt"))).when(i % 10 == 6, F.concat(i.cast("string"), F.lit(".pyc"))).otherwise(F.col("path"))
+    q = F.when(i % 10 == 3, F.concat(F.lit("docs/2024-05-"), day, F.lit(".md"))).when(i % 10 == 4, "docs/history/2024_05_01.md").when(i % 10 == 5,
+        F.concat(F.lit("a/__pycache__/"), i.cast("string"), F.lit(".txt"))).when(i % 10 == 6, F.concat(i.cast("string"),
+        F.lit(".pyc"))).otherwise(F.col("path"))
     rows = files(spark, sf_dir).select(q.alias("path"), F.when(i % 10 == 7, F.unhex(F.lit("C328")).cast("string")).otherwise(F.lit("ok")).alias("content"))
     forbidden = P.path_findings(rows, "path", [("s*/fr/*.py", "fr-python")]).withColumnRenamed("code", "rule")
     return P.name_hygiene(rows, "path", "content").unionByName(forbidden)
 
 
 @query(f"""with {FILES_SQL}, g as (select doc_id % 7 = 0 as c, * from f)
-    select 'python' as "group", count(*) filter (regexp_matches(path, '^s[^/]*/[^/]*/[^/]*\\.py$')) as n_matched, count(*) filter (c and regexp_matches(path, '^s[^/]*/[^/]*/[^/]*\\.py$')) as n_changed, 0::bigint as n_docs_changed, 'missing_document' as problem from g
-    union all select 'rust', count(*) filter (regexp_matches(path, '\\.rs$')), count(*) filter (c and regexp_matches(path, '\\.rs$')), 0, case when count(*) filter (c and regexp_matches(path, '\\.rs$')) > 0 then 'change_without_document' else '' end from g
+    select 'python' as "group", count(*) filter (regexp_matches(path, '^s[^/]*/[^/]*/[^/]*\\.py$')) as n_matched,
+        count(*) filter (c and regexp_matches(path, '^s[^/]*/[^/]*/[^/]*\\.py$')) as n_changed, 0::bigint as n_docs_changed,
+        'missing_document' as problem from g
+    union all select 'rust', count(*) filter (regexp_matches(path, '\\.rs$')), count(*) filter (c and regexp_matches(path, '\\.rs$')), 0, case
+        when count(*) filter (c and regexp_matches(path, '\\.rs$')) > 0 then 'change_without_document' else '' end from g
     union all select 'loose', count(*) filter (regexp_matches(path, '/d[0-9]\\.ts$')), count(*) filter (c and regexp_matches(path, '/d[0-9]\\.ts$')), 0, '' from g union all select 'none', 0, 0, 0, 'no_match'""")
 def paired_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of sources and documents, and what is wrong with each; the first document is looked up in the table."""
@@ -100,7 +106,8 @@ def paired_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {FILES_SQL}, p as (select lang || '_' || substr('abcdefghij', doc_id::integer % 10 + 1, 1) || '-v' || (doc_id % 3) || case doc_id % 2 when 0 then '.Py' else '.md' end as base, source || '/' || doc_id || '/' as dir from f),
     n as (select 'name' as kind, lower(base) as name, count(*) as n, min(dir || base) as first_path from p where regexp_matches(lower(base), '\\.py$') group by all having count(*) >= 3),
-    v as (select 'family' as kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '\\.[^.]*$', ''), '-v\\d+(?:-v\\d+)*$', ''), '\\d+$', ''), '[-_]+', ' ', 'g') as name, dir || base as path from p)
+    v as (select 'family' as kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '\\.[^.]*$', ''), '-v\\d+(?:-v\\d+)*$', ''),
+        '\\d+$', ''), '[-_]+', ' ', 'g') as name, dir || base as path from p)
     select * from n union all select kind, name, count(*), min(path) from v group by kind, name having count(*) > 1""")
 def like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names that many files bear, and families of versions."""

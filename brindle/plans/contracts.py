@@ -62,7 +62,8 @@ def case_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with c as (select {CASES} from documents), i as (select corpus_id, case_id % 900 as k, count(*) as n, min(corpus_version) as v0, max(corpus_version) as v1 from c group by all),
     g as (select corpus_id, sum(n) as n, max(n) as most, min(v0) as v0, max(v1) as v1 from i group by 1),
     m as (select distinct source as corpus_id from documents union all select 'nowhere')
-    select m.corpus_id, {errors_sql({"no_cases": "g.n is null", "too_many_cases": "g.n > 300", "repeated_ids": "g.most > 1", "other_version": "g.n is not null and not (g.v0 = 'v1' and g.v1 = 'v1')", "missing_approval": "length(m.corpus_id) % 2 = 0"})} as errors
+    select m.corpus_id,
+        {errors_sql({"no_cases": "g.n is null", "too_many_cases": "g.n > 300", "repeated_ids": "g.most > 1", "other_version": "g.n is not null and not (g.v0 = 'v1' and g.v1 = 'v1')", "missing_approval": "length(m.corpus_id) % 2 = 0"})} as errors
     from m left join g using (corpus_id)""")
 def corpus_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with corpora as wholes: a source is a corpus, ids repeat from 900 on."""
@@ -80,7 +81,8 @@ DIMENSIONS = """o_orderkey, case o_orderkey % 3 when 0 then 'latency' when 1 the
 
 
 @query(f"""with d as (select {DIMENSIONS} from orders), n as (select o_custkey, dimension, count(*) > 1 as repeated from d group by all)
-    select o_orderkey, {errors_sql({"blank:source": "trim(source) = ''", "out_of_range": "dimension <> 'latency' and (value < 0 or value > 1)", "negative_latency": "dimension = 'latency' and value < 0", "negative_baseline": "baseline < 0", "negative_regression": "max_regression < 0", "repeated_dimension": "n.repeated"})} as errors
+    select o_orderkey,
+        {errors_sql({"blank:source": "trim(source) = ''", "out_of_range": "dimension <> 'latency' and (value < 0 or value > 1)", "negative_latency": "dimension = 'latency' and value < 0", "negative_baseline": "baseline < 0", "negative_regression": "max_regression < 0", "repeated_dimension": "n.repeated"})} as errors
     from d join n using (o_custkey, dimension)""")
 def dimension_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that scorecard dimensions break; a customer's orders are a scorecard."""
@@ -112,7 +114,8 @@ RECEIPTS = """o_orderkey, o_custkey, case when o_orderkey % 17 = 0 then ' ' else
     case o_orderkey % 6 when 0 then 'failed' when 1 then 'running' when 2 then 'partial_or_failed' else 'completed' end as execution_state, case when o_orderkey % 5 = 0 then '' end as workflow_id, 'w' as workflow_run_id"""
 
 
-@query("select o_orderkey, " + errors_sql({"blank:repository": "o_orderkey % 17 = 0", "unknown_state": "o_orderkey % 6 = 1", "blank:workflow_id": "o_orderkey % 5 = 0", "sensitive_key": "o_orderkey % 9 < 2"}) + " as errors from orders")
+@query("select o_orderkey, " + errors_sql({"blank:repository": "o_orderkey % 17 = 0", "unknown_state": "o_orderkey % 6 = 1",
+    "blank:workflow_id": "o_orderkey % 5 = 0", "sensitive_key": "o_orderkey % 9 < 2"}) + " as errors from orders")
 def receipt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that reproducibility receipts break, sensitive keys anywhere in their configuration among them."""
     k = F.col("o_orderkey")
@@ -122,7 +125,8 @@ def receipt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with r as (select {RECEIPTS} from orders), l as (select o_custkey, max(o_orderkey) as c, min(o_orderkey) as p from r group by 1),
-    j as (select l.o_custkey, l.c = l.p as lone, a.repository <> b.repository as d1, a.suite <> b.suite as d2, a.suite_version <> b.suite_version as d3, a.configuration_digest <> b.configuration_digest as d4,
+    j as (select l.o_custkey, l.c = l.p as lone, a.repository <> b.repository as d1, a.suite <> b.suite as d2,
+        a.suite_version <> b.suite_version as d3, a.configuration_digest <> b.configuration_digest as d4,
         a.execution_state = 'running' as s1, b.execution_state not in ('completed', 'partial_or_failed') as s2
         from l join r a on a.o_orderkey = l.c join r b on b.o_orderkey = l.p)
     select o_custkey, not (lone or d1 or d2 or d3 or d4 or s1 or s2) as compatible,
@@ -137,21 +141,25 @@ def receipt_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select conv_id, turn, " + errors_sql({
-    "not_an_object": "k = 0", "private_fields": "k = 0 or k = 1", "blank:program_id": "k = 0 or k = 2", "blank:topic": "k = 0 or trim(coalesce(text, '')) = ''", "bad_lane": "k = 0 or k = 3", "bad_slot": "k = 0 or turn > 7",
-    "unknown:status": "k = 0 or k = 4", "unknown:research_type": "k = 0 or role <> 'user'", "private_measures": "k = 0 or k = 5", "measure_not_a_number": "k = 0 or k = 6", "findings_not_a_list": "k = 0 or k = 7",
+    "not_an_object": "k = 0", "private_fields": "k = 0 or k = 1", "blank:program_id": "k = 0 or k = 2",
+        "blank:topic": "k = 0 or trim(coalesce(text, '')) = ''", "bad_lane": "k = 0 or k = 3", "bad_slot": "k = 0 or turn > 7",
+    "unknown:status": "k = 0 or k = 4", "unknown:research_type": "k = 0 or role <> 'user'", "private_measures": "k = 0 or k = 5",
+        "measure_not_a_number": "k = 0 or k = 6", "findings_not_a_list": "k = 0 or k = 7",
     "private_finding_fields": "k = 0 or k = 7 or k = 8", "blank:claim": "k = 0 or k = 7 or k = 9", "credential": "k = 0 or k = 7 or k = 10", "private_url": "k = 0 or k = 7 or k between 11 and 13",
 }).replace("list_sort", "list_sort") + " as errors from (select *, (conv_id * 31 + turn) % 17 as k from conversations) where not regexp_matches(coalesce(text, ''), '(?i)(api|access|private|password|authorization)')")
 def publishable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Program records made of chat turns, and why they may not be published."""
     k = F.col("k")
-    rows = load(spark, sf_dir, "conversations").where(~F.coalesce("text", F.lit("")).rlike("(?i)(api|access|private|password|authorization)")).withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % 17)
+    rows = load(spark, sf_dir, "conversations").where(~F.coalesce("text",
+        F.lit("")).rlike("(?i)(api|access|private|password|authorization)")).withColumn("k", (F.col("conv_id") * 31 + F.col("turn")) % 17)
     url = F.when(k == 11, "http://localhost:80/x").when(k == 12, "https://10.1.2.3/").when(k == 13, "ftp://example.com/").otherwise("https://example.com/a")
     claim = F.when(k == 9, " ").when(k == 10, "api_key: abc123").otherwise("c")
     finding = F.struct(claim.alias("claim"), url.alias("source_url"), F.when(k == 8, "x").alias("mail"), F.lit("web").alias("source_family"))
     measures = F.struct(F.lit(3).alias("allocated_agents"), F.when(k == 6, "3").alias("failed_agents"), F.lit(0.25).alias("duplicate_rate"), F.when(k == 5, 1).alias("cost"))
     record = F.struct(
         F.lit("v1").alias("schema"), F.when(k == 2, " ").otherwise("p").alias("program_id"), F.when(k == 3, 3).otherwise(1).alias("lane"), F.col("turn").alias("slot"),
-        F.when(k == 4, "done").otherwise("completed").alias("status"), F.when(F.col("role") == "user", "search").otherwise("talk").alias("research_type"), F.left(F.coalesce("text", F.lit("")), F.lit(100)).alias("topic"),
+        F.when(k == 4, "done").otherwise("completed").alias("status"), F.when(F.col("role") == "user",
+            "search").otherwise("talk").alias("research_type"), F.left(F.coalesce("text", F.lit("")), F.lit(100)).alias("topic"),
         measures.alias("measurement"), F.when(k != 7, F.array(finding)).alias("findings"), F.when(k == 1, "x").alias("owner"),
     )
     text = F.when(k == 0, "[1]").when(k == 7, F.regexp_replace(F.to_json(record), r"\}$", ',"findings":7}')).otherwise(F.to_json(record))
@@ -164,7 +172,8 @@ def visit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     results = F.array(*[F.lit(r) for r in (*C.VISIT_RESULTS, "nice", "")])
     one = F.array(F.lit("x"))
-    rows = load(spark, sf_dir, "pages").select("page_id", F.get(results, (i % 9).cast("int")).alias("result"), one.alias("tasks"), one.alias("visits"), F.when(i % 5 > 0, one).alias("findings"), one.alias("next_tasks"))
+    rows = load(spark, sf_dir, "pages").select("page_id", F.get(results, (i % 9).cast("int")).alias("result"), one.alias("tasks"),
+        one.alias("visits"), F.when(i % 5 > 0, one).alias("findings"), one.alias("next_tasks"))
     return errors_of(rows, ["page_id"], C.visit_rules())
 
 
@@ -208,7 +217,9 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(k % 7 == 1, "release/v0").when(k % 7 != 2, "release/v1")
     revision = F.sha1(k.cast("string").cast("binary"))
     outcome = F.when(F.col("o_orderstatus") == "O", "success").when(F.col("o_orderstatus") == "F", "failure").otherwise("?")
-    rows = load(spark, sf_dir, "orders").select("o_orderkey", version.alias("schema_version"), F.when(k % 5 == 0, F.upper(F.concat(revision, F.lit("g")))).otherwise(revision).alias("revision"), outcome.alias("outcome"), (k % 9).alias("attempts"), F.year("o_orderdate").cast("string").alias("created_at"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", version.alias("schema_version"), F.when(k % 5 == 0, F.upper(F.concat(revision,
+        F.lit("g")))).otherwise(revision).alias("revision"), outcome.alias("outcome"), (k % 9).alias("attempts"),
+        F.year("o_orderdate").cast("string").alias("created_at"))
     return errors_of(rows, ["o_orderkey"], C.contract_rules(RELEASE))
 
 
@@ -221,7 +232,8 @@ SHARDS = """o_custkey as run_id, o_orderkey % 3 as lane, case when o_custkey % 1
 @query(f"""with s as (select {SHARDS} from orders), g as (select run_id, count(distinct lane) < 3 as l, count(distinct mode) > 1 or bool_or(mode = 'test') as m, count(distinct revision) > 1 or bool_or(revision = '') as v,
       bool_or(state = 'odd') as u, bool_or(short and state in ('dry_run', 'live_research_executed')) as p, bool_or(mode = 'live' and state = 'dry_run') as d,
       bool_or(state = 'lane_failure') as f, bool_or(state = 'blocked_before_execution') as b, bool_and(state = 'dry_run') as dry, bool_and(state = 'live_research_executed') as live from s group by 1)
-    select run_id, case when f then 'lane_specific_failure' when b then 'blocked_before_execution' when dry then 'dry_run' when live then 'live_research_executed' else 'partial_or_mixed' end as aggregate,
+    select run_id, case when f then 'lane_specific_failure' when b then 'blocked_before_execution' when dry then 'dry_run'
+        when live then 'live_research_executed' else 'partial_or_mixed' end as aggregate,
       {errors_sql({"missing_lane": "l", "mixed_mode": "m", "mixed_revision": "v", "unknown_state": "u", "wrong_programs": "p", "dry_run_in_live": "d"})} as errors from g""")
 def run_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each run, a customer's orders as its shards, is whole."""
@@ -239,12 +251,14 @@ def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with j as (select event_id, case event_type when 'click' then 200 when 'view' then 404 end as web, case when event_id % 3 = 0 then 200 else 500 end as forum, case when event_id % 7 > 0 then user_id end as g from events where event_id % 10 > 0)
-    select count(*) filter (web = 200) as ok_web, count(*) filter (forum = 200) as ok_forum, count(*) filter (coalesce(web, 0) <> 200 and forum <> 200) as jobs_without_source, count(distinct g) as lineage_digests, count(*) filter (g is null) as jobs_without_lineage,
+    select count(*) filter (web = 200) as ok_web, count(*) filter (forum = 200) as ok_forum, count(*) filter (coalesce(web,
+        0) <> 200 and forum <> 200) as jobs_without_source, count(distinct g) as lineage_digests, count(*) filter (g is null) as jobs_without_lineage,
       (select count(*) from events where event_id % 10 = 0) as missing_jobs from j""")
 def job_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the expected jobs were run, and which sources answered."""
     i, e = F.col("event_id"), load(spark, sf_dir, "events")
-    jobs = e.where(i % 10 > 0).select("event_id", F.when(F.col("event_type") == "click", 200).when(F.col("event_type") == "view", 404).alias("web"), F.when(i % 3 == 0, 200).otherwise(500).alias("forum"), F.when(i % 7 > 0, F.col("user_id")).alias("g"))
+    jobs = e.where(i % 10 > 0).select("event_id", F.when(F.col("event_type") == "click", 200).when(F.col("event_type") == "view", 404).alias("web"),
+        F.when(i % 3 == 0, 200).otherwise(500).alias("forum"), F.when(i % 7 > 0, F.col("user_id")).alias("g"))
     return C.source_counts(jobs, ["web", "forum"], e.select("event_id"), "event_id", "g")
 
 
@@ -298,7 +312,8 @@ def domain_sql() -> str:
 def domain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains of parts by their texts, the first related domain, and the fields that the domains' rules find."""
     n = (F.col("p_partkey") % len(PHRASES)).cast("int")
-    rows = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.get(F.array(*[F.lit(p) for p in PHRASES]), n)).alias("t"), F.when(F.col("p_partkey") % 3 == 0, "monitor").otherwise(F.lower("p_type")).alias("c"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.get(F.array(*[F.lit(p) for p in PHRASES]), n)).alias("t"),
+        F.when(F.col("p_partkey") % 3 == 0, "monitor").otherwise(F.lower("p_type")).alias("c"))
     found = rows.withColumn("d", D.detect_domains(F.col("t"), F.col("c"))).where(F.size("d") > 0)
     fields = F.transform(F.array_sort(F.map_entries(D.domain_fields(F.lower("t"), F.col("d"), F.col("t")))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     first = F.coalesce(F.get(D.related_domains(F.col("d")), F.lit(0)), F.lit(""))

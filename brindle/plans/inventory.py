@@ -19,7 +19,9 @@ SOURCES = [
     (".php", "public static function Get($x)\nfunction main($y)"),
     ("", "def nothing(x)\nredis and sqlite"),
 ]
-FILES_SQL = "f as (select doc_id, source || '/' || lang || '/d' || doc_id || case doc_id % 8 " + " ".join(f"when {i} then '{e}'" for i, (e, _) in enumerate(SOURCES)) + " end as path, case doc_id % 8 " + " ".join("when {} then '{}'".format(i, t.replace("'", "''")) for i, (_, t) in enumerate(SOURCES)) + " end || coalesce(text, '') as text, lang, source, text as own from documents)"
+FILES_SQL = "f as (select doc_id, source || '/' || lang || '/d' || doc_id || case doc_id % 8 " + " ".join(f"when {i} then '{e}'" for i, (e,
+    _) in enumerate(SOURCES)) + " end as path, case doc_id % 8 " + " ".join("when {} then '{}'".format(i, t.replace("'", "''")) for i, (_,
+    t) in enumerate(SOURCES)) + " end || coalesce(text, '') as text, lang, source, text as own from documents)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +34,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""with {FILES_SQL} select path, array_to_string(list_distinct_in_order, ',') as imports, n_exported, has_subprocess, has_exec_python, has_network, has_state, worker_entrypoint, main_entrypoint from (
     select path, list_filter(i, lambda x, k: list_position(i, x) = k) as list_distinct_in_order, len(regexp_extract_all(text, '(?m)^(?:async\s+)?(?:def|class)\s+\w+'))::bigint as n_exported,
-      regexp_matches(text, 'subprocess|os\.system|Popen') as has_subprocess, regexp_matches(text, 'python(?:3)?\s+-m|sys\.executable') as has_exec_python, regexp_matches(text, 'requests|httpx|urllib|aiohttp') as has_network,
-      regexp_matches(text, 'sqlite|d1|redis|kv|durable|ledger|persistence') as has_state, regexp_matches(text, 'WorkerEntrypoint|export\s+default|async\s+def\s+scheduled\b|async\s+def\s+fetch\b') as worker_entrypoint,
+      regexp_matches(text, 'subprocess|os\.system|Popen') as has_subprocess, regexp_matches(text,
+        'python(?:3)?\s+-m|sys\.executable') as has_exec_python, regexp_matches(text, 'requests|httpx|urllib|aiohttp') as has_network,
+      regexp_matches(text, 'sqlite|d1|redis|kv|durable|ledger|persistence') as has_state, regexp_matches(text,
+        'WorkerEntrypoint|export\s+default|async\s+def\s+scheduled\b|async\s+def\s+fetch\b') as worker_entrypoint,
       regexp_matches(text, 'if\s+__name__\s*==\s*["'']__main__["'']') as main_entrypoint
     from (select *, regexp_extract_all(text, '(?:^|\n)\s*(?:from|import)\s+([A-Za-z_][\w.]*)', 1) as i from f))""")
 def code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,8 @@ def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.inventory_counts(files(spark, sf_dir), "path", F.length("own") > 2000, "lang", "source")
 
 
-CANDIDATES_SQL = "case " + " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{kind}/{probe}'" for words, kind, probe in I.CANDIDATE_RULES) + f" else '{'/'.join(I.OTHER_CANDIDATE)}' end"
+CANDIDATES_SQL = "case " + " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{kind}/{probe}'" for words, kind,
+    probe in I.CANDIDATE_RULES) + f" else '{'/'.join(I.OTHER_CANDIDATE)}' end"
 
 
 @query(f"""select k as candidate, count(*) as n from (select {CANDIDATES_SQL} as k from (select lower(p_name || ' ' || case p_partkey % 11 when 0 then 'Graph' when 1 then 'decision' when 2 then 'C++ parts' when 3 then 'Typed' when 4 then 'internet' when 5 then 'supply' when 6 then 'browser' when 7 then 'runtime' when 8 then 'research' when 9 then 'memory' else p_type end) as t from part)) group by 1""")
@@ -96,7 +101,8 @@ def candidate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select l_orderkey as job_id, list(struct_pack(title := l_linestatus || l_linenumber, url := 'u' || l_partkey) order by l_linenumber, l_partkey, l_linestatus) as s from lineitem group by 1),
     j as (select job_id, o_orderstatus as st, o_orderpriority as pr, s, job_id % 2 = 0 as seed, job_id % 7 = 0 as reddit from l join orders on o_orderkey = job_id)
     select job_id || '-' || issue as candidate_id, issue, job_id, 'general_agent' as candidate_type, 'FI-11' as benchmark_probe, reddit as social_signal_present,
-      array_to_string(list_transform(list_concat(case when seed then list_transform(s, lambda x: 'seed ' || x.title || ' ' || x.url) else [] end, list_transform(s, lambda x: 'issue ' || x.title || ' ' || x.url))[1:8], lambda x: x), ',') as supporting_sources
+      array_to_string(list_transform(list_concat(case when seed then list_transform(s, lambda x: 'seed ' || x.title || ' ' || x.url) else [] end,
+        list_transform(s, lambda x: 'issue ' || x.title || ' ' || x.url))[1:8], lambda x: x), ',') as supporting_sources
     from (select *, unnest(case st when 'F' then ['a', 'b'] when 'O' then ['a'] else [] end) as issue from j)""")
 def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as research jobs, each with its lines as sources, and the issues that they target."""
@@ -106,14 +112,18 @@ def signal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("a"), F.lit("b"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
     none = F.lit(None).cast("array<struct<title:string,url:string>>")
     jobs = lines.join(load(spark, sf_dir, "orders"), F.col("job_id") == F.col("o_orderkey")).select(
-        "job_id", F.lit("vehicle").alias("topic"), F.lit("x").alias("focus"), targets.alias("target_issues"), F.when(F.col("job_id") % 2 == 0, sources).alias("seeds"), none.alias("repositories"), sources.alias("issues"),
+        "job_id", F.lit("vehicle").alias("topic"), F.lit("x").alias("focus"), targets.alias("target_issues"), F.when(F.col("job_id") % 2 == 0,
+            sources).alias("seeds"), none.alias("repositories"), sources.alias("issues"),
         F.when(F.col("job_id") % 7 == 0, 200).alias("reddit_status"), F.lit(404).alias("x_status"),
     )
     return I.signal_candidates(jobs).withColumn("supporting_sources", F.array_join(F.transform("supporting_sources", lambda x: F.concat_ws(" ", x["source_type"], x["title"], x["url"])), ","))
 
 
 @query(f"""with {FILES_SQL}, c as (select path as file from f where doc_id % 3 > 0),
-    p as (select s_suppkey as id, unnest(case s_suppkey % 5 when 0 then ['src' || s_nationkey || '/', 'nothing'] when 1 then ['src' || s_nationkey || '/en'] when 2 then ['s*x', 'zz*'] when 3 then [(select min(path) from f where doc_id % 7 = s_suppkey % 7)] else ['src' || s_nationkey, 'src1*'] end) as path from supplier where s_suppkey % 11 > 0 and s_suppkey % 13 > 0)
+    p as (select s_suppkey as id, unnest(case s_suppkey % 5 when 0 then ['src' || s_nationkey || '/', 'nothing']
+        when 1 then ['src' || s_nationkey || '/en'] when 2 then ['s*x', 'zz*'] when 3 then [(select min(path) from f
+        where doc_id % 7 = s_suppkey % 7)] else ['src' || s_nationkey, 'src1*'] end) as path from supplier
+        where s_suppkey % 11 > 0 and s_suppkey % 13 > 0)
     select id as finding_id, count(distinct file) as n_files from p join c on c.file = p.path or starts_with(c.file, rtrim(p.path, '/') || '/') or (contains(p.path, '*') and starts_with(c.file, split_part(p.path, '*', 1))) group by 1""")
 def path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings made of suppliers that touch changed files, but those that are informational or reported."""
@@ -122,7 +132,8 @@ def path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = f.where(F.col("path").isNotNull()).groupBy((F.col("doc_id") % 7).alias("m")).agg(F.min("path").alias("first"))
     s = load(spark, sf_dir, "supplier").join(F.broadcast(firsts), k % 7 == F.col("m"))
     one = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
-    paths = F.when(k % 5 == 0, F.array(one("src", n, "/"), F.lit("nothing"))).when(k % 5 == 1, F.array(one("src", n, "/en"))).when(k % 5 == 2, F.array(F.lit("s*x"), F.lit("zz*"))).when(k % 5 == 3, F.array("first")).otherwise(F.array(one("src", n), F.lit("src1*")))
+    paths = F.when(k % 5 == 0, F.array(one("src", n, "/"), F.lit("nothing"))).when(k % 5 == 1, F.array(one("src", n, "/en"))).when(k % 5 == 2,
+        F.array(F.lit("s*x"), F.lit("zz*"))).when(k % 5 == 3, F.array("first")).otherwise(F.array(one("src", n), F.lit("src1*")))
     findings = s.select(k.alias("finding_id"), F.when(k % 11 == 0, "info").otherwise("high").alias("severity"), paths.alias("paths"))
     return I.path_overlaps(findings, f.where(F.col("doc_id") % 3 > 0).select(F.col("path").alias("file")), findings.where(F.col("finding_id") % 13 == 0))
 
@@ -135,7 +146,8 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     folder = f.select(F.col("lang").alias("source"), F.concat("source", F.lit("/"), "lang", F.lit("/")).alias("path"))
     extra = spark.createDataFrame([("x", "no/such/"), ("x", None), ("x", " ")], "source string, path string")
-    catalog = f.where(F.col("doc_id") % 2 == 0).select(F.col("lang").alias("source"), "path").unionByName(folder).unionByName(extra).unionByName(f.select(F.lit("y").alias("source"), F.col("source").alias("path")))
+    catalog = f.where(F.col("doc_id") % 2 == 0).select(F.col("lang").alias("source"),
+        "path").unionByName(folder).unionByName(extra).unionByName(f.select(F.lit("y").alias("source"), F.col("source").alias("path")))
     lost = I.missing_paths(catalog, f.where(F.col("doc_id") % 4 > 0), "path")
     wanted = f.select(F.col("source").alias("surface")).distinct().withColumn("anchor", F.explode(F.array(F.lit("fr"), F.lit("xx"))))
     anchors = I.missing_anchors(f.select(F.col("source").alias("surface"), F.col("lang").alias("anchor")), wanted)
@@ -143,7 +155,8 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with f as (select 0 as o, 'instruction-audit' as source, coalesce(case when doc_id % 3 = 0 then null else lang end, 'finding') as kind, source as document, doc_id as l, doc_id::varchar as line, left(coalesce(text, ''), 600) as detail from documents where doc_id % 50 < 2),
-    g as (select 1, 'aggregate-benchmark', 'hard-gate-failure', 'gates', null, '?', s_name || '=' || case s_nationkey % 3 when 0 then 'FAILED' else 'BLOCKED' end from supplier where s_nationkey % 3 < 2)
+    g as (select 1, 'aggregate-benchmark', 'hard-gate-failure', 'gates', null, '?', s_name || '=' || case s_nationkey % 3 when 0 then 'FAILED'
+        else 'BLOCKED' end from supplier where s_nationkey % 3 < 2)
     select source, kind, document, line, detail from (select * from (from f union all from g) order by o, document, l, kind, detail limit 40)""")
 def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 findings of a report, failures of gates last."""
@@ -158,20 +171,26 @@ LITERALS_SQL = "['" + "', '".join(p.replace("'", "''") for p, _, _ in I.LITERALS
 
 
 @query(rf"""with l as (select doc_id, unnest(string_split(t, chr(10))) as raw, generate_subscripts(string_split(t, chr(10)), 1) as line from
-      (select doc_id, coalesce(text, '') || case doc_id % 5 when 0 then chr(10) || 'Authorization: "Bearer ' || md5(doc_id::varchar) || '"' when 1 then ' api-key = ''' || md5(doc_id::varchar) || ''' NAME_X' when 2 then chr(10) || 'NAME.X' else '' end as t from documents where doc_id % 9 > 0))
-    select 'd' || doc_id as path, line::integer as line, label from (select *, unnest(list_filter([case when regexp_matches(raw, {LITERALS_SQL}[1]) then 'bearer credential' end, case when regexp_matches(raw, {LITERALS_SQL}[2]) then 'credential-like literal' end, case when contains(raw, 'NAME_X') then 'protected marker' end], lambda x: x is not null)) as label from l)
+      (select doc_id, coalesce(text, '') || case doc_id % 5 when 0 then chr(10) || 'Authorization: "Bearer ' || md5(doc_id::varchar) || '"'
+        when 1 then ' api-key = ''' || md5(doc_id::varchar) || ''' NAME_X' when 2 then chr(10) || 'NAME.X' else '' end as t from documents
+        where doc_id % 9 > 0))
+    select 'd' || doc_id as path, line::integer as line, label from (select *, unnest(list_filter([case when regexp_matches(raw,
+        {LITERALS_SQL}[1]) then 'bearer credential' end, case when regexp_matches(raw, {LITERALS_SQL}[2]) then 'credential-like literal' end, case
+        when contains(raw, 'NAME_X') then 'protected marker' end], lambda x: x is not null)) as label from l)
     where not starts_with('d' || doc_id, 'd1')""")
 def credential_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with credential-like literals or a protected marker, but in exempt paths."""
     i = F.col("doc_id")
     key = F.md5(i.cast("string").cast("binary"))
-    tail = F.when(i % 5 == 0, F.concat(F.lit('\nAuthorization: "Bearer '), key, F.lit('"'))).when(i % 5 == 1, F.concat(F.lit(" api-key = '"), key, F.lit("' NAME_X"))).when(i % 5 == 2, "\nNAME.X").otherwise("")
+    tail = F.when(i % 5 == 0, F.concat(F.lit('\nAuthorization: "Bearer '), key, F.lit('"'))).when(i % 5 == 1, F.concat(F.lit(" api-key = '"), key,
+        F.lit("' NAME_X"))).when(i % 5 == 2, "\nNAME.X").otherwise("")
     rows = load(spark, sf_dir, "documents").where(i % 9 > 0).select(F.concat(F.lit("d"), i.cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
     return I.literal_findings(rows, "path", "text", ["NAME_X"], spark.createDataFrame([("d1",)], "prefix string"))
 
 
 @query(r"""with w as (select item_id, string_split_regex(lower(trim(text)), '\s+') as w from benchmark), p as (select distinct item_id, array_to_string(w[i:i+4], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
-    d as (select doc_id, string_split_regex(lower(trim(coalesce(text, ''))), '\s+') as w from documents), q as (select distinct doc_id, array_to_string(w[i:i+4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+    d as (select doc_id, string_split_regex(lower(trim(coalesce(text, ''))), '\s+') as w from documents), q as (select distinct doc_id,
+        array_to_string(w[i:i+4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
     s as (select item_id, count(*) as size from p group by 1) select doc_id, item_id, count(*) as n_shared from q join p using (g) join s using (item_id) group by doc_id, item_id, size having count(*) * 100 >= size * 80""")
 def near_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of an item's five-word shingles."""

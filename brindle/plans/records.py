@@ -14,7 +14,9 @@ def fork_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions made of orders, some of them faulty, with the rules that they break."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     names = F.when(k % 19 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
-    rows = load(spark, sf_dir, "orders").select("o_orderkey", names.alias("candidates"), F.lit("a").alias("chosen_candidate"), F.when(c % 7 == 3, "z").otherwise("b").alias("hindsight_best_candidate"), (k % 17 == 0).alias("outcome_visible"), F.when(k % 13 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("decision_latency_ms"), F.when(k % 11 == 0, 0).otherwise(1).alias("decision_calls"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", names.alias("candidates"), F.lit("a").alias("chosen_candidate"), F.when(c % 7 == 3,
+        "z").otherwise("b").alias("hindsight_best_candidate"), (k % 17 == 0).alias("outcome_visible"), F.when(k % 13 == 0,
+        -1.0).otherwise(F.col("o_totalprice")).alias("decision_latency_ms"), F.when(k % 11 == 0, 0).otherwise(1).alias("decision_calls"))
     return R.check(rows, ["o_orderkey"], R.fork_rules()).withColumn("errors", F.array_join("errors", ","))
 
 
@@ -23,7 +25,8 @@ def fork_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of event records, repeated users among them."""
     i = F.col("event_id")
-    rows = load(spark, sf_dir, "events").select("event_id", "user_id", F.when(i % 9 == 0, "  ").otherwise(F.col("event_type")).alias("kind"), F.when(i % 10 == 0, -F.col("value")).otherwise(F.col("value")).alias("value"))
+    rows = load(spark, sf_dir, "events").select("event_id", "user_id", F.when(i % 9 == 0, "  ").otherwise(F.col("event_type")).alias("kind"),
+        F.when(i % 10 == 0, -F.col("value")).otherwise(F.col("value")).alias("value"))
     rules = R.filled("kind") | R.not_negative("value") | R.one_of("kind", ("click", "view"))
     return R.check(rows, ["event_id"], rules, unique="user_id").withColumn("errors", F.array_join("errors", ","))
 
@@ -33,7 +36,8 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weakest evidence tier of each user's events."""
     i = F.col("event_id") % 5
-    t = load(spark, sf_dir, "events").where((F.col("user_id") % 3 > 0) | (i > 1)).select("user_id", F.when(i == 0, "fixture").when(i == 1, "Synthetic").when(i == 2, "replay").when(i == 3, "live").alias("tier"))
+    t = load(spark, sf_dir, "events").where((F.col("user_id") % 3 > 0) | (i > 1)).select("user_id", F.when(i == 0, "fixture").when(i == 1,
+        "Synthetic").when(i == 2, "replay").when(i == 3, "live").alias("tier"))
     return R.least_tier(t, ["user_id"], "tier")
 
 
@@ -71,7 +75,8 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What storing new findings over older ones would do."""
     o = load(spark, sf_dir, "orders")
-    new = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("d"), F.when(F.col("o_orderstatus") == "F", "info").when(F.col("o_orderstatus") == "O", "high").otherwise("warn").alias("severity"))
+    new = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("d"), F.when(F.col("o_orderstatus") == "F",
+        "info").when(F.col("o_orderstatus") == "O", "high").otherwise("warn").alias("severity"))
     stored = new.where("k % 3 <> 0").select("k", F.when(F.col("k") % 2 == 0, F.col("d")).otherwise(0.0).alias("d"))
     return R.upsert_plan(new, stored, "k", "d", "severity")
 

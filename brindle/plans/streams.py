@@ -42,7 +42,8 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select distinct user_id, event_type from events")
 def stream_visit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
-    v = _events(spark, sf_dir, path).select("user_id", "event_type", F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("url"), F.col("ts").cast("timestamp").alias("visited_at"), F.lit(None).cast("string").alias("force_reason"))
+    v = _events(spark, sf_dir, path).select("user_id", "event_type", F.col("user_id").cast("string").alias("task_id"),
+        F.col("event_type").alias("url"), F.col("ts").cast("timestamp").alias("visited_at"), F.lit(None).cast("string").alias("force_reason"))
     return S.to_table(S.first_visits(v, "4000 days").select("user_id", "event_type"), path, "append")
 
 
@@ -81,6 +82,7 @@ def stream_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     e = load(spark, sf_dir, "events")
     i, expiry = F.col("event_id"), F.col("ts") + F.expr("interval 12 hours")
-    done = e.where(i % 2 == 1).select(F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.when(i % 77 != 1, expiry).alias("expires_at"), (F.col("value") > 5).alias("resume_eligible"), F.lit("completed").alias("status"))
+    done = e.where(i % 2 == 1).select(F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.when(i % 77 != 1,
+        expiry).alias("expires_at"), (F.col("value") > 5).alias("resume_eligible"), F.lit("completed").alias("status"))
     asked = _events(spark, sf_dir, path).where(i % 2 == 0).select("event_id", F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.col("ts").alias("asked_at"))
     return S.to_table(S.resumable(asked, done).select("event_id", "eligible"), path, "append")

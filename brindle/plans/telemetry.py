@@ -18,7 +18,10 @@ RECEIPTS_SQL = """receipts as (select event_id, user_id as target, ts as recorde
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch receipts made of events: users are targets."""
     kind = F.col("event_type")
-    return load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), F.col("ts").alias("recorded_at"), F.round("value").cast("long").alias("elapsed_ms"), F.when(kind.isin("click", "view"), "ok").when(kind == "signup", "empty").when(kind == "purchase", "blocked").otherwise("error").alias("status"), F.when(kind == "purchase", 403).when(kind == "error", None).otherwise(200).alias("http_status"), (F.col("user_id") % 4).alias("shard"))
+    return load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("target"), F.col("ts").alias("recorded_at"),
+        F.round("value").cast("long").alias("elapsed_ms"), F.when(kind.isin("click", "view"), "ok").when(kind == "signup",
+        "empty").when(kind == "purchase", "blocked").otherwise("error").alias("status"), F.when(kind == "purchase", 403).when(kind == "error",
+        None).otherwise(200).alias("http_status"), (F.col("user_id") % 4).alias("shard"))
 
 
 SUMMARY_SQL = """count(*) as observations, count(*) filter (status <> 'ok') as failures, count(*) filter (status = 'ok') as n_ok, count(*) filter (status = 'empty') as n_empty,
@@ -31,9 +34,11 @@ def receipt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {RECEIPTS_SQL}, s as (select target, {SUMMARY_SQL} from receipts group by target),
-    h as (select *, case when n_blocked / observations >= 0.95 then 'blocked' when n_resource_limited / observations >= 0.95 then 'rate_limited' when n_error / observations >= 0.95 and http_seen = 0 then 'transport_error'
+    h as (select *, case when n_blocked / observations >= 0.95 then 'blocked' when n_resource_limited / observations >= 0.95 then 'rate_limited'
+        when n_error / observations >= 0.95 and http_seen = 0 then 'transport_error'
       when failures = 0 then 'healthy' when failures / observations >= 0.5 then 'degraded' else 'intermittent' end as health from s)
-    select target, observations, failures, health, case health when 'blocked' then 'quarantine_until_manual_recheck' when 'rate_limited' then 'exponential_backoff_and_quarantine' when 'transport_error' then 'investigate_dns_tls_or_network_path'
+    select target, observations, failures, health, case health when 'blocked' then 'quarantine_until_manual_recheck'
+        when 'rate_limited' then 'exponential_backoff_and_quarantine' when 'transport_error' then 'investigate_dns_tls_or_network_path'
       when 'healthy' then 'retain_normal_sampling' when 'degraded' then 'retain_for_targeted_recheck' else 'retain_with_failure_aware_retry' end as action from h""")
 def target_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.target_health(receipts(spark, sf_dir), ["target"])
@@ -49,7 +54,8 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {RECEIPTS_SQL}, s as (select shard, {SUMMARY_SQL} from receipts group by shard),
     r as (select shard, elapsed_ms, row_number() over (partition by shard order by elapsed_ms) - 1 as i, count(*) over (partition by shard) as n from receipts),
     p as (select shard, max(elapsed_ms) filter (i = floor((n - 1) * 0.5)) as median_ms, max(elapsed_ms) filter (i = floor((n - 1) * 0.95)) as p95_ms from r group by shard)
-    select count(*) as shards, sum(observations)::bigint as observations, round(sum(n_ok) / sum(observations), 6) as usable_rate, round(sum(n_blocked) / sum(observations), 6) as blocked_rate, round(sum(n_resource_limited) / sum(observations), 6) as limited_rate,
+    select count(*) as shards, sum(observations)::bigint as observations, round(sum(n_ok) / sum(observations), 6) as usable_rate,
+        round(sum(n_blocked) / sum(observations), 6) as blocked_rate, round(sum(n_resource_limited) / sum(observations), 6) as limited_rate,
       round(sum(n_error) / sum(observations), 6) as error_rate, round(sum(n_empty) / sum(observations), 6) as empty_rate, round(sum(median_ms * observations) / sum(observations), 3) as median_ms, max(p95_ms) as p95_ms, 'WARN' as overall from s join p using (shard)""")
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = receipts(spark, sf_dir)
@@ -57,26 +63,33 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.scorecard(shards)
 
 
-@query(f"with {RECEIPTS_SQL} select target, count(*) filter (status <> 'ok') as failures, count(*) as observations, round(count(*) filter (status <> 'ok') / count(*), 6) as failure_rate from receipts group by target having count(*) filter (status <> 'ok') > 0 order by 4 desc, 1")
+@query(f"""with {RECEIPTS_SQL} select target, count(*) filter (status <> 'ok') as failures, count(*) as observations, round(count(*) filter (status <> 'ok') / count(*), 6) as failure_rate from receipts group by target having count(*) filter (status <> 'ok') > 0 order by 4 desc, 1""")
 def failing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.summarize(receipts(spark, sf_dir), ["target"]).where("failures > 0")
     return s.select("target", "failures", "observations", F.round(F.col("failures") / F.col("observations"), 6).alias("failure_rate")).orderBy(F.desc("failure_rate"), "target")
 
 
 @query("""select page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 300) as title, 0 as jsonld_blocks,
-    (len(string_split(lower(html), 'product')) + len(string_split(lower(html), 'itemprop="name"')) + len(string_split(lower(html), 'productid')) + len(string_split(lower(html), 'sku')) + len(string_split(lower(html), 'add-to-cart')) + len(string_split(lower(html), 'price')) - 6)::integer as product_hints,
+    (len(string_split(lower(html), 'product')) + len(string_split(lower(html), 'itemprop="name"')) + len(string_split(lower(html),
+        'productid')) + len(string_split(lower(html), 'sku')) + len(string_split(lower(html), 'add-to-cart')) + len(string_split(lower(html),
+        'price')) - 6)::integer as product_hints,
     case when regexp_matches(lower(html), 'product|itemprop="name"|sku|add-to-cart|price') then 'ok' else 'empty' end as status from pages""")
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.page_signals(load(spark, sf_dir, "pages"))
 
 
 RUNS_SQL = """obs as (select o_orderkey as run_id, o_orderpriority as model, o_orderstatus as agent_role, (o_custkey % 6)::varchar as lane, n as required_claims, n_r as correct_claims, n_n as supported_claims, n_a as missed_requirements, q as tool_calls, n as files_read,
-    n_r as duplicate_actions, 0 as irrelevant_actions, n_a as unsupported_claims, q * 40 as input_tokens, q * 10 as output_tokens, 0 as thinking_tokens, q * 20 as cached_tokens, n_a as compaction_events, q * 30 as context_peak_tokens, q // 2 as useful_tool_calls, n_r as self_corrections, n as successful_actions
+    n_r as duplicate_actions, 0 as irrelevant_actions, n_a as unsupported_claims, q * 40 as input_tokens, q * 10 as output_tokens,
+        0 as thinking_tokens, q * 20 as cached_tokens, n_a as compaction_events, q * 30 as context_peak_tokens, q // 2 as useful_tool_calls,
+        n_r as self_corrections, n as successful_actions
     from orders join (select l_orderkey, count(*) as n, sum(l_quantity)::bigint as q, count(*) filter (l_returnflag = 'R') as n_r, count(*) filter (l_returnflag = 'N') as n_n, count(*) filter (l_returnflag = 'A') as n_a from lineitem group by 1) on l_orderkey = o_orderkey)"""
 C3 = "round(greatest(0, least(1, {})), 3)"
 SCORES_SQL = f"""{RUNS_SQL}, parts as (select *, {C3.format('correct_claims / required_claims')} as correctness, {C3.format('supported_claims / greatest(correct_claims, required_claims, 1)')} as evidence_quality,
-    {C3.format('1.0::double - ' + C3.format('missed_requirements / greatest(required_claims, 1)'))} as completeness, {C3.format('1.0::double - least(1.0, (duplicate_actions + irrelevant_actions + unsupported_claims) / greatest(tool_calls + files_read, 1))')} as precision,
-    {C3.format('(correct_claims + supported_claims + self_corrections) / greatest((input_tokens + output_tokens) / 1000.0::double, 1.0::double)')} as token_efficiency, {C3.format('useful_tool_calls / greatest(tool_calls, 1)')} as tool_efficiency,
+    {C3.format('1.0::double - ' + C3.format('missed_requirements / greatest(required_claims, 1)'))} as completeness,
+        {C3.format('1.0::double - least(1.0, (duplicate_actions + irrelevant_actions + unsupported_claims) / greatest(tool_calls + files_read, 1))')}
+        as precision,
+    {C3.format('(correct_claims + supported_claims + self_corrections) / greatest((input_tokens + output_tokens) / 1000.0::double, 1.0::double)')} as
+        token_efficiency, {C3.format('useful_tool_calls / greatest(tool_calls, 1)')} as tool_efficiency,
     {C3.format('cached_tokens / greatest(input_tokens + output_tokens, 1) * 0.35::double + 1.0::double / (1 + compaction_events) * 0.35::double + (1.0::double - least(1.0::double, context_peak_tokens / greatest(input_tokens + output_tokens, 1))) * 0.30::double')} as context_efficiency,
     {C3.format('self_corrections / greatest(successful_actions, self_corrections, 1)')} as self_correction from obs),
     scores as (select *, {C3.format('0.0::double + correctness * 0.24::double + evidence_quality * 0.18::double + completeness * 0.16::double + precision * 0.14::double + token_efficiency * 0.10::double + tool_efficiency * 0.06::double + context_efficiency * 0.07::double + self_correction * 0.05::double')} as overall from parts)"""
@@ -86,11 +99,16 @@ METRICS_SQL = ", ".join(E.METRICS)
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent runs made of orders: claims, actions and tokens from their lines."""
     flag = F.col("l_returnflag")
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), *[F.count_if(flag == x).alias(f"n_{x.lower()}") for x in "RNA"])
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"),
+        *[F.count_if(flag == x).alias(f"n_{x.lower()}") for x in "RNA"])
     n, q, r, u, a, zero = (F.col(c) for c in ("n", "q", "n_r", "n_n", "n_a", "zero"))
-    cols = {"required_claims": n, "correct_claims": r, "supported_claims": u, "missed_requirements": a, "tool_calls": q, "files_read": n, "duplicate_actions": r, "irrelevant_actions": zero, "unsupported_claims": a, "input_tokens": q * 40, "output_tokens": q * 10, "thinking_tokens": zero, "cached_tokens": q * 20, "compaction_events": a, "context_peak_tokens": q * 30, "useful_tool_calls": F.floor(q / 2), "self_corrections": r, "successful_actions": n}
+    cols = {"required_claims": n, "correct_claims": r, "supported_claims": u, "missed_requirements": a, "tool_calls": q, "files_read": n,
+        "duplicate_actions": r, "irrelevant_actions": zero, "unsupported_claims": a, "input_tokens": q * 40, "output_tokens": q * 10,
+        "thinking_tokens": zero, "cached_tokens": q * 20, "compaction_events": a, "context_peak_tokens": q * 30, "useful_tool_calls": F.floor(q / 2),
+        "self_corrections": r, "successful_actions": n}
     joined = load(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("zero", F.lit(0))
-    return joined.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("agent_role"), (F.col("o_custkey") % 6).cast("string").alias("lane"), *[c.alias(k) for k, c in cols.items()])
+    return joined.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("agent_role"),
+        (F.col("o_custkey") % 6).cast("string").alias("lane"), *[c.alias(k) for k, c in cols.items()])
 
 
 @query(f"with {SCORES_SQL} select run_id, model, {METRICS_SQL} from scores")
@@ -109,7 +127,7 @@ def score_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("dimension", "value", "runs", *[F.round(F.col(x).cast("double"), 2).alias(x) for x in E.METRICS])
 
 
-@query(f"with {SCORES_SQL} select run_id, model, overall, precision, correctness, row_number() over (partition by model order by overall desc, precision desc, correctness desc, run_id) as place from scores qualify place <= 10")
+@query(f"""with {SCORES_SQL} select run_id, model, overall, precision, correctness, row_number() over (partition by model order by overall desc, precision desc, correctness desc, run_id) as place from scores qualify place <= 10""")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best runs of each model: overall, then precision, then correctness."""
     from pyspark.sql import Window
@@ -125,7 +143,9 @@ def decision_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions between three candidates, made of orders."""
     names = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     pick = lambda k: F.element_at(names, (F.col(k) % 3 + 1).cast("int"))
-    forks = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), names.alias("candidates"), pick("o_orderkey").alias("chosen_candidate"), pick("o_custkey").alias("hindsight_best_candidate"), F.col("o_totalprice").cast("decimal(18,2)").alias("decision_latency_ms"))
+    forks = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), names.alias("candidates"),
+        pick("o_orderkey").alias("chosen_candidate"), pick("o_custkey").alias("hindsight_best_candidate"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("decision_latency_ms"))
     out = E.fork_report(forks, ["model"])
     return out.withColumn("mean_latency_ms", F.round(F.col("mean_latency_ms").cast("double"), 1))
 
@@ -174,28 +194,39 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with r as (select o_orderpriority as identity, year(o_orderdate) * 100 + month(o_orderdate) as month, count(*) filter (o_orderstatus = 'F') as completed, count(*) filter (o_totalprice > 200000) as useful, count(*) filter (o_totalprice < 20000) as high, list_sort(list(distinct o_orderstatus)) as signals from orders group by all),
     s as (select *, case when month % 100 = 2 then 'partial' else 'completed' end as st from r),
-    p as (select *, last_value(case when st = 'completed' then {'completed': completed, 'useful': useful, 'high': high, 'signals': signals} end ignore nulls) over (partition by identity order by month rows between unbounded preceding and 1 preceding) as prior from s)
-    select identity, month, case when prior is null then 'NO_BASELINE' when st <> 'completed' or completed < prior.completed or useful < prior.useful or high > prior.high then 'REGRESSED' when completed > prior.completed or useful > prior.useful or high < prior.high then 'IMPROVED' else 'STABLE' end as decision,
+    p as (select *, last_value(case when st = 'completed' then {'completed': completed, 'useful': useful, 'high': high, 'signals': signals}
+        end ignore nulls) over (partition by identity order by month rows between unbounded preceding and 1 preceding) as prior from s)
+    select identity, month, case when prior is null then 'NO_BASELINE'
+        when st <> 'completed' or completed < prior.completed or useful < prior.useful or high > prior.high then 'REGRESSED'
+        when completed > prior.completed or useful > prior.useful or high < prior.high then 'IMPROVED' else 'STABLE' end as decision,
       completed - prior.completed as completed_delta, useful - prior.useful as useful_delta, high - prior.high as high_delta, case when prior is not null then array_to_string(list_filter(signals, lambda x: not list_contains(prior.signals, x)), ',') end as added, case when prior is not null then array_to_string(list_filter(prior.signals, lambda x: not list_contains(signals, x)), ',') end as resolved from p""")
 def baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly runs of each priority class against the last completed month."""
-    o = load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("identity"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.count_if(F.col("o_totalprice") > 200000).alias("useful"), F.count_if(F.col("o_totalprice") < 20000).alias("high"), F.sort_array(F.collect_set("o_orderstatus")).alias("signals"))
+    o = load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("identity"),
+        (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("month")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("completed"),
+        F.count_if(F.col("o_totalprice") > 200000).alias("useful"), F.count_if(F.col("o_totalprice") < 20000).alias("high"),
+        F.sort_array(F.collect_set("o_orderstatus")).alias("signals"))
     d = E.baseline_diff(o.withColumn("execution_state", F.when(F.col("month") % 100 == 2, "partial").otherwise("completed")), ["identity"], "month")
     return d.withColumns({"month": F.col("month").cast("long"), "added": F.array_join("added", ","), "resolved": F.array_join("resolved", ",")})
 
 
 @query("""with y as (select o_custkey as k, year(o_orderdate) as y, count(*) as n, sum(o_totalprice::decimal(18,2)) as t from orders group by all),
-    p as (select c.k, c.y, (b.t // 100)::double as bi, (b.n * 10)::double as bo, (c.t // 100)::double as ci, (c.n * 10)::double as co, b.n % 4 <> 0 as ba, c.n % 5 <> 0 as ca, b.n as bn, c.n as cn from y b join y c on b.k = c.k and b.y + 1 = c.y),
-    r as (select k, y, case when ca and not ba then 'candidate is accepted while baseline is not' when not ca then 'candidate is not accepted' when bi <= 0 then 'baseline token measurements must be positive' when (ci - bi) / bi > 0.10 then 'candidate input-token growth exceeds gate'
+    p as (select c.k, c.y, (b.t // 100)::double as bi, (b.n * 10)::double as bo, (c.t // 100)::double as ci, (c.n * 10)::double as co,
+        b.n % 4 <> 0 as ba, c.n % 5 <> 0 as ca, b.n as bn, c.n as cn from y b join y c on b.k = c.k and b.y + 1 = c.y),
+    r as (select k, y, case when ca and not ba then 'candidate is accepted while baseline is not' when not ca then 'candidate is not accepted'
+        when bi <= 0 then 'baseline token measurements must be positive' when (ci - bi) / bi > 0.10 then 'candidate input-token growth exceeds gate'
       when (ci + co - bi - bo) / (bi + bo) > 0.10 then 'candidate total-token growth exceeds gate' when ci + co <= bi + bo then 'candidate accepted with non-increasing token use'
       when cn / (cn + 1) > bn / (bn + 1) then 'candidate spends limited extra tokens for better evidence retention' else 'candidate did not justify additional token use' end as reason from p)
     select k, y, reason, reason in ('candidate is accepted while baseline is not', 'candidate accepted with non-increasing token use', 'candidate spends limited extra tokens for better evidence retention') as accepted from r""")
 def token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's year against the year before, read as token use."""
-    y = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
+    y = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
 
     def side(p: str, mod: int) -> list:
-        return [F.floor(F.col("t") / 100).cast("double").alias(f"{p}_input"), (F.col("n") * 10).alias(f"{p}_output"), F.col("n").alias(f"{p}_retained"), F.lit(1).alias(f"{p}_dropped"), (F.col("n") % mod != 0).alias(f"{p}_accepted"), F.lit(1).alias(f"{p}_calls"), F.lit(1).alias(f"{p}_cache_hits")]
+        return [F.floor(F.col("t") / 100).cast("double").alias(f"{p}_input"), (F.col("n") * 10).alias(f"{p}_output"),
+            F.col("n").alias(f"{p}_retained"), F.lit(1).alias(f"{p}_dropped"), (F.col("n") % mod != 0).alias(f"{p}_accepted"),
+            F.lit(1).alias(f"{p}_calls"), F.lit(1).alias(f"{p}_cache_hits")]
 
     b = y.select("k", (F.col("y") + 1).alias("y"), *side("b", 4))
     return E.compare_efficiency(b.join(y.select("k", "y", *side("c", 5)), ["k", "y"])).select("k", F.col("y").cast("long").alias("y"), "reason", "accepted")
@@ -211,17 +242,19 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     fp = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string")), 256)
-    r = load(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("seq"), fp.alias("fingerprint"), F.round("value").cast("long").alias("units"), F.lag(fp).over(w).alias("before"))
+    r = load(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("seq"), fp.alias("fingerprint"),
+        F.round("value").cast("long").alias("units"), F.lag(fp).over(w).alias("before"))
     return r.withColumn("parent_fingerprint", F.when(F.col("event_id") % 50 == 0, "broken").otherwise(F.col("before"))).drop("before")
 
 
-@query(f"with {CHAIN_SQL} select user_id, count(*) as n_receipts, bool_and(seq = 1 or parent = prev) as linked, sum(units)::bigint as units, sum(units) <= 1000 as within from (select *, lag(fp) over (partition by user_id order by seq) as prev from chain) group by user_id")
+@query(f"""with {CHAIN_SQL} select user_id, count(*) as n_receipts, bool_and(seq = 1 or parent = prev) as linked, sum(units)::bigint as units, sum(units) <= 1000 as within from (select *, lag(fp) over (partition by user_id order by seq) as prev from chain) group by user_id""")
 def receipt_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.validate_chain(chain(spark, sf_dir), "user_id", "seq", 1000)
 
 
 @query("""with l as (select distinct user_id || '' as task_id, 'https://x.example/' || event_type as url from events where event_id % 3 = 0),
-    p as (select event_id, user_id || '' as task_id, 'https://x.example/' || event_type as url, case when event_id % 7 = 0 then 'contradiction_check' when event_id % 11 = 0 then 'because' end as force_reason from events where event_id % 3 = 1)
+    p as (select event_id, user_id || '' as task_id, 'https://x.example/' || event_type as url, case when event_id % 7 = 0 then 'contradiction_check'
+        when event_id % 11 = 0 then 'because' end as force_reason from events where event_id % 3 = 1)
     select event_id, l.url is null or coalesce(force_reason = 'contradiction_check', false) as allowed, case when l.url is null then 'new_source' when force_reason = 'contradiction_check' then force_reason else 'already_visited_for_task' end as reason from p left join l on p.task_id = l.task_id and p.url = l.url""")
 def revisit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the events is the ledger of visits, another third proposes visits."""
@@ -236,8 +269,10 @@ STATES = {"click": "Running", "view": "streaming", "signup": "submitted", "purch
 
 @query("""with recursive s as (select user_id, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n, case event_type when 'click' then 'RUNNING' when 'view' then 'STREAMING' when 'signup' then 'QUEUED' when 'purchase' then 'COMPLETE' else 'FAILED' end as st from events),
     f as (select user_id, i, n, st as state from s where i = 1 union all
-      select f.user_id, s.i, f.n, case when s.st = f.state then s.st when f.state = 'RUNNING' and s.st in ('STREAMING', 'COMPLETE', 'FAILED') then s.st when f.state = 'STREAMING' and s.st in ('COMPLETE', 'FAILED') then s.st
-        when f.state = 'QUEUED' and s.st in ('RUNNING', 'STREAMING', 'COMPLETE', 'FAILED') then s.st when f.state = 'UNKNOWN' and s.st in ('RUNNING', 'STREAMING', 'COMPLETE') then s.st else 'UNKNOWN' end
+      select f.user_id, s.i, f.n, case when s.st = f.state then s.st when f.state = 'RUNNING' and s.st in ('STREAMING', 'COMPLETE',
+        'FAILED') then s.st when f.state = 'STREAMING' and s.st in ('COMPLETE', 'FAILED') then s.st
+        when f.state = 'QUEUED' and s.st in ('RUNNING', 'STREAMING', 'COMPLETE', 'FAILED') then s.st when f.state = 'UNKNOWN' and s.st in ('RUNNING',
+        'STREAMING', 'COMPLETE') then s.st else 'UNKNOWN' end
       from f join s on s.user_id = f.user_id and s.i = f.i + 1)
     select user_id, state, n as n_events from f where i = n""")
 def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +288,8 @@ def resume_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which (user, input) have an unexpired completed receipt."""
     c = chain(spark, sf_dir).select(F.col("user_id").alias("request"), (F.col("seq") % 4).cast("long").alias("input"), "seq", "units")
     now = F.lit("2024-01-01").cast("timestamp")
-    r = c.select("request", "input", (F.col("units") % 2 == 0).alias("resume_eligible"), F.lit("completed").alias("status"), F.when(F.col("seq") % 5 == 0, None).when(F.col("seq") < 4, F.lit("2025-01-01").cast("timestamp")).otherwise(now).alias("expires_at"))
+    r = c.select("request", "input", (F.col("units") % 2 == 0).alias("resume_eligible"), F.lit("completed").alias("status"),
+        F.when(F.col("seq") % 5 == 0, None).when(F.col("seq") < 4, F.lit("2025-01-01").cast("timestamp")).otherwise(now).alias("expires_at"))
     return L.resume_eligible(r, c.select("request", "input").distinct(), now).select(F.col("request").alias("user_id"), "input", "eligible")
 
 
@@ -263,16 +299,22 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    v = load(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("backup/"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").cast("string").alias("version_id"), (F.row_number().over(w) == 1).alias("is_latest"))
+    v = load(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("backup/"), F.col("o_custkey").cast("string")).alias("key"),
+        F.col("o_orderkey").cast("string").alias("version_id"), (F.row_number().over(w) == 1).alias("is_latest"))
     return L.deletion_plan(v, v.where("o_custkey % 2 = 0"), "backup/")
 
 
 @query("""with r as (select 'b' || o_orderkey as name, o_custkey as sha, o_orderdate as made, o_orderkey % 97 = 0 as d, o_orderkey % 13 = 0 as pr, o_orderkey % 17 = 0 as pt, o_orderkey % 5 = 0 as anc from orders),
-    k as (select *, row_number() over w as n, first_value(name) over w as keeper, date_diff('second', made, timestamp '1998-12-31') // 86400 < 200 as young from r window w as (partition by sha order by case when d then 0 when pr then 1 when pt then 2 else 3 end, length(name), name)),
-    x as (select *, case when pt then 'protected' when pr then 'open_pr' when n = 1 then case when anc and not d and not young then 'merged' else 'keeper' end when young then 'too_young' else 'duplicate_tip' end as reason from k)
+    k as (select *, row_number() over w as n, first_value(name) over w as keeper, date_diff('second', made,
+        timestamp '1998-12-31') // 86400 < 200 as young from r window w as (partition by sha order by case when d then 0 when pr then 1 when pt then 2
+        else 3 end, length(name), name)),
+    x as (select *, case when pt then 'protected' when pr then 'open_pr' when n = 1 then case when anc and not d and not young then 'merged'
+        else 'keeper' end when young then 'too_young' else 'duplicate_tip' end as reason from k)
     select name, sha, keeper, reason, case when reason in ('merged', 'duplicate_tip') then 'retire' else 'keep' end as action from x""")
 def retirement_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as branches whose tips are customers."""
     k = F.col("o_orderkey")
-    refs = load(spark, sf_dir, "orders").select(F.concat(F.lit("b"), k.cast("string")).alias("name"), F.col("o_custkey").alias("sha"), F.col("o_orderdate").alias("committed_at"), (k % 97 == 0).alias("is_default"), (k % 13 == 0).alias("has_open_pr"), (k % 17 == 0).alias("is_protected"), (k % 5 == 0).alias("is_ancestor"))
+    refs = load(spark, sf_dir, "orders").select(F.concat(F.lit("b"), k.cast("string")).alias("name"), F.col("o_custkey").alias("sha"),
+        F.col("o_orderdate").alias("committed_at"), (k % 97 == 0).alias("is_default"), (k % 13 == 0).alias("has_open_pr"),
+        (k % 17 == 0).alias("is_protected"), (k % 5 == 0).alias("is_ancestor"))
     return L.retirement_plan(refs, F.lit("1998-12-31").cast("timestamp"), 200)

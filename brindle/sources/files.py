@@ -69,7 +69,8 @@ def inventory(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", "
     """path, bytes, sha256 and extension of every file below ``root`` outside the skipped folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     part = "|".join(s.replace(".", r"\.") for s in skip)
-    return files.where(~F.col("path").rlike(f"/({part})/")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"))
+    return files.where(~F.col("path").rlike(f"/({part})/")).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+        F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"))
 
 
 def read_keep_keys(spark: SparkSession, path: str, prefix: str) -> DataFrame:
