@@ -78,21 +78,30 @@ def title_words(value: Column, ascii_only: bool = False) -> Column:
     return F.array_distinct(F.filter(F.split(text, " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)))
 
 
+# Texts that stand for no identifier, and what may stand before the digits of a trade number.
+NO_IDENTIFIER = ("", "n/a", "none", "null", "na", "unknown", "-", "--")
+GTIN = r"(?i)^(?:(?:gtin(?:[- ]?(?:8|12|13|14))?|ean(?:[- ]?(?:8|13))?|upc|barcode)\s*[:#=\-]?\s*)?([0-9][0-9\s-]*)$"
+
+
 def clean_identifier(value: Column, max_len: int = 96, ascii_only: bool = False) -> Column:
     text = F.upper(clean_text(value, ascii_only))
-    null_word = F.lower(text).isin("", "n/a", "none", "null", "na", "unknown", "-", "--")
+    null_word = F.lower(text).isin(*NO_IDENTIFIER)
     return F.when(null_word, "").otherwise(F.substring(F.regexp_replace(text, r"(?U)\s+", ""), 1, max_len))
 
 
+# Words that stand for no part number.
+NO_MPN = ("PRODUCT", "MODEL", "SKU", "N/A", "NONE", "NULL")
+
+
 def normalize_mpn(value: Column, ascii_only: bool = False) -> Column:
     text = F.replace(clean_identifier(value, 80, ascii_only), F.lit("_"), F.lit("-"))
-    return F.when(text.isin("PRODUCT", "MODEL", "SKU", "N/A", "NONE", "NULL"), "").otherwise(text)
+    return F.when(text.isin(*NO_MPN), "").otherwise(text)
 
 
 def normalize_gtin(value: Column, strict: bool = True, ascii_only: bool = False) -> Column:
     """Digits padded to 14 if label, length, variety and (strict) check digit are right, else ''."""
     text = clean_text(value, ascii_only)
-    bare = F.regexp_extract(text, r"(?i)^(?:(?:gtin(?:[- ]?(?:8|12|13|14))?|ean(?:[- ]?(?:8|13))?|upc|barcode)\s*[:#=\-]?\s*)?([0-9][0-9\s-]*)$", 1)
+    bare = F.regexp_extract(text, GTIN, 1)
     digits = F.regexp_replace(bare, r"[\s-]", "")
     padded = F.lpad(digits, 14, "0")
     total = sum((F.substring(padded, i, 1).cast("int") * (3 if i % 2 else 1) for i in range(1, 15)), F.lit(0))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import text as T
+from brindle.functions import urls as U
 from brindle.operators import audit as A
+from brindle.operators import catalog as K
+from brindle.operators.ledger import union_all
 from brindle.operators import claims as C
 from brindle.operators import paths as P
 from brindle.plans.contracts import errors_of, errors_sql
-from brindle.plans.corpus import LINES_SQL, lines
+from brindle.plans.corpus import LINES_SQL, RULES, RULES_SQL, lines
 from brindle.plans.inventory import FILES_SQL, files
 from brindle.plans.registry import load, query
 
@@ -129,3 +133,32 @@ def sorted_inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each source's lines in order."""
     line = F.concat_ws("|", F.col("source"), F.col("doc_id").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("")))
     return A.sorted_digest(load(spark, sf_dir, "documents"), line, ["source"], [F.col("doc_id")])
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '/+(\?|$)', '\1') as key, sha256('{"id":' || page_id || ',"none":null,"url":"' || url || '"}') as digest,
+      try_cast(nullif(regexp_extract(url, '[0-9]+(\.[0-9]+)?'), '') as double) as number from pages""")
+def key_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity keys, canonical digests and first numbers of page URLs."""
+    url = F.col("url")
+    digest = T.canonical_sha256(url=url, id=F.col("page_id"), none=F.lit(None).cast("string"))
+    return load(spark, sf_dir, "pages").select("page_id", U.url_key(url).alias("key"), digest.alias("digest"), T.first_number(url).alias("number"))
+
+
+@query("""with p as (select p_partkey, case when p_partkey % 3 > 0 then ['a' || p_size, p_brand] else [] end as images from part)
+    select p_partkey, i - 1 as place, images[i] as url, 'observed' as source, 'image' as source_field, 'http://x/' || p_partkey as source_url from (select *, unnest(generate_series(1, len(images))) as i from p)""")
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of parts with their places and where they were observed."""
+    k = F.col("p_partkey")
+    images = F.when(k % 3 > 0, F.array(F.concat(F.lit("a"), F.col("p_size").cast("string")), F.col("p_brand"))).otherwise(F.array().cast("array<string>"))
+    rows = K.image_provenance(images, F.lit("image"), F.concat(F.lit("http://x/"), k.cast("string")))
+    return load(spark, sf_dir, "part").select("p_partkey", F.explode(rows).alias("x")).select("p_partkey", F.col("x.index").cast("long").alias("place"), "x.url", "x.source", "x.source_field", "x.source_url")
+
+
+@query(f"""with {LINES_SQL}, {RULES_SQL}, f as (select label, null as line from documents, r where regexp_matches(text, p)
+      union all select term, line from lines join (select unnest(['und ', 'zzz']) as term) on contains(key, term))
+    select label, count(*) as n, count(line) as n_lines from f group by 1""")
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of two scanners in one table, by label; those of the first have no line."""
+    docs = load(spark, sf_dir, "documents")
+    found = [A.scan_rules(docs, "doc_id", "text", RULES), P.stale_terms(lines(spark, sf_dir), ["und ", "zzz"]).withColumnRenamed("term", "label")]
+    return union_all(found).groupBy("label").agg(F.count("*").alias("n"), F.count("line").alias("n_lines"))

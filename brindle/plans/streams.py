@@ -86,3 +86,13 @@ def stream_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
         expiry).alias("expires_at"), (F.col("value") > 5).alias("resume_eligible"), F.lit("completed").alias("status"))
     asked = _events(spark, sf_dir, path).where(i % 2 == 0).select("event_id", F.col("user_id").alias("request"), F.col("event_type").alias("input"), F.col("ts").alias("asked_at"))
     return S.to_table(S.resumable(asked, done).select("event_id", "eligible"), path, "append")
+
+
+@query("select event_type as run_id, user_id % 3 as shard, count(*) as n, sum(event_id)::bigint as ids from events group by all")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended by run and shard, a second start adding nothing, and what then lies in the folders."""
+    path = _folder(spark)
+    e = _events(spark, sf_dir, path).select(F.col("event_type").alias("run_id"), (F.col("user_id") % 3).alias("shard"), "event_id")
+    for _ in range(2):
+        S.ingest(e, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("run_id", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
