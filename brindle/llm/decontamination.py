@@ -104,13 +104,15 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, within:
     phrases = same.where(F.col("run") >= F.least(F.lit(window), F.col("size"))).select("row", "item_id", F.col("at").alias("place"), "item_place").distinct()
     # nearest place of the second term before and after each of the first: one walk over both lists, no pairs
     other = rare.join(anchors.where("t1 <> t2").select("anchor"), "anchor", "left_semi")
-    walk = other.select("row", "anchor", "key", "at", F.lit(None).cast("int").alias("at2")).unionByName(second.select("row", "anchor", F.lit(None).cast("long").alias("key"), "at", F.col("at").alias("at2")))
+    walk = other.select("row", "anchor", "key", "at", F.lit(None).cast("int").alias("at2")).unionByName(second.select("row", "anchor",
+        F.lit(None).cast("long").alias("key"), "at", F.col("at").alias("at2")))
     by = Window.partitionBy("row", "anchor").orderBy("at")
     before = F.last("at2", True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("at2", True).over(by.rowsBetween(0, Window.unboundedFollowing))
     close = (F.col("at") - F.col("before") <= within) | (F.col("after") - F.col("at") <= within)
     ids = items.select("key", "item_id").distinct()
-    near = walk.withColumns({"before": before, "after": after}).where(F.col("key").isNotNull() & close).select("row", "key", F.col("at").alias("place")).join(small(ids), "key").select("row", "item_id", "place").distinct()
+    near = walk.withColumns({"before": before, "after": after}).where(F.col("key").isNotNull() & close).select("row", "key",
+        F.col("at").alias("place")).join(small(ids), "key").select("row", "item_id", "place").distinct()
     drop_dir(docs.sparkSession, f"{base}/rows")
     return texts, phrases, near
 
@@ -134,7 +136,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     by_row = by_row.join(near.groupBy("row").agg(F.count_distinct("item_id").alias("n_near")), "row", "full")
     out = texts.join(written(by_row, f"{work_dir(docs.sparkSession)}/hits"), "row", "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items,
+        ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -101,7 +101,8 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     prefixes.append(s[:p])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 parts = [s[s % np.uint64(BLOCKS) == 0] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes, pa.int64()), list_array(parts, pa.int64())], names=["doc_id", "n", "digest", "prefix", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests,
+                    pa.binary()), list_array(prefixes, pa.int64()), list_array(parts, pa.int64())], names=["doc_id", "n", "digest", "prefix", "part"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, part array<long>")
 
@@ -113,7 +114,8 @@ def other_blocks(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
                 whole = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in whole], pa.int64()), list_array([s[s % np.uint64(BLOCKS) != 0] for s in whole], pa.int64())], names=["id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in whole], pa.int64()),
+                    list_array([s[s % np.uint64(BLOCKS) != 0] for s in whole], pa.int64())], names=["id", "n", "s"])
 
     return docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "id long, n long, s array<long>")
 
@@ -236,7 +238,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     named = written(named.select("digest", "class_id", "component_id", "members"), f"{base}/named")
     linked_rows = hot_join(sigs.where(full).select("digest", "doc_id", "n"), named, "digest", "members")
     alone = sigs.where(~F.coalesce(full, F.lit(False))).select("doc_id", "n")
-    return linked_rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id")))
+    return linked_rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id").unionByName(alone.select("doc_id",
+        F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id")))
 
 
 def posting_lists(sigs: DataFrame, classes: DataFrame, base: str, percent: int) -> DataFrame:

@@ -171,7 +171,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, targets: Da
     ahead = supply.join(sizes, "part").join(shares, "source").withColumn("gap", F.col("share") * F.col("part_size") - F.col("size"))
     carried = ahead.select("part", "source", "share", F.coalesce(F.sum("gap").over(part_size), F.lit(0.0)).alias("carried"))
     heads = carried.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("string").alias("text"), "share", "carried")
-    body = rows.select(part.alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("carried"))
+    body = rows.select(part.alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text",
+        F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("carried"))
     dealt = heads.unionByName(body).repartition("part").sortWithinPartitions("part", "kind", F.xxhash64("doc_id"), "doc_id")
 
     by_tokens = targets is not None

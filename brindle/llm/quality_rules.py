@@ -27,7 +27,8 @@ KEEP_FROM = 0.5
 
 #: The base counts, and the ratios that the trees see with their constraint: -1 never raises the score.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = {"words": 0, "word_length": 0, "symbol_ratio": -1, "dup_line_ratio": -1, "repeat_ratio": -1, "distinct_ratio": 0, "words_per_line": 0, "ended_lines": 1, "upper_ratio": 0, "digit_ratio": 0, "other_ratio": 0}
+FEATURES = {"words": 0, "word_length": 0, "symbol_ratio": -1, "dup_line_ratio": -1, "repeat_ratio": -1, "distinct_ratio": 0, "words_per_line": 0,
+    "ended_lines": 1, "upper_ratio": 0, "digit_ratio": 0, "other_ratio": 0}
 
 SYMBOLS = lut(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
 NEWLINE = lut((0x0A, 0x0A))
@@ -71,7 +72,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     repeat_words = tally(row[covered])
     counts = np.stack((n_words, word_chars, of(SYMBOLS), dup_lines, repeat_words), axis=1)
     w, c, ln = np.maximum(n_words, 1), np.maximum(word_chars, 1), np.maximum(lines, 1)
-    features = np.stack((np.log1p(n_words), word_chars / w, counts[:, 2] / c, dup_lines / ln, repeat_words / w, distinct / w, n_words / ln, ended / ln, of(UPPER) / c, of(DIGIT) / c, 1 - np.minimum(of(LETTER & ~TAIL_BYTE), c) / c), axis=1)
+    features = np.stack((np.log1p(n_words), word_chars / w, counts[:, 2] / c, dup_lines / ln, repeat_words / w, distinct / w, n_words / ln,
+        ended / ln, of(UPPER) / c, of(DIGIT) / c, 1 - np.minimum(of(LETTER & ~TAIL_BYTE), c) / c), axis=1)
     return counts, features
 
 
@@ -187,7 +189,8 @@ def score_quality(docs: DataFrame, trees: Trees, keep_from: float = KEEP_FROM) -
                 counts, x = statistics(data, offsets)
                 score = held.value.scores(x)
                 failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(~failed & (score >= keep_from)), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c) for c in counts.T.copy()), pa.array(failed),
+                    pa.array(~failed & (score >= keep_from)), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     longs = ", ".join(f"{c} long" for c in COUNTS)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {longs}, base_failed boolean, kept boolean, score double")

@@ -127,7 +127,8 @@ def chunk_table(docs: DataFrame, least_words: int) -> DataFrame:
                 cut = Chunks(span_hashes(data, first, last), row, least_words)
                 chunk = np.unique(cut.chunk)
                 place = chunk - np.searchsorted(row, row[chunk])
-                yield pa.RecordBatch.from_arrays([pa.array(cut.digests(chunk).view(np.int64)), *taken(batch, a, b, row[chunk]), pa.array(place.astype(np.int32))], names=["digest", "doc_id", "tie", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(cut.digests(chunk).view(np.int64)), *taken(batch, a, b, row[chunk]),
+                    pa.array(place.astype(np.int32))], names=["digest", "doc_id", "tie", "place"])
 
     return docs.mapInArrow(run, "digest long, doc_id long, tie long, place int")
 
@@ -149,7 +150,8 @@ def window_table(docs: DataFrame, least_words: int) -> DataFrame:
                 windows = cut.first[known[cut.chunk]]
                 digest, more = cut.windows(windows)
                 place = windows - begin[row[windows]]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(more.view(np.int32)), *taken(batch, a, b, row[windows]), pa.array(place.astype(np.int32))], names=["digest", "more", "doc_id", "tie", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(more.view(np.int32)), *taken(batch, a, b, row[windows]),
+                    pa.array(place.astype(np.int32))], names=["digest", "more", "doc_id", "tie", "place"])
 
     return docs.select("doc_id", "tie", "text", "places").mapInArrow(run, "digest long, more int, doc_id long, tie long, place int")
 
@@ -175,7 +177,8 @@ def passages(docs: DataFrame, least_words: int, within: bool) -> DataFrame:
     for i in range(PASSES):
         part = windows.where(F.pmod("digest", F.lit(PASSES)) == i)
         source = part.groupBy("digest", "more").agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        source = written(source.select("digest", F.col("more").alias("more2"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.tie").alias("first_tie"), F.col("first.place").alias("first_place"), "n"), f"{base}/source{i}")
+        source = written(source.select("digest", F.col("more").alias("more2"), F.col("first.doc_id").alias("first_doc_id"),
+            F.col("first.tie").alias("first_tie"), F.col("first.place").alias("first_place"), "n"), f"{base}/source{i}")
         later = hot_join(part, source, "digest", "n").where("more = more2").where(again).select(*columns)
         later = written(later, f"{base}/later/pass={i}")
         drop_dir(spark, f"{base}/source{i}")
@@ -188,7 +191,9 @@ def passages(docs: DataFrame, least_words: int, within: bool) -> DataFrame:
     before = lambda c: F.lag(c).over(row)
     follows = before("first_doc_id").eqNullSafe(F.col("first_doc_id")) & (before("first_tie") == F.col("first_tie")) & (before("shift") == F.col("shift")) & (F.col("place") - before("place") <= 1)
     runs = later.withColumn("fresh", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "tie", "run").agg(F.min("place").alias("first_word"), (F.max("place") - F.min("place") + least_words).cast("long").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.max("n").alias("n_docs"))
+    found = runs.groupBy("doc_id", "tie", "run").agg(F.min("place").alias("first_word"),
+        (F.max("place") - F.min("place") + least_words).cast("long").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"),
+        F.max("n").alias("n_docs"))
     return found.drop("run")
 
 
@@ -223,7 +228,8 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, within: bool
                 word, size, source, n = (span.field(i) for i in range(4))
                 at = word.to_numpy(zero_copy_only=False) + np.searchsorted(row, of)
                 start, stop = first[at] - offsets[of], last[at + size.to_numpy(zero_copy_only=False) - 1] - offsets[of]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(start), pa.array(stop), size, source, n], names=["doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(start), pa.array(stop), size, source,
+                    n], names=["doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs"])
 
     hit = beside(docs, spans, "inner").select("doc_id", "tie", "text", "spans")
     return hit.mapInArrow(run, "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long")

@@ -124,8 +124,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     both = both.withColumn("errors", errors)
     # fields in the order of their names; null ones are left out
-    line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("conv_id").alias("conversation"), F.when(F.size("errors") > 0, F.col("errors")).alias("errors"), F.col("call_id").alias("id"), "name", F.col("answer.content").alias("result")))
-    out = both.select(*key, "kind", "level", F.coalesce("turn", "answer.turn").alias("turn"), F.col("answer.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "errors", line.alias("json"))
+    line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("conv_id").alias("conversation"), F.when(F.size("errors") > 0,
+        F.col("errors")).alias("errors"), F.col("call_id").alias("id"), "name", F.col("answer.content").alias("result")))
+    out = both.select(*key, "kind", "level", F.coalesce("turn", "answer.turn").alias("turn"), F.col("answer.turn").alias("result_turn"),
+        F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "errors", line.alias("json"))
     return out.orderBy("conv_id", "level", "turn", "call_id")
 
 
@@ -149,6 +151,9 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     user = conversations.where("role = 'user' and conv_id is not null and turn is not null")
     search = F.to_json(F.struct(F.col("text").alias("query"), F.when(n % 7 != 0, F.col("turn")).alias("limit"), F.when(n % 11 == 0, F.lit(1)).alias("page")))
     translate = F.to_json(F.struct(F.col("text").alias("text"), F.lit("en").alias("target"), F.when(n % 5 == 0, F.lit("yes")).alias("formal")))
-    calls = user.select("conv_id", "turn", id_at(F.col("turn")).alias("call_id"), F.when(F.col("turn") % 2 == 0, "search").otherwise("translate").alias("name"), F.when(F.col("turn") % 2 == 0, search).otherwise(translate).alias("arguments"), F.when(F.col("turn") % 4 >= 2, F.array(id_at(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = conversations.where("role = 'assistant' and conv_id is not null and turn is not null").select("conv_id", "turn", id_at(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    calls = user.select("conv_id", "turn", id_at(F.col("turn")).alias("call_id"), F.when(F.col("turn") % 2 == 0,
+        "search").otherwise("translate").alias("name"), F.when(F.col("turn") % 2 == 0, search).otherwise(translate).alias("arguments"),
+        F.when(F.col("turn") % 4 >= 2, F.array(id_at(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
+    results = conversations.where("role = 'assistant' and conv_id is not null and turn is not null").select("conv_id", "turn",
+        id_at(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

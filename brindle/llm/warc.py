@@ -45,7 +45,8 @@ def record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 def captures(pages: DataFrame) -> DataFrame:
     """Pages with payload, payload_bytes, payload_digest and refers_to (null: write as response)."""
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")),
+        r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     base = work_dir(pages.sparkSession)
     large = written(rows.where(F.col("payload_bytes") >= LEAST_BYTES).select("page_id", "payload_digest"), f"{base}/large")
@@ -69,15 +70,22 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     kind = F.when(to.isNull(), "response").otherwise("revisit")
     own = record_id("response", page, digest)
     common = [("WARC-Date", date), ("WARC-Target-URI", F.col("url"))]
-    request = record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
+    request = record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest)), ("WARC-Concurrent-To", own), *common,
+        ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"),
+        F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
     http = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}")
     response = record(
-        [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", F.when(to.isNotNull(), record_id("response", to, digest))), ("WARC-Profile", F.when(to.isNotNull(), PROFILE)), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("Content-Type", "application/http; msgtype=response")],
+        [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", F.when(to.isNotNull(), record_id("response", to, digest))), ("WARC-Profile",
+            F.when(to.isNotNull(), PROFILE)), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("Content-Type",
+            "application/http; msgtype=response")],
         F.when(to.isNull(), F.concat(http, "payload")).otherwise(http),
     )
-    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(f"{CRLF}payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)))
+    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), ("WARC-Concurrent-To", own), *common,
+        ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(f"{CRLF}payload-bytes: "),
+        F.col("payload_bytes").cast("string"), F.lit(CRLF)))
     # the sink ends each row with the line end that also ends the last record
-    c.select(F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))).write.mode("overwrite").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 1000)))).option("lineSep", CRLF).option("compression", "gzip").text(path)
+    c.select(F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))).write.mode("overwrite").option("maxRecordsPerFile",
+        max(1, int(ARCHIVE_BYTES / (mean + 1000)))).option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes, keep_payload: bool = False) -> Iterator[tuple]:
@@ -152,4 +160,6 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     t = transactions(read_records(pages.sparkSession, path))
     referred = F.regexp_extract("response.refers_to", r"^<urn:capture:response:(-?\d+):", 1)
-    return t.select(F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.when(F.col("response.type") == "revisit", referred.cast("long")).alias("refers_to"))
+    return t.select(F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        F.when(F.col("response.type") == "revisit", referred.cast("long")).alias("refers_to"))
