@@ -31,26 +31,32 @@ RULES = {
         ("measurement", "battery", r"(?<!\d)(\d{2,6})\s*mAh\b", "mAh"),
         ("all_of", "pins", [(r"\b3[- ]?pin\b", "3-pin"), (r"\b5[- ]?pin\b", "5-pin")], None),
         ("first_of", "knob_support", [("knob", "Yes"), ("rotary encoder", "Yes")], None),
-        ("first_of", "mount_style", [("gasket", "Gasket"), ("top mount", "Top"), ("bottom mount", "Bottom"), ("plate", "Plate"), ("tray", "Tray"), ("sandwich", "Sandwich"), ("pcb mount", "PCB")], None),
+        ("first_of", "mount_style", [("gasket", "Gasket"), ("top mount", "Top"), ("bottom mount", "Bottom"), ("plate", "Plate"), ("tray", "Tray"),
+            ("sandwich", "Sandwich"), ("pcb mount", "PCB")], None),
         ("all_of", "case_material", [(rf"\b{m}\b", m.title()) for m in ("abs", "aluminum", "polycarbonate", "acrylic", "wood", "silicone", "steel", "copper")], None),
         ("measurement", "polling_rate", r"(?<!\d)(\d{3,5})\s*Hz\b", "Hz"),
         ("all_of", "connection_type", [(r"\bbluetooth\b", "Bluetooth"), (r"\bwireless\b|\b2\.?4\s*ghz\b", "Wireless"), (r"\bwired\b|\busb\b", "Wired")], None),
         ("first_of", "keyboardproduct_type", [("hall effect", "Hall Effect Keyboard"), ("mechanical", "Mechanical Keyboard")], None),
     ],
     "mouse": [
-        ("first_of", "tracking_method", [("bamf 3.0", "PAW3950"), ("bamf 2.0", "PAW3395"), ("xs-1", "PAW3950"), ("focus pro", "PAW3950"), ("26k", "PAW3395"), ("4g hero", "HERO"), ("5g hero", "HERO")], None),
+        ("first_of", "tracking_method", [("bamf 3.0", "PAW3950"), ("bamf 2.0", "PAW3395"), ("xs-1", "PAW3950"), ("focus pro", "PAW3950"), ("26k",
+            "PAW3395"), ("4g hero", "HERO"), ("5g hero", "HERO")], None),
         ("regex", "tracking_method", r"\bPAW\d{3,4}(?:\s*(?:HS|SE|MAX|ULTRA|MASTER))?\b", "identity"),
         ("haze_weight", "weight", ["6369g", "6369 g"], [" tmr", "haze x1", "haze x ii"]),
         ("measurement", "weight", r"(?<!\d)(\d{1,4}(?:\.\d+)?)\s*g\b", "g"),
         ("measurement", "battery", r"(?<!\d)(\d{2,6})\s*mAh\b", "mAh"),
         ("dpi", "maximum_dpi", r"(?<!\d)(\d{1,3})\s*K\s*(?:DPI)?\b|(?<!\d)(\d{4,6})\s*DPI\b", None),
         ("all_of", "connection_type", [(r"\bbluetooth\b|\bbt\b", "Wireless BT"), (r"\b2\.?4\s*(?:ghz)?\b|\bwireless\b", "Wireless 2.4 GHZ"), (r"\bwired\b|\busb\b", "Wired")], None),
-        ("first_of", "switch_type", [("d2fc-f-7n", "Omron D2FC-F-7N 100M"), ("omron", "Omron Mechanical"), ("optical", "Optical"), ("huano green shell", "Huano Green Shell White Dot"), ("huano blue shell", "Huano Blue Shell Pink Dot"), ("ttc gold", "TTC Gold"), ("kailh", "Kailh")], None),
+        ("first_of", "switch_type", [("d2fc-f-7n", "Omron D2FC-F-7N 100M"), ("omron", "Omron Mechanical"), ("optical", "Optical"),
+            ("huano green shell", "Huano Green Shell White Dot"), ("huano blue shell", "Huano Blue Shell Pink Dot"), ("ttc gold", "TTC Gold"),
+            ("kailh", "Kailh")], None),
         ("all_of", "grip_type", [("palm", "Palm"), ("claw", "Claw"), ("fingertip", "Fingertip")], None),
     ],
     "display": [("measurement", "refresh_rate", r"(?<!\d)(\d{2,4})\s*Hz\b", "Hz")],
     "mousepad": [
-        ("first_of", "mousepad_speed", [("extremely fast", "Extremely fast"), ("very fast", "Very fast"), ("fast", "Fast"), ("quick", "Quick"), ("balanced", "Balanced"), ("control", "Control"), ("slow", "Slow"), ("very slow", "Very slow"), ("extremely slow", "Extremely slow")], None),
+        ("first_of", "mousepad_speed", [("extremely fast", "Extremely fast"), ("very fast", "Very fast"), ("fast", "Fast"), ("quick", "Quick"),
+            ("balanced", "Balanced"), ("control", "Control"), ("slow", "Slow"), ("very slow", "Very slow"), ("extremely slow", "Extremely slow")],
+            None),
         ("first_of", "mousepad_texture", [("rough", "Rough"), ("textured", "Textured"), ("smooth", "Smooth")], None),
         ("first_of", "mousepad_firmness", [("very soft", "Very soft"), ("soft", "Soft"), ("firm", "Firm"), ("very firm", "Very firm"), ("hard", "Hard")], None),
         ("measurement", "thickness_mm", r"(?<!\d)(\d+(?:\.\d+)?)\s*mm\b", "mm"),
