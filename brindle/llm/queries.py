@@ -12,6 +12,7 @@ from brindle.llm.lm_scoring import stupid_backoff
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.source_divergence import source_divergence
 from brindle.llm.substring_dedup import repeated_spans
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.tool_calls import CHAT_TOOLS, calls_of, link_tool_calls
@@ -62,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
     "op5_tool_calls": """
@@ -109,4 +115,26 @@ ORACLE_SQL = {
                case when page_id < last then 'revisit' else 'response' end as record_type,
                case when page_id < last then last end as refers_to
         from p left join m on p.payload = m.payload""",
+    "op13_source_divergence": """
+        with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as r from documents),
+        w as (select lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+        k as (select lang, term, count(*) as n from w group by lang, term having count(distinct r) >= 10),
+        l as (select lang, count(*) as v, sum(n) as total from k group by lang),
+        c as (select w.lang, w.source, w.term, count(*) as n from w join k on w.lang = k.lang and w.term = k.term group by all),
+        t as (select lang, source, sum(n) as total from c group by lang, source),
+        g as (select g.lang, g.source, coalesce(t.total, 0) as total, coalesce(l.v, 0) as v
+              from (select distinct lang, source from d) g left join t on t.lang = g.lang and t.source = g.source left join l on l.lang = g.lang),
+        p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v)::hugeint as p,
+                1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.v)::hugeint as q
+              from g join k on k.lang = g.lang join l on l.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        two as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+                from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pair as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(two.value, 0)::bigint as value
+                 from g join g h on g.lang = h.lang and g.source <> h.source
+                 left join two on two.lang = g.lang and two.source = g.source and two.item = h.source),
+        term as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from (select * from pair union all select * from term))
+        select lang, source, part, item, value, rank::integer as rank from r where part = 'pair' or rank <= 10""",
 }
