@@ -150,16 +150,20 @@ LOWER[65:91] += 32
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every maximal run of bytes outside ``sep``; rows end words."""
-    if not len(data):
+    return spans_of(~sep[data], offsets)
+
+
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of bytes that are ``inside``; rows end runs."""
+    if not len(inside):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~sep[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     after = np.empty_like(inside)
     after[-1], after[:-1] = False, inside[1:]
     cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    cuts = cuts[(cuts > 0) & (cuts < len(inside))]
     before[cuts] = False
     after[cuts - 1] = False
     starts = np.flatnonzero(inside & ~before)

@@ -13,6 +13,7 @@ from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.source_divergence import source_divergence
+from brindle.llm.spelling_variants import spelling_variants
 from brindle.llm.substring_dedup import repeated_spans
 from brindle.llm.token_counts import count_tokens
 from brindle.llm.tool_calls import CHAT_TOOLS, calls_of, link_tool_calls
@@ -63,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
