@@ -12,6 +12,7 @@ from brindle.llm.lm_scoring import stupid_backoff
 from brindle.llm.ngram_jaccard import ngram_jaccard_join
 from brindle.llm.packing import pack
 from brindle.llm.quality_rules import quality_rules
+from brindle.llm.rule_ensemble import rule_ensemble
 from brindle.llm.source_divergence import source_divergence
 from brindle.llm.spelling_variants import spelling_variants
 from brindle.llm.substring_dedup import repeated_spans
@@ -64,6 +65,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_rule_ensemble": op11_rule_ensemble,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }

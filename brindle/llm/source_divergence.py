@@ -38,7 +38,7 @@ COUNTS = "lang string, source string, term string, n long, n_docs long"
 PAIRS = "lang string, source string, item string, value long, rest long, kept long"
 
 
-def group_counts(docs: DataFrame, flush: int = FLUSH_TERMS) -> DataFrame:
+def group_counts(docs: DataFrame, flush: int) -> DataFrame:
     """Occurrences and documents of each (lang, source, term), partly summed: a row for each ``flush`` terms of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,10 @@ def divergence(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), p + q)
 
 
-def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
+def kept_terms(docs: DataFrame, least_docs: int, flush: int = FLUSH_TERMS) -> DataFrame:
     """(lang, term, source, n, lang_n, first): counts of kept terms; ``first`` marks one row a term of the language."""
     # the shuffle on (lang, term) serves the grouping and the window
-    counts = group_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    counts = group_counts(docs, flush).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     term = Window.partitionBy("lang", "term")
     return (
         counts.withColumns({"lang_n": F.sum("n").over(term), "lang_docs": F.sum("n_docs").over(term), "first": (F.min("source").over(term) == F.col("source")).cast("int")})
@@ -93,7 +93,7 @@ def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
     )
 
 
-def groups_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def groups_of(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, lang, source, size, mass, kept, lang_mass, number, blocks) of every (lang, source) of ``docs``.
 
     ``size`` is the group's number of kept terms with a count, ``kept`` its
@@ -107,7 +107,7 @@ def groups_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     whole = lambda c: F.coalesce(F.sum(c).over(lang), F.lit(0))
     every = every.withColumns({"kept": whole("first"), "lang_total": whole("total"), "number": F.row_number().over(lang.orderBy("source")) - 1, "sources": F.count("*").over(lang)})
     return every.select(group_key().alias("key"), "lang", "source", F.coalesce("size", F.lit(0)).alias("size"), (F.coalesce("total", F.lit(0)) + 2 * F.col("kept")).alias("mass"),
-        "kept", (F.col("lang_total") + 2 * F.col("kept")).alias("lang_mass"), "number", F.ceil(F.col("sources") / BLOCK).cast("int").alias("blocks"))
+        "kept", (F.col("lang_total") + 2 * F.col("kept")).alias("lang_mass"), "number", F.ceil(F.col("sources") / block).cast("int").alias("blocks"))
 
 
 def group_key() -> Column:
@@ -115,7 +115,7 @@ def group_key() -> Column:
     return F.concat(F.length("lang").cast("string"), F.lit(":"), F.col("lang"), F.col("source"))
 
 
-def pair_sums(placed: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_sums(placed: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """Divergence of every two sources of a language, summed over all kept terms.
 
     A row goes to each pair of blocks that its source's block is in. In a task
@@ -124,7 +124,7 @@ def pair_sums(placed: DataFrame, groups: DataFrame) -> DataFrame:
     in both sources, and are added by their number.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    own = div(F.col("number"), F.lit(BLOCK)).cast("int")
+    own = div(F.col("number"), F.lit(block)).cast("int")
     ends = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
     zero = F.when(F.col("mass") > 0, per_billion(F.lit(2).cast("long"), F.col("mass"))).otherwise(F.lit(1)).cast("long")
     rows = placed.select("lang", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), own.alias("own"), other, "term", "number", F.lit(None).cast("string").alias("source"), "p", F.lit(0).cast("long").alias("kept"))
@@ -158,7 +158,7 @@ def pair_sums(placed: DataFrame, groups: DataFrame) -> DataFrame:
                 if key != now:
                     if task is not None:
                         yield from task.sums()
-                    now, task = key, PairTask(*key[:3])
+                    now, task = key, PairTask(*key[:3], block)
                 h, r = a + np.flatnonzero(head[a:b]), a + np.flatnonzero(~head[a:b])
                 task.sources(number[h], column("source").take(pa.array(h)).to_pylist(), p[h], kept[h])
                 task.terms(np.cumsum(new[r]) - 1, number[r], p[r])
@@ -178,8 +178,8 @@ def pair_sums(placed: DataFrame, groups: DataFrame) -> DataFrame:
 class PairTask:
     """Sums over some terms for the pairs of sources of one block, or of two different blocks."""
 
-    def __init__(self, lang: str, low: int, high: int):
-        self.lang, self.across, self.edge = lang, low != high, high * BLOCK
+    def __init__(self, lang: str, low: int, high: int, block: int):
+        self.lang, self.across, self.edge = lang, low != high, high * block
         self.number, self.name, self.zero = np.zeros(0, np.int64), [], np.zeros(0, np.int64)
         self.kept, self.seen, self.total = 0, 0, None
 
@@ -226,7 +226,7 @@ class PairTask:
                 names=["lang", "source", "item", "value", "rest", "kept"])
 
 
-def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, flush: int = FLUSH_TERMS, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source is from the others of its language, and by which terms.
 
     A language keeps the terms of at least ``least_docs`` of its rows. A group
@@ -235,7 +235,8 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     differ by floor((p - q)^2 / (p + q)). Part ``pair``: every other source of
     the language, with the sum over all kept terms, 0 where there are none.
     Part ``term``: the ``top`` kept terms that the group has with a higher share
-    than the language. Ranks go by falling value, ties by the item's bytes.
+    than the language. A task counts ``flush`` occurrences at once; pairs are
+    made by ``block`` sources. Ranks go by falling value, ties by the item's bytes.
 
     Null text, lang and source are empty strings. Every row is a document,
     whatever its doc_id, which is not read; repeated rows count as often as
@@ -245,15 +246,15 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     spark = docs.sparkSession
     base = work_dir(spark)
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    kept = written(kept_terms(docs, least_docs), f"{base}/kept")
-    groups = written(groups_of(docs, kept), f"{base}/groups")
+    kept = written(kept_terms(docs, least_docs, flush), f"{base}/kept")
+    groups = written(groups_of(docs, kept, block), f"{base}/groups")
     keyed = kept.withColumn("key", group_key()).drop("lang", "source")
     placed = hot_join(keyed, groups, "key", "size")
     placed = placed.select("lang", "source", "term", "number", "blocks", "lang_mass", "lang_n", per_billion(F.col("n") + 2, F.col("mass")).alias("p"))
     rank = lambda: F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     more = placed.withColumn("q", per_billion(F.col("lang_n") + 2, F.col("lang_mass"))).where("p > q")
     terms = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")).withColumn("rank", rank()).where(F.col("rank") <= top)
-    sums = written(pair_sums(placed, groups), f"{base}/pairs")
+    sums = written(pair_sums(placed, groups, block), f"{base}/pairs")
     terms = written(terms, f"{base}/terms")
     for name in ("kept", "groups"):
         drop_dir(spark, f"{base}/{name}")
