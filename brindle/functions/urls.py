@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,7 +23,8 @@ RESERVED_SUFFIXES = ("local", "internal", "localhost", "home.arpa")
 
 #: scheme, authority, path, query, fragment.
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-AUTHORITY = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)(?::(\d*))?$"
+AUTHORITY = r"^(?:.*@)?(\[[^\]]*\]|[^:\[\]]*)(?::(\d*))?$"
+MAX_PORT = 65535
 
 
 def _part(url: Column, i: int) -> Column:
@@ -29,21 +32,24 @@ def _part(url: Column, i: int) -> Column:
 
 
 def _authority(url: Column) -> tuple[Column, Column]:
-    """(host in lower case without brackets, port number or null)."""
+    """(host in lower case without brackets, '' where there is none; port number, null where there is none, -1 where it is none that can be)."""
     authority = _part(url, 2)
     host = F.lower(F.regexp_extract(authority, AUTHORITY, 1))
-    return F.regexp_replace(host, r"^\[|\]$", ""), F.nullif(F.regexp_extract(authority, AUTHORITY, 2), F.lit("")).cast("int")
+    digits = F.ltrim(F.regexp_extract(authority, AUTHORITY, 2), F.lit("0"))
+    port = F.when(F.length(digits) > 5, -1).otherwise(digits.try_cast("int"))
+    port = F.when(port > MAX_PORT, -1).when(F.regexp_extract(authority, AUTHORITY, 2).rlike("^0+$"), 0).otherwise(port)
+    return F.regexp_replace(host, r"^\[|\]$", ""), port
 
 
 def canonical_url(url: Column) -> Column:
-    """Absolute http(s) URL with lower-case scheme and host, without default port and fragment; null for others."""
+    """Absolute http(s) URL with lower-case scheme and host, without default port and fragment; null for others, and for ports over 65535."""
     url = F.trim(url)
     scheme = F.lower(_part(url, 1))
     host, port = _authority(url)
     default = port.isNull() | (port == 0) | ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
     path = F.coalesce(F.nullif(_part(url, 3), F.lit("")), F.lit("/"))
     query = F.when(_part(url, 4) == "?", "").otherwise(_part(url, 4))
-    ok = scheme.isin("http", "https") & (host != "")
+    ok = scheme.isin("http", "https") & (host != "") & (F.coalesce(port, F.lit(0)) >= 0)
     return F.when(ok, F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port.cast("string"))), path, query))
 
 
@@ -69,21 +75,27 @@ def _safe_v6(values: pd.Series) -> pd.Series:
     return values.map(safe)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def safe_host(host: Column, v6: bool = False) -> Column:
     """Whether a host is a public name or address. IPv6 literals count as unsafe unless ``v6`` asks for the Arrow check."""
     host = F.rtrim(F.lower(host), F.lit("."))
+    six = F.coalesce(_safe_v6(F.when(host.contains(":"), host)), F.lit(False)) if v6 else F.lit(False)
+    return F.coalesce(F.when(host.contains(":"), six).otherwise(let(host, _safe_name)), F.lit(False))
+
+
+def _safe_name(host: Column) -> Column:
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     is_v4 = host.rlike(rf"^{octet}(\.{octet}){{3}}$")
-    parts = F.split(host, r"\.")
-    number = sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * (256 ** (3 - i)) for i in range(4)), F.lit(0))
-    blocked = F.lit(False)
-    for first, last in BLOCKED_V4:
-        blocked = blocked | number.between(_number(first), _number(last))
+    number = F.aggregate(F.split(host, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.try_cast("long"))
+    blocked = let(number, lambda n: reduce(lambda a, b: a | b, [n.between(_number(first), _number(last)) for first, last in BLOCKED_V4]))
     numeric = host.rlike(r"^(0[xX][0-9a-fA-F]+|0[oO][0-7]+|[0-9]+)(\.(0[xX][0-9a-fA-F]+|0[oO][0-7]+|[0-9]+))*$")
     reserved = host.rlike(rf"(^|\.)({'|'.join(s.replace('.', chr(92) + '.') for s in RESERVED_SUFFIXES)})$")
     name = host.contains(".") & ~numeric & ~reserved & (host != "localhost.localdomain")
-    six = F.coalesce(_safe_v6(F.when(host.contains(":"), host)), F.lit(False)) if v6 else F.lit(False)
-    return F.coalesce(F.when(is_v4, ~blocked).when(host.contains(":"), six).otherwise(name), F.lit(False))
+    return F.when(is_v4, ~blocked).otherwise(name)
 
 
 def safe_url(url: Column, v6: bool = False) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle.operators.records import filled
+from brindle.operators.tiers import rank
 
-# Evidence tiers from weak to strong, and the tier that each class of claims needs.
-EVIDENCE_TIERS = ("deterministic_contract", "simulated_provider", "live_source_acquisition", "live_provider", "integration_runtime", "production")
+# The evidence tier that each class of claims needs.
 CLAIMS = {
     "deterministic_contract": "deterministic_contract", "contract_coverage": "deterministic_contract", "benchmark_regression": "deterministic_contract",
     "simulated_provider": "simulated_provider", "mocked_provider": "simulated_provider",
@@ -41,11 +41,6 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def rank(tier: Column) -> Column:
-    """Place of an evidence tier from 0 on, null for an unknown one."""
-    return F.nullif(F.array_position(F.array(*[F.lit(t) for t in EVIDENCE_TIERS]), tier) - 1, F.lit(-1))
-
-
 def allows(tier: Column, claim: Column) -> Column:
     """Whether a tier may support a class of claims; null where either is unknown."""
     needed = F.try_element_at(literal_map(CLAIMS), F.translate(F.lower(F.trim(claim)), "-", "_"))

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.evaluation import row_errors
-
-# Evidence tiers from weak to strong, and the tier that a claim needs.
-TIERS = ("fixture", "synthetic", "replay", "live")
-
+from brindle.operators.tiers import EVIDENCE_TIERS, rank
 
 def filled(*names: str) -> dict[str, Column]:
     """Rules: each text column holds more than blanks."""
@@ -48,15 +45,10 @@ def check(rows: DataFrame, keys: list[str], rules: dict[str, Column], unique: st
     return rows.select(*keys, row_errors(rules).alias("errors"))
 
 
-def tier_rank(tier: Column) -> Column:
-    """Place of a tier, null for an unknown one."""
-    return F.nullif(F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.lower(F.trim(tier))), F.lit(0))
-
-
 def least_tier(rows: DataFrame, keys: list[str], tier: str) -> DataFrame:
     """keys, the weakest known tier, and whether a row has no known one."""
-    r = rows.withColumn("__rank", tier_rank(F.col(tier)))
-    least = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.min("__rank").cast("int"))
+    r = rows.withColumn("__rank", rank(F.lower(F.trim(tier))))
+    least = F.get(F.array(*[F.lit(t) for t in EVIDENCE_TIERS]), F.min("__rank").cast("int"))
     return r.groupBy(*keys).agg(F.when(F.min("__rank").isNotNull(), least).alias("least_tier"), F.bool_or(F.col("__rank").isNull()).alias("untyped"))
 
 

@@ -12,6 +12,7 @@ from brindle.operators import catalog as K
 from brindle.operators.ledger import union_all
 from brindle.operators import claims as C
 from brindle.operators import paths as P
+from brindle.operators.tiers import EVIDENCE_TIERS
 from brindle.plans.contracts import errors_of, errors_sql
 from brindle.plans.corpus import LINES_SQL, RULES, RULES_SQL, lines
 from brindle.plans.inventory import FILES_SQL, files
@@ -24,13 +25,13 @@ def sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query(f"""with t as (select event_type, {sql_list([*C.EVIDENCE_TIERS, "rumour"])}[user_id % 7 + 1] as tier, {sql_list(CLAIM_NAMES)}[event_id % {len(CLAIM_NAMES)} + 1] as claim from events),
-    n as (select *, list_position({sql_list(C.EVIDENCE_TIERS)}, tier) as r, map({sql_list(C.CLAIMS)}, {sql_list(C.CLAIMS.values())})[replace(lower(trim(claim)), '-', '_')] as needed from t)
-    select tier, claim, r >= list_position({sql_list(C.EVIDENCE_TIERS)}, needed) as allowed, count(*) as n from n group by all""")
+@query(f"""with t as (select event_type, {sql_list([*EVIDENCE_TIERS, "rumour"])}[user_id % 7 + 1] as tier, {sql_list(CLAIM_NAMES)}[event_id % {len(CLAIM_NAMES)} + 1] as claim from events),
+    n as (select *, list_position({sql_list(EVIDENCE_TIERS)}, tier) as r, map({sql_list(C.CLAIMS)}, {sql_list(C.CLAIMS.values())})[replace(lower(trim(claim)), '-', '_')] as needed from t)
+    select tier, claim, r >= list_position({sql_list(EVIDENCE_TIERS)}, needed) as allowed, count(*) as n from n group by all""")
 def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of events and whether their evidence tier allows them."""
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
-    rows = load(spark, sf_dir, "events").select(pick([*C.EVIDENCE_TIERS, "rumour"], F.col("user_id")).alias("tier"), pick(CLAIM_NAMES, F.col("event_id")).alias("claim"))
+    rows = load(spark, sf_dir, "events").select(pick([*EVIDENCE_TIERS, "rumour"], F.col("user_id")).alias("tier"), pick(CLAIM_NAMES, F.col("event_id")).alias("claim"))
     return rows.groupBy("tier", "claim", C.allows(F.col("tier"), F.col("claim")).alias("allowed")).agg(F.count("*").alias("n"))
 
 
@@ -103,7 +104,8 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of sources and documents, and what is wrong with each; the first document is looked up in the table."""
     f = files(spark, sf_dir)
-    doc = f.where("doc_id = 1").first()["path"]
+    first = f.where("doc_id = 1").first()
+    doc = first["path"] if first and first["path"] is not None else "docs/none.md"
     groups = {"python": (["s*/*/*.py"], [doc, "docs/lost.md"], True), "rust": (["**.rs"], [doc], True), "loose": (["**/d?.ts"], [doc], False), "none": (["*.nothing"], [doc], True)}
     return P.paired_changes(f, "path", F.col("doc_id") % 7 == 0, groups)
 

@@ -25,15 +25,6 @@ def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.duplicate_lines(lines(spark, sf_dir))
 
 
-@query(f"""with {LINES_SQL}, s as (select doc, line, case when doc % 2 = 0 then 'must ' else 'must not ' end || substr(key, 1, 30) as key from lines), t as (select doc, line, doc % 2 = 0 as positive, case when doc % 2 = 0 then substr(key, 6) else substr(key, 10) end as subject from s),
-    c as (select subject from t group by subject having count(distinct positive) = 2) select doc, line::integer as line, subject from t join c using (subject)""")
-def conflicting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of lines as instructions: even documents demand what odd ones forbid."""
-    text = F.substring("key", 1, 30)
-    made = lines(spark, sf_dir).withColumn("key", F.concat(F.when(F.col("doc") % 2 == 0, "must ").otherwise("must not "), text))
-    return A.conflicting_lines(made)
-
-
 @query(f"""with {LINES_SQL}, t as (select doc, line, doc % 2 = 0 as positive, key as subject from lines),
     c as (select subject from t group by subject having count(distinct positive) = 2) select doc, line::integer as line, subject from t join c using (subject)""")
 def conflicting_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,19 +158,18 @@ def frame_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reassemble(spoilt_frames(spark, sf_dir))
 
 
-@query("""select event_id, case event_id % 9 when 1 then 'root is not an object' when 2 then 'invalid json' when 3 then 'too deep' when 4 then 'too many items' when 5 then 'string too long' when 6 then 'missing'
-      when 8 then case when user_id % 2 = 0 then 'too large' else '' end else '' end as problem from events where event_id % 9 < 3 or event_id % 50 = 0""")
+@query("""select event_id, case event_id % 9 when 1 then 'root is not an object' when 2 then 'invalid json' when 3 then 'too deep' when 4 then 'too many items' when 5 then case when event_id % 50 = 0 then 'string too long' else '' end when 6 then 'missing'
+      when 8 then case when user_id % 2 = 0 and event_id % 50 = 0 then 'too large' else '' end else '' end as problem from events""")
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event payloads and broken variants of them against each bound of a payload; the large variants of every fiftieth event."""
-    i = F.col("event_id") % 9
+    """All event payloads, broken in different ways, against each bound of a payload; every fiftieth gets a variant of a megabyte, if any."""
+    i, rare = F.col("event_id") % 9, F.col("event_id") % 50 == 0
     wrap = lambda before, middle, after: F.concat(F.lit(before), middle, F.lit(after))
     deep = F.concat(F.repeat(F.lit('{"a":'), 40), "props", F.repeat(F.lit("}"), 40))
     many = wrap('{"a":[0', F.repeat(F.lit(",1"), 1024), "]}")
     long = wrap('{"a":"', F.repeat(F.lit("x"), 131073), '"}')
     large = F.concat(F.lit('{"a":1}'), F.expr(f"repeat(' ', if(user_id % 2 = 0, {(1 << 20) - 6}, {(1 << 20) - 7}))"))
-    made = F.when(i == 1, wrap("[", F.col("props"), "]")).when(i == 2, wrap("{", F.col("props"), "")).when(i == 3, deep).when(i == 4, many).when(i == 5, long).when(i == 6, F.lit(None)).when(i == 8, large).otherwise(F.col("props"))
-    rows = load(spark, sf_dir, "events").where((i < 3) | (F.col("event_id") % 50 == 0))
-    return P.check_payloads(rows.select("event_id", made.alias("payload")), "event_id", "payload")
+    made = F.when(i == 1, wrap("[", F.col("props"), "]")).when(i == 2, wrap("{", F.col("props"), "")).when(i == 3, deep).when(i == 4, many).when((i == 5) & rare, long).when(i == 6, F.lit(None)).when((i == 8) & rare, large).otherwise(F.col("props"))
+    return P.check_payloads(load(spark, sf_dir, "events").select("event_id", made.alias("payload")), "event_id", "payload")
 
 
 @query("""with l as (select o_custkey as k, max(o_totalprice) as v from orders where o_orderkey % 2 = 0 group by 1), r as (select o_custkey as k, max(o_totalprice) as v from orders group by 1 having count(*) > 8)
@@ -191,15 +181,6 @@ def policy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.policy_diff(o.where("o_orderkey % 2 = 0").groupBy("k").agg(v), right, "k", "v")
 
 
-@query("""with p as (select p_partkey as id, list_distinct(string_split(p_name, ' ')) as names, list_distinct(string_split(p_type, ' ')) as types from part),
-    x as (select l.id as left_id, r.id as right_id, len(list_intersect(l.names, r.names)) as n, len(list_intersect(l.types, r.types)) as t, len(l.names) + len(r.names) as ns, len(l.types) + len(r.types) as ts from p l join p r on l.id % 20 = 0 and r.id % 20 = 10),
-    s as (select left_id, right_id, round((0.0::double + n / (ns - n) + t / (ts - t)) / 2, 6) as score, n, t from x) select left_id, right_id, score from s where score >= 0.4 and n + t > 0""")
-def feature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two samples of parts by mean Jaccard of name and type words, found through shared words."""
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("names"), F.split("p_type", " ").alias("types"))
-    return A.similar_pairs(p.where("id % 20 = 0"), p.where("id % 20 = 10"), ["names", "types"], 0.4)
-
-
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("names"), F.split("p_type", " ").alias("types"))
 
@@ -284,11 +265,12 @@ def freshness_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("user_id", "claim")
 
 
-@query("""with d as (select doc_id as id, doc_id - 1 as parent_id, sha256(coalesce(text, '')) as digest from documents where doc_id % 10 <> 5), a as (select c.id, c.parent_id, case when c.id % 4 = 0 then 'x' else p.digest end as pd, p.digest as real, case when c.id % 8 = 0 then 'MAPPING_LOST' else 'map' end as m from d c left join d p on p.id = c.parent_id)
+@query("""with d as (select doc_id as id, case when doc_id % 10 <> 6 then doc_id - 1 else -doc_id end as parent_id, sha256(coalesce(text, '')) as digest from documents), a as (select c.id, c.parent_id, case when c.id % 4 = 0 then 'x' else p.digest end as pd, p.digest as real, case when c.id % 8 = 0 then 'MAPPING_LOST' else 'map' end as m from d c left join d p on p.id = c.parent_id)
     select id, case when real is null then 'missing_parent' when m = 'MAPPING_LOST' then 'mapping_lost' else 'digest_mismatch' end as problem from a where real is null or pd <> real""")
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document derived from the one before; some parents and digests are wrong."""
-    d = load(spark, sf_dir, "documents").where("doc_id % 10 <> 5").select(F.col("doc_id").alias("id"), (F.col("doc_id") - 1).alias("parent_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    i = F.col("doc_id")
+    d = load(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 10 != 6, i - 1).otherwise(-i).alias("parent_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     p = d.select(F.col("id").alias("parent_id"), F.col("digest").alias("pd"))
     a = d.join(p, "parent_id", "left").withColumn("parent_digest", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("pd"))).withColumn("span_map", F.when(F.col("id") % 8 == 0, "MAPPING_LOST").otherwise("map"))
     return A.lineage_findings(a)

@@ -154,14 +154,14 @@ def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.unionByName(anchors.select(F.col("surface").alias("source"), F.concat(F.lit("anchor "), "anchor").alias("path")))
 
 
-@query("""with f as (select 0 as o, 'instruction-audit' as source, coalesce(case when doc_id % 3 = 0 then null else lang end, 'finding') as kind, source as document, doc_id as l, doc_id::varchar as line, left(coalesce(text, ''), 600) as detail from documents where doc_id % 50 < 2),
+@query("""with f as (select 0 as o, 'instruction-audit' as source, coalesce(case when doc_id % 3 = 0 then null else lang end, 'finding') as kind, source as document, doc_id as l, doc_id::varchar as line, left(coalesce(text, ''), 600) as detail from documents),
     g as (select 1, 'aggregate-benchmark', 'hard-gate-failure', 'gates', null, '?', s_name || '=' || case s_nationkey % 3 when 0 then 'FAILED'
         else 'BLOCKED' end from supplier where s_nationkey % 3 < 2)
     select source, kind, document, line, detail from (select * from (from f union all from g) order by o, document, l, kind, detail limit 40)""")
 def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 findings of a report, failures of gates last."""
     i = F.col("doc_id")
-    found = load(spark, sf_dir, "documents").where(i % 50 < 2).select(F.when(i % 3 > 0, F.col("lang")).alias("kind"), F.col("source").alias("document"), i.alias("line"), F.col("text").alias("detail"))
+    found = load(spark, sf_dir, "documents").select(F.when(i % 3 > 0, F.col("lang")).alias("kind"), F.col("source").alias("document"), i.alias("line"), F.col("text").alias("detail"))
     m = F.col("s_nationkey") % 3
     gates = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("gate"), F.when(m == 0, "failed").when(m == 1, "Blocked").otherwise("ok").alias("status"))
     return I.report_findings(found, gates)
@@ -172,8 +172,7 @@ LITERALS_SQL = "['" + "', '".join(p.replace("'", "''") for p, _, _ in I.LITERALS
 
 @query(rf"""with l as (select doc_id, unnest(string_split(t, chr(10))) as raw, generate_subscripts(string_split(t, chr(10)), 1) as line from
       (select doc_id, coalesce(text, '') || case doc_id % 5 when 0 then chr(10) || 'Authorization: "Bearer ' || md5(doc_id::varchar) || '"'
-        when 1 then ' api-key = ''' || md5(doc_id::varchar) || ''' NAME_X' when 2 then chr(10) || 'NAME.X' else '' end as t from documents
-        where doc_id % 9 > 0))
+        when 1 then ' api-key = ''' || md5(doc_id::varchar) || ''' NAME_X' when 2 then chr(10) || 'NAME.X' else '' end as t from documents))
     select 'd' || doc_id as path, line::integer as line, label from (select *, unnest(list_filter([case when regexp_matches(raw,
         {LITERALS_SQL}[1]) then 'bearer credential' end, case when regexp_matches(raw, {LITERALS_SQL}[2]) then 'credential-like literal' end, case
         when contains(raw, 'NAME_X') then 'protected marker' end], lambda x: x is not null)) as label from l)
@@ -184,7 +183,7 @@ def credential_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.md5(i.cast("string").cast("binary"))
     tail = F.when(i % 5 == 0, F.concat(F.lit('\nAuthorization: "Bearer '), key, F.lit('"'))).when(i % 5 == 1, F.concat(F.lit(" api-key = '"), key,
         F.lit("' NAME_X"))).when(i % 5 == 2, "\nNAME.X").otherwise("")
-    rows = load(spark, sf_dir, "documents").where(i % 9 > 0).select(F.concat(F.lit("d"), i.cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    rows = load(spark, sf_dir, "documents").select(F.concat(F.lit("d"), i.cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
     return I.literal_findings(rows, "path", "text", ["NAME_X"], spark.createDataFrame([("d1",)], "prefix string"))
 
 

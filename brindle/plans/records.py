@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import records as R
+from brindle.operators.tiers import EVIDENCE_TIERS
 from brindle.plans.registry import load, query
 
 
@@ -31,13 +32,19 @@ def record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.check(rows, ["event_id"], rules, unique="user_id").withColumn("errors", F.array_join("errors", ","))
 
 
-@query("""with t as (select user_id, case event_id % 5 when 0 then 'fixture' when 1 then 'Synthetic' when 2 then 'replay' when 3 then 'live' end as tier from events where user_id % 3 > 0 or event_id % 5 > 1), r as (select user_id, case lower(tier) when 'fixture' then 1 when 'synthetic' then 2 when 'replay' then 3 when 'live' then 4 end as k from t)
-    select user_id, case min(k) when 1 then 'fixture' when 2 then 'synthetic' when 3 then 'replay' when 4 then 'live' end as least_tier, bool_or(k is null) as untyped from r group by 1""")
+TIERS_SQL = "['" + "', '".join(EVIDENCE_TIERS) + "']"
+
+
+@query(f"""with t as (select user_id, case event_type when 'click' then 'Production ' when 'view' then 'integration_runtime' when 'purchase' then 'live_provider' when 'signup' then case when value > 50 then 'deterministic_contract' else 'simulated_provider' end
+        when 'error' then case when value > 90 then 'somewhere' else 'live_source_acquisition' end end as tier from events),
+    r as (select user_id, nullif(coalesce(list_position({TIERS_SQL}, lower(trim(tier))), 0), 0) as k from t)
+    select user_id, {TIERS_SQL}[min(k)] as least_tier, bool_or(k is null) as untyped from r group by 1""")
 def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weakest evidence tier of each user's events."""
-    i = F.col("event_id") % 5
-    t = load(spark, sf_dir, "events").where((F.col("user_id") % 3 > 0) | (i > 1)).select("user_id", F.when(i == 0, "fixture").when(i == 1,
-        "Synthetic").when(i == 2, "replay").when(i == 3, "live").alias("tier"))
+    """The weakest evidence tier of each user's events, whose kinds and values stand for tiers."""
+    kind, v = F.col("event_type"), F.col("value")
+    tier = F.when(kind == "click", "Production ").when(kind == "view", "integration_runtime").when(kind == "purchase", "live_provider")
+    tier = tier.when(kind == "signup", F.when(v > 50, "deterministic_contract").otherwise("simulated_provider")).when(kind == "error", F.when(v > 90, "somewhere").otherwise("live_source_acquisition"))
+    t = load(spark, sf_dir, "events").select("user_id", tier.alias("tier"))
     return R.least_tier(t, ["user_id"], "tier")
 
 
@@ -109,10 +116,10 @@ def table_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.completeness(load(spark, sf_dir, "part"), parts)
 
 
-@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) as word from documents), n as (select distinct regexp_extract(text, '[A-Z][a-z]{3,}') as word from benchmark) select word, count(distinct doc_id) as n_docs from w join n using (word) group by word""")
+@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) as word from documents), n as (select distinct unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) as word from benchmark) select word, count(distinct doc_id) as n_docs from w join n using (word) group by word""")
 def reverse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that mention the first name-like word of a benchmark item."""
-    names = load(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "[A-Z][a-z]{3,}", 0).alias("word"))
+    """Documents that mention any name-like word of a benchmark item."""
+    names = load(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Z][a-z]{3,})"))).alias("word"))
     return R.mentions(load(spark, sf_dir, "documents"), "doc_id", "text", names, "word", "[A-Z][a-z]{3,}")
 
 

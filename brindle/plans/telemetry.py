@@ -254,13 +254,13 @@ def receipt_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with l as (select distinct user_id || '' as task_id, 'https://x.example/' || event_type as url from events where event_id % 3 = 0),
     p as (select event_id, user_id || '' as task_id, 'https://x.example/' || event_type as url, case when event_id % 7 = 0 then 'contradiction_check'
-        when event_id % 11 = 0 then 'because' end as force_reason from events where event_id % 3 = 1)
+        when event_id % 11 = 0 then 'because' end as force_reason from events where event_id % 3 > 0)
     select event_id, l.url is null or coalesce(force_reason = 'contradiction_check', false) as allowed, case when l.url is null then 'new_source' when force_reason = 'contradiction_check' then force_reason else 'already_visited_for_task' end as reason from p left join l on p.task_id = l.task_id and p.url = l.url""")
 def revisit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the events is the ledger of visits, another third proposes visits."""
+    """A third of the events is the ledger of visits, the others propose visits."""
     e, i = load(spark, sf_dir, "events"), F.col("event_id")
     rows = e.select("event_id", F.col("user_id").cast("string").alias("task_id"), F.concat(F.lit("https://x.example/"), "event_type").alias("url"))
-    proposed = rows.where(i % 3 == 1).withColumn("force_reason", F.when(i % 7 == 0, "contradiction_check").when(i % 11 == 0, "because"))
+    proposed = rows.where(i % 3 > 0).withColumn("force_reason", F.when(i % 7 == 0, "contradiction_check").when(i % 11 == 0, "because"))
     return L.revisit_gate(proposed, rows.where(i % 3 == 0)).select("event_id", "allowed", "reason")
 
 
