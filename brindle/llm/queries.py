@@ -122,11 +122,11 @@ ORACLE_SQL = {
         left join e b on b.conv_id = e.conv_id and b.turn = e.turn - 2""",
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as payload from pages),
-        m as (select payload, max(page_id) as last from p where strlen(payload) >= 1000 group by payload)
-        select page_id, strlen(p.payload)::bigint as payload_bytes, sha1(p.payload) as payload_digest,
-               case when page_id < last then 'revisit' else 'response' end as record_type,
-               case when page_id < last then last end as refers_to
-        from p left join m on p.payload = m.payload""",
+        m as (select *, strlen(payload) >= 1000 and row_number() over w > 1 as again, first_value(page_id) over w as last from p
+              window w as (partition by payload order by page_id desc nulls last))
+        select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type, case when again then last end as refers_to
+        from m""",
     "op13_source_divergence": """
         with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as r from documents),
         w as (select lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

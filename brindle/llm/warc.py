@@ -21,8 +21,10 @@ from brindle.llm.common import hot_join, small, work_dir, written
 
 #: Payloads from this size on are written once.
 LEAST_BYTES = 1000
-#: Bytes of payload in an archive, on average.
+#: Bytes of payload in an archive, on average; pages go to archives of pages of about their size, so that none has many times as many.
 ARCHIVE_BYTES = 16 << 20
+#: Pages from each of these numbers of bytes on, up to the next, share archives.
+SIZE_CLASSES = [0, 1 << 16, 1 << 20, 1 << 24]
 CRLF = "\r\n"
 #: Profile of revisit records for equal payloads, as the WARC standard names it.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,9 +33,9 @@ RECORD = "record_id string, type string, concurrent_to string, refers_to string,
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 
 
-def record_id(kind: str, page_id: Column, digest: Column) -> Column:
-    """An identifier that its page and payload determine."""
-    return F.concat(F.lit(f"<urn:capture:{kind}:"), page_id.cast("string"), F.lit(":"), digest, F.lit(">"))
+def record_id(kind: str, row: Column, page_id: Column) -> Column:
+    """An identifier of a row's record: the row's number, and its page for readers."""
+    return F.concat(F.lit(f"<urn:capture:{kind}:"), row.cast("string"), F.lit(":"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
 def record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
@@ -44,48 +46,54 @@ def record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Pages with payload, payload_bytes, payload_digest and refers_to (null: write as response)."""
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")),
-        r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    """Pages with row (a number of their own), payload, payload_bytes, payload_digest, and to_row and to_page (null: write as response)."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     base = work_dir(pages.sparkSession)
-    large = written(rows.where(F.col("payload_bytes") >= LEAST_BYTES).select("page_id", "payload_digest"), f"{base}/large")
-    equal = written(large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), f"{base}/equal")
-    revisits = hot_join(large, equal, "payload_digest", "n").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    return rows.join(small(written(revisits, f"{base}/revisits")), ["page_id", "payload_digest"], "left")
+    # the numbers hold for later steps as they are written once
+    rows = written(rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload"), "row": F.monotonically_increasing_id()}), f"{base}/rows")
+    large = rows.where(F.col("payload_bytes") >= LEAST_BYTES).select("row", "page_id", "payload_digest")
+    equal = written(large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row")).alias("to"), F.count("*").alias("n")).where("n > 1"), f"{base}/equal")
+    revisits = hot_join(large, equal, "payload_digest", "n").where("row <> to.row").select("row", F.col("to.row").alias("to_row"), F.col("to.page_id").alias("to_page"))
+    return rows.join(small(written(revisits, f"{base}/revisits")), "row", "left")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a request, a response or revisit, and a metadata record for every row of ``pages`` (page_id, url, html).
 
-    Of rows with equal payloads of at least LEAST_BYTES bytes, that with the
-    largest page_id is written as response, the others as revisits of it. A
-    null html is an empty payload, a null url an empty target. Rows that are
-    equal in page_id and payload have the same identifiers and are one capture.
-    Rows with a null page_id are not written. Other columns are not read.
+    Of rows with equal payloads of at least LEAST_BYTES bytes, one with the
+    largest page_id is written as response, the others as revisits of it, be
+    their page_id the same or not. A null html is an empty payload, a null url
+    an empty target; a null page_id is smaller than all others and left out of
+    the metadata. Other columns are not read. A payload is one value, so it may
+    have up to 2 GB; large ones go to archives of few.
     """
     c = captures(pages)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    page, digest, to = F.col("page_id"), F.col("payload_digest"), F.col("refers_to")
+    page, digest, to = F.col("page_id"), F.col("payload_digest"), F.col("to_row")
     kind = F.when(to.isNull(), "response").otherwise("revisit")
-    own = record_id("response", page, digest)
+    ident = lambda what: record_id(what, F.col("row"), page)
+    own = ident("response")
     common = [("WARC-Date", date), ("WARC-Target-URI", F.col("url"))]
-    request = record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page, digest)), ("WARC-Concurrent-To", own), *common,
+    request = record([("WARC-Type", "request"), ("WARC-Record-ID", ident("request")), ("WARC-Concurrent-To", own), *common,
         ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("url"),
         F.lit(f" HTTP/1.1{CRLF}Accept: text/html{CRLF}{CRLF}")))
     http = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}")
     response = record(
-        [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", F.when(to.isNotNull(), record_id("response", to, digest))), ("WARC-Profile",
+        [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", F.when(to.isNotNull(), record_id("response", to, F.col("to_page")))), ("WARC-Profile",
             F.when(to.isNotNull(), PROFILE)), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("Content-Type",
             "application/http; msgtype=response")],
         F.when(to.isNull(), F.concat(http, "payload")).otherwise(http),
     )
-    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page, digest)), ("WARC-Concurrent-To", own), *common,
-        ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), page.cast("string"), F.lit(f"{CRLF}payload-bytes: "),
-        F.col("payload_bytes").cast("string"), F.lit(CRLF)))
+    number = F.coalesce(F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF)), F.lit(""))
+    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", ident("metadata")), ("WARC-Concurrent-To", own), *common,
+        ("Content-Type", "application/warc-fields")], F.concat(number, F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)))
     # the sink ends each row with the line end that also ends the last record
-    c.select(F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))).write.mode("overwrite").option("maxRecordsPerFile",
-        max(1, int(ARCHIVE_BYTES / (mean + 1000)))).option("lineSep", CRLF).option("compression", "gzip").text(path)
+    text = F.concat(request, response, F.substring(metadata, F.lit(1), F.length(metadata) - 2))
+    size = sum((F.when(F.col("payload_bytes") >= n, 1).otherwise(0) for n in SIZE_CLASSES), F.lit(0))
+    mode = "overwrite"
+    for number_of, mean in sorted(c.groupBy(size.alias("size")).agg(F.avg("payload_bytes")).collect()) or [(1, 0)]:
+        some = c.where(size == number_of).select(text).write.mode(mode).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 1000))))
+        some.option("lineSep", CRLF).option("compression", "gzip").text(path)
+        mode = "append"
 
 
 def parse(raw: bytes, keep_payload: bool = False) -> Iterator[tuple]:
@@ -155,11 +163,11 @@ def transactions(records: DataFrame) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Archive ``pages`` in the shared folder, read the archives back, and give the captures' digests."""
+    """Archive ``pages`` in the shared folder, read the archives back, and give a digest of every capture, one for each row of ``pages``."""
     path = f"{work_dir(pages.sparkSession)}/warc"
     write_archives(pages, path)
     t = transactions(read_records(pages.sparkSession, path))
-    referred = F.regexp_extract("response.refers_to", r"^<urn:capture:response:(-?\d+):", 1)
+    referred = F.nullif(F.regexp_extract("response.refers_to", r"^<urn:capture:response:\d+:(-?\d*)>$", 1), F.lit(""))
     return t.select(F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
         F.when(F.col("response.type") == "revisit", referred.cast("long")).alias("refers_to"))
