@@ -1,18 +1,23 @@
 """Stupid-backoff language-model scores, computed as joins of n-grams with count tables.
 
-Each word of a text, with the two words before it, becomes a row: the bigram
-before the word (its context), the trigram, the document. Rows are partitioned
-by the hash of the context, so a partition holds the count tables of its hash
-range: occurrences of each trigram, and of each context, for which a closing
-row stands for the bigram that ends a text. Rows are joined to these counts
-where they lie, by counts over the trigram and over the context. What a model
-with a higher least count then misses goes on to the bigram and word tables.
-All is summed per document.
+A text is scored by what all other texts hold: an n-gram's count is that of the
+corpus less the text's own occurrences (leave one out), so what only this text
+says isn't in its model, and its words fall back to lower orders.
+
+Count tables of words and bigrams, partitioned by hash, are made first; of
+bigrams only those that two texts have can ever be found, and each carries the
+counts of its words. Every text starts with the score that it would have if all
+its words fell back to single words. Then all its words are exploded into rows
+of (last bigram, bigram before) and joined to the bigram table by the last
+bigram; the rows of one trigram lie together then, which gives its count, and
+those of found trigrams are joined to the bigram table once more, by the bigram
+before. What is found at a higher order replaces the word's first score, and
+all is summed per document.
 
 The hash range is worked off in a fixed number of passes, which bounds the
-shuffle space in use at any time. Contexts with so many rows that they would
-make a partition large are counted beforehand; their rows are partitioned by
-the trigram, and those of such trigrams need no partition.
+shuffle space in use at any time. Bigrams with so many rows that they would
+make a partition large are spread by the word before them; trigrams of that
+many rows are counted beforehand and scored where they are.
 """
 
 from __future__ import annotations
@@ -21,23 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, drop_dir, gram_hashes, hot_join, mix, release, span_hashes, text_slices, word_spans, work_dir, written
+from brindle.llm.common import LOWER, MUL, drop_dir, gram_hashes, hot_join, mix, release, span_hashes, text_slices, word_spans, work_dir, written
 
 ALPHA = 0.4
-#: N-grams of two and three words are in the model from this count on.
+#: N-grams of two and three words are in a text's model from this count in other texts on.
 LEAST_COUNT = 1
-#: Passes over the hash range of contexts; the number doesn't depend on the data.
-PASSES = 4
+#: Passes over the hash range of bigrams, for scores and for counts; the numbers don't depend on the data.
+PASSES, COUNT_PASSES = 5, 2
 #: Words whose n-grams a task counts at once.
 COUNTED = 2_000_000
+#: The most frequent words, whose counts go to all tasks (two numbers each); the others are joined.
+TOP_WORDS = 250_000
+#: Rows of a hot bigram are spread over so many keys.
+SALTS = 32
 
-#: Kinds of n-gram rows: a word after its context; the first two words of a text; the bigram that ends it; a score that is known already.
-PLAIN, OPENING, CLOSING, KNOWN = range(4)
-#: Columns of n-gram rows, and those that only lower orders need.
-ROWS, LOWER_ROWS = "kind byte, key long, gram long, doc_id long, known double", ", own long, before long, word long"
+PLAIN, OPENING = 0, 1  # kinds of n-gram rows: a word after two others, the second word of a text
+ROWS = "own long, salt int, ctx long, kind byte, doc_id long, m3 int, own_m2 int, ctx_m2 int, before_m1 int, word_m1 int, size int"
 
 
 class Counts:
@@ -46,17 +53,17 @@ class Counts:
     def __init__(self, rows: list):
         h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
         order = np.argsort(h)
-        self.h, self.c = h[order], np.array([r["n"] for r in rows], np.float64)[order]
+        self.h, self.c = h[order], np.array([r["n"] for r in rows], np.int64)[order]
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.h):
-            return np.zeros(len(h))
+            return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.c[at], 0.0)
+        return np.where(self.h[at] == h, self.c[at], 0)
 
 
 class Grams:
-    """Hashes of a slice's words: h1, h2, h3 end at the word; place is the word's number in its row, left the words after it."""
+    """Hashes of a slice's words: h1, h2, h3 end at the word, before is the bigram before it; place is the word's number in its row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
@@ -66,195 +73,241 @@ class Grams:
         edges = np.searchsorted(self.row, np.arange(len(offsets)))
         self.size = np.diff(edges)
         self.place = np.arange(n) - edges[:-1][self.row]
-        self.left = edges[1:][self.row] - np.arange(n) - 1
         self.h2, self.h3 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.h2[1:] = gram_hashes(self.h1, 2)
         if n > 2:
             self.h3[2:] = gram_hashes(self.h1, 3)
-        self.before = np.append(np.zeros(1, np.uint64), self.h2[:-1])[:n]
+        self.last = shifted(self.h1)
+        self.before = shifted(self.h2)
 
 
-def longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def shifted(x: np.ndarray) -> np.ndarray:
+    """Each place's value of the place before it."""
+    return np.append(np.zeros(1, x.dtype), x[:-1])[: len(x)]
+
+
+def own_counts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how often each place's value occurs in its row; a place of each distinct value and row; their counts)."""
+    _, first, inverse, n = np.unique(mix(h + row.astype(np.uint64) * MUL), return_index=True, return_inverse=True, return_counts=True)
+    return n[inverse], first, n
+
 
+def in_turn(h: np.ndarray, turn: int, passes: int) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(passes) == turn
 
-def counted(kind: int, h: list[np.ndarray], least: float = 1) -> pa.RecordBatch:
-    """Rows of the distinct ones of ``h`` that occur ``least`` times here."""
-    u, n = np.unique(np.concatenate(h), return_counts=True)
-    keep = n >= least
-    return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), kind, np.int8)), longs(u[keep]), pa.array(n[keep])], names=["kind", "h", "n"])
+
+def longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def gram_table(docs: DataFrame, hot_share: float) -> DataFrame:
-    """(kind, h, n): counts of words (1), of bigrams (2), and of bigrams only where they have ``hot_share`` of a task's rows (0)."""
+def gram_counts(docs: DataFrame, turn: int, passes: int) -> DataFrame:
+    """(kind, h, n, docs, before, word): counts of the bigrams (kind 2) of a hash range, with their words, and of all words (1) in turn 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield counted(1, one)
-            yield counted(2, two) if hot_share == 0 else counted(0, two, max(2.0, size * hot_share))
+            h, n, before, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, n, before, word = h[order], n[order], before[order], word[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            if len(first):
+                texts = np.diff(np.append(first, len(h)))
+                kind = np.where(word[first] == 0, 1, 2).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), longs(h[first]), pa.array(np.add.reduceat(n, first)), pa.array(texts), longs(before[first]), longs(word[first])], names=["kind", "h", "n", "docs", "before", "word"])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch):
                 g = Grams(data, offsets)
-                one.append(g.h1)
-                two.append(g.h2[g.place > 0])
-                size += len(g.h1)
+                at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
+                _, first, n = own_counts(g.h2[at], g.row[at])
+                first = at[first]
+                held.append((g.h2[first], n, g.last[first], g.h1[first]))
+                size += len(first)
+                if turn == 0:
+                    u, n = np.unique(g.h1, return_counts=True)
+                    held.append((u, n, np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64)))
+                    size += len(u)
                 if size >= COUNTED:
                     yield from flush()
-                    one, two, size = [], [], 0
-        if size:
+                    held, size = [], 0
+        if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(run, "kind byte, h long, n long, docs long, before long, word long")
+    return rows.groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max("before").alias("before"), F.max("word").alias("word"))
 
 
-def hot_counts(docs: DataFrame, hot: Counts, least: float) -> tuple[Counts, Counts]:
-    """Exact counts of the ``hot`` contexts, and of those of their trigrams that have ``least`` rows."""
+def hot_trigrams(docs: DataFrame, two: Counts, least: float) -> Counts:
+    """Exact counts of trigrams of at least ``least`` rows; their last bigram is one of the hot ones, ``two``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch):
                 g = Grams(data, offsets)
-                yield counted(2, [g.h2[(hot.of(g.h2) > 0) & (g.place > 0)]])
-                yield counted(3, [g.h3[(hot.of(g.before) > 0) & (g.place > 1)]])
+                u, n = np.unique(g.h3[(g.place > 1) & (two.of(g.h2) > 0) & (two.of(g.before) > 0)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([longs(u), pa.array(n)], names=["h", "n"])
 
-    exact = docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    # as many rows as hot contexts, and at most one trigram for each hot share
-    rows = exact.where((F.col("kind") == 2) | (F.col("n") >= least)).collect()
-    return Counts([r for r in rows if r["kind"] == 2]), Counts([r for r in rows if r["kind"] == 3])
+    exact = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return Counts(exact.where(F.col("n") >= least).collect())  # at most one for each hot share
 
 
-def exploded(docs: DataFrame, turn: int, passes: int, two: Counts, three: Counts, total: int, lower: bool) -> DataFrame:
-    """N-gram rows of the hash range ``turn``; with ``lower`` also the hashes that lower orders need."""
-    held = docs.sparkSession.sparkContext.broadcast((two, three))
+def local_trigrams(g: Grams, two: Counts, three: Counts, top: Counts) -> np.ndarray:
+    """Which places end a trigram that is scored where it is; the same for all places of a trigram."""
+    if not len(three.h):
+        return np.zeros(len(g.h1), bool)
+    return (g.place > 1) & (three.of(g.h3) > 0) & (two.of(g.before) > 0) & (top.of(g.h1) > 0)
 
-    names = [c.split()[0] for c in (ROWS + LOWER_ROWS * lower).split(", ")]
 
-    def rows(g: Grams, doc: pa.Array, at: np.ndarray, kind: int, key: np.ndarray, gram: np.ndarray, known: np.ndarray | None = None) -> pa.RecordBatch:
-        n = len(at)
-        more = [longs(x[at]) for x in (g.h2, np.append(np.zeros(1, np.uint64), g.h1[:-1])[: len(g.h1)], g.h1)] if lower else []
-        log = pa.nulls(n, pa.float64()) if known is None else pa.array(known, mask=np.isnan(known))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), longs(key), longs(gram), doc.take(pa.array(g.row[at])), log, *more], names=names)
+def first_scores(docs: DataFrame, held, total: int, alpha: float, least: int) -> DataFrame:
+    """(doc_id, word, m, score, n_words, backed): a row a text with what is known where it is, and one for each of its rare words, which occurs ``m`` times in it.
+
+    ``score`` is that of all words fallen back to single words, but of rare
+    words what depends on their counts is left out; local trigrams have their
+    score of three words. ``backed`` is the number of words that fell back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = held.value
+        two, three, top = held.value
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
                 g, doc = Grams(data, offsets), batch.column(0).slice(a, b - a)
-                mine = lambda key, which: np.flatnonzero(which & ((key >> np.uint64(40)) % np.uint64(passes) == turn))
-                key, plain, hot = g.before, g.place > 1, len(two.h) > 0
-                if hot:
-                    context, own, whole = two.of(g.before), two.of(g.h2), three.of(g.h3)
-                    plain = plain & (whole == 0)
-                    key = np.where(context > 0, g.h3, g.before)
-                at = mine(key, plain)
-                yield rows(g, doc, at, PLAIN, key[at], g.h3[at], np.log(np.where(context[at] > 0, context[at], np.nan)) if hot else None)
-                for kind, which in ((OPENING, g.place == 1), (CLOSING, (g.place > 0) & (g.left == 0))):
-                    at = mine(g.h2, which & (own == 0) if hot else which)
-                    yield rows(g, doc, at, kind, g.h2[at], np.zeros(len(at), np.uint64))
-                if hot and turn == 0:
-                    # scores that need no count from the rows, one a document, under a key of its own
-                    head, deep = np.flatnonzero((g.place == 1) & (own > 0)), np.flatnonzero((g.place > 1) & (whole > 0))
-                    score = np.bincount(g.row[head], np.log(own[head]) - np.log(total), b - a) + np.bincount(g.row[deep], np.log(whole[deep]) - np.log(context[deep]), b - a)
-                    first = np.searchsorted(g.row, np.union1d(g.row[head], g.row[deep]))
-                    if len(first):
-                        yield rows(g, doc, first, KNOWN, mix(g.h1[first] + first.astype(np.uint64)), np.zeros(len(first), np.uint64), score[g.row[first]])
-
-    return docs.mapInArrow(run, ROWS + LOWER_ROWS * lower)
-
-
-def joined(rows: DataFrame, total: int, least_count: int) -> DataFrame:
-    """Rows with their score, null where a lower order must give it; counts come from the rows of the same context."""
-    kind = F.col("kind")
-    placed = rows.repartition("key")
-    placed = placed.withColumn("c3", F.count("*").over(Window.partitionBy("key", "gram")))
-    placed = placed.withColumn("c2", F.sum(kind.isin(PLAIN, CLOSING).cast("long")).over(Window.partitionBy("key")))
-    plain = F.when(F.col("c3") >= least_count, F.log("c3") - F.coalesce("known", F.log("c2")))
-    opening = F.when(F.col("c2") >= least_count, F.log("c2") - F.log(F.lit(float(total))))
-    score = F.when(kind == PLAIN, plain).when(kind == OPENING, opening).otherwise(F.col("known"))
-    return placed.where(kind != CLOSING).withColumn("score", score).drop("c2", "c3")
-
-
-def backed_off(missed: DataFrame, grams: DataFrame, total: int, alpha: float, least_count: int) -> DataFrame:
-    """(doc_id, score) parts of words whose trigram, or opening bigram, isn't in the model, from the bigram and word tables."""
-    words = grams.where("kind = 1").select(F.col("h").alias("key"), "n")
-    pairs = grams.where("kind = 2").select(F.col("h").alias("key"), "n")
-    level = missed.where(F.col("kind") == PLAIN)
-    two = hot_join(level.withColumn("key", F.col("own")), pairs, "key", "n")
-    found = two.where(F.col("n") >= least_count)
-    below = hot_join(found.select("doc_id", F.col("before").alias("key"), F.log("n").alias("up")), words, "key", "n")
-    out = below.select("doc_id", (F.col("up") - F.log("n") + float(np.log(alpha))).alias("score"))
-    single = lambda key, rows, penalty: rows.select("doc_id", F.col(key).alias("key"), F.lit(float(penalty - np.log(total))).alias("up"))
-    opening = missed.where(F.col("kind") == OPENING)
-    rest = single("word", two.where(F.col("n") < least_count), 2 * np.log(alpha)).unionByName(single("before", opening, 0.0)).unionByName(single("word", opening, np.log(alpha)))
-    return out.unionByName(hot_join(rest, words, "key", "n").select("doc_id", (F.col("up") + F.log("n")).alias("score")))
-
-
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word): number of words of every row, and the word of a text that has only one."""
+                rows = b - a
+                m1, first, m = own_counts(g.h1, g.row)
+                known = top.of(g.h1)
+                base = np.where(known > 0, np.log(np.maximum(known - m1, 1)), 0.0) - np.log(np.maximum(total - g.size[g.row], 1)) + np.log(alpha) * np.minimum(g.place, 2)
+                backed = np.minimum(g.place, 1)
+                local = np.flatnonzero(local_trigrams(g, two, three, top))
+                if len(local):
+                    m2, m3 = np.zeros(len(g.h1), np.int64), np.zeros(len(g.h1), np.int64)
+                    for out, h, places in ((m2, g.h2, np.flatnonzero(g.place > 0)), (m3, g.h3, np.flatnonzero(g.place > 1))):
+                        out[places] = own_counts(h[places], g.row[places])[0]
+                    others = three.of(g.h3[local]) - m3[local]
+                    local, others = local[others >= least], others[others >= least]
+                    base[local] = np.log(others) - np.log(two.of(g.before[local]) - m2[local - 1])
+                    backed[local] = 0
+                yield pa.RecordBatch.from_arrays([doc, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(np.bincount(g.row, base, rows)), pa.array(g.size.astype(np.int64)), pa.array(np.bincount(g.row, backed, rows).astype(np.int64))], names=NAMES)
+                rare = first[known[first] == 0]
+                if len(rare):
+                    n = len(rare)
+                    yield pa.RecordBatch.from_arrays([doc.take(pa.array(g.row[rare])), longs(g.h1[rare]), pa.array(m[known[first] == 0]), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))], names=NAMES)
+
+    NAMES = ["doc_id", "word", "m", "score", "n_words", "backed"]
+    return docs.mapInArrow(run, "doc_id long, word long, m long, score double, n_words long, backed long")
+
+
+def exploded(docs: DataFrame, turn: int, passes: int, held, least: int) -> DataFrame:
+    """ROWS of the places whose last bigram is in the hash range ``turn``, with what the text itself has of each count."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, three, top = held.value
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
-                data = LOWER[data]
-                starts, ends, row = word_spans(data, offsets)
-                n = np.bincount(row, minlength=b - a)
-                lone = n[row] == 1
-                word = np.zeros(b - a, np.uint64)
-                word[row[lone]] = span_hashes(data, starts[lone], ends[lone]) if lone.any() else 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(word.view(np.int64), mask=n != 1)], names=["doc_id", "n_words", "word"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, word long")
-
-
-def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT, passes: int = PASSES) -> DataFrame:
-    """doc_id, n_words, log_score (natural, summed over words) and mean_log_score of every document.
-
-    The model counts the words, bigrams and trigrams of all ``docs`` (A-Z
-    lower-cased, words by ASCII white space). A word scores c(n-gram) / c(words
-    before) at the highest order whose n-gram has at least ``least_count``
-    occurrences, times ``alpha`` for each order it had to fall back, from the
-    highest order that its place in the text allows; single words score
-    c(word) / all words. As the scored texts are the counted ones, words fall
-    back only with a ``least_count`` over 1. Counts go by 64-bit hashes.
+                g, doc = Grams(data, offsets), batch.column(0).slice(a, b - a)
+                at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
+                later = at[g.place[at] > 1]
+                m1 = own_counts(g.h1, g.row)[0]
+                m2, m3 = np.zeros(len(g.h1), np.int64), np.zeros(len(g.h1), np.int64)
+                pairs = np.flatnonzero(g.place > 0)
+                m2[pairs] = own_counts(g.h2[pairs], g.row[pairs])[0]
+                m3[later] = own_counts(g.h3[later], g.row[later])[0]
+                plain = g.place > 1
+                local = local_trigrams(g, two, three, top)
+                if local.any():
+                    scored = local & (three.of(g.h3) - m3 >= least)
+                    plain, at = plain & ~local, at[~scored[at]]
+                ctx = pa.array(g.before[at].view(np.int64), mask=~plain[at])
+                salt = np.zeros(len(at), np.int32)
+                if len(two.h):
+                    hot = two.of(g.h2[at]) > 0
+                    salt[hot] = (np.where(plain[at], g.before[at] >> np.uint64(20), g.row[at].astype(np.uint64))[hot] % np.uint64(SALTS)).astype(np.int32)
+                ints = [pa.array(x.astype(np.int32)) for x in (m3[at], m2[at], m2[at - 1], m1[at - 1], m1[at], g.size[g.row[at]])]
+                kind = np.where(g.place[at] == 1, OPENING, PLAIN).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([longs(g.h2[at]), pa.array(salt), ctx, pa.array(kind), doc.take(pa.array(g.row[at])), *ints], names=names)
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def found_rows(rows: DataFrame, pairs: DataFrame, total: int, alpha: float, least: int) -> DataFrame:
+    """(doc_id, ctx, ctx_m2, score): what a word found in the bigram table gains over its first score.
+
+    Where ``ctx`` is there the trigram was found too, and the logarithm of the
+    count of ``ctx`` is still to be taken away.
+    """
+    placed = rows.join(pairs, ["own", "salt"]).withColumn("c3", F.count("*").over(Window.partitionBy("own", "salt", "ctx")))
+    opening = F.col("kind") == OPENING
+    three = F.col("ctx").isNotNull() & (F.col("c3") - F.col("m3") >= least)
+    word = F.log(F.greatest(F.col("c_word") - F.col("word_m1"), F.lit(1))) - F.log(F.greatest(F.lit(total) - F.col("size"), F.lit(1)))
+    step = float(np.log(alpha))
+    first = word + F.when(opening, step).otherwise(2 * step)
+    two = F.log(F.col("n") - F.col("own_m2")) - F.log(F.col("c_before") - F.col("before_m1")) + F.when(opening, 0.0).otherwise(step)
+    score = F.when(three, F.log(F.col("c3") - F.col("m3"))).otherwise(two) - first
+    found = placed.where(F.col("n") - F.col("own_m2") >= least)
+    return found.select("doc_id", F.when(three, F.col("ctx")).alias("key"), "ctx_m2", score.alias("score"), F.when(three | opening, -1).otherwise(0).cast("long").alias("backed"))
+
+
+def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT, passes: int = PASSES, top_words: int = TOP_WORDS) -> DataFrame:
+    """doc_id, n_words, log_score (natural, summed over words), mean_log_score and n_backed of every document.
+
+    A text's model counts the words, bigrams and trigrams of all other rows of
+    ``docs`` (A-Z lower-cased, words by ASCII white space). A word scores
+    c(n-gram) / c(words before) at the highest order whose n-gram has a count
+    of at least ``least_count``, times ``alpha`` for each order it had to fall
+    back, from the highest order that its place in the text allows; single
+    words score c(word) / all words, where a count of 0 is taken as 1.
+    ``n_backed`` is the number of words that fell back. Counts go by 64-bit
+    hashes.
 
     A text that is null or has no words has n_words 0, log_score 0 and a null
-    mean. Rows that repeat a doc_id add up to one result row, and a null doc_id
-    is an id like any other. Whole texts are read, however long; an empty table
-    gives no rows. Other columns are not read.
+    mean. Rows that repeat a doc_id are texts of their own, which add up to one
+    result row, and a null doc_id is an id like any other; so copies of a text
+    are in each other's model. Whole texts are read, however long; an empty
+    table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     base = work_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    grams = None
+    for turn in range(COUNT_PASSES):
+        # a bigram of one text only is in no other text's model
+        part = written(gram_counts(docs, turn, COUNT_PASSES).where("kind = 1 or docs > 1"), f"{base}/grams{turn}")
+        grams = part if grams is None else grams.unionByName(part)
+        release(spark)
+    words = written(grams.where("kind = 1").select("h", "n"), f"{base}/words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    count = lambda name: words.select(F.col("h").alias(name), F.col("n").alias(f"c_{name}"))
+    pairs = hot_join(grams.where("kind = 2").select("h", "n", "before", "word"), count("before"), "before", "c_before")
+    pairs = written(hot_join(written(pairs, f"{base}/half"), count("word"), "word", "c_word").select("h", "n", "c_before", "c_word"), f"{base}/pairs")
+    for name in ("half", *(f"grams{t}" for t in range(COUNT_PASSES))):
+        drop_dir(spark, f"{base}/{name}")
     hot_share = 1 / (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grams = written(gram_table(docs, 0 if least_count > 1 else hot_share), f"{base}/grams")
-    total = grams.where("kind = 1").agg(F.sum("n")).first()[0] or 1
-    # a context with a hot share of all rows has it in some task; there are at most 1 / hot_share of them
-    hot = Counts(grams.where(F.col("kind") != 1).where(F.col("n") >= total * hot_share).collect())
-    two, three = hot_counts(docs, hot, total * hot_share) if len(hot.h) else (hot, hot)
-    texts = written(sizes(docs), f"{base}/sizes")
+    two = Counts(pairs.where(F.col("n") >= total * hot_share).select("h", "n").collect())  # at most 1 / hot_share
+    three = hot_trigrams(docs, two, total * hot_share) if len(two.h) else two
+    top = Counts(words.orderBy(F.desc("n"), "h").limit(top_words).collect())
+    held = spark.sparkContext.broadcast((two, three, top))
+    texts = written(first_scores(docs, held, total, alpha, least_count), f"{base}/first")
     release(spark)
-    parts = []
+    lone = texts.where("word is not null").select("doc_id", "m", F.col("word").alias("key"))
+    rare = hot_join(lone, words.select(F.col("h").alias("key"), "n"), "key", "n")
+    sums = lambda rows: rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words"), F.sum("backed").alias("backed"))
+    none = F.lit(0).cast("long")
+    every = texts.where("word is null").select("doc_id", "score", "n_words", "backed")
+    every = every.unionByName(rare.select("doc_id", (F.col("m") * F.log(F.greatest(F.col("n") - F.col("m"), F.lit(1)))).alias("score"), none.alias("n_words"), none.alias("backed")))
+    every = written(sums(every), f"{base}/scores")
+    drop_dir(spark, f"{base}/first")
+    release(spark)
+    salts = F.when(F.col("h").isin(*[F.lit(int(x)) for x in two.h.view(np.int64)]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     for turn in range(passes):
-        rows = joined(exploded(docs, turn, passes, two, three, total, least_count > 1), total, least_count)
-        if least_count > 1:
-            rows = written(rows, f"{base}/rows{turn}")
-            missed = rows.where("score is null")
-            rows = rows.select("doc_id", "score").where("score is not null").unionByName(backed_off(missed, grams, total, alpha, least_count))
-        parts.append(written(rows.groupBy("doc_id").agg(F.sum("score").alias("score")), f"{base}/scores{turn}"))
-        drop_dir(spark, f"{base}/rows{turn}")
+        mine = pairs.where(F.shiftrightunsigned("h", 40) % passes == turn).select(F.col("h").alias("own"), F.explode(salts).alias("salt"), "n", "c_before", "c_word")
+        found = written(found_rows(exploded(docs, turn, passes, held, least_count), mine, total, alpha, least_count), f"{base}/found{turn}")
+        release(spark)
+        deep = hot_join(found.where("key is not null"), pairs.select(F.col("h").alias("key"), "n"), "key", "n")
+        deep = deep.select("doc_id", (F.col("score") - F.log(F.col("n") - F.col("ctx_m2"))).alias("score"), none.alias("n_words"), "backed")
+        part = deep.unionByName(found.where("key is null").select("doc_id", "score", none.alias("n_words"), "backed"))
+        every = every.unionByName(written(sums(part), f"{base}/part{turn}"))
+        drop_dir(spark, f"{base}/found{turn}")
         release(spark)
-    # texts of one word: c(word) / all words
-    lone = hot_join(texts.where("word is not null").select("doc_id", F.col("word").alias("key")), grams.where("kind = 1").select(F.col("h").alias("key"), "n"), "key", "n")
-    every = lone.select("doc_id", (F.log("n") - F.log(F.lit(float(total)))).alias("score"))
-    for part in parts:
-        every = every.unionByName(part)
-    every = every.select("doc_id", "score", F.lit(0).cast("long").alias("n_words")).unionByName(texts.select("doc_id", F.lit(0.0).alias("score"), "n_words"))
-    out = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("log_score"))
-    return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, mean()).alias("mean_log_score"))
-
-
-def mean() -> Column:
-    return F.col("log_score") / F.col("n_words")
+    out = sums(every)
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return out.select("doc_id", "n_words", F.col("score").alias("log_score"), F.col("backed").alias("n_backed")).select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "n_backed")

@@ -57,31 +57,41 @@ def rows(df, key):
 
 
 def backoff_by_hand(texts, least):
-    """(n_words, log score) by id of (id, text) rows."""
-    texts = [(i, WORDS.findall((t or "").lower())) for i, t in texts]
-    c = collections.Counter(g for _, w in texts for n in (1, 2, 3) for g in zip(*[w[i:] for i in range(n)]))
+    """(n_words, log score, words that fell back) by id of (id, text) rows; each row is scored by the counts of the others."""
+    texts = [(i, WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) for i, t in texts]
+    grams = lambda w: collections.Counter(g for n in (1, 2, 3) for g in zip(*[w[i:] for i in range(n)]))
+    every = sum((grams(w) for _, w in texts), collections.Counter())
     total = sum(len(w) for _, w in texts)
-    out = collections.defaultdict(lambda: [0, 0.0])
+    out = collections.defaultdict(lambda: [0, 0.0, 0])
     for d, w in texts:
+        own = grams(w)
+        c = lambda g: every[g] - own[g]  # noqa: B023, E731
         out[d][0] += len(w)
         for i in range(len(w)):
             deep = min(3, i + 1)
             for n in range(deep, 0, -1):
                 g = tuple(w[i - n + 1 : i + 1])
-                if n == 1 or c[g] >= least:
-                    out[d][1] += math.log(0.4) * (deep - n) + math.log(c[g] / (total if n == 1 else c[g[:-1]]))
+                if n == 1 or c(g) >= least:
+                    out[d][1] += math.log(0.4) * (deep - n) + math.log(max(c(g), 1) / (max(total - len(w), 1) if n == 1 else c(g[:-1])))
+                    out[d][2] += n < deep
                     break
     return out
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_lm_scores(docs, none, least):
-    got = rows(lm_scoring.stupid_backoff(docs, passes=2, least_count=least), "doc_id")
-    want = backoff_by_hand(documents(), least)
+def same_scores(got, want):
     assert set(got) == set(want)
-    for d, (n, score) in want.items():
-        assert got[d].n_words == n and got[d].log_score == pytest.approx(score)
+    for d, (n, score, backed) in want.items():
+        assert got[d].n_words == n and got[d].log_score == pytest.approx(score, rel=1e-9, abs=1e-9) and got[d].n_backed == backed
         assert (got[d].mean_log_score is None) == (not n)
+
+
+@pytest.mark.parametrize("least,top", [(1, 250_000), (2, 20)])
+def test_lm_scores(docs, none, least, top):
+    got = rows(lm_scoring.stupid_backoff(docs, passes=2, least_count=least, top_words=top), "doc_id")
+    want = backoff_by_hand(documents(), least)
+    same_scores(got, want)
+    share = sum(w[2] for w in want.values()) / sum(w[0] for w in want.values())
+    assert 0.1 < share < 1  # back-off happens
     assert lm_scoring.stupid_backoff(none, passes=2, least_count=least).count() == 0
 
 
@@ -89,11 +99,14 @@ def test_lm_scores(docs, none, least):
 def test_lm_scores_with_hot_n_grams_null_and_repeated_ids(spark, least):
     r = random.Random(3)
     made = [(i % 40, "of the " * r.randint(0, 40) + prose(r, r.randint(0, 25), 30) + " of the end" * (i % 3)) for i in range(120)] + [(None, "of the one"), (None, "a lone"), (-(1 << 63), "of the"), (77, "of the")]
-    got = rows(lm_scoring.stupid_backoff(spark.createDataFrame(made, "doc_id long, text string").repartition(6), least_count=least), "doc_id")
-    want = backoff_by_hand(made, least)
-    assert set(got) == set(want) and None in got
-    for d, (n, score) in want.items():
-        assert got[d].n_words == n and got[d].log_score == pytest.approx(score)
+    got = rows(lm_scoring.stupid_backoff(spark.createDataFrame(made, "doc_id long, text string").repartition(6), passes=2, least_count=least), "doc_id")
+    assert None in got
+    same_scores(got, backoff_by_hand(made, least))
+
+
+def test_lm_scores_of_a_text_alone(spark):
+    made = [(1, "b b b a b b b")]  # no other text: counts of 0
+    same_scores(rows(lm_scoring.stupid_backoff(spark.createDataFrame(made, "doc_id long, text string"), passes=1), "doc_id"), backoff_by_hand(made, 1))
 
 
 def test_token_counts(docs, none):
@@ -484,15 +497,18 @@ def test_carried_debts_are_paid_over_many_windows():
 
 def test_warc(spark):
     big, other = "é" * 600, "x" * 1000
-    made = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://a/", big), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", other), (None, "u", other), (9, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 60), (4, "u", "tiny")]
-    pages = spark.createDataFrame([(*p, 3, "r") for p in made], "page_id long, url string, html string, payload_bytes int, type string")
-    got = rows(warc.archive_and_read(pages), "page_id")
-    want = {}
+    made = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://a/", big), (3, "http://b/", big), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", other), (None, "u", other), (9, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 60), (4, "u", "tiny"), (None, None, None), (10, "v", "y" * 300000), (10, "v", "y" * 300000)]
+    pages = spark.createDataFrame([(*p, 3, "r") for p in made], "page_id long, url string, html string, payload_bytes int, type string").repartition(3)
+    want, last = collections.Counter(), {}
     for i, _, h in made:
-        if i is not None:
-            raw = (h or "").encode()
-            last = max(j for j, _, g in made if j is not None and (g or "") == (h or ""))
-            again = len(raw) >= 1000 and i < last
-            want[i] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last if again else None)
-    assert {i: tuple(x)[1:] for i, x in got.items()} == want
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    left = {h: 1 for h in last}
+    for i, _, h in sorted(made, key=lambda x: (x[0] is None, x[0])):
+        raw = (h or "").encode()
+        first = i == last[h or ""] and left[h or ""]  # one row of the largest page_id is the response
+        left[h or ""] -= bool(first)
+        again = len(raw) >= 1000 and not first
+        want[i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h or ""] if again else None] += 1
+    got = collections.Counter(tuple(x) for x in warc.archive_and_read(pages).collect())
+    assert sum(got.values()) == len(made) and got == want
     assert warc.archive_and_read(pages.limit(0)).count() == 0
