@@ -35,7 +35,7 @@ ALPHA = 0.4
 #: N-grams of two and three words are in a text's model from this count in other texts on.
 LEAST_COUNT = 1
 #: Passes over the hash range of bigrams, for scores and for counts; the numbers don't depend on the data.
-PASSES, COUNT_PASSES = 5, 2
+PASSES, COUNT_PASSES = 5, 4
 #: Words whose n-grams a task counts at once.
 COUNTED = 2_000_000
 #: The most frequent words, whose counts go to all tasks (two numbers each); the others are joined.
@@ -100,42 +100,52 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def gram_counts(docs: DataFrame, turn: int, passes: int) -> DataFrame:
-    """(kind, h, n, docs, before, word): counts of the bigrams (kind 2) of a hash range, with their words, and of all words (1) in turn 0."""
+def counted(docs: DataFrame, of, schema: str) -> DataFrame:
+    """Rows of ``schema`` (h, n, then columns that h determines), partly summed: ``of`` gives the distinct values of a slice with their counts."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, n, before, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, n, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
-            h, n, before, word = h[order], n[order], before[order], word[order]
+            h = h[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             if len(first):
                 texts = np.diff(np.append(first, len(h)))
-                kind = np.where(word[first] == 0, 1, 2).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), longs(h[first]), pa.array(np.add.reduceat(n, first)), pa.array(texts), longs(before[first]), longs(word[first])], names=["kind", "h", "n", "docs", "before", "word"])
+                yield pa.RecordBatch.from_arrays([longs(h[first]), pa.array(np.add.reduceat(n[order], first)), pa.array(texts), *(longs(x[order[first]]) for x in more)], names=names)
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch):
-                g = Grams(data, offsets)
-                at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
-                _, first, n = own_counts(g.h2[at], g.row[at])
-                first = at[first]
-                held.append((g.h2[first], n, g.last[first], g.h1[first]))
-                size += len(first)
-                if turn == 0:
-                    u, n = np.unique(g.h1, return_counts=True)
-                    held.append((u, n, np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64)))
-                    size += len(u)
+                held.append(of(Grams(data, offsets)))
+                size += len(held[-1][0])
                 if size >= COUNTED:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    rows = docs.select("text").mapInArrow(run, "kind byte, h long, n long, docs long, before long, word long")
-    return rows.groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max("before").alias("before"), F.max("word").alias("word"))
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n) of all words."""
+    rows = counted(docs, lambda g: np.unique(g.h1, return_counts=True), "h long, n long, parts long")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(docs: DataFrame, turn: int, passes: int) -> DataFrame:
+    """(h, n, before, word) of the bigrams of a hash range that more than one text has, with the hashes of their words."""
+
+    def of(g: Grams) -> tuple:
+        at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
+        _, first, n = own_counts(g.h2[at], g.row[at])
+        first = at[first]
+        return g.h2[first], n, g.last[first], g.h1[first]
+
+    rows = counted(docs, of, "h long, n long, texts long, before long, word long").groupBy("h")
+    return rows.agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.max("before").alias("before"), F.max("word").alias("word")).where("texts > 1").drop("texts")
 
 
 def hot_trigrams(docs: DataFrame, two: Counts, least: float) -> Counts:
@@ -268,16 +278,16 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEA
     spark = docs.sparkSession
     base = work_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = written(word_counts(docs), f"{base}/words")
     grams = None
     for turn in range(COUNT_PASSES):
         # a bigram of one text only is in no other text's model
-        part = written(gram_counts(docs, turn, COUNT_PASSES).where("kind = 1 or docs > 1"), f"{base}/grams{turn}")
+        part = written(pair_counts(docs, turn, COUNT_PASSES), f"{base}/grams{turn}")
         grams = part if grams is None else grams.unionByName(part)
         release(spark)
-    words = written(grams.where("kind = 1").select("h", "n"), f"{base}/words")
     total = words.agg(F.sum("n")).first()[0] or 1
     count = lambda name: words.select(F.col("h").alias(name), F.col("n").alias(f"c_{name}"))
-    pairs = hot_join(grams.where("kind = 2").select("h", "n", "before", "word"), count("before"), "before", "c_before")
+    pairs = hot_join(grams, count("before"), "before", "c_before")
     pairs = written(hot_join(written(pairs, f"{base}/half"), count("word"), "word", "c_word").select("h", "n", "c_before", "c_word"), f"{base}/pairs")
     for name in ("half", *(f"grams{t}" for t in range(COUNT_PASSES))):
         drop_dir(spark, f"{base}/{name}")
