@@ -167,24 +167,6 @@ def graph_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost("source", "unknown_source").unionByName(lost("target", "unknown_target")).unionByName(blank)
 
 
-def inventory_digest(rows: DataFrame, line: Column, keys: list[str]) -> DataFrame:
-    """Order-independent digest of each group's lines: of the sorted digests of up to 256 hash buckets.
-
-    The value differs from the digest of one sorted text; no bucket holds more
-    than its share of a group's lines.
-    """
-    r = rows.select(*keys, F.sha2(line, 256).alias("d"))
-    parts = r.groupBy(*keys, F.substring("d", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return parts.groupBy(*keys).agg(F.sum("n").alias("n_lines"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
-
-
-def sorted_digest(rows: DataFrame, line: Column, keys: list[str], order: list[Column]) -> DataFrame:
-    """keys, n_lines, digest: SHA-256 of each group's lines in order, joined by line breaks; for groups of bounded size."""
-    lines = rows.select(*keys, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], line.alias("line")).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), F.sha2(text, 256).alias("digest"))
-
-
 def select_evidence(claims: DataFrame, keys: list[str], max_items: int, max_tokens: int) -> DataFrame:
     """Evidence within budget: repeats of a claim text dropped, then by source rank and relevance while items and tokens last."""
     once = claims.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "claim").orderBy("source_rank", F.desc("relevance"), "id"))).where("__n = 1").drop("__n")

@@ -251,17 +251,6 @@ def run_completeness(shards: DataFrame, lanes: int = LANES, programs: int = PROG
     return g.select("run_id", aggregate.alias("aggregate"), F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in broken.items()]))).alias("errors"))
 
 
-def manifest_digest(cases: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """keys, n_cases, digest: SHA-256 over the sorted digests of a group's cases, each of its canonical JSON (keys sorted, null fields kept).
-
-    For groups of bounded size, as manifests are; larger ones take ``inventory_digest``.
-    """
-    line = F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
-    one = cases.select(*keys, F.sha2(line, 256).alias("d"))
-    whole = F.concat(F.lit('{"case_digests":["'), F.array_join(F.array_sort(F.collect_list("d")), '","'), F.lit('"]}'))
-    return one.groupBy(*keys).agg(F.count("*").alias("n_cases"), F.sha2(whole, 256).alias("digest"))
-
-
 def source_counts(jobs: DataFrame, sources: list[str], expected: DataFrame, job: str, digest: str) -> DataFrame:
     """One row: successful jobs of each source, jobs that are missing or have no successful source, distinct lineage digests."""
     ok = [F.coalesce(F.col(s) == 200, F.lit(False)) for s in sources]

@@ -130,13 +130,6 @@ def stale_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stale_terms(lines(spark, sf_dir), ["The", "und ", "zzz"])
 
 
-@query("select source, count(*) as n_lines, sha256(string_agg(source || '|' || doc_id || '|' || coalesce(sha256(text), ''), chr(10) order by doc_id)) as digest from documents group by 1")
-def sorted_inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each source's lines in order."""
-    line = F.concat_ws("|", F.col("source"), F.col("doc_id").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("")))
-    return A.sorted_digest(load(spark, sf_dir, "documents"), line, ["source"], [F.col("doc_id")])
-
-
 @query(r"""select page_id, regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '/+(\?|$)', '\1') as key, sha256('{"id":' || page_id || ',"none":null,"url":"' || url || '"}') as digest,
       try_cast(nullif(regexp_extract(url, '[0-9]+(\.[0-9]+)?'), '') as double) as number from pages""")
 def key_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,14 +242,6 @@ def run_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.run_completeness(rows).withColumn("errors", F.array_join("errors", ","))
 
 
-@query("""select source, count(*) as n_cases, sha256('{"case_digests":["' || string_agg(d, '","' order by d) || '"]}') as digest
-    from (select source, sha256('{"case_id":' || doc_id || ',"label":' || coalesce('"' || nullif(lang, 'en') || '"', 'null') || '}') as d from documents) group by 1""")
-def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each source's case digests."""
-    rows = load(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("case_id"), F.nullif("lang", F.lit("en")).alias("label"))
-    return C.manifest_digest(rows, ["source"], ["label", "case_id"])
-
-
 @query("""with j as (select event_id, case event_type when 'click' then 200 when 'view' then 404 end as web, case when event_id % 3 = 0 then 200 else 500 end as forum, case when event_id % 7 > 0 then user_id end as g from events where event_id % 10 > 0)
     select count(*) filter (web = 200) as ok_web, count(*) filter (forum = 200) as ok_forum, count(*) filter (coalesce(web,
         0) <> 200 and forum <> 200) as jobs_without_source, count(distinct g) as lineage_digests, count(*) filter (g is null) as jobs_without_lineage,

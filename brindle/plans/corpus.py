@@ -231,13 +231,6 @@ def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.graph_findings(e, n)
 
 
-@query("""with d as (select source, sha256(doc_id || ' ' || text) as d from documents), p as (select source, substr(d, 1, 2) as b, sha256(string_agg(d, chr(10) order by d)) as d, count(*) as n from d group by all)
-    select source, sum(n)::bigint as n_lines, sha256(string_agg(d, chr(10) order by b)) as digest from p group by source""")
-def inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-independent digest of each source's documents."""
-    return A.inventory_digest(load(spark, sf_dir, "documents"), F.concat_ws(" ", F.col("doc_id").cast("string"), "text"), ["source"])
-
-
 @query("""with o as (select l_orderkey as k, l_partkey % 50 as claim, l_linenumber as source_rank, l_extendedprice as relevance, l_orderkey * 10 + l_linenumber as id, l_quantity::bigint as tokens from lineitem),
     u as (select * from o qualify row_number() over (partition by k, claim order by source_rank, relevance desc, id) = 1),
     r as (select *, row_number() over w as place, sum(tokens) over (w rows unbounded preceding) as used from u window w as (partition by k order by source_rank, relevance desc, id)) select k, id, place, used::bigint as used from r where place <= 3 and used <= 100""")

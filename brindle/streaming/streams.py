@@ -37,11 +37,9 @@ def windowed_counts(receipts: DataFrame, delay: str = "10 minutes", width: str =
     return receipts.withWatermark("recorded_at", delay).groupBy(w, "status").agg(F.count("*").alias("n"))
 
 
-def first_visits(visits: DataFrame, delay: str) -> DataFrame:
-    """Visits (task_id, url, visited_at, force_reason) without repeats of a key within ``delay``; forced ones always pass."""
-    keyed = visits.withColumn("visit_key", visit_key(F.col("task_id"), F.col("url"))).withWatermark("visited_at", delay)
-    fresh = keyed.where("force_reason is null").dropDuplicatesWithinWatermark(["visit_key"])
-    return fresh.unionByName(keyed.where("force_reason is not null"))
+def keyed_visits(visits: DataFrame) -> DataFrame:
+    """Visits (task_id, url, ...) with the key of their task and source."""
+    return visits.withColumn("visit_key", visit_key(F.col("task_id"), F.col("url")))
 
 
 def next_state(current: str | None, raw: str | None) -> str:
@@ -121,14 +119,17 @@ def resumable(requests: DataFrame, receipts: DataFrame) -> DataFrame:
     return both.withColumn("eligible", eligible).drop("__last", "__open")
 
 
-def to_table(stream: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all there is, one Parquet folder a trigger; with ``keys`` the last row of each key counts."""
+def to_table(stream: DataFrame, path: str, mode: str, keys: list[str] | None = None, progress: list | None = None) -> DataFrame:
+    """Run a stream over all there is, one Parquet folder a trigger; with ``keys`` the last row of each key counts. ``progress`` gets the progress of all triggers."""
     spark = stream.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/trigger={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     rows = spark.read.parquet(f"{path}/out")
     if keys:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__batch")))).where("__n = 1")

@@ -199,11 +199,3 @@ def test_numbered_lines_and_reports_in_order(spark, tmp_path):
     files.write_report(nested, str(tmp_path / "r"))
     text = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
     assert text == ['{"b":1,"n":null,"w":{"a":[{"b":{"c":2,"q":1},"y":2}],"z":1}}']
-
-
-def test_sorted_digest_of_bounded_groups(spark):
-    import hashlib
-
-    rows = spark.createDataFrame([("r", "b", "2"), ("r", "a", "1"), ("s", "c", "3")], "repo string, path string, sha string")
-    got = {r.repo: (r.n_lines, r.digest) for r in audit.sorted_digest(rows, F.concat_ws("|", "repo", "path", "sha"), ["repo"], [F.col("path")]).collect()}
-    assert got == {"r": (2, hashlib.sha256(b"r|a|1\nr|b|2").hexdigest()), "s": (1, hashlib.sha256(b"s|c|3").hexdigest())}
