@@ -93,13 +93,38 @@ def policy_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, sets: list[str], at_least: float) -> DataFrame:
-    """(left_id, right_id, score): mean Jaccard of the array columns ``sets``; pairs that share no token can't reach a positive bound."""
-    tokens = lambda df, name: reduce(DataFrame.unionByName, [df.select(F.col("id").alias(name), F.lit(s).alias("s"), F.explode(F.array_distinct(s)).alias("t")) for s in sets])
-    shared = tokens(left, "left_id").join(tokens(right, "right_id"), ["s", "t"]).groupBy("left_id", "right_id", "s").agg(F.count("*").alias("both"))
-    wide = shared.groupBy("left_id", "right_id").pivot("s", sets).agg(F.first("both"))
-    size = lambda df, name, p: df.select(F.col("id").alias(name), *[F.size(F.array_distinct(s)).alias(f"{p}_{s}") for s in sets])
-    j = wide.na.fill(0).join(size(left, "left_id", "l"), "left_id").join(size(right, "right_id", "r"), "right_id")
-    one = lambda s: F.coalesce(F.col(s) / F.nullif(F.col(f"l_{s}") + F.col(f"r_{s}") - F.col(s), F.lit(0)), F.lit(0.0))
+    """(left_id, right_id, score): mean Jaccard of the array columns ``sets``, over a positive bound.
+
+    A mean reaches the bound only if one of the sets does, and two sets reach it
+    only if their sizes are near enough and they share one of their rarest
+    tokens, so many that the others can't make the bound. Pairs meet by those
+    tokens only and are scored by their whole sets.
+    """
+    own = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), *[F.array_distinct(F.coalesce(F.col(s), F.array().cast("array<string>"))).alias(f"{p}_{s}") for s in sets])
+    l, r = own(left, "left"), own(right, "right")  # noqa: E741
+
+    def found(s: str) -> DataFrame:
+        tokens = lambda df, p: df.select(f"{p}_id", F.size(f"{p}_{s}").alias(f"{p}_n"), F.explode(f"{p}_{s}").alias("t"))
+        a, b = tokens(l, "left"), tokens(r, "right")
+        often = a.select("t").unionAll(b.select("t")).groupBy("t").agg(F.count("*").alias("c"))
+
+        def rarest(rows: DataFrame, p: str) -> DataFrame:
+            n = F.col(f"{p}_n")
+            # a hair less than the bound asks for, so that rounding of floats never loses a pair
+            first = n - F.ceil(n * at_least - 1e-9).cast("int") + 1
+            ordered = rows.join(often, "t").groupBy(f"{p}_id", f"{p}_n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("x"))
+            return ordered.select(f"{p}_id", f"{p}_n", F.explode(F.slice("x", 1, F.greatest(first, F.lit(1)))).alias("x")).select(f"{p}_id", f"{p}_n", "x.t")
+
+        near = (F.col("left_n") >= F.col("right_n") * at_least - 1e-9) & (F.col("right_n") >= F.col("left_n") * at_least - 1e-9)
+        return rarest(a, "left").join(rarest(b, "right"), "t").where(near).select("left_id", "right_id")
+
+    pairs = reduce(DataFrame.unionByName, [found(s) for s in sets]).distinct()
+    j = pairs.join(l, "left_id").join(r, "right_id")
+
+    def one(s: str) -> Column:
+        both = F.size(F.array_intersect(f"left_{s}", f"right_{s}"))
+        return F.coalesce(both / F.nullif(F.size(f"left_{s}") + F.size(f"right_{s}") - both, F.lit(0)), F.lit(0.0))
+
     scored = j.select("left_id", "right_id", F.round(sum((one(s) for s in sets), F.lit(0.0)) / len(sets), 6).alias("score"))
     return scored.where(F.col("score") >= at_least)
 

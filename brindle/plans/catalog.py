@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as X
 from brindle.functions import urls as U
 from brindle.operators import catalog as C
+from brindle.operators import identity as I
 from brindle.plans.registry import load, query
 
 PRODUCTS_SQL = """products as (select p_partkey, p_name as name, p_brand as brand, 'P-' || p_partkey as code,
@@ -195,25 +196,40 @@ def gtin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", X.normalize_gtin(F.concat(F.lit("EAN13: "), "d", wrong.cast("string")), True, True).alias("gtin"))
 
 
-@query("""with t as (select p_partkey as id, 'S' || p_partkey as sku, lower(trim(p_brand)) as brand, lower(trim(p_name)) as title, case when p_partkey % 2 = 0 then 'in' else 'us' end as region from part),
-    c as (select id + 1000000 as cid, case when id % 3 = 0 or id % 7 = 0 then null else sku end as sku, brand, title, case when id % 7 = 0 then null
-        when id % 5 = 0 then 'eu' else region end as region from t),
-    p as (select t.id, c.cid from t join c on lower(t.sku) = lower(c.sku) union select t.id, c.cid from t join c on t.brand = c.brand and t.title = c.title),
-    d as (select p.id as t_id, p.cid as c_id,
-      coalesce(case when lower(t.sku) = lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand = c.brand then 'brand,' end,
-        '') || coalesce(case when t.region = c.region then 'region,' end, '') as m,
-      coalesce(case when lower(t.sku) <> lower(c.sku) then 'sku,' end, '') || coalesce(case when t.brand <> c.brand then 'brand,' end,
-        '') || coalesce(case when t.region <> c.region then 'region,' end, '') as x
-      from p join t on t.id = p.id join c on c.cid = p.cid)
-    select t_id, c_id, rtrim(m, ',') as matched, rtrim(x, ',') as conflicts, x = '' as accepted,
-      case when x <> '' then 'identity conflict' when contains(m, 'sku') then 'exact identity match' else 'exact brand and title match' end as reason from d""")
+PAIRS_SQL = """t as (select p_partkey as id, 's' || p_partkey as sku, lower(trim(p_brand)) as brand, lower(trim(p_name)) as title, case when p_partkey % 2 = 0 then 'in' else 'us' end as region from part),
+    c as (select id + 1000000 as id, case when id % 3 = 0 or id % 7 = 0 then null else sku end as sku, brand, title, case when id % 7 = 0 then null when id % 5 = 0 then 'eu' else region end as region from t),
+    tk as (select sku, brand, title, region, min(id) as rep, count(*) as n from t group by all), ck as (select sku, brand, title, region, min(id) as rep, count(*) as n from c group by all),
+    tg as (select brand, title, region, sku is not null as has, min(rep) as grp, sum(n) as n from tk group by all), cg as (select brand, title, region, sku is not null as has, min(rep) as grp, sum(n) as n from ck group by all),
+    st as (select a.*, b.rep as c_rep, b.n as c_n, b.brand as c_brand, b.title as c_title, b.region as c_region from tk a join ck b on a.sku = b.sku),
+    listed as (select tg.grp as t_grp, cg.grp as c_grp, sum(st.n * st.c_n) as listed from st join tg on tg.brand = st.brand and tg.title = st.title and tg.region is not distinct from st.region and tg.has
+      join cg on cg.brand = st.c_brand and cg.title = st.c_title and cg.region is not distinct from st.c_region and cg.has where st.brand = st.c_brand and st.title = st.c_title group by all)"""
+REASON_SQL = "case when x <> '' then 'identity conflict' when contains(m, 'sku') then 'exact identity match' else 'exact brand and title match' end"
+
+
+@query(f"""with {PAIRS_SQL},
+    d as (select 'strong' as kind, rep as t_rep, c_rep, n * c_n as n_pairs, 'sku' || case when brand = c_brand then ',brand' else '' end || case when region = c_region then ',region' else '' end as m,
+        ltrim(case when brand <> c_brand then ',brand' else '' end || case when region <> c_region then ',region' else '' end, ',') as x from st
+      union all select 'soft', a.grp, b.grp, a.n * b.n - coalesce(listed, 0), 'brand' || case when a.region = b.region then ',region' else '' end,
+        ltrim(case when a.has and b.has then ',sku' else '' end || case when a.region <> b.region then ',region' else '' end, ',')
+      from tg a join cg b on a.brand = b.brand and a.title = b.title left join listed on t_grp = a.grp and c_grp = b.grp where a.n * b.n > coalesce(listed, 0))
+    select kind, t_rep, c_rep, n_pairs::bigint as n_pairs, m as matched, x as conflicts, x = '' as accepted, {REASON_SQL} as reason from d""")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts matched with a copy that lost or changed some fields."""
-    k = F.col("p_partkey")
+    """Parts matched with a copy that lost or changed some fields: decisions between classes."""
+    out = I.match_classes(*entity_sides(spark, sf_dir)).decisions
+    return out.select("kind", "t_rep", "c_rep", "n_pairs", F.array_join("matched", ",").alias("matched"), F.array_join("conflicts", ",").alias("conflicts"), "accepted", "reason")
+
+
+@query(f"""with {PAIRS_SQL} select c.id, ck.rep, cg.grp as "group" from c join ck on ck.sku is not distinct from c.sku and ck.brand = c.brand and ck.title = c.title and ck.region is not distinct from c.region
+    join cg on cg.has = (c.sku is not null) and cg.brand = c.brand and cg.title = c.title and cg.region is not distinct from c.region""")
+def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate's class and group."""
+    return I.match_classes(*entity_sides(spark, sf_dir)).c_members
+
+
+def entity_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, i = F.col("p_partkey"), F.col("id")
     t = load(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("S"), k.cast("string")).alias("sku"), F.col("p_brand").alias("brand"),
         F.col("p_name").alias("title"), F.when(k % 2 == 0, "in").otherwise("us").alias("region"))
-    i = F.col("id")
     c = t.select((i + 1000000).alias("id"), F.when((i % 3 != 0) & (i % 7 != 0), F.col("sku")).alias("sku"), "brand", "title", F.when(i % 7 == 0,
         None).when(i % 5 == 0, "eu").otherwise(F.col("region")).alias("region"))
-    out = C.match_entities(t, c)
-    return out.select("t_id", "c_id", F.array_join("matched", ",").alias("matched"), F.array_join("conflicts", ",").alias("conflicts"), "accepted", "reason")
+    return t, c

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import inventory as I
+from brindle.operators import minhash as M
 from brindle.plans.registry import load, query
 
 #: Endings of source files and a text of each, by document id.
@@ -194,3 +195,14 @@ def credential_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of an item's five-word shingles."""
     return I.near_passages(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+
+
+@query(r"""with w as (select doc_id as id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w from documents),
+    s as (select id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) else [array_to_string(w, ' ')] end)) as s from w where len(w) > 0),
+    a as (select s, min(id) as left_rep, count(*) as n_left from s where id % 50 = 0 group by s), b as (select s, min(id) as right_rep, count(*) as n_right from s group by s),
+    p as (select left_rep, right_rep, n_left, n_right, len(list_intersect(a.s, b.s)) as k, len(a.s) as x, len(b.s) as y from a join b on len(a.s) * 10 >= len(b.s) * 8 and len(b.s) * 10 >= len(a.s) * 8)
+    select left_rep, right_rep, round(k / (x + y - k), 6) as similarity, n_left, n_right from p where k * 10 >= (x + y - k) * 8""")
+def near_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an id divisible by 50 as evaluation cases: which documents are near copies of them."""
+    docs = load(spark, sf_dir, "documents")
+    return M.near_classes(docs.where("doc_id % 50 = 0"), docs, "doc_id", "text")[0]
