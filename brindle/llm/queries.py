@@ -94,7 +94,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op5_tool_calls": """
-        with u as (select conv_id, turn, text, coalesce(length(text), 0) as n, conv_id || '-' || turn as call_id
+        with recursive u as (select conv_id, turn, text, coalesce(length(text), 0) as n, conv_id || '-' || turn as call_id
                    from conversations where role = 'user'),
         c as (select *, case when turn % 2 = 0 then 'search' else 'translate' end as name from u),
         e as (select *, case when turn % 2 = 0
@@ -108,10 +108,15 @@ ORACLE_SQL = {
                 else '{' || (case when n % 5 = 0 then '"formal":"yes",' else '' end) || '"target":"en","text":' || to_json(text)::varchar || '}'
               end as args from c),
         r as (select conv_id, turn as result_turn, text as content, conv_id || '-' || (turn - 1) as call_id
-              from conversations where role = 'assistant')
+              from conversations where role = 'assistant'),
+        edges as (select a.conv_id, a.turn, b.turn as before from u a join u b on a.conv_id = b.conv_id
+              and (b.turn in (a.turn - 2, a.turn - 4) or (a.conv_id % 9 = 4 and a.turn = 2 and b.turn = 4))),
+        chains as (select conv_id, turn, 0 as depth from u union
+              select e.conv_id, e.turn, depth + 1 from chains c join edges e on e.conv_id = c.conv_id and e.before = c.turn where depth < 20),
+        levels as (select conv_id, turn, max(depth) as depth from chains group by all)
         select coalesce(e.conv_id, r.conv_id) as conv_id, coalesce(e.call_id, r.call_id) as call_id,
           case when e.call_id is null then 'no_call' when r.call_id is null then 'no_result' else 'linked' end as kind,
-          case when e.call_id is null then null when e.turn % 4 >= 2 and b.call_id is not null then 1 else 0 end::integer as level,
+          case when depth < 20 then depth end::integer as level,
           coalesce(e.turn, r.result_turn) as turn, r.result_turn, (case when r.call_id is null then 0 else 1 end)::bigint as n_results,
           coalesce(e.errors, '') as errors,
           '{' || (case when e.call_id is null then '' else '"arguments":' || e.args || ',' end) || '"conversation":' || coalesce(e.conv_id, r.conv_id)
@@ -119,7 +124,7 @@ ORACLE_SQL = {
           || ',"id":"' || coalesce(e.call_id, r.call_id) || '"' || (case when e.call_id is null then '' else ',"name":"' || e.name || '"' end)
           || (case when r.call_id is null then '' else ',"result":' || to_json(r.content)::varchar end) || '}' as json
         from e full join r on e.conv_id = r.conv_id and e.call_id = r.call_id
-        left join e b on b.conv_id = e.conv_id and b.turn = e.turn - 2""",
+        left join levels l on l.conv_id = e.conv_id and l.turn = e.turn""",
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as payload from pages),
         m as (select *, strlen(payload) >= 1000 and row_number() over w > 1 as again, first_value(page_id) over w as last from p

@@ -101,8 +101,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     Calls that repeat a (conv_id, call_id) count by the row with the smallest
     turn, the others are dropped as repeats. Null ids link with nothing: each
     such call is a row without result and level, each such result one without
-    call. Unparsable or null arguments
+    call. Of several results of one turn the smallest content is taken, of
+    several calls the smallest name and arguments. Unparsable or null arguments
     are written as null with the error bad_json. level is null on a cycle.
+    Arguments and contents are taken whole, however long; a call that waits for
+    very many others is one row of their ids, and each of them one edge.
     Rows come sorted by conversation, level, turn and id; a conversation of
     any size is spread over the sort's ranges, never gathered. Empty tables
     give no rows; other columns are not read.
@@ -142,9 +145,10 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain chat rows (conv_id, turn, role, text).
 
     Each user turn is a call: even ones search for the text, odd ones translate
-    it. The reply to a call is the assistant's turn after it. Every second call
-    waits for the call before it. Some calls are made faulty on purpose, by the
-    length of their text.
+    it. The reply to a call is the assistant's turn after it. A call waits for
+    the two calls before it, as far as they are there; in every ninth conversation the second call waits for
+    the third too, so that they and what follows are on a ring. Some calls are
+    made faulty on purpose, by the length of their text.
     """
     n = F.coalesce(F.length("text"), F.lit(0))
     id_at = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
@@ -153,7 +157,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     translate = F.to_json(F.struct(F.col("text").alias("text"), F.lit("en").alias("target"), F.when(n % 5 == 0, F.lit("yes")).alias("formal")))
     calls = user.select("conv_id", "turn", id_at(F.col("turn")).alias("call_id"), F.when(F.col("turn") % 2 == 0,
         "search").otherwise("translate").alias("name"), F.when(F.col("turn") % 2 == 0, search).otherwise(translate).alias("arguments"),
-        F.when(F.col("turn") % 4 >= 2, F.array(id_at(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
+        F.array_compact(F.array(*[F.when(F.col("turn") >= back, id_at(F.col("turn") - back)) for back in (2, 4)], F.when((F.col("conv_id") % 9 == 4) & (F.col("turn") == 2), id_at(F.lit(4))))).alias("after"))
     results = conversations.where("role = 'assistant' and conv_id is not null and turn is not null").select("conv_id", "turn",
         id_at(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -219,6 +219,17 @@ def test_counts_joins_and_rules_of_null_and_repeated_ids(spark):
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", True), "note": ("string", False)}}
 
 
+def test_tool_calls_with_ties_and_long_texts(spark):
+    calls = [("c", 1, "a", "search", '{"query":"z","limit":1}', []), ("c", 1, "a", "search", '{"query":"b","limit":1}', []), ("c", 2, "b", "search", '{"query":"%s","limit":1}' % ("y" * 200000), ["a", "a"])]
+    results = [("c", 3, "a", "second"), ("c", 3, "a", "first"), ("c", 9, "a", "a late one"), ("c", 4, "b", "x" * 300000)]
+    c = spark.createDataFrame(calls, "conv_id string, turn int, call_id string, name string, arguments string, after array<string>")
+    r = spark.createDataFrame(results, "conv_id string, turn int, call_id string, content string")
+    got = tool_calls.link_tool_calls(c.union(c), r, tool_calls.CHAT_TOOLS).collect()
+    assert [(x.call_id, x.level, x.result_turn, x.n_results, x.errors) for x in got] == [("a", 0, 3, 3, []), ("b", 1, 4, 1, [])]
+    assert got[0].json == '{"arguments":{"limit":1,"query":"b"},"conversation":"c","id":"a","name":"search","result":"first"}'
+    assert len(got[1].json) > 500000
+
+
 def test_tool_calls(spark):
     calls = [
         (1, 0, "x", "add", '{"b": 2.5, "a": 1}', []), (1, 1, "y", "add", '{"a": "1", "c": 0}', ["x"]), (1, 2, "z", "add", "{bad", ["y", "nowhere"]),
