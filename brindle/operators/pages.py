@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from brindle.operators.telemetry import PRODUCT_HINTS
 
@@ -41,7 +42,7 @@ def tokens_of(page: str) -> tuple[str, int]:
     return " ".join(" ".join(html.unescape(p) for p in parts).split())[:TITLE], blocks
 
 
-@F.pandas_udf("title string, blocks int")
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("blocks", IntegerType())]))
 def _tokens(pages: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if p is None else tokens_of(p) for p in pages]
     return pd.DataFrame(rows, columns=["title", "blocks"])
@@ -63,13 +64,14 @@ def page_structure(pages: DataFrame) -> DataFrame:
     """page_id, title, jsonld_blocks, product_hints, n_bytes and status of pages (page_id, html, http_status); a null page is empty, a null answer 200."""
     text = F.coalesce("html", F.lit(""))
     hints = sum((F.regexp_count(F.lower(text), F.lit(h)) for h in PRODUCT_HINTS), F.lit(0))
-    plain = F.regexp_extract(text, r"(?is)<title[^>]*>([^<&]*)</title\s*>", 1)
-    # what the expressions can't tell: an odd title, a title in a comment or script, JSON-LD of whatever kind
-    titles = F.regexp_count(text, F.lit("(?i)<title"))
-    odd = (titles > 1) | ((titles == 1) & ~text.rlike(r"(?is)<title[^>]*>[^<&]*</title\s*>")) | text.rlike(r"(?i)ld\+json|ld&|<!--.*<title")
-    odd = odd | text.rlike(r"(?is)<(script|style)[^>]*>(?:(?!</\1).)*<title|<!--(?:(?!-->).)*<title")
-    t = pages.withColumns({"text": text, "hints": hints, "odd": odd}).withColumn("token", _tokens(F.when(F.col("odd"), F.col("text"))))
-    title = F.when(F.col("odd"), F.col("token.title")).otherwise(F.left(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), F.lit(TITLE)))
+    # lazy runs of any character are loops in Java, also in very long pages
+    shown = F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    plain = F.regexp_extract(shown, r"(?is)<title[^>]*>([^<&]*)</title\s*>", 1)
+    titles = F.regexp_count(shown, F.lit("(?i)<title"))
+    # what the expressions can't tell: an odd title, JSON-LD of whatever kind, what isn't closed
+    odd = (titles > 1) | ((titles == 1) & ~shown.rlike(r"(?is)<title[^>]*>[^<&]*</title\s*>")) | text.rlike(r"(?i)ld\+json|type\s*=[^>]*&") | shown.rlike(r"(?i)<!--|<(script|style)\b")
+    t = pages.withColumns({"text": text, "hints": hints, "plain": plain, "odd": odd}).withColumn("token", _tokens(F.when(F.col("odd"), F.col("text"))))
+    title = F.when(F.col("odd"), F.col("token.title")).otherwise(F.left(F.trim(F.regexp_replace("plain", r"(?U)\s+", " ")), F.lit(TITLE)))
     blocks = F.when(F.col("odd"), F.col("token.blocks")).otherwise(0)
     status = page_status(F.coalesce("http_status", F.lit(200)), F.col("text"), F.col("hints"), blocks)
     return t.select("page_id", title.alias("title"), blocks.alias("jsonld_blocks"), F.col("hints").alias("product_hints"), F.octet_length("text").cast("long").alias("n_bytes"), status.alias("status"))

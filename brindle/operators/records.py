@@ -52,25 +52,6 @@ def least_tier(rows: DataFrame, keys: list[str], tier: str) -> DataFrame:
     return r.groupBy(*keys).agg(F.when(F.min("__rank").isNotNull(), least).alias("least_tier"), F.bool_or(F.col("__rank").isNull()).alias("untyped"))
 
 
-def ladder(value: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
-    """Label of the first pattern that matches."""
-    return reduce(lambda acc, r: acc.when(value.rlike(r[0]), r[1]), rules[1:], F.when(value.rlike(rules[0][0]), rules[0][1])).otherwise(otherwise)
-
-
-def labels(value: Column, needles: list[tuple[str, str]], otherwise: str) -> Column:
-    """Sorted labels of all needles that a text contains, ignoring case; the default where none does."""
-    low = F.lower(value)
-    hit = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(low.contains(n), name) for n, name in needles]), lambda x: x.isNotNull())))
-    return F.when(F.size(hit) > 0, hit).otherwise(F.array(F.lit(otherwise)))
-
-
-def size_report(rows: DataFrame, name: str, size: str, lines: str, attention: tuple[int, int], critical: tuple[int, int]) -> DataFrame:
-    """Large items, critical first, then by size, lines and name."""
-    over = lambda b: (F.col(size) > b[0]) | (F.col(lines) > b[1])
-    sized = rows.withColumn("severity", F.when(over(critical), "critical").when(over(attention), "attention"))
-    return sized.where("severity is not null").select(name, size, lines, "severity").orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), F.desc(size), F.desc(lines), name)
-
-
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
 
@@ -101,18 +82,6 @@ def drift(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     return j.where(~F.col("expected").eqNullSafe(F.col("actual"))).select(*keys, "expected", "actual")
 
 
-def completeness(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
-    """Per cent of rows that fulfil each condition, and their plain mean as score."""
-    shares = rows.agg(*[F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100, 2).alias(n) for n, c in parts.items()])
-    return shares.withColumn("score", F.round(sum((F.col(n) for n in parts), F.lit(0.0)) / len(parts), 2))
-
-
-def mentions(docs: DataFrame, doc: str, text: str, names: DataFrame, name: str, pattern: str) -> DataFrame:
-    """(name, n_docs): documents that mention each name, by an equi-join of the words that look like one."""
-    words = docs.select(F.col(doc).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})")))).alias(name))
-    return words.join(names.select(name).distinct(), name).groupBy(name).agg(F.count_distinct("__d").alias("n_docs"))
-
-
 def coverage(cases: DataFrame, category: str, families: str, passed: str) -> DataFrame:
     """(kind, value, n, pass_rate): by category, and by each family that a case needs."""
     rate = F.round(F.avg(F.col(passed).cast("double")), 4).alias("pass_rate")

@@ -52,12 +52,6 @@ def target_health(receipts: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "observations", "failures", h.alias("h")).select(*keys, "observations", "failures", "h.*")
 
 
-def count_map(df: DataFrame, key: str) -> DataFrame:
-    """One row with the map value -> number of rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), "count")))).alias("counts"))
-
-
 def scorecard(shards: DataFrame) -> DataFrame:
     """One row over shard summaries: rates to six places, weighted median, largest p95, verdict.
 
@@ -79,13 +73,3 @@ def scorecard(shards: DataFrame) -> DataFrame:
     )
     bad = (F.col("blocked_rate") > 0) | (F.col("limited_rate") > 0) | (F.col("error_rate") > 0)
     return out.withColumn("overall", F.when(F.col("observations").isNull() | bad, "WARN").otherwise("PASS"))
-
-
-def page_signals(pages: DataFrame) -> DataFrame:
-    """page_id, title (300 characters), JSON-LD blocks, product hints and status of each page."""
-    html = F.coalesce("html", F.lit(""))
-    title = F.left(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"(?U)\s+", " ")), F.lit(300))
-    jsonld = F.regexp_count(html, F.lit(r"(?i)<script[^>]*application/ld\+json"))
-    hints = sum((F.regexp_count(F.lower(html), F.lit(h)) for h in PRODUCT_HINTS), F.lit(0))
-    status = F.when((hints > 0) | (jsonld > 0), "ok").otherwise("empty")
-    return pages.select("page_id", title.alias("title"), jsonld.alias("jsonld_blocks"), hints.alias("product_hints"), status.alias("status"))

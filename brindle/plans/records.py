@@ -48,28 +48,6 @@ def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.least_tier(t, ["user_id"], "tier")
 
 
-@query("""select page_id, case when regexp_matches(url, '^https?://m\\.') then 'mobile' when regexp_matches(url, '[?&]page=') then 'listing' when regexp_matches(url, '/en/') then 'english' else 'other' end as class from pages""")
-def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by an ordered ladder of URL patterns."""
-    rules = [(r"^https?://m\.", "mobile"), (r"[?&]page=", "listing"), ("/en/", "english")]
-    return load(spark, sf_dir, "pages").select("page_id", R.ladder(F.col("url"), rules, "other").alias("class"))
-
-
-@query("""with l as (select p_partkey, list_sort(list_distinct(list_filter([case when contains(lower(p_type), 'steel') then 'metal' end, case when contains(lower(p_type), 'brass') then 'metal' end, case when contains(lower(p_type), 'large') then 'size' end, case when contains(lower(p_type), 'plated') then 'finish' end], lambda x: x is not null))) as l from part)
-    select p_partkey, case when len(l) = 0 then 'general' else array_to_string(l, ',') end as domains from l""")
-def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = [("steel", "metal"), ("brass", "metal"), ("large", "size"), ("plated", "finish")]
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(R.labels(F.col("p_type"), needles, "general"), ",").alias("domains"))
-
-
-@query("""with s as (select doc_id, strlen(coalesce(text, '')) as size, len(string_split(coalesce(text, ''), chr(10))) as lines from documents) select doc_id, size, lines::integer as lines, case when size > 20000 or lines > 100 then 'critical' else 'attention' end as severity from s where size > 8000 or lines > 40""")
-def size_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large documents, critical ones first."""
-    t = F.coalesce("text", F.lit(""))
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.octet_length(t).cast("long").alias("size"), F.size(F.split(t, "\n")).alias("lines"))
-    return R.size_report(rows, "doc_id", "size", "lines", (8000, 40), (20000, 100))
-
-
 @query("select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as place from documents qualify place <= 5")
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five longest documents of each source."""
@@ -109,20 +87,6 @@ def catalog_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drift(e, a, ["k"])
 
 
-@query("""select round(avg((trim(p_name) <> '')::int::double) * 100, 2) as named, round(avg((p_size >= 5)::int::double) * 100, 2) as sized, round(avg((p_type like '%STEEL%')::int::double) * 100, 2) as steel,
-    round((0.0::double + round(avg((trim(p_name) <> '')::int::double) * 100, 2) + round(avg((p_size >= 5)::int::double) * 100, 2) + round(avg((p_type like '%STEEL%')::int::double) * 100, 2)) / 3, 2) as score from part""")
-def table_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = {"named": F.trim("p_name") != "", "sized": F.col("p_size") >= 5, "steel": F.col("p_type").contains("STEEL")}
-    return R.completeness(load(spark, sf_dir, "part"), parts)
-
-
-@query("""with w as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) as word from documents), n as (select distinct unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) as word from benchmark) select word, count(distinct doc_id) as n_docs from w join n using (word) group by word""")
-def reverse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that mention any name-like word of a benchmark item."""
-    names = load(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Z][a-z]{3,})"))).alias("word"))
-    return R.mentions(load(spark, sf_dir, "documents"), "doc_id", "text", names, "word", "[A-Z][a-z]{3,}")
-
-
 @query("""with c as (select o_orderkey, o_orderpriority as category, case when o_custkey % 2 = 0 then ['web', 'feed'] else ['web'] end as families, o_orderstatus <> 'F' as ok from orders), f as (select unnest(families) as value, ok from c)
     select 'category' as kind, category as value, count(*) as n, round(avg(ok::int::double), 4) as pass_rate from c group by 2 union all select 'family', value, count(*), round(avg(ok::int::double), 4) from f group by 2""")
 def case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

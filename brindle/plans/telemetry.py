@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import evaluation as E
 from brindle.operators import ledger as L
+from brindle.operators import pages as G
 from brindle.operators import telemetry as T
 from brindle.plans.registry import load, query
 
@@ -69,13 +70,25 @@ def failing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("target", "failures", "observations", F.round(F.col("failures") / F.col("observations"), 6).alias("failure_rate")).orderBy(F.desc("failure_rate"), "target")
 
 
-@query("""select page_id, left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 300) as title, 0 as jsonld_blocks,
-    (len(string_split(lower(html), 'product')) + len(string_split(lower(html), 'itemprop="name"')) + len(string_split(lower(html),
-        'productid')) + len(string_split(lower(html), 'sku')) + len(string_split(lower(html), 'add-to-cart')) + len(string_split(lower(html),
-        'price')) - 6)::integer as product_hints,
-    case when regexp_matches(lower(html), 'product|itemprop="name"|sku|add-to-cart|price') then 'ok' else 'empty' end as status from pages""")
+LD = '<script type="application/ld+json">{"@type":"Product"}</script>'
+BLANK = "<!-- <title>no</title> --><script type=\'application/LD+JSON\'> </script>"
+
+
+@query(f"""with p as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as own, case page_id % 12 when 0 then html || '{LD}' when 6 then html || '{LD}' || '{LD}'
+        when 1 then '{BLANK.replace("'", "''")}' || html when 2 then replace(html, '<title>', '<title>Sale &lt;b&gt; <b>') when 3 then html || '<title>Two</title>' when 4 then chr(10) || ' ' when 5 then html || '<!--' else html end as html,
+      case page_id % 11 when 0 then 403 when 1 then 401 when 2 then 429 when 3 then 503 when 4 then 404 when 5 then 200 end as http from pages),
+    s as (select page_id, http, html, replace(replace(replace(own, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as own, case page_id % 12 when 0 then 1 when 6 then 2 else 0 end as blocks,
+      (len(string_split(lower(html), 'product')) + len(string_split(lower(html), 'itemprop="name"')) + len(string_split(lower(html), 'productid')) + len(string_split(lower(html), 'sku')) + len(string_split(lower(html), 'add-to-cart')) + len(string_split(lower(html), 'price')) - 6)::integer as hints from p)
+    select page_id, left(case page_id % 12 when 2 then 'Sale <b> ' || own when 3 then own || ' Two' when 4 then '' else own end, 300) as title, blocks::integer as jsonld_blocks, hints as product_hints, strlen(html)::bigint as n_bytes,
+      case when http in (401, 403) then 'blocked' when http = 429 then 'resource_limited' when http >= 400 then 'error' when page_id % 12 = 4 then 'empty' when hints > 0 or blocks > 0 then 'ok' else 'empty' end as status from s""")
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.page_signals(load(spark, sf_dir, "pages"))
+    """Pages, some with JSON-LD, hidden or second titles, markup in the title or an open comment, and with different HTTP answers."""
+    i, h = F.col("page_id") % 12, F.col("html")
+    page = F.when(i == 0, F.concat(h, F.lit(LD))).when(i == 6, F.concat(h, F.lit(LD + LD))).when(i == 1, F.concat(F.lit(BLANK), h)).when(i == 2, F.replace(h, F.lit("<title>"), F.lit("<title>Sale &lt;b&gt; <b>")))
+    page = page.when(i == 3, F.concat(h, F.lit("<title>Two</title>"))).when(i == 4, "\n ").when(i == 5, F.concat(h, F.lit("<!--"))).otherwise(h)
+    k = F.col("page_id") % 11
+    http = F.when(k == 0, 403).when(k == 1, 401).when(k == 2, 429).when(k == 3, 503).when(k == 4, 404).when(k == 5, 200)
+    return G.page_structure(load(spark, sf_dir, "pages").select("page_id", page.alias("html"), http.alias("http_status")))
 
 
 RUNS_SQL = """obs as (select o_orderkey as run_id, o_orderpriority as model, o_orderstatus as agent_role, (o_custkey % 6)::varchar as lane, n as required_claims, n_r as correct_claims, n_n as supported_claims, n_a as missed_requirements, q as tool_calls, n as files_read,
