@@ -148,11 +148,6 @@ def redact(value: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(1200))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two token arrays; 0 where both are empty."""
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
-
-
 def clamp3(value: Column) -> Column:
     """Into 0 to 1, rounded half up to three places."""
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 3)

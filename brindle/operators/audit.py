@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,7 +51,8 @@ def conflicting_lines(lines: DataFrame) -> DataFrame:
 
 def scan_rules(docs: DataFrame, doc: str, text: str, rules: list[tuple[str, str, str]], exempt: DataFrame | None = None) -> DataFrame:
     """(doc, severity, label, fingerprint) for each rule (pattern, severity, label) that a text matches."""
-    # no rule matches an empty text, so what is extracted tells whether it matches
+    # most texts match no rule, which one pattern tells; no rule matches an empty text, so what is extracted tells which do
+    docs = docs.where(F.col(text).rlike("|".join(f"(?:{p})" for p, _, _ in rules)))
     every = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(name).alias("label"), F.regexp_extract(text, f"({p})", 1).alias("hit")) for p, s, name in rules])
     hits = F.filter(every, lambda x: x["hit"] != "")
     found = docs.select(F.col(doc).alias("doc"), F.explode(hits).alias("h")).select("doc", "h.severity", "h.label", F.left(F.sha2("h.hit", 256), F.lit(16)).alias("fingerprint"))
@@ -159,23 +159,21 @@ def similar_links(rows: DataFrame, sets: list[str], at_least: float) -> DataFram
 
 
 def longest_prefix(paths: DataFrame, path: str, table: DataFrame) -> DataFrame:
-    """path, prefix, surface of the longest prefix (equal, or followed by a separator) of a small rules table; ambiguous ones flagged."""
-    p = F.col(path)
-    hits = paths.select(path).distinct().join(F.broadcast(table), p.startswith(F.col("prefix")))
+    """path, prefix, surface of the longest prefix of a rules table (prefix, surface); ambiguous ones flagged.
+
+    Beginnings of the paths join the prefixes, so the table may be of any size.
+    """
+    hits = paths.select(path).distinct().withColumn("prefix", F.explode(beginnings(F.col(path), table))).join(table, "prefix")
     w = Window.partitionBy(path)
     best = hits.withColumn("len", F.length("prefix")).withColumn("most", F.max("len").over(w)).where("len = most")
     return best.groupBy(path).agg(F.min("prefix").alias("prefix"), F.min("surface").alias("surface"), (F.count_distinct("surface") > 1).alias("ambiguous"))
 
 
-def glob_groups(paths: DataFrame, path: str, groups: dict[str, list[str]]) -> DataFrame:
-    """group, n_paths for each group of glob patterns, 0 where none matches."""
-    def pattern(glob: str) -> str:
-        out = "".join(".*" if x == "**" else "[^/]*" if x == "*" else "[^/]" if x == "?" else f"\\Q{x}\\E" if x else "" for x in re.split(r"(\*\*|\*|\?)", glob))
-        return f"^{out}$"
-
-    flags = [F.count_if(reduce(lambda a, b: a | b, [F.col(path).rlike(pattern(g)) for g in globs])).alias(name) for name, globs in groups.items()]
-    names = ", ".join(f"'{n}', `{n}`" for n in groups)
-    return paths.agg(*flags).selectExpr(f"stack({len(groups)}, {names}) as (group, n_paths)")
+def beginnings(path: Column, table: DataFrame) -> Column:
+    """The beginnings of a path that are as long as some prefix of ``table``; there are as many lengths as a path has characters at most."""
+    sizes = [r[0] for r in table.where("prefix is not null").select(F.length("prefix")).distinct().collect()]
+    every = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")
+    return F.transform(F.filter(every, lambda n: n <= F.length(path)), lambda n: F.left(path, n))
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.audit import beginnings
+from brindle.operators.work import work_folder, written
+
 # Words of a topic and the candidate type and probe that they stand for, first match wins.
 CANDIDATE_RULES = [
     (("parallel", "orchestration", "graph"), "orchestration", "FI-01"),
@@ -205,7 +208,9 @@ def literal_findings(files: DataFrame, path: str, text: str, markers: list[str]
     found = lines.select(path, (F.col("i") + 1).alias("line"), F.explode(hits).alias("label"))
     if exempt is None:
         return found
-    return found.join(F.broadcast(exempt.select("prefix").distinct()), F.col(path).startswith(F.col("prefix")), "left_anti")
+    # paths that begin with an exempt prefix are found by an equi-join of their beginnings
+    free = found.select(path).distinct().withColumn("prefix", F.explode(beginnings(F.col(path), exempt))).join(exempt, "prefix", "left_semi").select(path).distinct()
+    return found.join(free, path, "left_anti")
 
 
 def near_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +224,7 @@ def near_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, width:
         grams = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(width)]))
         return words.where(F.size("w") >= width).select(F.col(key), F.explode(F.array_distinct(grams)).alias("h"))
 
-    own = shingles(items, item)
+    own = written(shingles(items, item), work_folder(items.sparkSession, "shingles"))
     if own.count() <= FEW_SHINGLES:
         own = F.broadcast(own)
     sizes = own.groupBy(item).agg(F.count("*").alias("size"))

@@ -62,6 +62,14 @@ def shown_state(raw: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in STATE_NAMES.items() for x in kv]), key)
 
 
+def backend_state(body: Column) -> Column:
+    """The shown state of a backend's JSON answer: the first that is there of ui_state, state and status, then of those of run; UNKNOWN where none is known."""
+    value = F.try_parse_json(body)
+    names = ("ui_state", "state", "status")
+    first = F.coalesce(*[F.try_variant_get(value, f"$.{outer}{n}", "string") for outer in ("", "run.") for n in names])
+    return F.coalesce(shown_state(first), F.lit("UNKNOWN"))
+
+
 def advance(current: Column, state: Column) -> Column:
     """State after ``state`` arrives in ``current`` (null: none yet); UNKNOWN if it may not."""
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in sorted(ALLOWED)])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from brindle.operators.work import work_folder, written
+
 #: Passages of items, of 20 bytes each, that are broadcast at most.
 FEW_PASSAGES = 250_000
 MAX_BYTES, MAX_DEPTH, MAX_ITEMS, MAX_STRING = 1 << 20, 32, 1024, 131072
@@ -50,8 +52,18 @@ def payload_problem(payload: Column) -> Column:
     return F.when(payload.isNull(), "missing").when(big, "too large").when(value.isNull(), "invalid json").when(~is_object, "root is not an object").otherwise(F.coalesce(inner, F.lit("")))
 
 
-def check_payloads(rows: DataFrame, key: str, payload: str) -> DataFrame:
-    return rows.select(key, payload_problem(F.col(payload)).alias("problem"))
+def media_problem(media_type: Column) -> Column:
+    """unsupported media type for all but JSON, with or without parameters; '' for it."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(media_type, F.lit("")), ";", 1)))
+    return F.when(kind == "application/json", "").otherwise("unsupported media type")
+
+
+def check_payloads(rows: DataFrame, key: str, payload: str, media_type: str | None = None) -> DataFrame:
+    """(key, problem) of each payload; where there is a ``media_type`` column another type than JSON is the first problem."""
+    problem = payload_problem(F.col(payload))
+    if media_type is not None:
+        problem = F.coalesce(F.nullif(media_problem(F.col(media_type)), F.lit("")), problem)
+    return rows.select(key, problem.alias("problem"))
 
 
 def shared_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, n: int) -> DataFrame:
@@ -64,7 +76,7 @@ def shared_passages(docs: DataFrame, items: DataFrame, doc: str, item: str, n: i
         return at.select(key, F.xxhash64(*gram).alias("g"), F.hash(*gram).alias("g2"))
 
     # two hashes stand for a passage, 96 bits together; few passages of items go to the documents, many meet them by a shuffle
-    wanted = passages(items, item).distinct()
+    wanted = written(passages(items, item).distinct(), work_folder(items.sparkSession, "passages"))
     if wanted.count() <= FEW_PASSAGES:
         wanted = F.broadcast(wanted)
     return passages(docs, doc).join(wanted, ["g", "g2"]).distinct().groupBy(doc, item).agg(F.count("*").alias("n_shared"))

@@ -68,17 +68,14 @@ PUBLIC_RULES = [
     (r"\bCloudflare account(?: ID| identifier)?\s*[:=]?\s*[0-9a-f]{32}\b", "high", "Cloudflare account identifier"),
     (r"\bD1 (?:database )?(?:ID|identifier)\s*[:=]?\s*[0-9a-f-]{36}\b", "high", "D1 resource identifier"),
     (r"(?i)(?:version ID|deployment ID)\s*[:=]?\s*[0-9a-f]{8}-[0-9a-f-]{27,}\b", "high", "Cloudflare version/deployment identifier"),
-    (r"(?i)\b(?:deployed )?Operations provenance\b[^\n]*\b[0-9a-f]{40}\b", "high", "private Operations deployment provenance"),
     (r"(?i)github:[0-9a-f]{40}", "high", "private revision provenance literal"),
     (r'(?im)^\s*["\']?(?:live_d1_counts|d1_counts|live_d1_row_counts)["\']?\s*:\s*\{[^{}]*\b(?:count|total|rows|observations|reservations)\b\s*[:=]\s*[0-9]+', "high", "live D1 operational counts"),
     (r"(?i)cloudflare nameservers?\s*[:=]", "high", "Cloudflare nameserver disclosure"),
     (r"(?i)Worker-managed .*?(?:AAAA|edge address)\s*[:=]", "high", "Worker edge-address disclosure"),
     (r"(?i)BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY", "high", "private key material"),
     (r"(?i)\b(?:github_pat_|ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9_]{20,}\b", "high", "GitHub credential material"),
-    (r"OPERATIONS_APP_PRIVATE_KEY", "warn", "credential identifier"),
-    (r"\b(?:GH_ADMIN_TOKEN|CF_API_TOKEN|CF_ACCOUNT_ID|PROVIDER_KEYS_JSON)\b", "warn", "credential identifier"),
 ]
-#: Literals that couple a text to a provider.
+# Literals that couple a text to a provider.
 MARKERS = ["api.groq.com", "generativelanguage.googleapis.com", "integrate.api.nvidia.com", "api.cohere.ai", "router.huggingface.co", "openrouter.ai/api/v1", "GROQ_API_KEY", "GEMINI_API_KEY", "NVIDIA_NIM_API_KEY", "COHERE_API_KEY", "HF_TOKEN", "OPENROUTER_API_KEY"]
 WHOLE_RULES = PUBLIC_RULES + [(m.replace(".", r"\."), "high", f"provider marker {m}") for m in MARKERS]
 WHOLE_RULES_SQL = "r as (" + " union all ".join("select '{}' as p, '{}' as severity, '{}' as label".format(*(x.replace("'", "''") for x in rule)) for rule in WHOLE_RULES) + ")"
@@ -158,8 +155,8 @@ def frame_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reassemble(spoilt_frames(spark, sf_dir))
 
 
-@query("""select event_id, case event_id % 9 when 1 then 'root is not an object' when 2 then 'invalid json' when 3 then 'too deep' when 4 then 'too many items' when 5 then case when event_id % 50 = 0 then 'string too long' else '' end when 6 then 'missing'
-      when 8 then case when user_id % 2 = 0 and event_id % 50 = 0 then 'too large' else '' end else '' end as problem from events""")
+@query("""select event_id, case when event_id % 23 = 0 then 'unsupported media type' else case event_id % 9 when 1 then 'root is not an object' when 2 then 'invalid json' when 3 then 'too deep' when 4 then 'too many items' when 5 then case when event_id % 50 = 0 then 'string too long' else '' end when 6 then 'missing'
+      when 8 then case when user_id % 2 = 0 and event_id % 50 = 0 then 'too large' else '' end else '' end end as problem from events""")
 def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All event payloads, broken in different ways, against each bound of a payload; every fiftieth gets a variant of a megabyte, if any."""
     i, rare = F.col("event_id") % 9, F.col("event_id") % 50 == 0
@@ -169,7 +166,8 @@ def payload_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = wrap('{"a":"', F.repeat(F.lit("x"), 131073), '"}')
     large = F.concat(F.lit('{"a":1}'), F.expr(f"repeat(' ', if(user_id % 2 = 0, {(1 << 20) - 6}, {(1 << 20) - 7}))"))
     made = F.when(i == 1, wrap("[", F.col("props"), "]")).when(i == 2, wrap("{", F.col("props"), "")).when(i == 3, deep).when(i == 4, many).when((i == 5) & rare, long).when(i == 6, F.lit(None)).when((i == 8) & rare, large).otherwise(F.col("props"))
-    return P.check_payloads(load(spark, sf_dir, "events").select("event_id", made.alias("payload")), "event_id", "payload")
+    media = F.when(F.col("event_id") % 23 == 0, "text/plain").when(F.col("event_id") % 2 == 0, "application/json").otherwise(" Application/JSON ; charset=utf-8")
+    return P.check_payloads(load(spark, sf_dir, "events").select("event_id", made.alias("payload"), media.alias("media")), "event_id", "payload", "media")
 
 
 @query("""with l as (select o_custkey as k, max(o_totalprice) as v from orders where o_orderkey % 2 = 0 group by 1), r as (select o_custkey as k, max(o_totalprice) as v from orders group by 1 having count(*) > 8)

@@ -3,9 +3,11 @@
 import datetime
 
 import pytest
+from brindle.functions import text
 from brindle.functions import urls as U
-from brindle.operators import shards
+from brindle.operators import audit, contracts, inventory, ledger, payload, shards
 from brindle.plans import claims
+from brindle.sources import files
 from brindle.streaming import stateful, streams
 from pyspark.sql import functions as F
 
@@ -99,3 +101,27 @@ def test_paired_changes_without_the_first_document(spark, monkeypatch):
     monkeypatch.setattr(claims, "files", lambda s, d: s.createDataFrame([(2, "s/fr/d2.py")], "doc_id long, path string"))
     rows = {r.group: r.problem for r in claims.paired_changes(spark, "").collect()}
     assert rows["none"] == "no_match" and len(rows) == 4
+
+
+def test_small_helpers(spark):
+    one = lambda v, f: spark.createDataFrame([(v,)], "v string").select(f(F.col("v")).alias("x")).first().x
+    assert one("a  Token = abc\n-----BEGIN PRIVATE KEY-----x\n-----END PRIVATE KEY----- b", text.redact) == "a Token = [REDACTED] [REDACTED] b"
+    assert len(one("x" * 5000, text.redact)) == 1200
+    states = ['{"ui_state":"Running"}', '{"state":null,"status":"success"}', '{"run":{"status":"failed"}}', '{"run":{"state":"odd"}}', "[1]", "no", None]
+    assert [one(v, ledger.backend_state) for v in states] == ["RUNNING", "COMPLETE", "FAILED", "UNKNOWN", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    assert [one(v, payload.media_problem) for v in ("application/json", " APPLICATION/json ; q=1", "text/json", None)] == ["", "", "unsupported media type", "unsupported media type"]
+    rows = spark.createDataFrame([("t", "u", 1, "a"), ("t", "u", 3, "b"), ("t", "v", 2, "c")], "task_id string, url string, seq int, x string")
+    assert sorted(r.x for r in ledger.latest_ledger_rows(rows).collect()) == ["b", "c"]
+    found = spark.createDataFrame([("b", 1, "k"), ("a", 2, "k"), ("a", 2, "j")], "document string, line int, kind string")
+    assert [tuple(r) for r in inventory.ordered_findings(found).collect()] == [("a", 2, "j"), ("a", 2, "k"), ("b", 1, "k")]
+    nested = spark.sql("select array(named_struct('a', 1, 'b', 'x', 'c', 2.0), named_struct('a', null, 'b', 'y', 'c', 3.0)) as l")
+    assert [tuple(r) for r in files.project_items(nested, "l", ["b", "a"]).collect()] == [("x", 1), ("y", None)]
+    contract = [("task_id", "required", None), ("lost", "required", None), ("seq", "min", 1)]
+    assert contracts.contract_columns(rows, contract) == {"missing": ["lost"], "extra": ["url", "x"]}
+
+
+def test_prefixes_of_any_number_join_by_their_lengths(spark):
+    table = spark.createDataFrame([("a/", "one"), ("a/b", "two"), ("a/b", "three"), ("", "all"), (None, "x")], "prefix string, surface string")
+    paths = spark.createDataFrame([("a/bc",), ("a/x",), ("z",), (None,)], "p string")
+    got = {r.p: (r.prefix, r.surface, r.ambiguous) for r in audit.longest_prefix(paths, "p", table).collect()}
+    assert got == {"a/bc": ("a/b", "three", True), "a/x": ("a/", "one", False), "z": ("", "all", False)}
