@@ -82,9 +82,37 @@ def drift(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     return j.where(~F.col("expected").eqNullSafe(F.col("actual"))).select(*keys, "expected", "actual")
 
 
-def coverage(cases: DataFrame, category: str, families: str, passed: str) -> DataFrame:
-    """(kind, value, n, pass_rate): by category, and by each family that a case needs."""
-    rate = F.round(F.avg(F.col(passed).cast("double")), 4).alias("pass_rate")
-    by_category = cases.groupBy(F.col(category).alias("value")).agg(F.count("*").alias("n"), rate).withColumn("kind", F.lit("category"))
-    by_family = cases.select(F.explode(F.array_distinct(families)).alias("value"), passed).groupBy("value").agg(F.count("*").alias("n"), rate).withColumn("kind", F.lit("family"))
-    return by_category.unionByName(by_family).select("kind", "value", "n", "pass_rate")
+#: The temporal mode that needs a reconciliation.
+TEMPORAL = "old_vs_new"
+
+
+def plan_checks(cases: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """``cases`` with missing (families that the plan lacks), causes and passed.
+
+    ``cases``: families and planned (arrays of source families), temporal (null:
+    current), planned_stages (array), citations and reconciles (what the plan
+    says). A plan passes if no family is missing, all ``stages`` are in it,
+    citations are planned, and a comparison of old and new is reconciled.
+    """
+    empty = F.array().cast("array<string>")
+    names = lambda c: F.coalesce(F.col(c), empty)
+    missing = F.array_sort(F.array_except(names("families"), names("planned")))
+    temporal = F.coalesce(F.col("temporal"), F.lit("current"))
+    causes = F.concat(missing, F.array_compact(F.array(
+        F.when(F.size(F.array_except(F.array(*[F.lit(s) for s in stages]), names("planned_stages"))) > 0, "__missing_required_stage__"),
+        F.when(~F.coalesce("citations", F.lit(False)), "__citations_not_planned__"),
+        F.when((temporal == TEMPORAL) & ~F.coalesce("reconciles", F.lit(False)), "__temporal_reconciliation_missing__"))))
+    return cases.withColumns({"temporal": temporal, "missing": missing, "causes": causes}).withColumn("passed", F.size("causes") == 0)
+
+
+def corpus_coverage(checked: DataFrame, project: tuple[str, ...]) -> DataFrame:
+    """(kind, value, n, failed) of ``plan_checks`` rows with a category: by category, source family, temporal mode and cause, and in all and of one's own project.
+
+    Of a cause, failed is n: it only counts where it made a case fail.
+    """
+    category = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("unknown"))
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    many = lambda kind, c: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v: one(kind, v))
+    whole = F.array_compact(F.array(one("category", category), one("temporal", F.col("temporal")), one("all", F.lit("")), F.when(category.isin(*project), one("project", F.lit("")))))
+    rows = checked.select(F.explode(F.concat(whole, many("family", "families"), many("cause", "causes"))).alias("x"), "passed").select("x.*", "passed")
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"))

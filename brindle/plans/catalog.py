@@ -149,6 +149,23 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").where(key.isNotNull()).groupBy(U.shard_of(key, 16).alias("shard")).agg(F.count("*").alias("n"))
 
 
+#: Case folding of the letters that the tables have: lower case, and the sharp s as two.
+FOLDED_SQL = "replace(lower(t), 'ß', 'ss')"
+
+
+@query(rf"""with d as (select doc_id, trim(regexp_replace(translate(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || case when doc_id % 3 = 0 then ' &eacute;tude ＡＢＣ ﬁn' else '' end, '‐‑‒–—−', '------'), '[\s\x{{A0}}]+', ' ', 'g')) as t from documents),
+    n as (select doc_id, replace(replace(replace(t, '&eacute;', 'é'), 'ＡＢＣ', 'ABC'), 'ﬁ', 'fi') as t from d), f as (select doc_id, t, {FOLDED_SQL} as low from n),
+    w as (select doc_id, list_distinct(list_filter(string_split(regexp_replace(low, '[^a-z0-9+./_-]+', ' ', 'g'), ' '), lambda x: length(x) > 1 and x not in ('buy','online','india','best','price','new','sale','official','store','shop','free','shipping','warranty','the','and','with','for','offer','offers','deal','deals'))) as w from f)
+    select doc_id, sha256(t) as cleaned, sha256(low) as folded, sha256(rtrim(ltrim(low, ' ._-' || chr(9)), ' ._-' || chr(9))) as brand, len(w) as n_tokens, sha256(array_to_string(list_sort(w), ' ')) as tokens from f join w using (doc_id)""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of documents in the forms that names and titles are compared in; every third ends with an entity, wide letters and a ligature."""
+    more = F.when(F.col("doc_id") % 3 == 0, " &eacute;tude ＡＢＣ ﬁn").otherwise("")
+    d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("t"))
+    words = X.title_words(F.col("t"))
+    of = lambda c: F.sha2(c, 256)
+    return d.select("doc_id", of(X.clean_text(F.col("t"))).alias("cleaned"), of(X.fold(X.clean_text(F.col("t")))).alias("folded"), of(X.normalize_brand(F.col("t"))).alias("brand"), F.size(words).cast("long").alias("n_tokens"), of(F.array_join(F.array_sort(words), " ")).alias("tokens"))
+
+
 @query("""with w as (select p_partkey, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' ')) as t, generate_subscripts(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' '), 1) as i from part),
     k as (select p_partkey, t, min(i) as i from w where length(t) > 1 and t not in
         ('buy','online','india','best','price','new','sale','official','store','shop','free','shipping','warranty','the','and','with','for','offer','offers','deal','deals') group by all)

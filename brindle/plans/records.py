@@ -87,10 +87,18 @@ def catalog_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drift(e, a, ["k"])
 
 
-@query("""with c as (select o_orderkey, o_orderpriority as category, case when o_custkey % 2 = 0 then ['web', 'feed'] else ['web'] end as families, o_orderstatus <> 'F' as ok from orders), f as (select unnest(families) as value, ok from c)
-    select 'category' as kind, category as value, count(*) as n, round(avg(ok::int::double), 4) as pass_rate from c group by 2 union all select 'family', value, count(*), round(avg(ok::int::double), 4) from f group by 2""")
+@query("""with c as (select o_orderkey as k, coalesce(nullif(trim(case when o_orderkey % 31 = 0 then ' ' else o_orderpriority end), ''), 'unknown') as category, case when o_orderkey % 7 = 1 then 'old_vs_new' else 'current' end as temporal,
+      case when o_custkey % 2 = 0 then ['github', 'oem'] else ['github'] end as families, o_custkey % 2 = 0 and o_custkey % 3 = 0 as lost, o_orderstatus = 'P' as cut, o_orderkey % 11 = 0 as bare, o_orderkey % 7 = 1 and o_orderkey % 2 = 0 as loose from orders),
+    t as (select *, lost or cut or bare or loose as failed, list_filter([case when lost then 'oem' end, case when cut then '__missing_required_stage__' end, case when bare then '__citations_not_planned__' end, case when loose then '__temporal_reconciliation_missing__' end], lambda x: x is not null) as causes from c),
+    r as (select 'category' as kind, category as value, failed from t union all select 'temporal', temporal, failed from t union all select 'all', '', failed from t union all select 'project', '', failed from t where category in ('1-URGENT', '2-HIGH')
+      union all select 'family', unnest(families), failed from t union all select 'cause', unnest(causes), failed from t)
+    select kind, value, count(*) as n, count(*) filter (failed) as failed from r group by all""")
 def case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases and pass rates by category and source family."""
-    families = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("web"), F.lit("feed"))).otherwise(F.array(F.lit("web")))
-    cases = load(spark, sf_dir, "orders").select("o_orderpriority", families.alias("families"), (F.col("o_orderstatus") != "F").alias("ok"))
-    return R.coverage(cases, "o_orderpriority", "families", "ok")
+    """Query cases made of orders, with plans that lack sources, stages, citations or a reconciliation of old and new."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    words = lambda *x: F.array(*[F.lit(y) for y in x])
+    cases = load(spark, sf_dir, "orders").select(
+        F.when(k % 31 == 0, " ").otherwise(F.col("o_orderpriority")).alias("category"), F.when(k % 7 == 1, "old_vs_new").alias("temporal"),
+        F.when(c % 2 == 0, words("github", "oem")).otherwise(words("github")).alias("families"), F.when(c % 6 == 0, words("github", "reddit")).otherwise(words("oem", "github")).alias("planned"),
+        F.when(F.col("o_orderstatus") == "P", words("plan", "search")).otherwise(words("plan", "search", "verify")).alias("planned_stages"), (k % 11 != 0).alias("citations"), F.when(k % 2 == 1, True).alias("reconciles"))
+    return R.corpus_coverage(R.plan_checks(cases, ("plan", "verify")), ("1-URGENT", "2-HIGH"))

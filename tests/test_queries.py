@@ -40,7 +40,7 @@ def test_entry_and_names(spark):
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-NATIVE = [n for n in sorted(registry.QUERIES) if not n.startswith("stream_") and n not in ("payload_bounds", "url_safety")]
+NATIVE = [n for n in sorted(registry.QUERIES) if not n.startswith("stream_") and n not in ("payload_bounds", "url_safety", "page_signals", "text_forms")]
 
 
 @pytest.mark.parametrize("name", NATIVE)
