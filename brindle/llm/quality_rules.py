@@ -164,9 +164,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch):
                 x = statistics(data, offsets)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(a, b - a)], names=["x", "quality"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["x", "quality", "doc_id"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("quality").cast("long").alias("quality")).mapInArrow(run, "x array<double>, quality long").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("quality").cast("long").alias("quality"), "doc_id").mapInArrow(run, f"x array<double>, quality long, doc_id {kind}")
+    # of rows that repeat a doc_id that with the smallest statistics counts, so the bound holds for texts too
+    rows = texts.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("x")).select("x.*").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # rows come in any order; sums of floats must not depend on it
     return grow(x[order], rows["quality"].to_numpy(float)[order], np.array(list(FEATURES.values())))
@@ -178,8 +181,8 @@ def score_quality(docs: DataFrame, trees: Trees, keep_from: float = KEEP_FROM) -
     base_failed: under 50 words, or more than half of the words lie in
     three-word windows that occur at least twice in the text. kept is false for
     those, else score >= ``keep_from``. A null text has no words. Whole texts
-    are read whatever their length; rows stay one for one; other columns are
-    not read.
+    are read whatever their length; rows stay one for one, equal texts score
+    alike; an empty table gives no rows. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(trees)
 

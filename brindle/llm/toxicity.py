@@ -86,7 +86,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     """(kind: 1 toxic, 0 unlabelled; slots: the hashed features of a text) of the bounded sample, and the share of toxic labels.
 
     Features are extracted where the texts are; of rows that repeat a doc_id
-    one is taken.
+    that with the smallest features is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learn = known.where(~held_out() & F.col("toxic").isNotNull())
@@ -105,7 +105,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), slots], names=["doc_id", "kind", "slots"])
 
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "kind").mapInArrow(run, f"doc_id {kind}, kind int, slots array<int>")
-    return rows.dropDuplicates(["doc_id"]).select("kind", "slots"), prior
+    # arrays compare, so of repeated ids the same text is taken each time
+    return rows.groupBy("doc_id").agg(F.min(F.struct("kind", "slots")).alias("x")).select("x.*"), prior
 
 
 def slots_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -219,7 +220,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESH
 
     Only the text is an input of the score. A null text scores as an empty one.
     Every row keeps its place: repeated ids or texts give repeated results, a
-    null id keeps its row outside the held-out fold. Other columns aren't read.
+    null id keeps its row outside the held-out fold. Texts are read whole; an
+    empty table gives no rows. Other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -238,7 +240,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """Those rows of ``docs``, with all their columns, that score below ``threshold``.
+
+    Each row goes by its own text, whatever its id; a null or empty text scores
+    as an empty one, and null ids stay as far as their texts do.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
