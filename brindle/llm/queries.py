@@ -110,7 +110,7 @@ ORACLE_SQL = {
         r as (select conv_id, turn as result_turn, text as content, conv_id || '-' || (turn - 1) as call_id
               from conversations where role = 'assistant'),
         edges as (select a.conv_id, a.turn, b.turn as before from u a join u b on a.conv_id = b.conv_id
-              and (b.turn in (a.turn - 2, a.turn - 4) or (a.conv_id % 9 = 4 and a.turn = 2 and b.turn = 4))),
+              and ((a.turn % 8 >= 2 and b.turn = a.turn - 2) or (a.turn % 8 >= 6 and b.turn in (a.turn - 4, a.turn - 6)) or (a.conv_id % 9 = 4 and a.turn = 2 and b.turn = 4))),
         chains as (select conv_id, turn, 0 as depth from u union
               select e.conv_id, e.turn, depth + 1 from chains c join edges e on e.conv_id = c.conv_id and e.before = c.turn where depth < 20),
         levels as (select conv_id, turn, max(depth) as depth from chains group by all)

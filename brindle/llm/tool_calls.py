@@ -8,8 +8,6 @@ keys sorted, no spaces, the same text for the same content.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +75,16 @@ def levels(calls: DataFrame) -> DataFrame:
     settled = written(tops.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")), f"{base}/level-0")
     joins = edges.join(tops.where("n > 1").select(*key), key, "left_semi").join(tops.select("conv_id", F.col("call_id").alias("before_id"), "top", "dist"), ["conv_id", "before_id"], "left")
     joins, turn = written(joins.select(*key, "top", (F.col("dist") + 1).alias("dist")), f"{base}/joins"), 0
-    parts, waiting = [settled], not joins.isEmpty()
+    # all levels so far are one read of their folders, so the plan doesn't grow with the rounds
+    done = lambda: calls.sparkSession.read.schema(settled.schema).parquet(*[f"{base}/level-{i}" for i in range(turn + 1)])
+    waiting = not joins.isEmpty()
     while waiting:
-        turn += 1
-        known = reduce(DataFrame.unionByName, parts)
+        known = done()
         deep = joins.join(known.select("conv_id", F.col("call_id").alias("top"), "level"), ["conv_id", "top"], "left").join(known.select(*key), key, "left_anti")
         ready = deep.groupBy(*key).agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all")).where("all").drop("all")
-        parts.append(written(ready, f"{base}/level-{turn}"))
-        waiting = not parts[-1].isEmpty()
-    known = reduce(DataFrame.unionByName, parts).select("conv_id", F.col("call_id").alias("top"), "level")
+        waiting = not written(ready.select(*settled.columns), f"{base}/level-{turn + 1}").isEmpty()
+        turn += 1
+    known = done().select("conv_id", F.col("call_id").alias("top"), "level")
     return tops.join(known, ["conv_id", "top"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
@@ -145,10 +144,11 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain chat rows (conv_id, turn, role, text).
 
     Each user turn is a call: even ones search for the text, odd ones translate
-    it. The reply to a call is the assistant's turn after it. A call waits for
-    the two calls before it, as far as they are there; in every ninth conversation the second call waits for
-    the third too, so that they and what follows are on a ring. Some calls are
-    made faulty on purpose, by the length of their text.
+    it. The reply to a call is the assistant's turn after it. Of each eight turns
+    the later calls wait for the call before them, the last ones also for the
+    two before that; in every ninth conversation the second call waits for the
+    third too, so that they and what follows are on a ring. Some calls are made
+    faulty on purpose, by the length of their text.
     """
     n = F.coalesce(F.length("text"), F.lit(0))
     id_at = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
@@ -157,7 +157,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     translate = F.to_json(F.struct(F.col("text").alias("text"), F.lit("en").alias("target"), F.when(n % 5 == 0, F.lit("yes")).alias("formal")))
     calls = user.select("conv_id", "turn", id_at(F.col("turn")).alias("call_id"), F.when(F.col("turn") % 2 == 0,
         "search").otherwise("translate").alias("name"), F.when(F.col("turn") % 2 == 0, search).otherwise(translate).alias("arguments"),
-        F.array_compact(F.array(*[F.when(F.col("turn") >= back, id_at(F.col("turn") - back)) for back in (2, 4)], F.when((F.col("conv_id") % 9 == 4) & (F.col("turn") == 2), id_at(F.lit(4))))).alias("after"))
+        F.array_compact(F.array(*[F.when(F.col("turn") % 8 >= least, id_at(F.col("turn") - back)) for back, least in ((2, 2), (4, 6), (6, 6))], F.when((F.col("conv_id") % 9 == 4) & (F.col("turn") == 2), id_at(F.lit(4))))).alias("after"))
     results = conversations.where("role = 'assistant' and conv_id is not null and turn is not null").select("conv_id", "turn",
         id_at(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
