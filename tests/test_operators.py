@@ -154,11 +154,11 @@ def test_lines_that_differ_late_are_no_conflict(spark, tmp_path):
 def test_rules_of_a_public_surface_are_found(spark, tmp_path):
     from brindle.plans import corpus
 
-    hits = ["ghp_" + "a1" * 12, "https://x.y.workers.dev/a", "Cloudflare account ID: " + "0a" * 16, "deployment ID: 0123abcd-" + "0a-" * 9 + "b" * 9, "'d1_counts': { count: 4", "GROQ_API_KEY", "uses CF_API_TOKEN here"]
+    hits = ["ghp_" + "a1" * 12, "https://x.y.workers.dev/a", "Cloudflare account ID: " + "0a" * 16, "deployment ID: 0123abcd-" + "0a-" * 9 + "b" * 9, "'d1_counts': { count: 4", "GROQ_API_KEY"]
     spark.createDataFrame(list(enumerate([*hits, "nothing"])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc: r.severity for r in corpus.public_disclosure(spark, str(tmp_path)).collect()}
-    assert found == {i: "warn" if i == 6 else "high" for i in range(7)}
-    assert {r.verdict: r.n_docs for r in corpus.public_summary(spark, str(tmp_path)).collect()} == {"blocked": 6, "review": 1, "clean": 1}
+    assert found == dict.fromkeys(range(6), "high")
+    assert {r.verdict: r.n_docs for r in corpus.public_summary(spark, str(tmp_path)).collect()} == {"blocked": 6, "clean": 1}
 
 def test_domains_and_their_fields(spark):
     from brindle.functions import domains as D
