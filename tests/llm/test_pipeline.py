@@ -55,6 +55,6 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
         assert stage(spark, nothing, SMALL).count() == 0
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_one_query(n):
     assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
