@@ -190,6 +190,26 @@ def graph_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost("source", "unknown_source").unionByName(lost("target", "unknown_target")).unionByName(blank)
 
 
+def probe_findings(probes: DataFrame, materials: DataFrame, repositories: list[str]) -> DataFrame:
+    """(probe, item, problem) of probes (probe, materials, targets) against a registry of materials (material, items).
+
+    A probe needs materials and targets; each material must be in the registry
+    with at least one item, and a target is ``<repository>#<number>``. Null lists
+    are empty; an item is null where the whole list is meant.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    bare = lambda c, name: probes.where(size(F.col(c)) < 1).select("probe", F.lit(None).cast("string").alias("item"), F.lit(name).alias("problem"))
+    known = materials.groupBy(F.col("material").alias("item")).agg(F.max(size(F.col("items"))).alias("n"))
+    asked = probes.select("probe", F.explode(F.array_distinct("materials")).alias("item")).join(known, "item", "left")
+    odd = F.when(F.col("n").isNull(), "unknown_material").when(F.col("n") < 1, "empty_material")
+    aimed = probes.select("probe", F.explode("targets").alias("item")).distinct()
+    repository, number = F.regexp_extract("item", "(?s)^(.*)#[^#]*$", 1), F.regexp_extract("item", "(?s)#([^#]*)$", 1)
+    formed = F.coalesce(repository.isin(*repositories) & number.rlike("^[0-9]+$"), F.lit(False))
+    lost = asked.select("probe", "item", odd.alias("problem")).where("problem is not null")
+    wrong = aimed.where(~formed).select("probe", "item", F.lit("bad_target").alias("problem"))
+    return bare("materials", "no_materials").unionByName(bare("targets", "no_targets")).unionByName(lost).unionByName(wrong)
+
+
 def select_evidence(claims: DataFrame, keys: list[str], max_items: int, max_tokens: int) -> DataFrame:
     """Evidence within budget: repeats of a claim text dropped, then by source rank and relevance while items and tokens last."""
     once = claims.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "claim").orderBy("source_rank", F.desc("relevance"), "id"))).where("__n = 1").drop("__n")

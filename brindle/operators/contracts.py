@@ -129,7 +129,7 @@ def compatibility(current: DataFrame, previous: DataFrame, key: str) -> DataFram
     return j.select(key, problems.alias("problems")).select(key, (F.size("problems") == 0).alias("compatible"), "problems")
 
 
-def record_rules(lane: int | None = None) -> dict[str, Column]:
+def record_rules(lane: int | None = None, schema: str | None = None) -> dict[str, Column]:
     """A publishable program record, given as JSON text ``record``: public keys only, known values, numbers as measures, no credential, public URLs.
 
     A text that is no JSON object breaks not_an_object, and all rules that need a field.
@@ -152,7 +152,8 @@ def record_rules(lane: int | None = None) -> dict[str, Column]:
     kinds = F.transform_values(measures, lambda k, v: F.schema_of_variant(v))
     numeric = F.forall(F.map_entries(kinds), lambda e: e["value"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") | ((e["key"] == "answer_quality_0_to_10") & (e["value"] == "VOID")))
     inside = lambda rule: F.forall(findings, rule)
-    return {
+    version = {"other_schema": text("$.schema") == schema} if schema is not None else {}
+    return version | {
         "not_an_object": kind.rlike("^OBJECT"),
         "private_fields": F.size(F.array_except(keys, allowed(RECORD_KEYS))) == 0,
         "blank:program_id": F.trim(text("$.program_id")) != "",

@@ -140,15 +140,8 @@ def receipt_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compatibility(pick("last"), previous, "o_custkey").withColumn("problems", F.array_join(F.array_sort("problems"), ","))
 
 
-@query("select conv_id, turn, " + errors_sql({
-    "not_an_object": "k = 0", "private_fields": "k = 0 or k = 1", "blank:program_id": "k = 0 or k = 2",
-        "blank:topic": "k = 0 or trim(t) = ''", "bad_lane": "k = 0 or k = 3", "bad_slot": "k = 0 or turn > 7",
-    "unknown:status": "k = 0 or k = 4", "unknown:research_type": "k = 0 or role <> 'user'", "private_measures": "k = 0 or k = 5",
-        "measure_not_a_number": "k = 0 or k = 6", "findings_not_a_list": "k = 0 or k = 7",
-    "private_finding_fields": "k = 0 or k = 7 or k = 8", "blank:claim": "k = 0 or k = 7 or k = 9", "credential": f"k = 0 or k = 7 or k = 10 or regexp_matches(t, '{C.CREDENTIAL}') or (contains(upper(t), '-----BEGIN ') and contains(upper(t), 'PRIVATE KEY-----')) or length(trim(t)) > 12000", "private_url": "k = 0 or k = 7 or k between 11 and 13",
-}) + " as errors from (select *, (conv_id * 31 + turn) % 17 as k, coalesce(text, '') || case when turn % 13 = 2 then ' Password : hunter' || conv_id else '' end as t from conversations)")
-def publishable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Program records made of chat turns, some of which give a password away, and why they may not be published."""
+def program_records(spark: SparkSession, sf_dir: str, program: F.Column | None = None) -> DataFrame:
+    """Program records (conv_id, turn, record as JSON) made of chat turns, some of which give a password away."""
     k = F.col("k")
     said = F.when(F.col("turn") % 13 == 2, F.concat(F.lit(" Password : hunter"), F.col("conv_id").cast("string"))).otherwise("")
     rows = load(spark, sf_dir, "conversations").withColumns({"k": (F.col("conv_id") * 31 + F.col("turn")) % 17, "text": F.concat(F.coalesce("text", F.lit("")), said)})
@@ -157,13 +150,25 @@ def publishable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     finding = F.struct(claim.alias("claim"), url.alias("source_url"), F.when(k == 8, "x").alias("mail"), F.lit("web").alias("source_family"))
     measures = F.struct(F.lit(3).alias("allocated_agents"), F.when(k == 6, "3").alias("failed_agents"), F.lit(0.25).alias("duplicate_rate"), F.when(k == 5, 1).alias("cost"))
     record = F.struct(
-        F.lit("v1").alias("schema"), F.when(k == 2, " ").otherwise("p").alias("program_id"), F.when(k == 3, 3).otherwise(1).alias("lane"), F.col("turn").alias("slot"),
+        F.lit("v1").alias("schema"), F.when(k == 2, " ").otherwise(F.lit("p") if program is None else program).alias("program_id"), F.when(k == 3, 3).otherwise(1).alias("lane"), F.col("turn").alias("slot"),
         F.when(k == 4, "done").otherwise("completed").alias("status"), F.when(F.col("role") == "user",
             "search").otherwise("talk").alias("research_type"), F.col("text").alias("topic"),
         measures.alias("measurement"), F.when(k != 7, F.array(finding)).alias("findings"), F.when(k == 1, "x").alias("owner"),
     )
     text = F.when(k == 0, "[1]").when(k == 7, F.regexp_replace(F.to_json(record), r"\}$", ',"findings":7}')).otherwise(F.to_json(record))
-    return errors_of(rows.select("conv_id", "turn", text.alias("record")), ["conv_id", "turn"], C.record_rules())
+    return rows.select("conv_id", "turn", text.alias("record"))
+
+
+@query("select conv_id, turn, " + errors_sql({
+    "not_an_object": "k = 0", "private_fields": "k = 0 or k = 1", "blank:program_id": "k = 0 or k = 2",
+        "blank:topic": "k = 0 or trim(t) = ''", "bad_lane": "k = 0 or k = 3", "bad_slot": "k = 0 or turn > 7",
+    "unknown:status": "k = 0 or k = 4", "unknown:research_type": "k = 0 or role <> 'user'", "private_measures": "k = 0 or k = 5",
+        "measure_not_a_number": "k = 0 or k = 6", "findings_not_a_list": "k = 0 or k = 7",
+    "private_finding_fields": "k = 0 or k = 7 or k = 8", "blank:claim": "k = 0 or k = 7 or k = 9", "credential": f"k = 0 or k = 7 or k = 10 or regexp_matches(t, '{C.CREDENTIAL}') or (contains(upper(t), '-----BEGIN ') and contains(upper(t), 'PRIVATE KEY-----')) or length(trim(t)) > 12000", "private_url": "k = 0 or k = 7 or k between 11 and 13",
+}) + " as errors from (select *, (conv_id * 31 + turn) % 17 as k, coalesce(text, '') || case when turn % 13 = 2 then ' Password : hunter' || conv_id else '' end as t from conversations)")
+def publishable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Program records made of chat turns, some of which give a password away, and why they may not be published."""
+    return errors_of(program_records(spark, sf_dir), ["conv_id", "turn"], C.record_rules())
 
 
 @query("select page_id, " + errors_sql({"unknown:result": "page_id % 9 > 6", "missing:findings": "page_id % 5 = 0"}) + " as errors from pages")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
@@ -25,15 +25,27 @@ def broken(line: Column) -> Column:
     return F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | ~F.trim(line).startswith("{")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line of text files of any size, numbered from 1 in each file.
+
+    Files are read by their splits. Lines are numbered within a split as they are
+    read; the numbers of lines of the splits before, one row a split, are added.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = splits.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return raw.join(shifts, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
 def read_numbered_jsonl(spark: SparkSession, path: str, schema: StructType, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good rows with file and line, errors (file, line, error)) of files of bounded size, each read whole.
+    """(good rows with file and line, errors (file, line, error)) of files of any size.
 
     An error is bad_json for a line that is no object of the schema, or
     repeated_key for one whose ``key`` an earlier line of the same file has.
     Lines count from 1, blank ones too, but they are no error.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "value"))
-    rows = whole.where(F.trim("value") != "").select("file", (F.col("i") + 1).alias("line"), "value", parsed(F.col("value"), schema).alias("r"))
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").select("file", "line", "value", parsed(F.col("value"), schema).alias("r"))
     bad = broken(F.col("value"))
     errors = rows.where(bad).select("file", "line", F.lit("bad_json").alias("error"))
     good = rows.where(~bad).select("file", "line", "r.*").drop(CORRUPT)
@@ -51,13 +63,16 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().where("count > 1")
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType, root: str | None = None) -> DataFrame:
-    """Whole-file JSON: a list of objects, or an object whose list is at ``root``; rows without id are dropped."""
+def read_documents(spark: SparkSession, path: str, schema: StructType, root: str | None = None, required: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Whole-file JSON: a list of objects, or an object whose list is at ``root``; rows in which a ``required`` field is null or blank are dropped."""
     if root is None:
         rows = spark.read.schema(schema).json(path, multiLine=True)
     else:
         rows = spark.read.schema(StructType().add(root, ArrayType(schema))).json(path, multiLine=True).select(F.explode(root).alias("x")).select("x.*")
-    return rows.where(F.col("id").isNotNull()) if "id" in rows.columns else rows
+    for name in required:
+        if name in rows.columns:
+            rows = rows.where(F.trim(F.col(name).cast("string")) != "")
+    return rows
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str, schema: StructType) -> DataFrame:
