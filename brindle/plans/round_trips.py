@@ -126,7 +126,7 @@ def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""with d as (select doc_id, case doc_id % 4 when 0 then 'Token = abc' || doc_id || '  x ' when 1 then '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || doc_id || chr(10) || '-----END RSA PRIVATE KEY----- then API-key: k' || doc_id || ' mytoken=1 ' else '' end || coalesce(text, '') as t from documents),
     k as (select doc_id, regexp_replace(t, '(?is)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g') as t from d),
-    s as (select doc_id, regexp_replace(t, '(?i)\b(token|secret|password|api[_-]?key|authorization)\b(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g') as t from k)
+    s as (select doc_id, regexp_replace(t, '(?i)\b(token|secret|password|api[_-]?key|authorization)\b(\s*[:=]\s*)\S+', '\1\2[REDACTED]', 'g') as t from k),
     c as (select doc_id, left(trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')), 1200) as t from s)
     select doc_id, sha256(t) as redacted, contains(t, '[REDACTED]') as touched from c""")
 def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
