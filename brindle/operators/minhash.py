@@ -47,19 +47,28 @@ def near_classes(left: DataFrame, right: DataFrame, doc: str, text: str, at_leas
     signatures; the similarity is that of the whole sets. A pair at exactly
     ``at_least`` is missed with probability 0.015, at 0.9 with 0.0001. Null and
     empty texts are near nothing.
+
+    What is written of a row is its signature only. The sets, which are larger
+    than the texts, are made again for one row of each class that has a candidate.
     """
     path = work_folder(left.sparkSession, "minhash")
-    sides, members = {}, {}
+    found, members = {}, {}
     for name, docs in (("left", left), ("right", right)):
-        rows = written(classes(docs, doc, text), f"{path}/{name}-rows")
-        rep = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-        rep = written(rep, f"{path}/{name}-reps")
-        sides[name] = rows.join(rep.withColumnRenamed("rep", "id"), ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"]).join(rep, ["h1", "h2"]).select("rep", "n", "s")
-        members[name] = rows.select("id", "h1", "h2").join(rep, ["h1", "h2"]).select("id", "rep")
-    banded = lambda name: sides[name].select(F.col("rep").alias(f"{name}_rep"), F.explode(bands(F.col("s"))).alias("b")).select(f"{name}_rep", "b.*")
-    pairs = written(banded("left").join(banded("right"), ["band", "h"]).select("left_rep", "right_rep").distinct(), f"{path}/pairs")
-    whole = lambda name: sides[name].select(F.col("rep").alias(f"{name}_rep"), F.col("n").alias(f"n_{name}"), F.col("s").alias(f"{name}_s"))
-    both = pairs.join(whole("left"), "left_rep").join(whole("right"), "right_rep").withColumn("shared", F.size(F.array_intersect("left_s", "right_s")))
+        signed = classes(docs, doc, text).select("id", "h1", "h2", bands(F.col("s")).alias("bands"))
+        rows = written(signed, f"{path}/{name}-rows")
+        found[name] = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), f"{path}/{name}-classes")
+        members[name] = rows.select("id", "h1", "h2").join(found[name].select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+    keyed = lambda name: F.struct("h1", "h2").alias(name)
+    banded = lambda name: found[name].select(keyed(name), F.explode("bands").alias("b")).select(name, "b.*")
+    pairs = written(banded("left").join(banded("right"), ["band", "h"]).select("left", "right").distinct(), f"{path}/pairs")
+
+    def sets(name: str, docs: DataFrame) -> DataFrame:
+        wanted = found[name].select(keyed(name), "rep", "n").join(pairs.select(name).distinct(), name, "left_semi")
+        texts = docs.select(F.col(doc).alias("rep"), F.col(text).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+        made = classes(texts, "rep", "text").select(keyed(name), F.col("id").alias("rep"), "s").join(wanted, [name, "rep"]).dropDuplicates([name])
+        return written(made.select(name, F.col("rep").alias(f"{name}_rep"), F.col("n").alias(f"n_{name}"), F.col("s").alias(f"{name}_s")), f"{path}/{name}-sets")
+
+    both = pairs.join(sets("left", left), "left").join(sets("right", right), "right").withColumn("shared", F.size(F.array_intersect("left_s", "right_s")))
     similarity = F.col("shared") / (F.size("left_s") + F.size("right_s") - F.col("shared"))
-    found = both.withColumn("similarity", similarity).where(F.col("similarity") >= at_least)
-    return found.select("left_rep", "right_rep", F.round("similarity", 6).alias("similarity"), "n_left", "n_right"), members["left"], members["right"]
+    near = both.withColumn("similarity", similarity).where(F.col("similarity") >= at_least)
+    return near.select("left_rep", "right_rep", F.round("similarity", 6).alias("similarity"), "n_left", "n_right"), members["left"], members["right"]
