@@ -54,7 +54,12 @@ def alias(table: dict[str, str], value: Column) -> Column:
 
 
 def normalize_brand(value: Column, ascii_only: bool = False) -> Column:
-    raw = strip_chars(fold(clean_text(value, ascii_only), ascii_only), " ._-\t")
+    return folded_brand(fold(clean_text(value, ascii_only), ascii_only))
+
+
+def folded_brand(folded: Column) -> Column:
+    """``normalize_brand`` of a text that is cleaned and folded already."""
+    raw = strip_chars(folded, " ._-\t")
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BRAND_ALIASES.items() for x in kv]), raw), raw)
 
 
@@ -73,9 +78,13 @@ def normalize_category(value: Column, ascii_only: bool = False) -> Column:
 
 def title_words(value: Column, ascii_only: bool = False) -> Column:
     """Distinct title tokens in order, without stop words and single characters."""
-    text = F.regexp_replace(fold(clean_text(value, ascii_only), ascii_only), r"[^a-z0-9+./_-]+", " ")
-    stop = F.array(*[F.lit(w) for w in TITLE_STOP_WORDS])
-    return F.array_distinct(F.filter(F.split(text, " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)))
+    return folded_words(fold(clean_text(value, ascii_only), ascii_only))
+
+
+def folded_words(folded: Column) -> Column:
+    """``title_words`` of a text that is cleaned and folded already."""
+    text = F.regexp_replace(folded, r"[^a-z0-9+./_-]+", " ")
+    return F.filter(F.array_distinct(F.split(text, " ")), lambda t: (F.length(t) > 1) & ~t.isin(*TITLE_STOP_WORDS))
 
 
 # Texts that stand for no identifier, and what may stand before the digits of a trade number.

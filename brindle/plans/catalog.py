@@ -161,9 +161,11 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of documents in the forms that names and titles are compared in; every third ends with an entity, wide letters and a ligature."""
     more = F.when(F.col("doc_id") % 3 == 0, " &eacute;tude ＡＢＣ ﬁn").otherwise("")
     d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("t"))
-    words = X.title_words(F.col("t"))
     of = lambda c: F.sha2(c, 256)
-    return d.select("doc_id", of(X.clean_text(F.col("t"))).alias("cleaned"), of(X.fold(X.clean_text(F.col("t")))).alias("folded"), of(X.normalize_brand(F.col("t"))).alias("brand"), F.size(words).cast("long").alias("n_tokens"), of(F.array_join(F.array_sort(words), " ")).alias("tokens"))
+    # one step each, so that a form isn't worked out again for the next
+    folded = d.select("doc_id", X.clean_text(F.col("t")).alias("c")).select("doc_id", "c", X.fold(F.col("c")).alias("f"))
+    words = folded.select("doc_id", "c", "f", X.folded_words(F.col("f")).alias("w"))
+    return words.select("doc_id", of(F.col("c")).alias("cleaned"), of(F.col("f")).alias("folded"), of(X.folded_brand(F.col("f"))).alias("brand"), F.size("w").cast("long").alias("n_tokens"), of(F.array_join(F.array_sort("w"), " ")).alias("tokens"))
 
 
 @query("""with w as (select p_partkey, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' ')) as t, generate_subscripts(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' '), 1) as i from part),
