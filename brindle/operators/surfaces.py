@@ -95,7 +95,8 @@ def module_references(files: DataFrame, path: str, text: str, ending: str = ".py
     modules' names; no text is searched for each module.
     """
     is_module = F.col(path).endswith(ending)
-    own = files.where(is_module).select(F.col(path).alias("module"))
+    # a module that many rows give is one module, or it would meet what names it once a row
+    own = files.where(is_module).select(F.col(path).alias("module")).distinct()
     dotted = F.translate(F.expr(f"left(module, length(module) - {len(ending)})"), "/", ".")
     names = own.select("module", F.explode(F.array(F.col("module"), dotted)).alias("name"))
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([A-Za-z0-9_-]+(?:[./][A-Za-z0-9_-]+)+)"))
