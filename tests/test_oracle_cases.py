@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the smallest tables lack."""
 
+import datetime
+
 import duckdb
 
 from brindle.plans import registry
@@ -21,3 +23,10 @@ def test_titles_with_quotes_and_cut_references(spark, tmp_path):
     rows = [(i, "u", f"<html><title>{t}</title> price</html>") for i, t in enumerate(titles * 12)]
     got, want = both(spark, tmp_path, "page_signals", pages=(rows, "page_id long, url string, html string"))
     assert got == want and len(got) == len(rows)
+
+
+def test_tokens_are_whole_numbers_in_the_sql_too(spark, tmp_path):
+    day = lambda y: datetime.datetime(y, 5, 1)
+    rows = [(1, 1, "F", 257060.79, day(1996), "p"), (2, 1, "F", 256074.0, day(1997), "p"), (3, 1, "F", 0.45, day(1997), "p"), (4, 2, "F", 249000.0, day(1998), "p"), (5, 2, "F", 237.29, day(1998), "p"), (6, 2, "F", 274198.1, day(1999), "p")]
+    got, want = both(spark, tmp_path, "token_efficiency", orders=(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"))
+    assert got == want and len(got) == 2
