@@ -231,11 +231,17 @@ REASON_SQL = "case when x <> '' then 'identity conflict' when contains(m, 'sku')
       union all select 'soft', a.grp, b.grp, a.n * b.n - coalesce(listed, 0), 'brand' || case when a.region = b.region then ',region' else '' end,
         ltrim(case when a.has and b.has then ',sku' else '' end || case when a.region <> b.region then ',region' else '' end, ',')
       from tg a join cg b on a.brand = b.brand and a.title = b.title left join listed on t_grp = a.grp and c_grp = b.grp where a.n * b.n > coalesce(listed, 0))
-    select kind, t_rep, c_rep, n_pairs::bigint as n_pairs, m as matched, x as conflicts, x = '' as accepted, {REASON_SQL} as reason from d""")
+    select kind, null::bigint as id, t_rep, c_rep, null::bigint as "group", n_pairs::bigint as n_pairs, m as matched, x as conflicts, x = '' as accepted, {REASON_SQL} as reason from d
+    union all select 'target', t.id, tk.rep, null, tg.grp, null, null, null, null, null from t join tk using (sku, brand, title, region) join tg on tg.has and tg.brand = t.brand and tg.title = t.title and tg.region = t.region
+    union all select 'candidate', c.id, null, ck.rep, cg.grp, null, null, null, null, null from c join ck on ck.sku is not distinct from c.sku and ck.brand = c.brand and ck.title = c.title and ck.region is not distinct from c.region
+      join cg on cg.has = (c.sku is not null) and cg.brand = c.brand and cg.title = c.title and cg.region is not distinct from c.region""")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts matched with a copy that lost or changed some fields: decisions between classes."""
-    out = I.match_classes(*entity_sides(spark, sf_dir)).decisions
-    return out.select("kind", "t_rep", "c_rep", "n_pairs", F.array_join("matched", ",").alias("matched"), F.array_join("conflicts", ",").alias("conflicts"), "accepted", "reason")
+    """Parts matched with a copy that lost or changed some fields: decisions between classes and groups, and the class and group of each record of both sides, so that no pair is lost."""
+    found = I.match_classes(*entity_sides(spark, sf_dir))
+    out = found.decisions.select("kind", "t_rep", "c_rep", "n_pairs", F.array_join("matched", ",").alias("matched"), F.array_join("conflicts", ",").alias("conflicts"), "accepted", "reason")
+    member = lambda df, kind, rep: df.select(F.lit(kind).alias("kind"), "id", F.col("rep").alias(rep), "group")
+    members = member(found.t_members, "target", "t_rep").unionByName(member(found.c_members, "candidate", "c_rep"), allowMissingColumns=True)
+    return out.unionByName(members, allowMissingColumns=True).select("kind", "id", "t_rep", "c_rep", "group", "n_pairs", "matched", "conflicts", "accepted", "reason")
 
 
 @query(f"""with {PAIRS_SQL} select c.id, ck.rep, cg.grp as "group" from c join ck on ck.sku is not distinct from c.sku and ck.brand = c.brand and ck.title = c.title and ck.region is not distinct from c.region

@@ -4,7 +4,8 @@ import datetime
 
 import duckdb
 
-from brindle.plans import registry
+from brindle.operators import catalog as operators
+from brindle.plans import catalog, registry
 
 
 def both(spark, path, name, **tables):
@@ -30,3 +31,20 @@ def test_tokens_are_whole_numbers_in_the_sql_too(spark, tmp_path):
     rows = [(1, 1, "F", 257060.79, day(1996), "p"), (2, 1, "F", 256074.0, day(1997), "p"), (3, 1, "F", 0.45, day(1997), "p"), (4, 2, "F", 249000.0, day(1998), "p"), (5, 2, "F", 237.29, day(1998), "p"), (6, 2, "F", 274198.1, day(1999), "p")]
     got, want = both(spark, tmp_path, "token_efficiency", orders=(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"))
     assert got == want and len(got) == 2
+
+
+def test_entity_match_holds_all_pairs_of_records(spark):
+    path = "/root/testdata/sf0.001"
+    rows = catalog.entity_match(spark, path).collect()
+    of = {kind: [r for r in rows if r.kind == kind] for kind in ("strong", "soft", "target", "candidate")}
+
+    def pairs(r, by):
+        return [(t.id, c.id) for t in of["target"] for c in of["candidate"] if (t.t_rep if by == "rep" else t.group) == r.t_rep and (c.c_rep if by == "rep" else c.group) == r.c_rep]
+
+    got = {p: (r.matched, r.conflicts, r.accepted, r.reason) for r in of["strong"] for p in pairs(r, "rep")}
+    for r in of["soft"]:
+        rest = [p for p in pairs(r, "group") if p not in got]
+        assert len(rest) == r.n_pairs
+        got |= {p: (r.matched, r.conflicts, r.accepted, r.reason) for p in rest}
+    want = operators.match_entities(*catalog.entity_sides(spark, path)).collect()
+    assert got == {(r.t_id, r.c_id): (",".join(r.matched), ",".join(r.conflicts), r.accepted, r.reason) for r in want}
