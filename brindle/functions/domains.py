@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.urls import let
+
 # Detectors, related domains and rules of each domain, in their natural order.
 # A rule is (kind, field, what it looks for, more); the first rule that gives a field a value wins.
 DETECT = {
@@ -73,12 +75,17 @@ def found(text: Column, pattern: str) -> Column:
 
 def detect_domains(text: Column, category: Column | None = None) -> Column:
     """Domains whose detectors match: a point for each in the text, two for each in the category; best first, then by name."""
+    def score(value: Column, patterns: list[str]) -> Column:
+        # most texts match none of a domain's detectors, which one look tells
+        each = reduce(lambda a, b: a + b, [found(value, p).cast("int") for p in patterns])
+        return F.when(found(value, "|".join(f"(?:{p})" for p in patterns)), each).otherwise(0)
+
     points = []
     for name, patterns in DETECT.items():
-        score = reduce(lambda a, b: a + b, [F.coalesce(found(text, p), F.lit(False)).cast("int") for p in patterns])
+        n = score(text, patterns)
         if category is not None:
-            score = score + 2 * reduce(lambda a, b: a + b, [F.coalesce(found(category, p), F.lit(False)).cast("int") for p in patterns])
-        points.append(F.struct((-score).alias("s"), F.lit(name).alias("name")))
+            n = n + 2 * score(category, patterns)
+        points.append(F.struct((-n).alias("s"), F.lit(name).alias("name")))
     hit = F.filter(F.array(*points), lambda x: x["s"] < 0)
     return F.transform(F.array_sort(hit), lambda x: x["name"])
 
@@ -134,10 +141,17 @@ def domain_fields(text: Column, domains: Column, device: Column | None = None) -
     def add(acc: Column, entry: Column) -> Column:
         return F.when(F.map_contains_key(acc, entry["field"]), acc).otherwise(F.map_concat(acc, F.map_from_entries(F.array(entry))))
 
-    def of(name: str) -> Column:
+    def of(name: str, text: Column, device: Column) -> Column:
         entries = F.array(*[F.struct(F.lit(r[1]).alias("field"), F.left(F.trim(rule_value(r, text, device)), F.lit(LONGEST)).alias("value")) for r in RULES[name]])
         return F.when(F.array_contains(domains, name), F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
-    table = F.create_map(*[x for name in RULES for x in (F.lit(name), of(name))])
-    every = F.flatten(F.filter(F.transform(domains, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull()))
-    return F.coalesce(F.aggregate(every, nothing, add), nothing)
+    def merged(table: Column) -> Column:
+        # the rules are worked out once a text, not once for each of its domains
+        of_domain = lambda d: F.coalesce(*[F.when(d == name, table[name]) for name in RULES])
+        every = F.flatten(F.filter(F.transform(domains, of_domain), lambda x: x.isNotNull()))
+        return F.coalesce(F.aggregate(every, nothing, add), nothing)
+
+    def ruled(both: Column) -> Column:
+        return let(F.struct(*[of(name, both["text"], both["device"]).alias(name) for name in RULES]), merged)
+
+    return let(F.struct(text.alias("text"), device.alias("device")), ruled)

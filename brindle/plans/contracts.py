@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brindle.functions import domains as D
 from brindle.operators import contracts as C
 from brindle.operators.evaluation import row_errors
+from brindle.operators.work import spread
 from brindle.plans.registry import load, query
 
 
@@ -311,7 +312,8 @@ def domain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("p_partkey") % len(PHRASES)).cast("int")
     rows = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.get(F.array(*[F.lit(p) for p in PHRASES]), n)).alias("t"),
         F.when(F.col("p_partkey") % 3 == 0, "monitor").otherwise(F.lower("p_type")).alias("c"))
-    found = rows.withColumn("d", D.detect_domains(F.col("t"), F.col("c"))).where(F.size("d") > 0)
+    # exploded, so that domains are detected once and not again for each use of them
+    found = spread(rows).select("p_partkey", "t", F.explode(F.array(D.detect_domains(F.col("t"), F.col("c")))).alias("d")).where(F.size("d") > 0)
     fields = F.transform(F.array_sort(F.map_entries(D.domain_fields(F.lower("t"), F.col("d"), F.col("t")))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     first = F.coalesce(F.get(D.related_domains(F.col("d")), F.lit(0)), F.lit(""))
     return found.select("p_partkey", F.array_join("d", ",").alias("domains"), F.when(first == "display", first).otherwise("").alias("related_first"), F.array_join(fields, ";").alias("fields"))
