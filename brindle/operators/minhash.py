@@ -23,21 +23,30 @@ def shingle_set(text: Column, words: int = WORDS) -> Column:
         return F.when(F.size(w) >= words, many).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(none)
 
     # the words are worked out once, not once a shingle
-    return F.array_sort(F.array_distinct(let(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != ""), grams)))
-
-
-def bands(s: Column, n: int = BANDS, rows: int = ROWS) -> Column:
-    """(band, hash) structs of a set's MinHash signature: the smallest of its values under each of n * rows hash functions."""
-    least = lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(x, F.lit(i))))
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("h")) for b in range(n)])
+    return F.sort_array(F.array_distinct(let(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != ""), grams)))
 
 
 def classes(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(id, h1, h2, s): the shingle set of each row that has words, and 128 bits that name it."""
-    rows = docs.select(F.col(doc).alias("id"), shingle_set(F.col(text)).alias("s")).where(F.size("s") > 0)
+    # exploded, so that a set is made once and not again for each use of it
+    rows = docs.select(F.col(doc).alias("id"), F.explode(F.array(shingle_set(F.col(text)))).alias("s")).where(F.size("s") > 0)
     return rows.select("id", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s")
 
 
+def signed(docs: DataFrame, doc: str, text: str, n: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(h1, h2, rep, n, bands) of each class of equal sets: smallest id, number of rows, and (band, hash) structs of its MinHash signature.
+
+    A signature is the smallest of the set's values under each of ``n * rows``
+    hash functions, which are plain aggregates of the exploded sets: they run in
+    compiled code and are merged before the shuffle.
+    """
+    one = classes(docs, doc, text).select("id", "h1", "h2", F.posexplode("s").alias("i", "x"))
+    least = [F.min(F.xxhash64("x", F.lit(k))).alias(f"m{k}") for k in range(n * rows)]
+    found = one.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count_if(F.col("i") == 0).alias("n"), *least)
+    made = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)]).alias("h")) for b in range(n)]
+    return found.select("h1", "h2", "rep", "n", F.array(*made).alias("bands"))
+
+
 def near_classes(left: DataFrame, right: DataFrame, doc: str, text: str, at_least: float = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies of ``left`` rows among ``right`` rows.
 
@@ -48,16 +57,14 @@ def near_classes(left: DataFrame, right: DataFrame, doc: str, text: str, at_leas
     ``at_least`` is missed with probability 0.015, at 0.9 with 0.0001. Null and
     empty texts are near nothing.
 
-    What is written of a row is its signature only. The sets, which are larger
+    What is written of a class is its signature only. The sets, which are larger
     than the texts, are made again for one row of each class that has a candidate.
     """
     path = work_folder(left.sparkSession, "minhash")
     found, members = {}, {}
     for name, docs in (("left", left), ("right", right)):
-        signed = classes(docs, doc, text).select("id", "h1", "h2", bands(F.col("s")).alias("bands"))
-        rows = written(signed, f"{path}/{name}-rows")
-        found[name] = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), f"{path}/{name}-classes")
-        members[name] = rows.select("id", "h1", "h2").join(found[name].select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+        found[name] = written(signed(docs, doc, text), f"{path}/{name}-classes")
+        members[name] = classes(docs, doc, text).select("id", "h1", "h2").join(found[name].select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     keyed = lambda name: F.struct("h1", "h2").alias(name)
     banded = lambda name: found[name].select(keyed(name), F.explode("bands").alias("b")).select(name, "b.*")
     pairs = written(banded("left").join(banded("right"), ["band", "h"]).select("left", "right").distinct(), f"{path}/pairs")
