@@ -9,6 +9,7 @@ from brindle.functions import text as X
 from brindle.functions import urls as U
 from brindle.operators import catalog as C
 from brindle.operators import identity as I
+from brindle.operators.work import small_batches, work_folder, written
 from brindle.plans.registry import load, query
 
 PRODUCTS_SQL = """products as (select p_partkey, p_name as name, p_brand as brand, 'P-' || p_partkey as code,
@@ -165,7 +166,10 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one step each, so that a form isn't worked out again for the next
     folded = d.select("doc_id", X.clean_text(F.col("t")).alias("c")).select("doc_id", "c", X.fold(F.col("c")).alias("f"))
     words = folded.select("doc_id", "c", "f", X.folded_words(F.col("f")).alias("w"))
-    return words.select("doc_id", of(F.col("c")).alias("cleaned"), of(F.col("f")).alias("folded"), of(X.folded_brand(F.col("f"))).alias("brand"), F.size("w").cast("long").alias("n_tokens"), of(F.array_join(F.array_sort("w"), " ")).alias("tokens"))
+    out = words.select("doc_id", of(F.col("c")).alias("cleaned"), of(F.col("f")).alias("folded"), of(X.folded_brand(F.col("f"))).alias("brand"), F.size("w").cast("long").alias("n_tokens"), of(F.array_join(F.array_sort("w"), " ")).alias("tokens"))
+    # texts run up to megabytes: only few may wait in a Python worker, so the digests are written while the batches are small
+    with small_batches(spark):
+        return written(out, work_folder(spark, "forms"))
 
 
 @query("""with w as (select p_partkey, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' ')) as t, generate_subscripts(string_split(regexp_replace(lower(p_name), '[^a-z0-9+./_-]+', ' ', 'g'), ' '), 1) as i from part),
