@@ -5,7 +5,7 @@ import datetime
 import duckdb
 
 from brindle.operators import catalog as operators
-from brindle.plans import catalog, registry
+from brindle.plans import catalog, registry, telemetry  # noqa: F401
 
 
 def both(spark, path, name, **tables):
