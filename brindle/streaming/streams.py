@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 from brindle.operators.ledger import ALLOWED, STATE_NAMES, visit_key
 from brindle.operators.telemetry import target_health
 
+#: Buckets that keys are dealt to; a stream keeps its number for good.
+BUCKETS = 512
+
 
 def source(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
     """Files below ``path`` as a stream, a bounded number in each trigger."""
@@ -73,37 +76,56 @@ def lifecycle(events: DataFrame, key: str, order: list[str], raw: str, idle_ms:
     return events.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, state string, n_events long", "state string, n long", "update", timeout)
 
 
-def reassembled(frames: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def reassembled(frames: DataFrame, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(response_id, text, status, intact) of streamed frames once all of a response are there.
 
     Deltas wait in the state, in whatever order they come, until done has come
     and every place before it is filled. A response that gets no frame for
     ``idle_ms`` is given out as it is, not intact; by default all are waited for.
-    A stream with such a limit never ends by itself.
+    A stream with such a limit never ends by itself. Responses are dealt to
+    ``buckets``, as a call of Python costs far more than a response's frames.
     """
 
-    def join(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, last, status, digest = held.get if held.exists else ([], [], None, None, None)
-        seqs, texts, late = list(seqs), list(texts), held.hasTimedOut
-        for row in () if late else pd.concat(list(parts)).itertuples():
-            seqs.append(int(row.seq))
-            texts.append(row.text if row.event == "delta" and row.text is not None else "")
-            if row.event == "done":
-                last, status, digest = int(row.seq), row.status, row.digest
-        whole = last is not None and len(set(seqs)) == last + 1
-        if not whole and not late:
-            held.update((seqs, texts, last, status, digest))
+    def join(_: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.getCurrentProcessingTimeMs() if idle_ms else 0
+        waiting: dict = {}  # response -> [places with texts, last place, status, digest, time of its last frame]
+        for key, seqs, texts, *more in zip(*held.get, strict=True) if held.exists else ():
+            waiting[key] = [dict(zip(seqs, texts, strict=True)), *more]
+        touched = set()
+        for part in () if held.hasTimedOut else parts:
+            for key, seq, event, text, status, digest in zip(*(part[c].tolist() for c in ("response_id", "seq", "event", "text", "status", "digest")), strict=True):
+                one = waiting.setdefault(key, [{}, None, None, None, now])
+                text = text if event == "delta" and text is not None else ""
+                one[0][seq] = max(text, one[0].get(seq, ""))
+                if event == "done":
+                    one[1:4] = seq, status, digest
+                one[4] = now
+                touched.add(key)
+        out = []
+        for key in list(touched if not idle_ms else waiting):
+            places, last, status, digest, at = waiting[key]
+            whole = last is not None and len(places) == last + 1
+            if whole or (idle_ms and now - at >= idle_ms):
+                text = "".join(places[i] for i in sorted(places))
+                out.append((key, text, status, whole and hashlib.sha256(text.encode()).hexdigest() == digest))
+                del waiting[key]
+        if waiting:
+            held.update(tuple(list(c) for c in zip(*((key, list(one[0]), list(one[0].values()), *one[1:]) for key, one in waiting.items()), strict=True)))
             if idle_ms:
-                held.setTimeoutDuration(idle_ms)
-            return
-        text = "".join(dict(sorted(zip(seqs, texts, strict=True))).values())
-        if held.exists:
+                held.setTimeoutDuration(max(1, min(one[4] for one in waiting.values()) + idle_ms - now))
+        elif held.exists:
             held.remove()
-        yield pd.DataFrame({"response_id": [k[0]], "text": [text], "status": [status], "intact": [whole and hashlib.sha256(text.encode()).hexdigest() == digest]})
+        if out:
+            yield pd.DataFrame(out, columns=["response_id", "text", "status", "intact"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    state = "seqs array<int>, texts array<string>, last int, status string, digest string"
-    return frames.groupBy("response_id").applyInPandasWithState(join, "response_id string, text string, status string, intact boolean", state, "append", timeout)
+    state = "ids array<string>, seqs array<array<int>>, texts array<array<string>>, lasts array<int>, statuses array<string>, digests array<string>, ats array<long>"
+    rows = frames.select(bucket(F.col("response_id"), buckets), "response_id", "seq", "event", "text", "status", "digest")
+    return rows.groupBy("bucket").applyInPandasWithState(join, "response_id string, text string, status string, intact boolean", state, "append", timeout)
 
 
 def resumable(requests: DataFrame, receipts: DataFrame) -> DataFrame:
