@@ -88,8 +88,14 @@ def shifted(x: np.ndarray) -> np.ndarray:
 
 def own_counts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(how often each place's value occurs in its row; a place of each distinct value and row; their counts)."""
-    _, first, inverse, n = np.unique(mix(h + row.astype(np.uint64) * MUL), return_index=True, return_inverse=True, return_counts=True)
-    return n[inverse], first, n
+    key = mix(h + row.astype(np.uint64) * MUL)
+    order = np.argsort(key)  # which of a value's places comes first doesn't matter
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(np.append(first, len(key)))
+    every = np.empty(len(key), np.int64)
+    every[order] = np.repeat(n, n)
+    return every, order[first], n
 
 
 def in_turn(h: np.ndarray, turn: int, passes: int) -> np.ndarray:
@@ -109,7 +115,7 @@ def counted(docs: DataFrame, of, schema: str) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, n, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h = h[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             if len(first):
