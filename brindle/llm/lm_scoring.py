@@ -4,20 +4,17 @@ A text is scored by what all other texts hold: an n-gram's count is that of the
 corpus less the text's own occurrences (leave one out), so what only this text
 says isn't in its model, and its words fall back to lower orders.
 
-Count tables of words and bigrams, partitioned by hash, are made first; of
-bigrams only those that two texts have can ever be found, and each carries the
-counts of its words. Every text starts with the score that it would have if all
-its words fell back to single words. Then all its words are exploded into rows
-of (last bigram, bigram before) and joined to the bigram table by the last
-bigram; the rows of one trigram lie together then, which gives its count, and
-those of found trigrams are joined to the bigram table once more, by the bigram
-before. What is found at a higher order replaces the word's first score, and
-all is summed per document.
-
-The hash range is worked off in a fixed number of passes, which bounds the
-shuffle space in use at any time. Bigrams with so many rows that they would
-make a partition large are spread by the word before them; trigrams of that
-many rows are counted beforehand and scored where they are.
+Texts are dealt to chunks of a few megabytes, written once. Each chunk gives its
+distinct words, bigrams and trigrams with their counts, as sorted hashes, cut
+into parts of the hash range: an n-gram is sent once a chunk, not once a place,
+so none is frequent enough to make a part uneven. The rows of a part are summed
+up to its count table, of n-grams that two texts have, as others can never be
+found; the tables are joined to the chunks' n-grams by part, and the counts go
+back to the chunks by a second join. With the counts of all orders at hand each
+place is scored at the highest order that is found, where the text is.
+
+The hash range and then the chunks are worked off in a fixed number of passes,
+which bounds the shuffle space in use at any time.
 """
 
 from __future__ import annotations
@@ -26,244 +23,207 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, MUL, drop_dir, gram_hashes, hot_join, mix, release, span_hashes, text_slices, word_spans, work_dir, written
+from brindle.llm.common import LOWER, MUL, SLICE_BYTES, drop_dir, gram_hashes, mix, release, span_hashes, text_slices, word_spans, work_dir, written
 
 ALPHA = 0.4
 #: N-grams of two and three words are in a text's model from this count in other texts on.
 LEAST_COUNT = 1
-#: Passes over the hash range of bigrams, for scores and for counts; the numbers don't depend on the data.
-PASSES, COUNT_PASSES = 5, 4
-#: Words whose n-grams a task counts at once.
-COUNTED = 2_000_000
-#: The most frequent words, whose counts go to all tasks (two numbers each); the others are joined.
-TOP_WORDS = 250_000
-#: Rows of a hot bigram are spread over so many keys.
-SALTS = 32
+#: Passes over the hash range of n-grams, and over the chunks for their scores; the numbers don't depend on the data.
+PASSES, SCORE_PASSES = 5, 3
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK_BYTES = 4 << 20
+#: A row counts as so many bytes at least, so that a chunk's rows are bounded too.
+ROW_BYTES = 64
+#: Parquet looks at the size of a row group after so many rows already.
+FEW_LARGE_ROWS = {"parquet.block.size.row.check.min": "8"}
+#: Words of the corpus for each part of a pass.
+PART_WORDS = 500_000
 
-PLAIN, OPENING = 0, 1  # kinds of n-gram rows: a word after two others, the second word of a text
-ROWS = "own long, salt int, ctx long, kind byte, doc_id long, m3 int, own_m2 int, ctx_m2 int, before_m1 int, word_m1 int, size int"
 
+class Grams:
+    """N-grams of a chunk's rows: ``h`` and ``row`` hold its words, then the bigrams that end at ``pairs``, then the trigrams that end at ``triples``.
 
-class Counts:
-    """Sorted hashes with their counts; 0 for a hash that isn't there."""
-
-    def __init__(self, rows: list):
-        h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-        order = np.argsort(h)
-        self.h, self.c = h[order], np.array([r["n"] for r in rows], np.int64)[order]
+    ``place`` is a word's number in its row, ``size`` the number of words of each row.
+    """
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.c[at], 0)
+    def __init__(self, texts: pa.Array):
+        parts = [[], [], [], [], [], []]
+        for a, _, data, offsets in text_slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            data = LOWER[data]
+            starts, ends, row = word_spans(data, offsets)
+            h1 = span_hashes(data, starts, ends)
+            edges = np.searchsorted(row, np.arange(len(offsets)))
+            place = np.arange(len(h1)) - edges[:-1][row]
+            for part, x in zip(parts, (h1, gram_hashes(h1, 2)[place[1:] > 0], gram_hashes(h1, 3)[place[2:] > 1], row + a, place, np.diff(edges)), strict=True):
+                part.append(x)
+        whole = lambda k, kind: np.concatenate([np.zeros(0, kind), *parts[k]])
+        row, self.place, self.size = (whole(k, np.int64) for k in (3, 4, 5))
+        self.pairs, self.triples = np.flatnonzero(self.place > 0), np.flatnonzero(self.place > 1)
+        self.h = np.concatenate([whole(k, np.uint64) for k in range(3)])
+        self.row = np.concatenate([row, row[self.pairs], row[self.triples]])
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each first of equal values, how many there are)."""
+    first = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])[: len(sorted_values)])
+    return first, np.diff(np.append(first, len(sorted_values)))
+
+
+def own_counts(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each place's value occurs in its row."""
+    key = mix(h + row.astype(np.uint64) * MUL)
+    order = np.argsort(key)
+    _, n = runs(key[order])
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
 
 
-class Grams:
-    """Hashes of a slice's words: h1, h2, h3 end at the word, before is the bigram before it; place is the word's number in its row."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = LOWER[data]
-        starts, ends, self.row = word_spans(data, offsets)
-        self.h1 = span_hashes(data, starts, ends)
-        n = len(self.h1)
-        edges = np.searchsorted(self.row, np.arange(len(offsets)))
-        self.size = np.diff(edges)
-        self.place = np.arange(n) - edges[:-1][self.row]
-        self.h2, self.h3 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.h2[1:] = gram_hashes(self.h1, 2)
-        if n > 2:
-            self.h3[2:] = gram_hashes(self.h1, 3)
-        self.last = shifted(self.h1)
-        self.before = shifted(self.h2)
-
-
-def shifted(x: np.ndarray) -> np.ndarray:
-    """Each place's value of the place before it."""
-    return np.append(np.zeros(1, x.dtype), x[:-1])[: len(x)]
-
-
-def own_counts(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(how often each place's value occurs in its row; a place of each distinct value and row; their counts)."""
-    key = mix(h + row.astype(np.uint64) * MUL)
-    order = np.argsort(key)  # which of a value's places comes first doesn't matter
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    n = np.diff(np.append(first, len(key)))
-    every = np.empty(len(key), np.int64)
-    every[order] = np.repeat(n, n)
-    return every, order[first], n
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of hashes, so sorted hashes lie in the order of their parts."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def in_turn(h: np.ndarray, turn: int, passes: int) -> np.ndarray:
-    return (h >> np.uint64(40)) % np.uint64(passes) == turn
+def blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the values between two edges each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64) * values.itemsize), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def values(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def counted(docs: DataFrame, of, schema: str) -> DataFrame:
-    """Rows of ``schema`` (h, n, then columns that h determines), partly summed: ``of`` gives the distinct values of a slice with their counts."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, doc_ids, texts, n_words): a row for about ``chunk_bytes`` of rows that follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        chunk, held, size, words = TaskContext.get().partitionId() << 32, [], 0, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, n, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h)
-            h = h[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-            if len(first):
-                texts = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([longs(h[first]), pa.array(np.add.reduceat(n[order], first)), pa.array(texts), *(longs(x[order[first]]) for x in more)], names=names)
+        def row() -> pa.RecordBatch:
+            lists = [pa.concat_arrays(x) for x in zip(*held, strict=True)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([words])], names=["chunk", "doc_ids", "texts", "n_words"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch):
-                held.append(of(Grams(data, offsets)))
-                size += len(held[-1][0])
-                if size >= COUNTED:
-                    yield from flush()
-                    held, size = [], 0
+            for a, b, data, offsets in text_slices(batch, limit=min(chunk_bytes, SLICE_BYTES)):
+                more = len(data) + ROW_BYTES * (b - a)
+                if size and size + more > chunk_bytes:
+                    yield row()
+                    chunk, held, size, words = chunk + 1, [], 0, 0
+                held.append([c.slice(a, b - a) for c in batch.columns])
+                size, words = size + more, words + len(word_spans(data, offsets)[0])
         if held:
-            yield from flush()
+            yield row()
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, "chunk long, doc_ids array<long>, texts array<string>, n_words long")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n) of all words."""
-    rows = counted(docs, lambda g: np.unique(g.h1, return_counts=True), "h long, n long, parts long")
-    return rows.groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def pair_counts(docs: DataFrame, turn: int, passes: int) -> DataFrame:
-    """(h, n, before, word) of the bigrams of a hash range that more than one text has, with the hashes of their words."""
-
-    def of(g: Grams) -> tuple:
-        at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
-        _, first, n = own_counts(g.h2[at], g.row[at])
-        first = at[first]
-        return g.h2[first], n, g.last[first], g.h1[first]
-
-    rows = counted(docs, of, "h long, n long, texts long, before long, word long").groupBy("h")
-    return rows.agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.max("before").alias("before"), F.max("word").alias("word")).where("texts > 1").drop("texts")
+def chunk_grams(chunks: DataFrame, turn: int, each: int, parts: int) -> DataFrame:
+    """(part, chunk, grams, seen): the distinct n-grams of every chunk in the ``each`` parts of a turn.
 
+    ``grams`` are sorted hashes; ``seen`` is twice the count in the chunk, and
+    one more where several of its texts have the n-gram.
+    """
 
-def hot_trigrams(docs: DataFrame, two: Counts, least: float) -> Counts:
-    """Exact counts of trigrams of at least ``least`` rows; their last bigram is one of the hot ones, ``two``."""
+    def of(chunk: int, texts: pa.Array) -> pa.RecordBatch:
+        g = Grams(texts)
+        at = np.flatnonzero(part_of(g.h, parts) // np.uint64(each) == turn)
+        at = at[np.argsort(g.h[at])]
+        h, row = g.h[at], g.row[at]
+        first, n = runs(h)
+        several = np.maximum.reduceat(row, first) > np.minimum.reduceat(row, first) if len(h) else np.zeros(0, bool)
+        h = h[first]
+        edges = np.searchsorted(part_of(h, parts), np.arange(turn * each, (turn + 1) * each + 1).astype(np.uint64))
+        there = np.flatnonzero(np.diff(edges))
+        edges = np.append(edges[there], len(h))
+        return pa.RecordBatch.from_arrays([pa.array(turn * each + there), pa.array(np.full(len(there), chunk)), blobs(h, edges), blobs((2 * n + several).astype(np.uint32), edges)], names=["part", "chunk", "grams", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch):
-                g = Grams(data, offsets)
-                u, n = np.unique(g.h3[(g.place > 1) & (two.of(g.h2) > 0) & (two.of(g.before) > 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([longs(u), pa.array(n)], names=["h", "n"])
+            for chunk, texts in zip(batch["chunk"].to_pylist(), batch["texts"], strict=True):
+                yield of(chunk, texts.values)
 
-    exact = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return Counts(exact.where(F.col("n") >= least).collect())  # at most one for each hot share
+    return chunks.select("chunk", "texts").mapInArrow(run, "part long, chunk long, grams binary, seen binary")
 
 
-def local_trigrams(g: Grams, two: Counts, three: Counts, top: Counts) -> np.ndarray:
-    """Which places end a trigram that is scored where it is; the same for all places of a trigram."""
-    if not len(three.h):
-        return np.zeros(len(g.h1), bool)
-    return (g.place > 1) & (three.of(g.h3) > 0) & (two.of(g.before) > 0) & (top.of(g.h1) > 0)
+def count_tables(grams: DataFrame) -> DataFrame:
+    """(part, held, n): of each part the n-grams that more than one text has, sorted, and their counts in the corpus."""
 
+    def run(table: pa.Table) -> pa.Table:
+        h, seen = np.concatenate(values(table["grams"], np.uint64)), np.concatenate(values(table["seen"], np.uint32)).astype(np.int64)
+        order = np.argsort(h)
+        h, seen = h[order], seen[order]
+        first, chunks = runs(h)
+        keep = (chunks > 1) | (seen[first] & 1 > 0)  # of one chunk only: what it says itself
+        return pa.table([table["part"].slice(0, 1), pa.array([h[first][keep].tobytes()], pa.binary()), pa.array([np.add.reduceat(seen >> 1, first)[keep].tobytes()], pa.binary())], names=["part", "held", "n"])
 
-def first_scores(docs: DataFrame, held, total: int, alpha: float, least: int) -> DataFrame:
-    """(doc_id, word, m, score, n_words, backed): a row a text with what is known where it is, and one for each of its rare words, which occurs ``m`` times in it.
+    return grams.groupBy("part").applyInArrow(run, "part long, held binary, n binary")
 
-    ``score`` is that of all words fallen back to single words, but of rare
-    words what depends on their counts is left out; local trigrams have their
-    score of three words. ``backed`` is the number of words that fell back.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three, top = held.value
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch):
-                g, doc = Grams(data, offsets), batch.column(0).slice(a, b - a)
-                rows = b - a
-                m1, first, m = own_counts(g.h1, g.row)
-                known = top.of(g.h1)
-                base = np.where(known > 0, np.log(np.maximum(known - m1, 1)), 0.0) - np.log(np.maximum(total - g.size[g.row], 1)) + np.log(alpha) * np.minimum(g.place, 2)
-                backed = np.minimum(g.place, 1)
-                local = np.flatnonzero(local_trigrams(g, two, three, top))
-                if len(local):
-                    m2, m3 = np.zeros(len(g.h1), np.int64), np.zeros(len(g.h1), np.int64)
-                    for out, h, places in ((m2, g.h2, np.flatnonzero(g.place > 0)), (m3, g.h3, np.flatnonzero(g.place > 1))):
-                        out[places] = own_counts(h[places], g.row[places])[0]
-                    others = three.of(g.h3[local]) - m3[local]
-                    local, others = local[others >= least], others[others >= least]
-                    base[local] = np.log(others) - np.log(two.of(g.before[local]) - m2[local - 1])
-                    backed[local] = 0
-                yield pa.RecordBatch.from_arrays([doc, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(np.bincount(g.row, base, rows)), pa.array(g.size.astype(np.int64)), pa.array(np.bincount(g.row, backed, rows).astype(np.int64))], names=NAMES)
-                rare = first[known[first] == 0]
-                if len(rare):
-                    n = len(rare)
-                    yield pa.RecordBatch.from_arrays([doc.take(pa.array(g.row[rare])), longs(g.h1[rare]), pa.array(m[known[first] == 0]), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))], names=NAMES)
-
-    NAMES = ["doc_id", "word", "m", "score", "n_words", "backed"]
-    return docs.mapInArrow(run, "doc_id long, word long, m long, score double, n_words long, backed long")
-
-
-def exploded(docs: DataFrame, turn: int, passes: int, held, least: int) -> DataFrame:
-    """ROWS of the places whose last bigram is in the hash range ``turn``, with what the text itself has of each count."""
-    names = [c.split()[0] for c in ROWS.split(", ")]
+def looked_up(grams: DataFrame, tables: DataFrame) -> DataFrame:
+    """(chunk, part, counts): the corpus's count of each n-gram of ``grams``, in their order; 0 for those in no table.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three, top = held.value
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch):
-                g, doc = Grams(data, offsets), batch.column(0).slice(a, b - a)
-                at = np.flatnonzero((g.place > 0) & in_turn(g.h2, turn, passes))
-                later = at[g.place[at] > 1]
-                m1 = own_counts(g.h1, g.row)[0]
-                m2, m3 = np.zeros(len(g.h1), np.int64), np.zeros(len(g.h1), np.int64)
-                pairs = np.flatnonzero(g.place > 0)
-                m2[pairs] = own_counts(g.h2[pairs], g.row[pairs])[0]
-                m3[later] = own_counts(g.h3[later], g.row[later])[0]
-                plain = g.place > 1
-                local = local_trigrams(g, two, three, top)
-                if local.any():
-                    scored = local & (three.of(g.h3) - m3 >= least)
-                    plain, at = plain & ~local, at[~scored[at]]
-                ctx = pa.array(g.before[at].view(np.int64), mask=~plain[at])
-                salt = np.zeros(len(at), np.int32)
-                if len(two.h):
-                    hot = two.of(g.h2[at]) > 0
-                    salt[hot] = (np.where(plain[at], g.before[at] >> np.uint64(20), g.row[at].astype(np.uint64))[hot] % np.uint64(SALTS)).astype(np.int32)
-                ints = [pa.array(x.astype(np.int32)) for x in (m3[at], m2[at], m2[at - 1], m1[at - 1], m1[at], g.size[g.row[at]])]
-                kind = np.where(g.place[at] == 1, OPENING, PLAIN).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([longs(g.h2[at]), pa.array(salt), ctx, pa.array(kind), doc.take(pa.array(g.row[at])), *ints], names=names)
-
-    return docs.mapInArrow(run, ROWS)
-
-
-def found_rows(rows: DataFrame, pairs: DataFrame, total: int, alpha: float, least: int) -> DataFrame:
-    """(doc_id, ctx, ctx_m2, score): what a word found in the bigram table gains over its first score.
-
-    Where ``ctx`` is there the trigram was found too, and the logarithm of the
-    count of ``ctx`` is still to be taken away.
+    The counts of a row are numbers of as many bytes as the largest needs.
     """
-    placed = rows.join(pairs, ["own", "salt"]).withColumn("c3", F.count("*").over(Window.partitionBy("own", "salt", "ctx")))
-    opening = F.col("kind") == OPENING
-    three = F.col("ctx").isNotNull() & (F.col("c3") - F.col("m3") >= least)
-    word = F.log(F.greatest(F.col("c_word") - F.col("word_m1"), F.lit(1))) - F.log(F.greatest(F.lit(total) - F.col("size"), F.lit(1)))
-    step = float(np.log(alpha))
-    first = word + F.when(opening, step).otherwise(2 * step)
-    two = F.log(F.col("n") - F.col("own_m2")) - F.log(F.col("c_before") - F.col("before_m1")) + F.when(opening, 0.0).otherwise(step)
-    score = F.when(three, F.log(F.col("c3") - F.col("m3"))).otherwise(two) - first
-    found = placed.where(F.col("n") - F.col("own_m2") >= least)
-    return found.select("doc_id", F.when(three, F.col("ctx")).alias("key"), "ctx_m2", score.alias("score"), F.when(three | opening, -1).otherwise(0).cast("long").alias("backed"))
-
-
-def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT, passes: int = PASSES, top_words: int = TOP_WORDS) -> DataFrame:
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        (held,), (n,) = values(table["held"], np.uint64), values(table["n"], np.int64)
+        out = []
+        for h in values(asked["grams"], np.uint64):
+            c = np.zeros(len(h), np.int64)
+            if len(held):
+                at = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                c = np.where(held[at] == h, n[at], 0)
+            out.append(c.astype(np.min_scalar_type(c.max())).tobytes())
+        return pa.table([asked["chunk"], asked["part"], pa.array(out, pa.binary())], names=["chunk", "part", "counts"])
+
+    return grams.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(run, "chunk long, part long, counts binary")
+
+
+def scored(chunks: DataFrame, counts: DataFrame, parts: int, total: int, alpha: float, least: int) -> DataFrame:
+    """(doc_id, n_words, score, backed) of every row: its words' scores summed up, and how many of them fell back."""
+
+    def run(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        g = Grams(chunk["texts"][0].values)
+        order = np.argsort(g.h)
+        h = g.h[order]
+        first, n = runs(h)
+        part = counts["part"].to_numpy()
+        there, sizes = runs(part_of(h[first], parts))
+        by_part = np.argsort(part)
+        assert len(part) == len(there) and (part[by_part] == part_of(h[first[there]], parts)).all()
+        found = [np.zeros(0, np.int64)]
+        for k, size in zip(by_part.tolist(), sizes.tolist(), strict=True):
+            data = counts["counts"][k].as_buffer()
+            found.append(np.frombuffer(data, f"u{data.size // size}").astype(np.int64))
+        others = np.empty(len(h), np.int64)
+        others[order] = np.repeat(np.concatenate(found), n)
+        at = np.flatnonzero(others)
+        others[at] -= own_counts(g.h[at], g.row[at])
+        words, pairs = len(g.place), len(g.place) + len(g.pairs)
+        one, two, three = others[:words], np.zeros(words, np.int64), others[pairs:]
+        two[g.pairs] = others[words:pairs]
+        step, row = np.log(alpha), g.row[:words]
+        score = np.log(np.maximum(one, 1)) - np.log(np.maximum(total - g.size[row], 1)) + step * np.minimum(g.place, 2)
+        backed = np.minimum(g.place, 1)
+        at = g.pairs[two[g.pairs] >= least]
+        score[at] = np.log(two[at]) - np.log(one[at - 1]) + step * (g.place[at] > 1)
+        backed[at] = g.place[at] > 1
+        at, three = g.triples[three >= least], three[three >= least]
+        score[at] = np.log(three) - np.log(two[at - 1])
+        backed[at] = 0
+        rows = len(g.size)
+        return pa.table([chunk["doc_ids"][0].values, pa.array(g.size.astype(np.int64)), pa.array(np.bincount(row, score, rows).astype(float)), pa.array(np.bincount(row, backed, rows).astype(np.int64))], names=["doc_id", "n_words", "score", "backed"])
+
+    texts = chunks.select("chunk", "doc_ids", "texts")
+    return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, "doc_id long, n_words long, score double, backed long")
+
+
+def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT, passes: int = PASSES, top_words: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (natural, summed over words), mean_log_score and n_backed of every document.
 
     A text's model counts the words, bigrams and trigrams of all other rows of
@@ -278,52 +238,31 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEA
     A text that is null or has no words has n_words 0, log_score 0 and a null
     mean. Rows that repeat a doc_id are texts of their own, which add up to one
     result row, and a null doc_id is an id like any other; so copies of a text
-    are in each other's model. Whole texts are read, however long; an empty
-    table gives no rows. Other columns are not read.
+    are in each other's model. Whole texts are read, however long, once from
+    ``docs``; an empty table gives no rows. Other columns are not read.
+    ``top_words`` is taken for older callers and has no effect.
     """
     spark = docs.sparkSession
     base = work_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = written(word_counts(docs), f"{base}/words")
-    grams = None
-    for turn in range(COUNT_PASSES):
-        # a bigram of one text only is in no other text's model
-        part = written(pair_counts(docs, turn, COUNT_PASSES), f"{base}/grams{turn}")
-        grams = part if grams is None else grams.unionByName(part)
-        release(spark)
-    total = words.agg(F.sum("n")).first()[0] or 1
-    count = lambda name: words.select(F.col("h").alias(name), F.col("n").alias(f"c_{name}"))
-    pairs = hot_join(grams, count("before"), "before", "c_before")
-    pairs = written(hot_join(written(pairs, f"{base}/half"), count("word"), "word", "c_word").select("h", "n", "c_before", "c_word"), f"{base}/pairs")
-    for name in ("half", *(f"grams{t}" for t in range(COUNT_PASSES))):
-        drop_dir(spark, f"{base}/{name}")
-    hot_share = 1 / (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    two = Counts(pairs.where(F.col("n") >= total * hot_share).select("h", "n").collect())  # at most 1 / hot_share
-    three = hot_trigrams(docs, two, total * hot_share) if len(two.h) else two
-    top = Counts(words.orderBy(F.desc("n"), "h").limit(top_words).collect())
-    held = spark.sparkContext.broadcast((two, three, top))
-    texts = written(first_scores(docs, held, total, alpha, least_count), f"{base}/first")
-    release(spark)
-    lone = texts.where("word is not null").select("doc_id", "m", F.col("word").alias("key"))
-    rare = hot_join(lone, words.select(F.col("h").alias("key"), "n"), "key", "n")
-    sums = lambda rows: rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words"), F.sum("backed").alias("backed"))
-    none = F.lit(0).cast("long")
-    every = texts.where("word is null").select("doc_id", "score", "n_words", "backed")
-    every = every.unionByName(rare.select("doc_id", (F.col("m") * F.log(F.greatest(F.col("n") - F.col("m"), F.lit(1)))).alias("score"), none.alias("n_words"), none.alias("backed")))
-    every = written(sums(every), f"{base}/scores")
-    drop_dir(spark, f"{base}/first")
-    release(spark)
-    salts = F.when(F.col("h").isin(*[F.lit(int(x)) for x in two.h.view(np.int64)]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    chunks = written(chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chunk_bytes), f"{base}/chunks", compression="zstd", **FEW_LARGE_ROWS)
+    total = chunks.agg(F.sum("n_words")).first()[0] or 0
+    each = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (passes * PART_WORDS))
+    counts = None
     for turn in range(passes):
-        mine = pairs.where(F.shiftrightunsigned("h", 40) % passes == turn).select(F.col("h").alias("own"), F.explode(salts).alias("salt"), "n", "c_before", "c_word")
-        found = written(found_rows(exploded(docs, turn, passes, held, least_count), mine, total, alpha, least_count), f"{base}/found{turn}")
+        grams = chunk_grams(chunks, turn, each, passes * each)
+        part = written(looked_up(grams, count_tables(grams)), f"{base}/counts{turn}")
+        counts = part if counts is None else counts.unionByName(part)
+        grams = part = None
         release(spark)
-        deep = hot_join(found.where("key is not null"), pairs.select(F.col("h").alias("key"), "n"), "key", "n")
-        deep = deep.select("doc_id", (F.col("score") - F.log(F.col("n") - F.col("ctx_m2"))).alias("score"), none.alias("n_words"), "backed")
-        part = deep.unionByName(found.where("key is null").select("doc_id", "score", none.alias("n_words"), "backed"))
-        every = every.unionByName(written(sums(part), f"{base}/part{turn}"))
-        drop_dir(spark, f"{base}/found{turn}")
+    rows = None
+    for turn in range(SCORE_PASSES):
+        mine = F.pmod(F.hash("chunk"), F.lit(SCORE_PASSES)) == turn
+        part = written(scored(chunks.where(mine), counts.where(mine), passes * each, total, alpha, least_count), f"{base}/rows{turn}")
+        rows = part if rows is None else rows.unionByName(part)
         release(spark)
-    out = sums(every)
+    for name in ("chunks", *(f"counts{t}" for t in range(passes))):
+        drop_dir(spark, f"{base}/{name}")
+    release(spark)
+    out = rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("log_score"), F.sum("backed").alias("n_backed"))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return out.select("doc_id", "n_words", F.col("score").alias("log_score"), F.col("backed").alias("n_backed")).select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "n_backed")
+    return out.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "n_backed")

@@ -109,6 +109,33 @@ def test_lm_scores_of_a_text_alone(spark):
     same_scores(rows(lm_scoring.stupid_backoff(spark.createDataFrame(made, "doc_id long, text string"), passes=1), "doc_id"), backoff_by_hand(made, 1))
 
 
+def test_lm_scores_read_each_text_once(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    once = docs.select("doc_id", "text").mapInArrow(seen, "doc_id long, text string")
+    same_scores(rows(lm_scoring.stupid_backoff(once, passes=2), "doc_id"), backoff_by_hand(documents(), 1))
+    assert read.value == len(documents())
+
+
+@pytest.mark.parametrize("size", [1, 3000])
+def test_lm_scores_of_many_chunks(docs, size):
+    same_scores(rows(lm_scoring.stupid_backoff(docs, passes=2, chunk_bytes=size), "doc_id"), backoff_by_hand(documents(), 1))
+
+
+def test_lm_n_grams_are_sent_once_a_chunk(spark):
+    made = [(i, "of the " * 300 + f"w{i}") for i in range(8)]
+    chunks = lm_scoring.chunked(spark.createDataFrame(made, "doc_id long, text string").repartition(2), 1 << 20).cache()
+    assert chunks.count() == 2
+    sent = [np.frombuffer(r.grams, np.uint64) for turn in range(2) for r in lm_scoring.chunk_grams(chunks, turn, 4, 8).collect()]
+    # two words, two bigrams and two trigrams of all texts; a word, a bigram and a trigram of each
+    assert sum(map(len, sent)) == 2 * 6 + 8 * 3 and all((x[1:] > x[:-1]).all() for x in sent)
+
+
 def test_token_counts(docs, none):
     got = rows(token_counts.count_tokens(docs.union(docs), BPE, limit=50), "doc_id")
     lib = Tokenizer.from_file(BPE)
